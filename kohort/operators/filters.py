@@ -6,8 +6,11 @@ are compared as DATE literals so row-group statistics apply.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kohort.functions.nulls import rlike_or_false
 
@@ -36,8 +39,26 @@ def require_not_null(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def in_period(df: DataFrame, c: str, lo=None, hi=None, lo_open=False, hi_open=False) -> DataFrame:
-    """Date range filter; each bound closed unless ``*_open``."""
+    """Calendar-date range filter; each bound closed unless ``*_open``.
+
+    On a timestamp column the bounds are rewritten as timestamp literals
+    (``day(ts) <= hi`` becomes ``ts < hi + 1 day``) so the comparison stays
+    on the raw column and reaches the Parquet scan as a pushed filter; a
+    cast of the column would block the pushdown.
+    """
     col = F.col(c)
+    dtype = df.schema[c].dataType
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        tname = "timestamp_ntz" if isinstance(dtype, T.TimestampNTZType) else "timestamp"
+
+        def ts(day, plus_one=False):
+            dd = _dt.date.fromisoformat(str(day)) + _dt.timedelta(days=1 if plus_one else 0)
+            return F.lit(f"{dd.isoformat()} 00:00:00").cast(tname)
+        if lo is not None:
+            df = df.filter(col >= ts(lo, plus_one=lo_open))
+        if hi is not None:
+            df = df.filter(col < ts(hi, plus_one=not hi_open))
+        return df
     if lo is not None:
         lo_d = F.lit(lo).cast("date")
         df = df.filter(col > lo_d if lo_open else col >= lo_d)
