@@ -32,18 +32,24 @@ def running_aggs(df: DataFrame, partition_cols: list[str], order_col: str,
                  sums: dict[str, str] | None = None,
                  products: dict[str, str] | None = None,
                  suffix_sums: dict[str, str] | None = None,
-                 bucket_width: float = 64.0) -> DataFrame:
+                 bucket_width: float = 64.0, bucket_col: str | None = None) -> DataFrame:
     """Add cumulative columns.
 
     ``sums``        out_name -> column: inclusive prefix sum (order ascending)
     ``products``    out_name -> column: inclusive prefix product
     ``suffix_sums`` out_name -> column: inclusive suffix sum (rows with key >= own)
+
+    Buckets are ``floor(order / bucket_width)``, or a precomputed
+    ``bucket_col`` that must be non-decreasing in the order key.
     """
     sums = dict(sums or {})
     products = dict(products or {})
     suffix_sums = dict(suffix_sums or {})
     part = list(partition_cols)
-    b = df.withColumn(_BUCKET, _bucket_expr(order_col, bucket_width))
+    if bucket_col is not None:
+        b = df.withColumnRenamed(bucket_col, _BUCKET)
+    else:
+        b = df.withColumn(_BUCKET, _bucket_expr(order_col, bucket_width))
 
     # 1. bucket totals
     aggs = []
@@ -83,3 +89,20 @@ def running_aggs(df: DataFrame, partition_cols: list[str], order_col: str,
     out = joined.withColumns(cols)
     drop = [c for c in out.columns if c.startswith("__off_") or c.startswith("__tot_")]
     return out.drop(*drop, _BUCKET)
+
+
+def scaled_buckets(df: DataFrame, partition_cols: list[str], order_col: str,
+                   n_buckets: int = 1024, name: str = "__qb") -> DataFrame:
+    """Add ``name`` = equal-width bucket of ``order_col`` within each
+    partition, from the partition's min/max (a small aggregate joined back;
+    AQE broadcasts it).  Suits keys whose scale differs per partition."""
+    part = list(partition_cols)
+    if not part:  # one global range: a constant key keeps this an equi join
+        df, part = df.withColumn("__all", F.lit(1)), ["__all"]
+        return scaled_buckets(df, part, order_col, n_buckets, name).drop("__all")
+    rng = df.groupBy(*part).agg(F.min(order_col).alias("__lo"), F.max(order_col).alias("__hi"))
+    j = df.join(rng, part)
+    span = F.col("__hi") - F.col("__lo")
+    b = F.when(span > 0, F.floor((F.col(order_col) - F.col("__lo")) / span * (n_buckets - 1))) \
+         .otherwise(F.lit(0)).cast("bigint")
+    return j.withColumn(name, b).drop("__lo", "__hi")

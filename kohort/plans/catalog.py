@@ -1,4 +1,4 @@
 """Imports every query module so the registry is complete."""
 
-from kohort.plans import q_aggregate, q_columns, q_filters, q_scalar, q_survival  # noqa: F401
+from kohort.plans import q_aggregate, q_columns, q_filters, q_scalar, q_summary, q_survival  # noqa: F401
 from kohort.plans.registry import ORACLES, QUERIES  # noqa: F401
