@@ -85,8 +85,8 @@ def km_summary(km: DataFrame, df: DataFrame, time: str, event: str, by=(), tol:
     """Records, events, median survival and its confidence limits.
 
     Median = first time with S <= 0.5; when S is exactly 0.5 on a step, the
-    midpoint to the next drop.  Limits: first times where the upper / lower
-    limit curve reaches 0.5.  NULL when never reached."""
+    midpoint to the next drop.  Limits: first times where the lower / upper
+    confidence curve reaches 0.5 (the lower curve gets there first).  NULL when never reached."""
     if not by:
         # one overall group: a constant key keeps the join an equi join
         df, km, by = df.withColumn("__all", F.lit(1)), km.withColumn("__all", F.lit(1)), ["__all"]
@@ -101,8 +101,8 @@ def km_summary(km: DataFrame, df: DataFrame, time: str, event: str, by=(), tol:
         F.min(F.when(F.col("surv") <= half + tol, F.col("time"))).alias("__m"),
         F.min(F.when(at_half, F.col("time"))).alias("__flat"),
         F.min(F.when(F.col("surv") < half - tol, F.col("time"))).alias("__after"),
-        F.min(F.when(F.col("upper") <= half + tol, F.col("time"))).alias("lower_ci"),
-        F.min(F.when(F.col("lower") <= half + tol, F.col("time"))).alias("upper_ci"))
+        F.min(F.when(F.col("lower") <= half + tol, F.col("time"))).alias("lower_ci"),
+        F.min(F.when(F.col("upper") <= half + tol, F.col("time"))).alias("upper_ci"))
     median = (F.when(F.col("__flat").isNotNull() & F.col("__after").isNotNull(),
                      (F.col("__flat") + F.col("__after")) / 2.0)
                .otherwise(F.col("__m").cast("double")))

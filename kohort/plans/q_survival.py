@@ -97,8 +97,8 @@ med AS (SELECT grp,
           MIN(CASE WHEN surv <= 0.5 + 1e-12 THEN t END) AS m,
           MIN(CASE WHEN abs(surv - 0.5) <= 1e-12 THEN t END) AS flat,
           MIN(CASE WHEN surv < 0.5 - 1e-12 THEN t END) AS after,
-          MIN(CASE WHEN hi <= 0.5 + 1e-12 THEN t END) AS lci,
-          MIN(CASE WHEN lo <= 0.5 + 1e-12 THEN t END) AS uci
+          MIN(CASE WHEN lo <= 0.5 + 1e-12 THEN t END) AS lci,
+          MIN(CASE WHEN hi <= 0.5 + 1e-12 THEN t END) AS uci
         FROM kk GROUP BY grp),
 cnt AS (SELECT grp, CAST(COUNT(*) AS BIGINT) AS records, CAST(SUM(event) AS BIGINT) AS events FROM surv GROUP BY grp)
 SELECT cnt.grp, records, events,

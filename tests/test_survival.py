@@ -97,3 +97,15 @@ def test_delayed_entry_risk_set(spark):
     assert km[8]["n_risk"] == 1
     assert km[8]["surv"] == pytest.approx((2 / 3) * (2 / 3) * 0.0)
     assert 6 in km and km[6]["n_event"] == 0
+
+
+def test_median_and_limits_order(spark):
+    df = sixmp.frame(spark)
+    km = S.kaplan_meier(df, "time", "event", by=["arm"])
+    m = {r["arm"]: r for r in S.km_summary(km, df, "time", "event", by=["arm"]).collect()}
+    # control arm: 21 events, median 8 (published); treated arm median 23
+    assert m["control"]["median"] == 8 and m["treated"]["median"] == 23
+    for r in m.values():
+        assert r["lower_ci"] is None or r["lower_ci"] <= r["median"]
+        assert r["upper_ci"] is None or r["upper_ci"] >= r["median"]
+    assert m["control"]["records"] == 21 and m["control"]["events"] == 21
