@@ -8,8 +8,8 @@ Plan
   used as is.
 * Sufficient table: ``groupBy(t, x_1..x_p)`` with deaths and counts.  For
   categorical covariates this is at most (patterns x distinct times) rows
-  whatever the number of subjects.  It is persisted once; if an executor
-  is lost the partition is recomputed from its short lineage.
+  whatever the number of subjects.  It is checkpointed once to the shared
+  ``spark.checkpoint.dir`` (reliable, lineage cut).
 * One Newton iteration = one aggregate job: per-time sums of exp(eta),
   their x-moments and the deaths' moments; risk sets are suffix sums over
   time (two-level, no single-partition window); Efron's tie correction
@@ -24,13 +24,13 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kohort.functions.stats import Z975, chi2_sf, norm_sf2
 from kohort.operators.prefix import running_aggs, scaled_buckets
 from kohort.operators.survival import MAX_LEVELS, group_levels
+from kohort.session import checkpoint_dir
 
 
 @dataclass
@@ -85,7 +85,10 @@ def sufficient_table(df: DataFrame, time: str, event: str, design: Design) -> Da
                      *design_columns(df, design))
     for c in ["t", "e", *design.cols]:
         base = base.filter(F.col(c).isNotNull())
-    return base.groupBy("t", *design.cols).agg(F.sum("e").alias("d"), F.count(F.lit(1)).cast("double").alias("m"))
+    suf = base.groupBy("t", *design.cols).agg(F.sum("e").alias("d"), F.count(F.lit(1)).cast("double").alias("m"))
+    # time buckets for the risk-set suffix sums do not depend on beta:
+    # computed once here, reused by every Newton iteration
+    return scaled_buckets(suf, [], "t", name="__tb")
 
 
 def complete_cases(df: DataFrame, time: str, event: str, covariates: list[str]) -> DataFrame:
@@ -102,7 +105,7 @@ def _eta(cols: list[str], beta) -> F.Column:
     return e
 
 
-def per_time_sums(suf: DataFrame, cols: list[str], beta, n_buckets: int = 1024) -> DataFrame:
+def per_time_sums(suf: DataFrame, cols: list[str], beta) -> DataFrame:
     """Per distinct time: risk-set sums S0, S1_j, S2_jk (subjects with
     T >= t) and the deaths' sums D0, D1_j, D2_jk, XD_j, DE, dt."""
     p = len(cols)
@@ -116,14 +119,13 @@ def per_time_sums(suf: DataFrame, cols: list[str], beta, n_buckets: int = 1024)
         for k in range(j, p):
             aggs += [F.sum(F.col("m") * w * x[j] * x[k]).alias(f"a2_{j}_{k}"),
                      F.sum(F.col("d") * w * x[j] * x[k]).alias(f"D2_{j}_{k}")]
-    pt = suf.groupBy("t").agg(*aggs)
+    pt = suf.groupBy("t", "__tb").agg(*aggs)
     suffix = {"S0": "a0"}
     for j in range(p):
         suffix[f"S1_{j}"] = f"a1_{j}"
         for k in range(j, p):
             suffix[f"S2_{j}_{k}"] = f"a2_{j}_{k}"
-    pt = scaled_buckets(pt, [], "t", n_buckets)
-    return running_aggs(pt, [], "t", suffix_sums=suffix, bucket_col="__qb")
+    return running_aggs(pt, [], "t", suffix_sums=suffix, bucket_col="__tb")
 
 
 def efron_rows(pt: DataFrame, p: int) -> DataFrame:
@@ -211,7 +213,10 @@ def coxph(df: DataFrame, time: str, event: str, covariates: list[str], levels: d
     ``eps``."""
     cc = complete_cases(df, time, event, covariates)
     design = build_design(cc, covariates, levels)
-    suf = sufficient_table(cc, time, event, design).persist(StorageLevel.MEMORY_AND_DISK)
+    # reliable checkpoint in the shared folder: every iteration reads it, and
+    # a lost executor does not send the fit back to the raw scan
+    checkpoint_dir(cc.sparkSession)
+    suf = sufficient_table(cc, time, event, design).checkpoint(eager=True)
     cols = design.cols
     p = len(cols)
     beta = np.zeros(p)

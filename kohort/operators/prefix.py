@@ -32,7 +32,8 @@ def running_aggs(df: DataFrame, partition_cols: list[str], order_col: str,
                  sums: dict[str, str] | None = None,
                  products: dict[str, str] | None = None,
                  suffix_sums: dict[str, str] | None = None,
-                 bucket_width: float = 64.0, bucket_col: str | None = None) -> DataFrame:
+                 bucket_width: float = 64.0, bucket_col: str | None = None,
+                 within_order: list | None = None) -> DataFrame:
     """Add cumulative columns.
 
     ``sums``        out_name -> column: inclusive prefix sum (order ascending)
@@ -41,6 +42,8 @@ def running_aggs(df: DataFrame, partition_cols: list[str], order_col: str,
 
     Buckets are ``floor(order / bucket_width)``, or a precomputed
     ``bucket_col`` that must be non-decreasing in the order key.
+    ``within_order`` (sort Columns) replaces ``order_col`` inside a bucket,
+    for composite orders whose first key drives the bucket.
     """
     sums = dict(sums or {})
     products = dict(products or {})
@@ -75,7 +78,7 @@ def running_aggs(df: DataFrame, partition_cols: list[str], order_col: str,
 
     # 3. in-bucket window + offset
     joined = b.join(offsets, on=[*part, _BUCKET], how="inner")
-    wi = Window.partitionBy(*part, _BUCKET).orderBy(order_col)
+    wi = Window.partitionBy(*part, _BUCKET).orderBy(*(within_order or [order_col]))
     upto = wi.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     prior = wi.rowsBetween(Window.unboundedPreceding, -1)
     cols = {}
