@@ -6,16 +6,20 @@ Plan
 * Design: categorical covariates become treatment-coded 0/1 columns
   against their first level (the level table's order); numeric ones are
   used as is.
-* Sufficient table: ``groupBy(t, x_1..x_p)`` with deaths and counts.  For
-  categorical covariates this is at most (patterns x distinct times) rows
-  whatever the number of subjects.  It is checkpointed once to the shared
-  ``spark.checkpoint.dir`` (reliable, lineage cut).
+* Sufficient table: ``groupBy(t, covariates)`` with deaths and counts, the
+  only pass over the input.  For categorical covariates this is at most
+  (patterns x distinct times) rows whatever the number of subjects.  It is
+  checkpointed once to the shared ``spark.checkpoint.dir`` (reliable,
+  lineage cut); level discovery and coding read the small table.
 * One Newton iteration = one aggregate job: per-time sums of exp(eta),
   their x-moments and the deaths' moments; risk sets are suffix sums over
   time (two-level, no single-partition window); Efron's tie correction
   explodes each time's death count into k = 0..d-1 rows (work grows with
   the number of deaths, as in any Cox fit).  Only the p-vector U and the
   p x p matrix I reach the driver, where the step is solved.
+* Few covariate patterns (the categorical case): per-pattern at-risk
+  counts are beta-free, so they are suffix-summed once into a small wide
+  table and each step is a projection of it (no window per step).
 """
 
 from __future__ import annotations
@@ -87,7 +91,7 @@ def sufficient_table(df: DataFrame, time: str, event: str, design: Design) -> Da
         base = base.filter(F.col(c).isNotNull())
     suf = base.groupBy("t", *design.cols).agg(F.sum("e").alias("d"), F.count(F.lit(1)).cast("double").alias("m"))
     # time buckets for the risk-set suffix sums do not depend on beta:
-    # computed once here, reused by every Newton iteration
+    # computed once, reused by every Newton iteration
     return scaled_buckets(suf, [], "t", name="__tb")
 
 
@@ -132,31 +136,78 @@ def efron_rows(pt: DataFrame, p: int) -> DataFrame:
     """Explode each event time into its Efron steps k = 0..d-1 with the
     reduced risk-set sums q0, q1_j, q2_jk (names unlike S0.. in more
     than case)."""
-    ev = pt.filter(F.col("dt") > 0).withColumn(
-        "k", F.explode(F.sequence(F.lit(0), F.col("dt").cast("int") - 1)))
-    f = F.col("k") / F.col("dt")
-    cols = {"q0": F.col("S0") - f * F.col("D0")}
+    ev = pt.filter(F.col("dt") > 0).selectExpr("*", "explode(sequence(0, CAST(dt AS INT) - 1)) AS k")
+    exprs = ["(S0 - (k / dt) * D0) AS q0"]
     for j in range(p):
-        cols[f"q1_{j}"] = F.col(f"S1_{j}") - f * F.col(f"D1_{j}")
+        exprs.append(f"(S1_{j} - (k / dt) * D1_{j}) AS q1_{j}")
         for k in range(j, p):
-            cols[f"q2_{j}_{k}"] = F.col(f"S2_{j}_{k}") - f * F.col(f"D2_{j}_{k}")
-    return ev.withColumns(cols)
+            exprs.append(f"(S2_{j}_{k} - (k / dt) * D2_{j}_{k}) AS q2_{j}_{k}")
+    return ev.selectExpr("*", *exprs)
+
+
+MAX_PATTERNS_WIDE = 256
+
+
+def pattern_risk_table(suf: DataFrame, cols: list[str]):
+    """For few covariate patterns: one row per time with, per pattern, the
+    deaths ``d_i`` and the at-risk count ``R_i`` (suffix sum over time).
+    These do not depend on beta, so they are built once per fit; every
+    Newton step is then a projection of this table.  Returns ``(table,
+    patterns)`` or ``None`` when there are too many patterns."""
+    pats = suf.select(*cols).distinct().limit(MAX_PATTERNS_WIDE + 1).collect()
+    if len(pats) > MAX_PATTERNS_WIDE:
+        return None
+    pats = [tuple(float(r[c]) for c in cols) for r in pats]
+
+    def is_p(pv):
+        cond = F.lit(True)
+        for c, v in zip(cols, pv):
+            cond = cond & (F.col(c) == F.lit(v))
+        return cond
+    aggs = []
+    for i, pv in enumerate(pats):
+        aggs += [F.sum(F.when(is_p(pv), F.col("m")).otherwise(0.0)).alias(f"m_{i}"),
+                 F.sum(F.when(is_p(pv), F.col("d")).otherwise(0.0)).alias(f"d_{i}")]
+    wide = suf.groupBy("t", "__tb").agg(*aggs)
+    wide = running_aggs(wide, [], "t", suffix_sums={f"R_{i}": f"m_{i}" for i in range(len(pats))},
+                        bucket_col="__tb")
+    wide = wide.select("t", *[f"R_{i}" for i in range(len(pats))], *[f"d_{i}" for i in range(len(pats))])
+    return wide.persist(), np.array(pats)
+
+
+def per_time_from_patterns(wide: DataFrame, pats: np.ndarray, beta) -> DataFrame:
+    """Risk-set and death sums at ``beta`` as linear combinations of the
+    per-pattern columns (weights are literals).  Built as SQL expression
+    text: one JVM call per column instead of one per arithmetic node."""
+    n, p = pats.shape
+    eta = pats @ np.asarray(beta, float)
+    w = np.exp(eta)
+
+    def comb(prefix, coef):
+        terms = [f"({float(coef[i])!r}D * {prefix}_{i})" for i in range(n) if coef[i] != 0.0]
+        return " + ".join(terms) if terms else "0.0D"
+    cols = {"S0": comb("R", w), "D0": comb("d", w), "dt": comb("d", np.ones(n)), "DE": comb("d", eta)}
+    for j in range(p):
+        cols[f"S1_{j}"] = comb("R", w * pats[:, j])
+        cols[f"D1_{j}"] = comb("d", w * pats[:, j])
+        cols[f"XD_{j}"] = comb("d", pats[:, j])
+        for k in range(j, p):
+            cols[f"S2_{j}_{k}"] = comb("R", w * pats[:, j] * pats[:, k])
+            cols[f"D2_{j}_{k}"] = comb("d", w * pats[:, j] * pats[:, k])
+    return wide.selectExpr("t", *[f"CAST({v} AS DOUBLE) AS `{k}`" for k, v in cols.items()])
 
 
-def newton_parts(suf: DataFrame, cols: list[str], beta) -> tuple[float, np.ndarray, np.ndarray]:
+def newton_parts(suf: DataFrame, cols: list[str], beta, wide=None) -> tuple[float, np.ndarray, np.ndarray]:
     """Log partial likelihood, score U and information I at ``beta``."""
     p = len(cols)
-    ex = efron_rows(per_time_sums(suf, cols, beta), p)
-    first = F.col("k") == 0
-    aggs = [F.sum(F.when(first, F.col("DE")).otherwise(0.0) - F.log(F.col("q0"))).alias("ll")]
+    pt = per_time_from_patterns(wide[0], wide[1], beta) if wide is not None else per_time_sums(suf, cols, beta)
+    ex = efron_rows(pt, p)
+    aggs = ["SUM(CASE WHEN k = 0 THEN DE ELSE 0D END - ln(q0)) AS ll"]
     for j in range(p):
-        aggs.append(F.sum(F.when(first, F.col(f"XD_{j}")).otherwise(0.0)
-                          - F.col(f"q1_{j}") / F.col("q0")).alias(f"u{j}"))
+        aggs.append(f"SUM(CASE WHEN k = 0 THEN XD_{j} ELSE 0D END - q1_{j} / q0) AS u{j}")
         for k in range(j, p):
-            aggs.append(F.sum(F.col(f"q2_{j}_{k}") / F.col("q0")
-                              - F.col(f"q1_{j}") * F.col(f"q1_{k}") / (F.col("q0") * F.col("q0")))
-                        .alias(f"i{j}_{k}"))
-    r = ex.agg(*aggs).collect()[0]
+            aggs.append(f"SUM(q2_{j}_{k} / q0 - q1_{j} * q1_{k} / (q0 * q0)) AS i{j}_{k}")
+    r = ex.selectExpr(*aggs).collect()[0]
     U = np.array([r[f"u{j}"] or 0.0 for j in range(p)])
     I = np.zeros((p, p))
     for j in range(p):
@@ -206,38 +257,56 @@ class CoxFit:
                 "iterations": self.iterations}
 
 
+def raw_sufficient_table(df: DataFrame, time: str, event: str, covariates: list[str]) -> DataFrame:
+    """``(t, raw covariates..., d, m)`` over complete cases: the single pass
+    over the input a fit needs (map-side combined)."""
+    cc = complete_cases(df, time, event, covariates)
+    return cc.groupBy(F.col(time).alias("t"), *[F.col(c) for c in covariates]).agg(
+        F.sum(F.col(event).cast("double")).alias("d"), F.count(F.lit(1)).cast("double").alias("m"))
+
+
 def coxph(df: DataFrame, time: str, event: str, covariates: list[str], levels: dict | None = None,
           max_iter: int = 20, eps: float = 1e-9) -> CoxFit:
     """Fit by Newton-Raphson from beta = 0 with step halving; converged
     when the relative change of the log partial likelihood is below
-    ``eps``."""
-    cc = complete_cases(df, time, event, covariates)
-    design = build_design(cc, covariates, levels)
-    # reliable checkpoint in the shared folder: every iteration reads it, and
-    # a lost executor does not send the fit back to the raw scan
-    checkpoint_dir(cc.sparkSession)
-    suf = sufficient_table(cc, time, event, design).checkpoint(eager=True)
+    ``eps``.
+
+    The input is read once: it is collapsed to (time, raw covariate
+    values) and checkpointed to the shared ``spark.checkpoint.dir``
+    (reliable: a lost executor does not send the fit back to the scan).
+    Levels, treatment coding and every iteration work on that table.
+    """
+    checkpoint_dir(df.sparkSession)
+    raw = raw_sufficient_table(df, time, event, covariates).persist()
+    raw = raw.checkpoint(eager=True)
+    design = build_design(raw, covariates, levels)
+    coded = raw.select("t", *design_columns(raw, design), "d", "m")
+    suf = coded.groupBy("t", *design.cols).agg(F.sum("d").alias("d"), F.sum("m").alias("m"))
+    suf = scaled_buckets(suf, [], "t", name="__tb").persist()
     cols = design.cols
     p = len(cols)
+    wide = pattern_risk_table(suf, cols)
     beta = np.zeros(p)
-    ll0, U, I = newton_parts(suf, cols, beta)
+    ll0, U, I = newton_parts(suf, cols, beta, wide)
     score = float(U @ np.linalg.solve(I, U)) if p else 0.0
     ll = ll0
     it = 0
     for it in range(1, max_iter + 1):
         step = np.linalg.solve(I, U)
         new = beta + step
-        ll_new, U_new, I_new = newton_parts(suf, cols, new)
+        ll_new, U_new, I_new = newton_parts(suf, cols, new, wide)
         halvings = 0
         while ll_new < ll - 1e-12 and halvings < 10:
             new = (beta + new) / 2.0
-            ll_new, U_new, I_new = newton_parts(suf, cols, new)
+            ll_new, U_new, I_new = newton_parts(suf, cols, new, wide)
             halvings += 1
         done = abs(1.0 - ll_new / ll) <= eps if ll != 0 else abs(ll_new) <= eps
         beta, ll, U, I = new, ll_new, U_new, I_new
         if done:
             break
     tot = suf.agg(F.sum("m").alias("n"), F.sum("d").alias("e")).collect()[0]
+    if wide is not None:
+        wide[0].unpersist()
     return CoxFit(design, beta, np.linalg.inv(I), ll0, ll, score, int(tot["n"]), int(tot["e"]), it, suf)
 
 
