@@ -506,18 +506,12 @@ def concordance(spark: SparkSession, fit: CoxFit) -> DataFrame:
         *[F.sum(F.when(F.col("eta") == s, F.col("m")).otherwise(0.0)).alias(f"m{i}") for i, s in enumerate(scores)])
     wide = scaled_buckets(wide, [], "t")
     wide = running_aggs(wide, [], "t", suffix_sums={f"R{i}": f"m{i}" for i in range(r)}, bucket_col="__qb")
-    # at risk strictly after t, plus censored at t
-    g = [F.col(f"R{i}") - F.col(f"m{i}") + (F.col(f"m{i}") - F.col(f"d{i}")) for i in range(r)]
-    conc = F.lit(0.0)
-    disc = F.lit(0.0)
-    tied = F.lit(0.0)
-    for i in range(r):
-        lower = sum(g[:i], F.lit(0.0))
-        higher = sum(g[i + 1:], F.lit(0.0))
-        conc = conc + F.col(f"d{i}") * lower
-        disc = disc + F.col(f"d{i}") * higher
-        tied = tied + F.col(f"d{i}") * g[i]
-    agg = wide.agg(F.sum(conc).alias("concordant"), F.sum(disc).alias("discordant"),
-                   F.sum(tied).alias("tied_risk"))
+    # at risk strictly after t, plus censored at t (SQL text: r^2 terms)
+    g = [f"(R{i} - d{i})" for i in range(r)]
+    conc = " + ".join(f"d{i} * ({' + '.join(g[:i]) or '0D'})" for i in range(r))
+    disc = " + ".join(f"d{i} * ({' + '.join(g[i + 1:]) or '0D'})" for i in range(r))
+    tied = " + ".join(f"d{i} * {g[i]}" for i in range(r))
+    agg = wide.selectExpr(f"SUM({conc}) AS concordant", f"SUM({disc}) AS discordant",
+                          f"SUM({tied}) AS tied_risk")
     return agg.withColumn("concordance", (F.col("concordant") + 0.5 * F.col("tied_risk"))
                           / (F.col("concordant") + F.col("discordant") + F.col("tied_risk")))

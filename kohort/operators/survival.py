@@ -195,21 +195,18 @@ def logrank_sums(df: DataFrame, time: str, event: str, by: str, levels: list | N
         *[F.sum(F.when(g == lv, F.col("n_obs")).otherwise(0)).alias(f"m{i}") for i, lv in enumerate(levels)])
     wide = running_aggs(wide, [], "t", suffix_sums={f"r{i}": f"m{i}" for i in range(k)},
                         bucket_width=bucket_width)
-    n = sum((F.col(f"r{i}") for i in range(k)), F.lit(0))
-    d = sum((F.col(f"d{i}") for i in range(k)), F.lit(0))
-    wide = wide.withColumns({"__n": n.cast("double"), "__d": d.cast("double")})
-    wv = F.when(F.col("__n") > 1, F.col("__d") * (F.col("__n") - F.col("__d")) / (F.col("__n") - 1)).otherwise(0.0)
-    wide = wide.withColumn("__w", wv)
+    n = " + ".join(f"r{i}" for i in range(k))
+    d = " + ".join(f"d{i}" for i in range(k))
+    wide = wide.selectExpr("*", f"CAST({n} AS DOUBLE) AS __n", f"CAST({d} AS DOUBLE) AS __d")
+    wide = wide.selectExpr("*", "CASE WHEN __n > 1 THEN __d * (__n - __d) / (__n - 1) ELSE 0D END AS __w")
+    # expressions as SQL text: one JVM call per column for k^2 covariances
     aggs = []
     for i in range(k):
-        ri = F.col(f"r{i}") / F.col("__n")
-        aggs += [F.sum(f"m{i}").alias(f"n_{i}"), F.sum(f"d{i}").alias(f"o_{i}"),
-                 F.sum(F.col("__d") * ri).alias(f"e_{i}")]
+        aggs += [f"SUM(m{i}) AS n_{i}", f"SUM(d{i}) AS o_{i}", f"SUM(__d * r{i} / __n) AS e_{i}"]
         for j in range(k):
-            rj = F.col(f"r{j}") / F.col("__n")
-            term = F.col("__w") * ri * ((1.0 if i == j else 0.0) - rj)
-            aggs.append(F.sum(term).alias(f"v_{i}_{j}"))
-    return wide.agg(*aggs), levels
+            delta = "1D" if i == j else "0D"
+            aggs.append(f"SUM(__w * (r{i} / __n) * ({delta} - r{j} / __n)) AS v_{i}_{j}")
+    return wide.selectExpr(*aggs), levels
 
 
 def logrank_test(df: DataFrame, time: str, event: str, by: str, levels: list | None = None,
