@@ -1,0 +1,10 @@
+"""Streaming.
+
+The analysed workflow has no streaming part: every input is a finished
+extract (registry workbook, notification list, treatment sheets) and
+every result is a table computed over the whole cohort.  There is no
+watermark, time window, state or late-data handling to reproduce, so this
+package holds no operators.  The batch operators are plain DataFrame
+functions; they can be applied per micro-batch inside
+``writeStream.foreachBatch`` when registry extracts arrive incrementally.
+"""
