@@ -165,5 +165,5 @@ def q_cox_two(spark, d):
 @register("cox_nested_test")
 def q_cox_nested(spark, d):
     full = _fit(spark, d, ("exposed", "grp"))
-    reduced = _fit(spark, d, ("exposed",))
+    reduced = C.drop_term(surv_small(spark, d), "time", "event", full, ["exposed", "grp"], "grp")
     return rounded(C.nested_test(spark, full, reduced))
