@@ -42,15 +42,25 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(out, key=lambda t: tuple("\0" if x is None else x for x in t))
 
 
+DUCK_TYPE = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+             "date": "DATE", "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
+
+
 def compare(spark_df, con, sql):
     sc = spark_df.columns
+    stypes = {f.name: f.dataType.simpleString() for f in spark_df.schema.fields}
     srows = [tuple(r) for r in spark_df.collect()]
+    rel = con.sql(sql)
+    dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
     res = con.execute(sql)
     dc = [d[0] for d in res.description]
     drows = res.fetchall()
     scols, s = rows_of(sc, srows)
     dcols, d = rows_of(dc, drows)
     problems = []
+    for c, t in stypes.items():
+        if c in dtypes and DUCK_TYPE.get(t, t) != dtypes[c]:
+            problems.append(f"type of {c}: spark {t} duck {dtypes[c]}")
     if scols != dcols:
         problems.append(f"columns differ: spark={scols} duck={dcols}")
     if len(s) != len(d):
