@@ -32,16 +32,19 @@ def running_aggs(df: DataFrame, partition_cols: list[str], order_col: str,
                  sums: dict[str, str] | None = None,
                  products: dict[str, str] | None = None,
                  suffix_sums: dict[str, str] | None = None,
-                 bucket_width: float = 64.0, bucket_col: str | None = None,
-                 within_order: list | None = None) -> DataFrame:
+                 bucket_width: float | None = None, bucket_col: str | None = None,
+                 within_order: list | None = None, n_buckets: int = 1024) -> DataFrame:
     """Add cumulative columns.
 
     ``sums``        out_name -> column: inclusive prefix sum (order ascending)
     ``products``    out_name -> column: inclusive prefix product
     ``suffix_sums`` out_name -> column: inclusive suffix sum (rows with key >= own)
 
-    Buckets are ``floor(order / bucket_width)``, or a precomputed
-    ``bucket_col`` that must be non-decreasing in the order key.
+    Buckets are a precomputed ``bucket_col`` (non-decreasing in the order
+    key), else ``floor(order / bucket_width)`` when a width is given, else
+    ``n_buckets`` equal-width ranges per partition from its min/max (any
+    scale of the order key; the bucket table stays <= n_buckets rows per
+    partition).
     ``within_order`` (sort Columns) replaces ``order_col`` inside a bucket,
     for composite orders whose first key drives the bucket.
     """
@@ -50,9 +53,11 @@ def running_aggs(df: DataFrame, partition_cols: list[str], order_col: str,
     suffix_sums = dict(suffix_sums or {})
     part = list(partition_cols)
     if bucket_col is not None:
-        b = df.withColumnRenamed(bucket_col, _BUCKET)
-    else:
+        b = df.withColumn(_BUCKET, F.col(bucket_col))  # caller's column is kept
+    elif bucket_width is not None:
         b = df.withColumn(_BUCKET, _bucket_expr(order_col, bucket_width))
+    else:
+        b = scaled_buckets(df, part, order_col, n_buckets, name=_BUCKET)
 
     # 1. bucket totals
     aggs = []

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kohort.functions.stats import Z975, chi2_sf
-from kohort.operators.prefix import running_aggs
+from kohort.operators.prefix import running_aggs, scaled_buckets
 
 
 def surv_data(df: DataFrame, time: str, event: str, by=()) -> DataFrame:
@@ -35,7 +35,7 @@ def collapse(df: DataFrame, time: str, event: str, by=()) -> DataFrame:
     return s.groupBy(*by, "t").agg(F.sum("e").alias("n_event"), F.count(F.lit(1)).alias("n_obs"))
 
 
-def _km_from_risk(c: DataFrame, by, bucket_width) -> DataFrame:
+def _km_from_risk(c: DataFrame, by, n_buckets, bucket_col: str | None = None) -> DataFrame:
     """Given ``(by, t, n_risk, n_event, ...)`` add surv and Greenwood sum."""
     c = c.withColumns({
         "__f": F.when(F.col("n_risk") > 0, 1.0 - F.col("n_event") / F.col("n_risk")).otherwise(F.lit(1.0)),
@@ -44,7 +44,7 @@ def _km_from_risk(c: DataFrame, by, bucket_width) -> DataFrame:
                 .otherwise(F.lit(0.0)),
     })
     out = running_aggs(c, list(by), "t", sums={"greenwood": "__g"}, products={"surv": "__f"},
-                       bucket_width=bucket_width)
+                       n_buckets=n_buckets, bucket_col=bucket_col)
     return out.drop("__f", "__g")
 
 
@@ -60,15 +60,16 @@ def _add_conf(df: DataFrame, z: float) -> DataFrame:
 
 
 def kaplan_meier(df: DataFrame, time: str, event: str, by=(), conf_level: float = 0.95,
-                 bucket_width: float = 64.0) -> DataFrame:
+                 n_buckets: int = 1024) -> DataFrame:
     """Product-limit curve per group at every distinct time (event or
     censoring): ``by..., time, n_risk, n_event, n_censor, surv, std_err,
     lower, upper``."""
     by = list(by)
     c = collapse(df, time, event, by)
-    c = running_aggs(c, by, "t", suffix_sums={"n_risk": "n_obs"}, bucket_width=bucket_width)
+    c = scaled_buckets(c, by, "t", n_buckets, name="__kb")   # shared by both passes
+    c = running_aggs(c, by, "t", suffix_sums={"n_risk": "n_obs"}, bucket_col="__kb")
     c = c.withColumn("n_censor", F.col("n_obs") - F.col("n_event"))
-    km = _km_from_risk(c, by, bucket_width)
+    km = _km_from_risk(c, by, n_buckets, bucket_col="__kb").drop("__kb")
     z = Z975 if conf_level == 0.95 else _zq(conf_level)
     km = _add_conf(km, z)
     return km.select(*by, F.col("t").alias("time"), F.col("n_risk").cast("bigint"),
@@ -122,7 +123,8 @@ def curve_points(km: DataFrame, df: DataFrame, time: str, event: str, by=(),
                       F.lit(1.0).alias("surv"), F.lit(1.0).alias("lower"), F.lit(1.0).alias("upper"))
     pts = km.select(*by, "time", "n_risk", "n_event", "n_censor", "surv", "lower", "upper").unionByName(origin)
     lo, hi = ylim if ylim else (0.0, 1.0)
-    return pts.withColumn("in_window", (F.col("surv") >= lo) & (F.col("surv") <= hi))
+    tol = 1e-12  # products of step factors land within ulps of round limits
+    return pts.withColumn("in_window", (F.col("surv") >= lo - tol) & (F.col("surv") <= hi + tol))
 
 
 def risk_table(df: DataFrame, time: str, event: str, times, by=()) -> DataFrame:
@@ -137,7 +139,7 @@ def risk_table(df: DataFrame, time: str, event: str, times, by=()) -> DataFrame:
 
 
 def km_delayed_entry(df: DataFrame, start: str, stop: str, event: str, by=(),
-                     bucket_width: float = 64.0) -> DataFrame:
+                     n_buckets: int = 1024) -> DataFrame:
     """Product-limit curve with delayed entry: a subject is at risk on
     ``(start, stop]``.  Rows with ``stop <= start`` are dropped.
 
@@ -155,10 +157,10 @@ def km_delayed_entry(df: DataFrame, start: str, stop: str, event: str, by=(),
         F.count(F.lit(1)).alias("n_out"), F.sum("__e").alias("n_event")).withColumn("n_in", F.lit(0).cast("bigint"))
     ev = entries.unionByName(exits).groupBy(*by, "t").agg(
         F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"), F.sum("n_event").alias("n_event"))
-    ev = running_aggs(ev, by, "t", sums={"__cin": "n_in", "__cout": "n_out"}, bucket_width=bucket_width)
+    ev = running_aggs(ev, by, "t", sums={"__cin": "n_in", "__cout": "n_out"}, n_buckets=n_buckets)
     ev = ev.withColumn("n_risk", (F.col("__cin") - F.col("n_in")) - (F.col("__cout") - F.col("n_out")))
     ev = ev.filter(F.col("n_out") > 0).withColumn("n_censor", F.col("n_out") - F.col("n_event"))
-    km = _km_from_risk(ev.select(*by, "t", "n_risk", "n_event", "n_censor"), by, bucket_width)
+    km = _km_from_risk(ev.select(*by, "t", "n_risk", "n_event", "n_censor"), by, n_buckets)
     return km.select(*by, F.col("t").alias("time"), F.col("n_risk").cast("bigint"),
                      F.col("n_event").cast("bigint"), F.col("n_censor").cast("bigint"), "surv")
 
@@ -179,7 +181,7 @@ def group_levels(df: DataFrame, by: str, max_levels: int = MAX_LEVELS) -> list:
 
 
 def logrank_sums(df: DataFrame, time: str, event: str, by: str, levels: list | None = None,
-                 bucket_width: float = 64.0) -> tuple[DataFrame, list]:
+                 n_buckets: int = 1024) -> tuple[DataFrame, list]:
     """One-row DataFrame with, per level i, subjects ``n_i``, observed
     ``o_i``, expected ``e_i`` and the covariance ``v_i_j``.
 
@@ -194,7 +196,7 @@ def logrank_sums(df: DataFrame, time: str, event: str, by: str, levels: list | N
         *[F.sum(F.when(g == lv, F.col("n_event")).otherwise(0)).alias(f"d{i}") for i, lv in enumerate(levels)],
         *[F.sum(F.when(g == lv, F.col("n_obs")).otherwise(0)).alias(f"m{i}") for i, lv in enumerate(levels)])
     wide = running_aggs(wide, [], "t", suffix_sums={f"r{i}": f"m{i}" for i in range(k)},
-                        bucket_width=bucket_width)
+                        n_buckets=n_buckets)
     n = " + ".join(f"r{i}" for i in range(k))
     d = " + ".join(f"d{i}" for i in range(k))
     wide = wide.selectExpr("*", f"CAST({n} AS DOUBLE) AS __n", f"CAST({d} AS DOUBLE) AS __d")
@@ -210,13 +212,13 @@ def logrank_sums(df: DataFrame, time: str, event: str, by: str, levels: list | N
 
 
 def logrank_test(df: DataFrame, time: str, event: str, by: str, levels: list | None = None,
-                 bucket_width: float = 64.0) -> DataFrame:
+                 n_buckets: int = 1024) -> DataFrame:
     """Per level: n, observed, expected, (O-E)^2/E, (O-E)^2/V, and the
     test chi-square on k-1 df with its p-value.
 
     The k x k covariance solve runs inside ``mapInPandas`` on the one-row
     sums table (an executor task), not on the driver."""
-    sums, levels = logrank_sums(df, time, event, by, levels, bucket_width)
+    sums, levels = logrank_sums(df, time, event, by, levels, n_buckets)
     k = len(levels)
     lv_type = df.schema[by].dataType.simpleString()
 

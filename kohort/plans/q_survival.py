@@ -117,7 +117,7 @@ def q_km_median(spark, d):
 @register("km_curve_points", fixtures=("fx_surv_dates",), sql="WITH " + SURV_SMALL_SQL + km_sql("grp", """,
        ROUND(CASE WHEN surv > 0 THEN surv * exp(-1.959963984540054 * sqrt(gw)) END, 6) AS lower,
        ROUND(CASE WHEN surv > 0 THEN LEAST(1.0, surv * exp(1.959963984540054 * sqrt(gw))) END, 6) AS upper,
-       surv >= 0.75 AND surv <= 1.0 AS in_window""").replace("FROM k", """FROM k
+       surv >= 0.75 - 1e-12 AND surv <= 1.0 + 1e-12 AS in_window""").replace("FROM k", """FROM k
 UNION ALL
 SELECT grp, CAST(0 AS BIGINT), CAST(COUNT(*) AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT),
        1.0, 1.0, 1.0, true FROM surv GROUP BY grp"""))

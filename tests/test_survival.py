@@ -33,8 +33,8 @@ def test_km_without_censoring_is_one_minus_ecdf(spark):
 
 def test_km_non_increasing_and_partition_independent(spark):
     df = sixmp.frame(spark)
-    a = S.kaplan_meier(df.repartition(1), "time", "event", by=["arm"], bucket_width=4).collect()
-    b = S.kaplan_meier(df.repartition(7), "time", "event", by=["arm"], bucket_width=64).collect()
+    a = S.kaplan_meier(df.repartition(1), "time", "event", by=["arm"], n_buckets=2).collect()
+    b = S.kaplan_meier(df.repartition(7), "time", "event", by=["arm"], n_buckets=1024).collect()
     key = lambda r: (r["arm"], r["time"])
     a, b = sorted(a, key=key), sorted(b, key=key)
     assert [(r["arm"], r["time"], round(r["surv"], 12)) for r in a] == \
