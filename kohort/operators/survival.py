@@ -165,6 +165,14 @@ def km_delayed_entry(df: DataFrame, start: str, stop: str, event: str, by=(),
                      F.col("n_event").cast("bigint"), F.col("n_censor").cast("bigint"), "surv")
 
 
+def delayed_entry_excluded(df: DataFrame, start: str, stop: str) -> DataFrame:
+    """How many complete rows the delayed-entry curve drops because exit
+    does not follow entry (``stop <= start``): ``n_rows, n_excluded``."""
+    ok = df.filter(F.col(start).isNotNull() & F.col(stop).isNotNull())
+    return ok.agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"),
+                  F.count_if(F.col(stop) <= F.col(start)).cast("bigint").alias("n_excluded"))
+
+
 # --- log-rank ------------------------------------------------------------------
 
 MAX_LEVELS = 200

@@ -115,6 +115,11 @@ def q_select_contains(spark, d):
     return C.select_cols(io.table(spark, d, "orders"), C.contains("order"))
 
 
+@register("select_matches", sql="SELECT o_totalprice, o_orderdate FROM orders")
+def q_select_matches(spark, d):
+    return C.select_cols(io.table(spark, d, "orders"), C.matches(r"^o_.*(date|price)$"))
+
+
 @register("select_where_type", sql="""
 SELECT l_quantity, l_extendedprice, l_discount, l_tax FROM lineitem""")
 def q_select_where_type(spark, d):

@@ -204,3 +204,14 @@ def q_logrank_k_group_test(spark, d):
     force in tests/test_survival.py)."""
     t = S.logrank_test(surv_small(spark, d), "time", "event", "grp")
     return rounded(t.select("grp", "chisq", "df", "p_value"))
+
+
+@register("km_delayed_entry_excluded", fixtures=("fx_entry",), sql=ENTRY_EXIT_SQL + """
+SELECT CAST(COUNT(*) AS BIGINT) AS n_rows,
+       CAST(SUM(CASE WHEN exit_date <= entry_date THEN 1 ELSE 0 END) AS BIGINT) AS n_excluded
+FROM ee WHERE entry_date IS NOT NULL AND exit_date IS NOT NULL""")
+def q_km_delayed_entry_excluded(spark, d):
+    ee = entry_exit(spark, d).select(
+        D.days_between(STUDY_START, "entry_date").alias("start"),
+        D.days_between(STUDY_START, "exit_date").alias("stop"))
+    return S.delayed_entry_excluded(ee, "start", "stop")
