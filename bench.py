@@ -23,7 +23,7 @@ def main() -> None:
     from kohort.plans.catalog import QUERIES
     from kohort.session import get_spark
 
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=max(2 * cpus, 8),
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus)),
                       extra={"spark.driver.memory": "24g"})
     names = only or sorted(QUERIES)
 
