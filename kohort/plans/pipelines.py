@@ -120,3 +120,80 @@ def cohort_report(spark: SparkSession, d: str, reg: DataFrame | None = None) ->
     }
     out["logrank"] = {g: S.logrank_test(reg, "time", "event", g) for g in REPORT_GROUPINGS}
     return out
+
+
+# Parameters of the second cleaning pipeline.
+V2_STUDY = ("1996-03-03", "1996-12-31")
+V2_STUDY_YEAR = 1996
+V2_LAG_MIN_DAYS = 10
+V2_EXCLUDED_CODE = "5-LOW"
+V2_FILL_SUBJECT = 7
+V2_SITE_RULES = [("^1-", "urgent site"), ("^2-", "high site"), ("^3-", "medium site")]
+V2_BANDS = ("Sin comorbilidades", "Una comorbilidad", "Dos comorbilidades", "Más de dos comorbilidades")
+
+
+def clean_registry_v2(spark: SparkSession, d: str) -> DataFrame:
+    """Second cleaning pipeline: record filters, per-record comorbidity
+    groups joined to the registry, subject means of the groups (a mean can
+    be fractional and then bands as unknown), strict session summary, lag
+    filter, cohort entry/exit dates."""
+    rec = flt.require_not_null(fx.fx_rec(spark, d), "dx_date")
+    rec = flt.exclude_value(rec, "code", V2_EXCLUDED_CODE)
+    rec = flt.exclude_bad_records(
+        rec, "subject_id", LK.literal_table(spark, [(i,) for i in EXCLUDED_SUBJECTS], "subject_id bigint"))
+    fl = fx.fx_flags(spark, d).select("record_id", "subject_id", *fx.FLAG_COLS)
+    fl = fl.withColumns({"com_a": RW.row_any(["co_f1", "co_f2"]), "com_b": RW.row_any(["co_f3", "co_f4"]),
+                         "com_c": RW.row_any(["co_f5", "co_f6"])})
+    fl = fl.withColumn("com_n", RW.row_sum(["com_a", "com_b", "com_c"])) \
+        .select("record_id", "subject_id", "com_a", "com_b", "com_c", "com_n")
+    r = J.natural_join(rec, fl, "inner")
+    r = r.withColumns({
+        "tumour_type": F.when(R.rlike_or_false("morph", "metas inc") | R.rlike_or_false("code", "^1-"),
+                              "Hematológico").otherwise("Sólido"),
+        "ecog_num": R.leading_grade("ecog_txt", ["Unknown"]),
+        "stage": R.case_map([((F.col("subject_id") == V2_FILL_SUBJECT) & F.col("stage").isNull(), "local"),
+                             (F.col("stage").isNull(), "unknown")], F.col("stage")),
+    })
+    col = agg.collapse_multi(r, ["subject_id"], ["code", "morph", "dx_date"], ["dx_date", "record_id"],
+                             first_only=["stage", "tumour_type", "birth_date"], strict_max_cols=["ecog_num"],
+                             mean_cols=["com_a", "com_b", "com_c", "com_n"])
+
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    sess = fx.fx_sess(spark, d)
+    sess = sess.join(orders, sess.subject_id == orders.o_orderkey, "inner") \
+        .select(F.col("o_custkey").alias("subject_id"), "age", "session_date")
+    summ = agg.session_summary_strict(sess, "subject_id", "session_date", "age", *SESSION_PERIOD)
+    ent = fx.fx_entry(spark, d).select("subject_id", "event_date", "death_date")
+
+    j = J.natural_join(J.natural_join(col, summ, "left"), ent, "left")
+    j = j.withColumn("lag", D.days_between("dx_date_1", "event_date"))
+    j = flt.at_least_or_null(j, "lag", V2_LAG_MIN_DAYS)
+    ev = D.in_year_flag(F.col("event_date").isNotNull(), "event_date", V2_STUDY_YEAR)
+    died = D.in_year_flag(F.col("death_date").isNotNull(), "death_date", V2_STUDY_YEAR)
+    metastasis = R.case_map([(F.col("stage") == "distant", "Si"),
+                             (R.text_flag(["morph_1"], "metas", "inc"), "Si"),
+                             (R.text_flag(["morph_2"], "metas", "inc"), "Si")], "No")
+    j = j.withColumns({
+        "age": D.age_by_year(V2_STUDY_YEAR, "birth_date"),
+        "age_dx_1": D.years_between("birth_date", "dx_date_1"),
+        "has_second": F.when(F.col("code_2").isNotNull(), "Si").otherwise("No"),
+        "metastasis": metastasis,
+        "event_study": ev.cast("bigint"),
+        "died_study": died.cast("bigint"),
+        "com_n_cat": R.count_bands("com_n", V2_BANDS, "Desconocido"),
+        "loc_tumor": LK.code_to_group_regex("code_1", V2_SITE_RULES, "other"),
+    })
+    j = j.withColumns({
+        "age_cat": R.age_bands("age"),
+        "severity": R.severity([F.col("has_second") == "Si", F.col("metastasis") == "Si",
+                                isin_or_false("stage", ["distant", "regional"]), F.col("ecog_num") > 1]),
+        "death_date_study": F.when(F.col("died_study") == 1, F.col("death_date")),
+        "entry_date": D.clamp_entry("dx_date_1", V2_STUDY[0]),
+        "exit_date": D.cohort_exit("event_study", "event_date", "died_study", "death_date", V2_STUDY[1]),
+    })
+    return C.final_projection(j, [
+        "subject_id", "birth_date", "age", "age_cat", C.starts_with("com_"), "age_dx_1",
+        C.ends_with("_1"), C.ends_with("_2"), "n_records", "loc_tumor", "stage", "tumour_type", "ecog_num",
+        "has_second", "metastasis", "severity", "age_first", "date_first", "date_last", "n_sessions",
+        "lag", "event_study", "event_date", "died_study", "death_date_study", "entry_date", "exit_date"],
+        identifiers=[])

@@ -106,3 +106,89 @@ SELECT variable, level, t AS time, CAST(n AS BIGINT) AS n_risk, CAST(d AS BIGINT
 def q_pipeline_report(spark, d):
     km = P.km_many(P.clean_registry(spark, d), "time", "event", P.REPORT_GROUPINGS)
     return rounded(km.select("variable", "level", "time", "n_risk", "n_event", "n_censor", "surv"))
+
+
+def _site_sql(c: str) -> str:
+    return ("CASE " + " ".join(f"WHEN COALESCE(regexp_matches({c}, '{p}'), false) THEN '{lab}'"
+                               for p, lab in P.V2_SITE_RULES) + " ELSE 'other' END")
+
+
+def _band_v2(n: str) -> str:
+    b = P.V2_BANDS
+    return (f"CASE WHEN {n} = 0 THEN '{b[0]}' WHEN {n} = 1 THEN '{b[1]}' WHEN {n} = 2 THEN '{b[2]}' "
+            f"WHEN {n} > 2 THEN '{b[3]}' ELSE 'Desconocido' END")
+
+
+_S0, _S1 = P.V2_STUDY
+REGISTRY_V2_SQL = "WITH " + ",\n".join(
+    f"{n} AS ({FX[n].strip()})" for n in ("fx_rec", "fx_sess", "fx_flags", "fx_entry")) + f""",
+rec AS (SELECT * FROM fx_rec WHERE dx_date IS NOT NULL AND code <> '{P.V2_EXCLUDED_CODE}'
+          AND subject_id NOT IN ({", ".join(map(str, EXCLUDED_SUBJECTS))})),
+fl0 AS (SELECT record_id, subject_id, GREATEST(co_f1, co_f2) AS com_a, GREATEST(co_f3, co_f4) AS com_b,
+               GREATEST(co_f5, co_f6) AS com_c FROM fx_flags),
+fl AS (SELECT *, CASE WHEN com_a IS NULL AND com_b IS NULL AND com_c IS NULL THEN NULL
+                      ELSE COALESCE(com_a, 0) + COALESCE(com_b, 0) + COALESCE(com_c, 0) END AS com_n FROM fl0),
+r AS (SELECT rec.subject_id, rec.record_id, rec.dx_date, rec.birth_date, rec.code, rec.morph,
+             CASE WHEN rec.subject_id = {P.V2_FILL_SUBJECT} AND rec.stage IS NULL THEN 'local'
+                  WHEN rec.stage IS NULL THEN 'unknown' ELSE rec.stage END AS stage,
+             CASE WHEN COALESCE(regexp_matches(rec.morph, 'metas inc'), false)
+                    OR COALESCE(regexp_matches(rec.code, '^1-'), false) THEN 'Hematológico' ELSE 'Sólido' END AS tumour_type,
+             CASE WHEN rec.ecog_txt = 'Unknown' THEN NULL
+                  WHEN NOT (rec.ecog_txt = 'Unknown') THEN TRY_CAST(substring(rec.ecog_txt, 1, 1) AS DOUBLE) END AS ecog_num,
+             fl.com_a, fl.com_b, fl.com_c, fl.com_n
+      FROM rec JOIN fl ON rec.record_id = fl.record_id AND rec.subject_id = fl.subject_id),
+rr AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY subject_id ORDER BY dx_date NULLS LAST, record_id) AS rn_a,
+              ROW_NUMBER() OVER (PARTITION BY subject_id ORDER BY dx_date DESC NULLS FIRST, record_id DESC) AS rn_d,
+              COUNT(*) OVER (PARTITION BY subject_id) AS n FROM r),
+col AS (SELECT subject_id, CAST(MAX(n) AS BIGINT) AS n_records,
+          MAX(CASE WHEN rn_a = 1 THEN code END) AS code_1,
+          CASE WHEN MAX(n) > 1 THEN MAX(CASE WHEN rn_d = 1 THEN code END) END AS code_2,
+          MAX(CASE WHEN rn_a = 1 THEN morph END) AS morph_1,
+          CASE WHEN MAX(n) > 1 THEN MAX(CASE WHEN rn_d = 1 THEN morph END) END AS morph_2,
+          MAX(CASE WHEN rn_a = 1 THEN dx_date END) AS dx_date_1,
+          CASE WHEN MAX(n) > 1 THEN MAX(CASE WHEN rn_d = 1 THEN dx_date END) END AS dx_date_2,
+          MAX(CASE WHEN rn_a = 1 THEN stage END) AS stage,
+          MAX(CASE WHEN rn_a = 1 THEN tumour_type END) AS tumour_type,
+          MAX(CASE WHEN rn_a = 1 THEN birth_date END) AS birth_date,
+          CASE WHEN COUNT(ecog_num) = COUNT(*) THEN MAX(ecog_num) END AS ecog_num,
+          AVG(com_a) AS com_a, AVG(com_b) AS com_b, AVG(com_c) AS com_c, AVG(com_n) AS com_n
+        FROM rr GROUP BY subject_id),
+sess AS (SELECT subject_id, CASE WHEN COUNT(age) = COUNT(*) THEN MIN(age) END AS age_first,
+                MIN(session_date) AS date_first, MAX(session_date) AS date_last, CAST(COUNT(*) AS BIGINT) AS n_sessions
+         FROM (SELECT DISTINCT o.o_custkey AS subject_id, s.age, s.session_date
+               FROM fx_sess s JOIN orders o ON s.subject_id = o.o_orderkey) x
+         WHERE session_date >= DATE '{_LO}' AND session_date <= DATE '{_HI}' GROUP BY subject_id),
+j AS (SELECT col.*, sess.age_first, sess.date_first, sess.date_last, sess.n_sessions,
+             fx_entry.event_date, fx_entry.death_date,
+             CAST(fx_entry.event_date - col.dx_date_1 AS BIGINT) AS lag
+      FROM col LEFT JOIN sess ON col.subject_id = sess.subject_id
+               LEFT JOIN fx_entry ON col.subject_id = fx_entry.subject_id),
+k AS (SELECT *, CAST({P.V2_STUDY_YEAR} - year(birth_date) AS BIGINT) AS age,
+        CAST(floor(CAST(dx_date_1 - birth_date AS BIGINT) / CAST(365.25 AS DOUBLE)) AS BIGINT) AS age_dx_1,
+        CASE WHEN code_2 IS NOT NULL THEN 'Si' ELSE 'No' END AS has_second,
+        CASE WHEN stage = 'distant' THEN 'Si' WHEN {_metas("morph_1")} THEN 'Si'
+             WHEN {_metas("morph_2")} THEN 'Si' ELSE 'No' END AS metastasis,
+        CAST(CASE WHEN COALESCE(event_date IS NOT NULL AND year(event_date) = {P.V2_STUDY_YEAR}, false) THEN 1 ELSE 0 END AS BIGINT) AS event_study,
+        CAST(CASE WHEN COALESCE(death_date IS NOT NULL AND year(death_date) = {P.V2_STUDY_YEAR}, false) THEN 1 ELSE 0 END AS BIGINT) AS died_study,
+        {_band_v2("com_n")} AS com_n_cat, {_site_sql("code_1")} AS loc_tumor
+      FROM j WHERE lag >= {P.V2_LAG_MIN_DAYS} OR lag IS NULL)
+SELECT subject_id, birth_date, age,
+  CASE WHEN age >= 80 THEN '80+' WHEN age >= 60 THEN '60-79' WHEN age >= 40 THEN '40-59'
+       WHEN age >= 18 THEN '18-39' END AS age_cat,
+  com_a, com_b, com_c, com_n, com_n_cat, age_dx_1, code_1, morph_1, dx_date_1, code_2, morph_2, dx_date_2,
+  n_records, loc_tumor, stage, tumour_type, ecog_num, has_second, metastasis,
+  CASE WHEN (has_second = 'Si' OR metastasis = 'Si' OR COALESCE(stage IN ('distant', 'regional'), false)
+             OR ecog_num > 1) THEN 'Grave'
+       WHEN NOT (has_second = 'Si' OR metastasis = 'Si' OR COALESCE(stage IN ('distant', 'regional'), false)
+             OR ecog_num > 1) THEN 'Leve' END AS severity,
+  age_first, date_first, date_last, n_sessions, lag, event_study, event_date, died_study,
+  CASE WHEN died_study = 1 THEN death_date END AS death_date_study,
+  CASE WHEN dx_date_1 < DATE '{_S0}' THEN DATE '{_S0}' WHEN dx_date_1 >= DATE '{_S0}' THEN dx_date_1 END AS entry_date,
+  CASE WHEN event_study = 0 AND died_study = 0 THEN DATE '{_S1}' WHEN event_study = 0 AND died_study = 1 THEN death_date
+       WHEN event_study = 1 THEN event_date END AS exit_date
+FROM k"""
+
+
+@register("pipeline_registry_v2", sql=REGISTRY_V2_SQL)
+def q_pipeline_registry_v2(spark, d):
+    return P.clean_registry_v2(spark, d)
