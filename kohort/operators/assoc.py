@@ -18,12 +18,15 @@ from pyspark.sql import functions as F
 from kohort.functions.stats import chi2_sf_udf, norm_sf2_udf
 from kohort.operators.prefix import running_aggs, scaled_buckets
 from kohort.operators.summary import unpivot
+from kohort.session import materialize
 
 
 def _cells(df: DataFrame, cols: list[str], by: str) -> DataFrame:
+    """Cell counts ``(variable, level, grp, o)``, checkpointed: margins,
+    totals and the statistic all read this small table, not the input."""
     long = unpivot(df, cols, keep=[by]).filter(F.col("value").isNotNull() & F.col(by).isNotNull())
-    return long.groupBy("variable", F.col("value").alias("level"), F.col(by).cast("string").alias("grp")) \
-        .agg(F.count(F.lit(1)).alias("o"))
+    return materialize(long.groupBy("variable", F.col("value").alias("level"), F.col(by).cast("string").alias("grp"))
+                       .agg(F.count(F.lit(1)).alias("o")))
 
 
 def chi2_test(df: DataFrame, cols: list[str], by: str) -> DataFrame:
@@ -101,12 +104,12 @@ def rank_sum_test(df: DataFrame, cols: list[str], by: str, n_buckets: int = 1024
     from a distributed prefix sum over the distinct values."""
     long = unpivot(df, cols, keep=[by], as_string=False) \
         .filter(F.col("value").isNotNull() & F.col(by).isNotNull())
-    first = long.groupBy("variable").agg(F.min(F.col(by).cast("string")).alias("__g1"),
-                                         F.count_distinct(F.col(by)).alias("__k"))
-    long = long.join(first, "variable")
-    counts = long.groupBy("variable", "value").agg(
-        F.count(F.lit(1)).alias("t"),
-        F.sum(F.when(F.col(by).cast("string") == F.col("__g1"), 1).otherwise(0)).alias("t1"))
+    # one pass over the input: counts per (variable, value, group), checkpointed
+    vg = materialize(long.groupBy("variable", "value", F.col(by).cast("string").alias("__g"))
+                     .agg(F.count(F.lit(1)).alias("c")))
+    first = vg.groupBy("variable").agg(F.min("__g").alias("__g1"))
+    counts = vg.join(first, "variable").groupBy("variable", "value").agg(
+        F.sum("c").alias("t"), F.sum(F.when(F.col("__g") == F.col("__g1"), F.col("c")).otherwise(0)).alias("t1"))
     counts = scaled_buckets(counts, ["variable"], "value", n_buckets)
     counts = running_aggs(counts, ["variable"], "value", sums={"cum": "t"}, bucket_col="__qb")
     rank = F.col("cum") - F.col("t") + (F.col("t") + 1) / 2.0

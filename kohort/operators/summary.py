@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohort.operators.prefix import running_aggs, scaled_buckets
+from kohort.session import materialize
 
 # Missing-ratio grades (upper bounds, right-closed).
 NA_GRADES = [("Good", 0.05), ("OK", 0.1), ("NotBad", 0.2), ("Bad", 0.5), ("Remove", 1.0)]
@@ -58,7 +59,7 @@ def summary_categorical(df: DataFrame, cols: list[str], missing: bool = False) -
     long = unpivot(df, cols)
     if not missing:
         long = long.filter(F.col("value").isNotNull())
-    counts = long.groupBy("variable", F.col("value").alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(long.groupBy("variable", F.col("value").alias("level")).agg(F.count(F.lit(1)).alias("n")))
     tot = counts.filter(F.col("level").isNotNull()).groupBy("variable").agg(F.sum("n").alias("__t"))
     out = counts.join(tot, "variable", "left")
     return out.select("variable", "level", F.col("n").cast("bigint"),
@@ -69,7 +70,8 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), by=
                     names=None, n_buckets: int = 1024) -> DataFrame:
     """Exact sample quantiles, distributed.
 
-    Values are collapsed to ``(by, variable, value, count)``, ranked with a
+    Values are collapsed to ``(by, variable, value, count)`` (checkpointed:
+    the ranges, ranks and totals all read it), ranked with a
     two-level prefix sum, and each requested position is picked by a
     conditional aggregate; no group is ever held in one task.  Definition:
     inverse empirical CDF with averaging at jumps (sample quantile type 2);
@@ -78,7 +80,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), by=
     by = list(by)
     names = names or [f"p{int(round(p * 100))}" for p in probs]
     long = unpivot(df, cols, keep=by, as_string=False).filter(F.col("value").isNotNull())
-    counts = long.groupBy(*by, "variable", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    counts = materialize(long.groupBy(*by, "variable", "value").agg(F.count(F.lit(1)).alias("cnt")))
     counts = scaled_buckets(counts, [*by, "variable"], "value", n_buckets)
     counts = running_aggs(counts, [*by, "variable"], "value", sums={"cum": "cnt"}, bucket_col="__qb")
     tot = counts.groupBy(*by, "variable").agg(F.sum("cnt").alias("n"))
@@ -113,7 +115,8 @@ def crosstab(df: DataFrame, cols: list[str], by: str, percent: str = "row") -> D
     """``variable, level, <by>, n, pct``; ``percent='row'`` divides by the
     level total, ``'col'`` by the group total (non-missing only)."""
     long = unpivot(df, cols, keep=[by]).filter(F.col("value").isNotNull() & F.col(by).isNotNull())
-    counts = long.groupBy("variable", F.col("value").alias("level"), by).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(long.groupBy("variable", F.col("value").alias("level"), by)
+                         .agg(F.count(F.lit(1)).alias("n")))
     part = ["variable", "level"] if percent == "row" else ["variable", by]
     tot = counts.groupBy(*part).agg(F.sum("n").alias("__t"))
     return counts.join(tot, part).select("variable", "level", by, F.col("n").cast("bigint"),

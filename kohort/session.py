@@ -80,3 +80,14 @@ def scale_conf(input_bytes: int, shuffle_bytes_per_partition: int = GIB,
 def apply_conf(spark: SparkSession, conf: dict[str, str]) -> None:
     for k, v in conf.items():
         spark.conf.set(k, v)
+
+
+def materialize(df):
+    """Write ``df`` once as a reliable checkpoint in the shared folder and
+    return the reloaded DataFrame.
+
+    Used where a small aggregate feeds several branches (totals, ranges,
+    joins back): the input is scanned once and the lineage is cut, so a lost
+    executor re-reads the checkpoint instead of the base table."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
