@@ -6,13 +6,16 @@ cumulative sum over a sorted key.  ``Window.orderBy`` without
 ``partitionBy`` would pull every row into one task, so the key is split
 into range buckets:
 
-1. per bucket totals (a partial aggregate, one row per partition x bucket),
-2. an exclusive prefix over the buckets (a window over that small table),
-3. a window inside each bucket, partitioned by bucket, plus the offset.
-
-Step 2's table has ``#partitions x #buckets`` rows; it is joined back
-without a broadcast hint, so AQE picks broadcast only when the measured
-size allows it.  Inputs must be unique on ``(partition_cols, order_col)``
+1. a window inside each bucket (partitioned by partition x bucket) gives
+   the local prefix and the bucket total,
+2. one row per bucket, and an exclusive prefix over the buckets (a window
+   over that small table),
+3. the offsets joined back to the windowed rows.
+
+Steps 1-3 share one hash partitioning of the input, so it is shuffled (and
+scanned) once.  Step 2's table has ``#partitions x #buckets`` rows; it is
+joined back without a broadcast hint, so AQE picks broadcast only when the
+measured size allows it.  Inputs must be unique on ``(partition_cols, order_col)``
 (callers collapse first), so row frames are exact.
 """
 
@@ -59,43 +62,52 @@ def running_aggs(df: DataFrame, partition_cols: list[str], order_col: str,
     else:
         b = scaled_buckets(df, part, order_col, n_buckets, name=_BUCKET)
 
-    # 1. bucket totals
-    aggs = []
+    # 1. in-bucket window: local inclusive prefix and bucket total, both on
+    #    the (partition, bucket) hash partitioning
+    wi = Window.partitionBy(*part, _BUCKET).orderBy(*(within_order or [order_col]))
+    upto = wi.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole_b = Window.partitionBy(*part, _BUCKET)
+    loc = {}
     for name, c in {**sums, **suffix_sums}.items():
-        aggs.append(F.sum(c).alias(f"__bt_{name}"))
+        loc[f"__lp_{name}"] = F.sum(c).over(upto)
+        loc[f"__bt_{name}"] = F.sum(c).over(whole_b)
     for name, c in products.items():
-        aggs.append(F.product(c).alias(f"__bt_{name}"))
-    totals = b.groupBy(*part, _BUCKET).agg(*aggs)
-
-    # 2. exclusive prefix over buckets (small table)
+        loc[f"__lp_{name}"] = F.product(c).over(upto)
+        loc[f"__bt_{name}"] = F.product(c).over(whole_b)
+    local = b.withColumns(loc)
+
+    # 2. one row per bucket (the input is already partitioned by it, so no
+    #    shuffle), exclusive prefix over buckets: a table of
+    #    #partitions x #buckets rows
+    bt = [f"__bt_{n}" for n in [*sums, *suffix_sums, *products]]
+    totals = local.groupBy(*part, _BUCKET).agg(*[F.first(c).alias(c) for c in bt])
     wb = Window.partitionBy(*part).orderBy(_BUCKET)
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*part)
     offs = []
-    for name in sums:
+    for name in [*sums, *suffix_sums]:
         offs.append(F.coalesce(F.sum(f"__bt_{name}").over(before), F.lit(0)).alias(f"__off_{name}"))
     for name in suffix_sums:
-        offs.append(F.coalesce(F.sum(f"__bt_{name}").over(before), F.lit(0)).alias(f"__off_{name}"))
         offs.append(F.sum(f"__bt_{name}").over(whole).alias(f"__tot_{name}"))
     for name in products:
         offs.append(F.coalesce(F.product(f"__bt_{name}").over(before), F.lit(1.0)).alias(f"__off_{name}"))
     offsets = totals.select(*part, _BUCKET, *offs)
 
-    # 3. in-bucket window + offset
-    joined = b.join(offsets, on=[*part, _BUCKET], how="inner")
-    wi = Window.partitionBy(*part, _BUCKET).orderBy(*(within_order or [order_col]))
-    upto = wi.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prior = wi.rowsBetween(Window.unboundedPreceding, -1)
+    # 3. join the offsets back (the windowed side keeps its partitioning;
+    #    AQE broadcasts the small offsets table when its size allows)
+    joined = local.drop(*bt).join(offsets, on=[*part, _BUCKET], how="inner")
     cols = {}
     for name, c in sums.items():
-        cols[name] = F.col(f"__off_{name}") + F.sum(c).over(upto)
+        cols[name] = F.col(f"__off_{name}") + F.col(f"__lp_{name}")
     for name, c in products.items():
-        cols[name] = F.col(f"__off_{name}") * F.product(c).over(upto)
+        cols[name] = F.col(f"__off_{name}") * F.col(f"__lp_{name}")
     for name, c in suffix_sums.items():
+        # rows with key >= own = total - (rows before the bucket) - (rows before
+        # this one inside the bucket)
         cols[name] = (F.col(f"__tot_{name}") - F.col(f"__off_{name}")
-                      - F.coalesce(F.sum(c).over(prior), F.lit(0)))
+                      - (F.col(f"__lp_{name}") - F.coalesce(F.col(c), F.lit(0))))
     out = joined.withColumns(cols)
-    drop = [c for c in out.columns if c.startswith("__off_") or c.startswith("__tot_")]
+    drop = [c for c in out.columns if c.startswith(("__off_", "__tot_", "__lp_"))]
     return out.drop(*drop, _BUCKET)
 
 
