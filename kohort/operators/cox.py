@@ -240,7 +240,7 @@ class CoxFit:
     def coef_rows(self) -> list[dict]:
         out = []
         for t, b, s in zip(self.design.terms, self.beta, self.se):
-            z = b / s
+            z = b / s if s > 0 else float("nan")
             out.append({"variable": t.variable, "term": t.column.replace("__x_", ""),
                         "level": t.level, "coef": float(b), "exp_coef": math.exp(b), "se": float(s),
                         "z": float(z), "p_value": norm_sf2(z),
@@ -249,7 +249,10 @@ class CoxFit:
 
     def tests(self) -> dict:
         lr = 2.0 * (self.loglik - self.loglik0)
-        wald = float(self.beta @ np.linalg.solve(self.var, self.beta)) if self.p else 0.0
+        try:
+            wald = float(self.beta @ np.linalg.solve(self.var, self.beta)) if self.p else 0.0
+        except np.linalg.LinAlgError:
+            wald = float("nan")
         return {"n": self.n, "n_events": self.n_events, "loglik_null": self.loglik0, "loglik": self.loglik,
                 "lr": lr, "lr_df": self.p, "lr_p": chi2_sf(lr, self.p),
                 "wald": wald, "wald_p": chi2_sf(wald, self.p),
@@ -257,6 +260,23 @@ class CoxFit:
                 "iterations": self.iterations}
 
 
+def _solve(I: np.ndarray, U: np.ndarray) -> np.ndarray:
+    """Newton step; a singular information matrix (no events, or a
+    covariate without variation among the at-risk) falls back to the
+    pseudo-inverse, which leaves the non-identified directions at 0."""
+    try:
+        return np.linalg.solve(I, U)
+    except np.linalg.LinAlgError:
+        return np.linalg.pinv(I) @ U
+
+
+def _inverse(I: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.inv(I)
+    except np.linalg.LinAlgError:
+        return np.full_like(I, np.nan)
+
+
 def raw_sufficient_table(df: DataFrame, time: str, event: str, covariates: list[str]) -> DataFrame:
     """``(t, raw covariates..., d, m)`` over complete cases: the single pass
     over the input a fit needs (map-side combined)."""
@@ -288,11 +308,11 @@ def coxph(df: DataFrame, time: str, event: str, covariates: list[str], levels: d
     wide = pattern_risk_table(suf, cols)
     beta = np.zeros(p)
     ll0, U, I = newton_parts(suf, cols, beta, wide)
-    score = float(U @ np.linalg.solve(I, U)) if p else 0.0
+    score = float(U @ _solve(I, U)) if p else 0.0
     ll = ll0
     it = 0
     for it in range(1, max_iter + 1):
-        step = np.linalg.solve(I, U)
+        step = _solve(I, U)
         new = beta + step
         ll_new, U_new, I_new = newton_parts(suf, cols, new, wide)
         halvings = 0
@@ -300,14 +320,14 @@ def coxph(df: DataFrame, time: str, event: str, covariates: list[str], levels: d
             new = (beta + new) / 2.0
             ll_new, U_new, I_new = newton_parts(suf, cols, new, wide)
             halvings += 1
-        done = abs(1.0 - ll_new / ll) <= eps if ll != 0 else abs(ll_new) <= eps
+        done = abs(1.0 - ll_new / ll) <= eps if ll != 0 else abs(ll_new - ll) <= eps
         beta, ll, U, I = new, ll_new, U_new, I_new
         if done:
             break
     tot = suf.agg(F.sum("m").alias("n"), F.sum("d").alias("e")).collect()[0]
     if wide is not None:
         wide[0].unpersist()
-    return CoxFit(design, beta, np.linalg.inv(I), ll0, ll, score, int(tot["n"]), int(tot["e"]), it, suf)
+    return CoxFit(design, beta, _inverse(I), ll0, ll, score, int(tot["n"] or 0), int(tot["e"] or 0), it, suf)
 
 
 def coef_table(spark: SparkSession, fit: CoxFit) -> DataFrame:
@@ -431,12 +451,14 @@ def fit_metrics(spark: SparkSession, fit: CoxFit) -> DataFrame:
     residuals."""
     ss = martingale_by_pattern(fit).agg(F.sum("res_sq").alias("ss")).collect()[0]["ss"]
     n, k = fit.n, fit.p
+    nan = float("nan")
     aic = -2 * fit.loglik + 2 * k
-    bic = -2 * fit.loglik + k * math.log(fit.n_events)
-    r2cs = 1 - math.exp(2 * (fit.loglik0 - fit.loglik) / n)
-    r2max = 1 - math.exp(2 * fit.loglik0 / n)
-    return spark.createDataFrame([{"aic": aic, "bic": bic, "r2_nagelkerke": r2cs / r2max,
-                                   "rmse": math.sqrt(ss / n)}],
+    bic = -2 * fit.loglik + k * math.log(fit.n_events) if fit.n_events > 0 else nan
+    r2cs = 1 - math.exp(2 * (fit.loglik0 - fit.loglik) / n) if n else nan
+    r2max = 1 - math.exp(2 * fit.loglik0 / n) if n else nan
+    r2 = r2cs / r2max if r2max and not math.isnan(r2max) else nan
+    return spark.createDataFrame([{"aic": aic, "bic": bic, "r2_nagelkerke": r2,
+                                   "rmse": math.sqrt((ss or 0.0) / n) if n else nan}],
                                  "aic double, bic double, r2_nagelkerke double, rmse double")
 
 

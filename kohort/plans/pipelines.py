@@ -109,7 +109,10 @@ def km_many(df: DataFrame, time: str, event: str, groupings: list[str]) -> DataF
     return S.kaplan_meier(long, time, event, by=["variable", "level"])
 
 
-def cohort_report(spark: SparkSession, d: str, reg: DataFrame | None = None) -> dict[str, DataFrame]:
+def cohort_report(spark: SparkSession, d: str, reg: DataFrame | None = None,
+                  cox_covariates: tuple[str, ...] = ("tumour_type", "age_cat")) -> dict:
+    """Descriptive tables, curves for every grouping, log-rank per grouping,
+    and a Cox model with its by-products (the model fit runs when called)."""
     reg = reg if reg is not None else clean_registry(spark, d)
     out = {
         "missing": SM.na_pareto(reg),
@@ -119,6 +122,18 @@ def cohort_report(spark: SparkSession, d: str, reg: DataFrame | None = None) ->
         "km_groupings": km_many(reg, "time", "event", REPORT_GROUPINGS),
     }
     out["logrank"] = {g: S.logrank_test(reg, "time", "event", g) for g in REPORT_GROUPINGS}
+    if cox_covariates:
+        covs = list(cox_covariates)
+        fit = CX.coxph(reg, "time", "event", covs)
+        out["cox_coefficients"] = CX.coef_table(spark, fit)
+        out["cox_summary"] = CX.summary_table(spark, fit)
+        out["cox_hazard_ratios"] = CX.hazard_ratio_table(spark, fit)
+        out["cox_fit_metrics"] = CX.fit_metrics(spark, fit)
+        out["cox_schoenfeld"] = CX.schoenfeld_residuals(fit, reg, "time", "event", covs, "subject_id")
+        out["cox_martingale"] = CX.martingale_residuals(fit, reg, "time", "event", covs, "subject_id")
+        if len(covs) > 1:
+            reduced = CX.drop_term(reg, "time", "event", fit, covs, covs[-1])
+            out["cox_nested_test"] = CX.nested_test(spark, fit, reduced)
     return out
 
 

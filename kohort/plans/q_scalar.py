@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from kohort.functions import dates as D
 from kohort.functions import recode as R
 from kohort.functions import rowwise as RW
-from kohort.functions.nulls import rlike_or_false
 from kohort.operators import levels as LV
 from kohort.operators import lookup as LK
 from kohort.plans import fixtures as fx

@@ -149,3 +149,25 @@ def test_first_per_key_is_aggregate_and_keeps_whole_row(spark):
     assert sorted(rows(out, "k", "o", "v")) == [(1, 1, "a"), (2, 5, "e")]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+def test_cohort_report_runs_end_to_end(spark, sf_dir):
+    from kohort.plans import pipelines as P
+    rep = P.cohort_report(spark, sf_dir)
+    assert rep["km_groupings"].count() > 0
+    coefs = rep["cox_coefficients"].collect()
+    assert {r["variable"] for r in coefs} == {"tumour_type", "age_cat"}
+    n_age = sum(1 for r in coefs if r["variable"] == "age_cat")
+    assert rep["cox_nested_test"].collect()[0]["df"] == n_age
+    for g, t in rep["logrank"].items():
+        assert t.count() >= 1
+    s = rep["cox_martingale"].agg(F.sum("residual")).collect()[0][0]
+    assert abs(s) < 1e-6
+
+
+def test_cox_degenerate_data_does_not_fail(spark):
+    from kohort.operators import cox as CX
+    df = spark.createDataFrame([(i, 5, 0, "a" if i % 2 else "b") for i in range(10)],
+                               "id int, t int, e int, g string")
+    fit = CX.coxph(df, "t", "e", ["g"])
+    assert fit.n_events == 0 and fit.beta[0] == 0.0

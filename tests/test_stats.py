@@ -1,7 +1,7 @@
 """Summary statistics and association tests against direct computation."""
 
 import math
-from itertools import product
+
 
 import numpy as np
 import pytest
