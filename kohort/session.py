@@ -15,6 +15,8 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # checkpoint files of garbage-collected DataFrames are deleted
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

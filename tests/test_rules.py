@@ -171,3 +171,24 @@ def test_cox_degenerate_data_does_not_fail(spark):
                                "id int, t int, e int, g string")
     fit = CX.coxph(df, "t", "e", ["g"])
     assert fit.n_events == 0 and fit.beta[0] == 0.0
+
+
+def _scans(df, path_part):
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return final.count(path_part)
+
+
+def test_statistics_scan_input_once(spark, sf_dir):
+    """Operators that branch on an aggregate read the base table once (in
+    the checkpoint job); the final plan only reads the checkpoint."""
+    from kohort.operators import assoc as A
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    assert _scans(SM_exact(li), "lineitem.parquet") == 0
+    assert _scans(A.rank_sum_test(li, ["l_quantity"], "l_linestatus"), "lineitem.parquet") == 0
+    assert _scans(A.chi2_test(li, ["l_returnflag"], "l_linestatus"), "lineitem.parquet") == 0
+
+
+def SM_exact(li):
+    from kohort.operators import summary as SM
+    return SM.exact_quantiles(li, ["l_quantity", "l_discount"])
