@@ -175,6 +175,14 @@ def delayed_entry_excluded(df: DataFrame, start: str, stop: str) -> DataFrame:
 
 # --- log-rank ------------------------------------------------------------------
 
+def _ratio(num: np.ndarray, den: np.ndarray) -> np.ndarray:
+    """num / den, NULL (NaN -> null in Arrow) where den is not positive."""
+    out = np.full(len(num), np.nan)
+    ok = den > 0
+    out[ok] = num[ok] / den[ok]
+    return out
+
+
 MAX_LEVELS = 200
 
 
@@ -247,8 +255,80 @@ def logrank_test(df: DataFrame, time: str, event: str, by: str, levels: list | N
                 p = chi2_sf(stat, df_) if df_ > 0 else float("nan")
                 yield pd.DataFrame({
                     "level": levels, "n": N.astype("int64"), "observed": O, "expected": E,
-                    "oe2_e": (O - E) ** 2 / E, "oe2_v": (O - E) ** 2 / np.diag(V),
+                    "oe2_e": _ratio((O - E) ** 2, E), "oe2_v": _ratio((O - E) ** 2, np.diag(V)),
                     "chisq": [stat] * k, "df": [int(df_)] * k, "p_value": [p] * k})
     schema = (f"level {lv_type}, n bigint, observed double, expected double, oe2_e double, "
               f"oe2_v double, chisq double, df bigint, p_value double")
     return sums.mapInPandas(solve, schema).withColumnRenamed("level", by)
+
+
+def logrank_many(df: DataFrame, time: str, event: str, groupings: list[str],
+                 max_levels: int = MAX_LEVELS, n_buckets: int = 1024) -> DataFrame:
+    """Log-rank tests for several grouping columns in one job.
+
+    Grouping columns are unpivoted to ``(variable, level)``; each level gets
+    an index within its variable (a small level table, checked against
+    ``max_levels``), so one table with one column per level index holds the
+    at-risk counts of every grouping at every pooled time.  Risk sets are
+    suffix sums partitioned by variable; each variable's (k-1)x(k-1) solve
+    runs in ``applyInPandas`` grouped by variable.
+    """
+    from kohort.operators.summary import unpivot  # local: summary imports prefix only
+    from kohort.session import materialize
+    long = unpivot(df.select(time, event, *groupings), groupings, keep=[time, event],
+                   variable="variable", value="level")
+    for c in (time, event, "level"):
+        long = long.filter(F.col(c).isNotNull())
+    c = materialize(long.groupBy("variable", "level", F.col(time).alias("t")).agg(
+        F.sum(F.col(event).cast("bigint")).alias("n_event"), F.count(F.lit(1)).alias("n_obs")))
+    lv = c.groupBy("variable").agg(F.array_sort(F.collect_set("level")).alias("levels"))
+    lv_rows = lv.limit(len(groupings) + 1).collect()
+    level_map = {r["variable"]: list(r["levels"]) for r in lv_rows}
+    K = max((len(v) for v in level_map.values()), default=0)
+    if K > max_levels:
+        raise ValueError(f"a grouping has more than {max_levels} levels")
+    idx = c.join(lv, "variable").withColumn("__i", F.array_position("levels", F.col("level")) - 1)
+    wide = idx.groupBy("variable", "t").agg(
+        *[F.sum(F.when(F.col("__i") == i, F.col("n_event")).otherwise(0)).alias(f"d{i}") for i in range(K)],
+        *[F.sum(F.when(F.col("__i") == i, F.col("n_obs")).otherwise(0)).alias(f"m{i}") for i in range(K)])
+    wide = running_aggs(wide, ["variable"], "t", suffix_sums={f"r{i}": f"m{i}" for i in range(K)},
+                        n_buckets=n_buckets)
+    n = " + ".join(f"r{i}" for i in range(K))
+    d = " + ".join(f"d{i}" for i in range(K))
+    wide = wide.selectExpr("*", f"CAST({n} AS DOUBLE) AS __n", f"CAST({d} AS DOUBLE) AS __d")
+    wide = wide.selectExpr("*", "CASE WHEN __n > 1 THEN __d * (__n - __d) / (__n - 1) ELSE 0D END AS __w")
+    aggs = []
+    for i in range(K):
+        aggs += [f"SUM(m{i}) AS n_{i}", f"SUM(d{i}) AS o_{i}", f"SUM(__d * r{i} / __n) AS e_{i}"]
+        for j in range(K):
+            delta = "1D" if i == j else "0D"
+            aggs.append(f"SUM(__w * (r{i} / __n) * ({delta} - r{j} / __n)) AS v_{i}_{j}")
+    sums = wide.groupBy("variable").agg(*[F.expr(a) for a in aggs])
+
+    def solve(pdf):
+        row = pdf.iloc[0]
+        levels = level_map[row["variable"]]
+        k = len(levels)
+        O = np.array([row[f"o_{i}"] for i in range(k)], float)
+        E = np.array([row[f"e_{i}"] for i in range(k)], float)
+        N = np.array([row[f"n_{i}"] for i in range(k)], float)
+        V = np.array([[row[f"v_{i}_{j}"] for j in range(k)] for i in range(k)], float)
+        diff, sub = (O - E)[: k - 1], V[: k - 1, : k - 1]
+        if k > 1:
+            try:
+                stat = float(diff @ np.linalg.solve(sub, diff))
+            except np.linalg.LinAlgError:
+                stat = float(diff @ np.linalg.pinv(sub) @ diff)
+            dfree = int(np.linalg.matrix_rank(sub))
+        else:
+            stat, dfree = float("nan"), 0
+        p = chi2_sf(stat, dfree) if dfree > 0 else float("nan")
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return pd.DataFrame({
+                "variable": [row["variable"]] * k, "level": levels, "n": N.astype("int64"),
+                "observed": O, "expected": E, "oe2_e": _ratio((O - E) ** 2, E),
+                "oe2_v": _ratio((O - E) ** 2, np.diag(V)),
+                "chisq": [stat] * k, "df": [dfree] * k, "p_value": [p] * k})
+    schema = ("variable string, level string, n bigint, observed double, expected double, oe2_e double, "
+              "oe2_v double, chisq double, df bigint, p_value double")
+    return sums.groupBy("variable").applyInPandas(solve, schema)

@@ -121,7 +121,7 @@ def cohort_report(spark: SparkSession, d: str, reg: DataFrame | None = None,
         "km_overall": S.kaplan_meier(reg, "time", "event"),
         "km_groupings": km_many(reg, "time", "event", REPORT_GROUPINGS),
     }
-    out["logrank"] = {g: S.logrank_test(reg, "time", "event", g) for g in REPORT_GROUPINGS}
+    out["logrank"] = S.logrank_many(reg, "time", "event", REPORT_GROUPINGS)
     if cox_covariates:
         covs = list(cox_covariates)
         fit = CX.coxph(reg, "time", "event", covs)

@@ -192,3 +192,25 @@ FROM k"""
 @register("pipeline_registry_v2", sql=REGISTRY_V2_SQL)
 def q_pipeline_registry_v2(spark, d):
     return P.clean_registry_v2(spark, d)
+
+
+@register("logrank_many_groupings", sql="WITH " + REGISTRY_CTES + f""",
+surv AS (SELECT * FROM ({_UNPIV}) u WHERE level IS NOT NULL AND time IS NOT NULL AND event IS NOT NULL),
+c AS (SELECT variable, level AS g, time AS t, CAST(SUM(event) AS DOUBLE) AS d, CAST(COUNT(*) AS DOUBLE) AS m
+      FROM surv GROUP BY variable, level, time),
+lv AS (SELECT DISTINCT variable, g FROM c), tt AS (SELECT DISTINCT variable, t FROM c),
+grid AS (SELECT lv.variable, lv.g, tt.t, COALESCE(c.d, 0) AS d, COALESCE(c.m, 0) AS m
+         FROM lv JOIN tt ON lv.variable = tt.variable
+         LEFT JOIN c ON c.variable = lv.variable AND c.g = lv.g AND c.t = tt.t),
+r AS (SELECT *, SUM(m) OVER (PARTITION BY variable, g ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS r FROM grid),
+x AS (SELECT *, SUM(r) OVER (PARTITION BY variable, t) AS n, SUM(d) OVER (PARTITION BY variable, t) AS dd FROM r),
+s AS (SELECT variable, g, SUM(m) AS n_sub, SUM(d) AS o, SUM(dd * r / n) AS e,
+             SUM(CASE WHEN n > 1 THEN dd * (n - dd) / (n - 1) ELSE 0 END * (r / n) * (1 - r / n)) AS v
+      FROM x GROUP BY variable, g)
+SELECT variable, g AS level, CAST(n_sub AS BIGINT) AS n, ROUND(o, 6) AS observed, ROUND(e, 6) AS expected,
+       ROUND(CASE WHEN e > 0 THEN (o - e) * (o - e) / e END, 6) AS oe2_e,
+       ROUND(CASE WHEN v > 0 THEN (o - e) * (o - e) / v END, 6) AS oe2_v FROM s""")
+def q_logrank_many(spark, d):
+    from kohort.operators import survival as S
+    t = S.logrank_many(P.clean_registry(spark, d), "time", "event", P.REPORT_GROUPINGS)
+    return rounded(t.drop("chisq", "df", "p_value"))

@@ -181,7 +181,8 @@ s AS (SELECT g, SUM(m) AS n_sub, SUM(d) AS o, SUM(dd * r / n) AS e,
       FROM x GROUP BY g),
 f AS (SELECT *, (SELECT (o - e) * (o - e) / v FROM s ORDER BY g LIMIT 1) AS x2 FROM s)
 SELECT g AS {by}, CAST(n_sub AS BIGINT) AS n, ROUND(o, 6) AS observed, ROUND(e, 6) AS expected,
-  ROUND((o - e) * (o - e) / e, 6) AS oe2_e, ROUND((o - e) * (o - e) / v, 6) AS oe2_v{test}
+  ROUND(CASE WHEN e > 0 THEN (o - e) * (o - e) / e END, 6) AS oe2_e,
+  ROUND(CASE WHEN v > 0 THEN (o - e) * (o - e) / v END, 6) AS oe2_v{test}
 FROM f"""
 
 

@@ -108,3 +108,14 @@ def test_median_and_limits_order(spark):
         assert r["lower_ci"] is None or r["lower_ci"] <= r["median"]
         assert r["upper_ci"] is None or r["upper_ci"] >= r["median"]
     assert m["control"]["records"] == 21 and m["control"]["events"] == 21
+
+
+def test_logrank_many_equals_one_at_a_time(spark):
+    rows = [(i, (i * 37) % 23 + 1, int(i % 3 != 0), "abcd"[i % 4], "xy"[(i // 7) % 2]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id bigint, time bigint, event bigint, g string, h string")
+    many = {(r["variable"], r["level"]): r for r in S.logrank_many(df, "time", "event", ["g", "h"]).collect()}
+    for g in ("g", "h"):
+        for r in S.logrank_test(df, "time", "event", g).collect():
+            m = many[(g, r[g])]
+            for c in ("n", "observed", "expected", "oe2_v", "chisq", "df", "p_value"):
+                assert m[c] == pytest.approx(r[c])
