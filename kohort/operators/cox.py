@@ -111,19 +111,19 @@ def _eta(cols: list[str], beta) -> F.Column:
 
 def per_time_sums(suf: DataFrame, cols: list[str], beta) -> DataFrame:
     """Per distinct time: risk-set sums S0, S1_j, S2_jk (subjects with
-    T >= t) and the deaths' sums D0, D1_j, D2_jk, XD_j, DE, dt."""
+    T >= t) and the deaths' sums D0, D1_j, D2_jk, XD_j, DE, dt (general
+    path for many covariate patterns; expressions as SQL text)."""
     p = len(cols)
-    w = F.exp(_eta(cols, beta))
-    x = [F.col(c) for c in cols]
-    aggs = [F.sum(F.col("m") * w).alias("a0"), F.sum(F.col("d") * w).alias("D0"),
-            F.sum("d").alias("dt"), F.sum(F.col("d") * _eta(cols, beta)).alias("DE")]
+    eta = " + ".join(f"({float(b)!r}D * `{c}`)" for c, b in zip(cols, beta)) or "0D"
+    base = suf.selectExpr("*", f"({eta}) AS __eta", f"exp({eta}) AS __w")
+    aggs = ["SUM(m * __w) AS a0", "SUM(d * __w) AS D0", "SUM(d) AS dt", "SUM(d * __eta) AS DE"]
     for j in range(p):
-        aggs += [F.sum(F.col("m") * w * x[j]).alias(f"a1_{j}"), F.sum(F.col("d") * w * x[j]).alias(f"D1_{j}"),
-                 F.sum(F.col("d") * x[j]).alias(f"XD_{j}")]
+        aggs += [f"SUM(m * __w * `{cols[j]}`) AS a1_{j}", f"SUM(d * __w * `{cols[j]}`) AS D1_{j}",
+                 f"SUM(d * `{cols[j]}`) AS XD_{j}"]
         for k in range(j, p):
-            aggs += [F.sum(F.col("m") * w * x[j] * x[k]).alias(f"a2_{j}_{k}"),
-                     F.sum(F.col("d") * w * x[j] * x[k]).alias(f"D2_{j}_{k}")]
-    pt = suf.groupBy("t", "__tb").agg(*aggs)
+            aggs += [f"SUM(m * __w * `{cols[j]}` * `{cols[k]}`) AS a2_{j}_{k}",
+                     f"SUM(d * __w * `{cols[j]}` * `{cols[k]}`) AS D2_{j}_{k}"]
+    pt = base.groupBy("t", "__tb").agg(*[F.expr(a) for a in aggs])
     suffix = {"S0": "a0"}
     for j in range(p):
         suffix[f"S1_{j}"] = f"a1_{j}"
@@ -228,6 +228,7 @@ class CoxFit:
     n_events: int
     iterations: int
     suf: DataFrame
+    wide: tuple | None = None     # (per-pattern risk table, patterns) when few patterns
 
     @property
     def p(self) -> int:
@@ -325,9 +326,8 @@ def coxph(df: DataFrame, time: str, event: str, covariates: list[str], levels: d
         if done:
             break
     tot = suf.agg(F.sum("m").alias("n"), F.sum("d").alias("e")).collect()[0]
-    if wide is not None:
-        wide[0].unpersist()
-    return CoxFit(design, beta, _inverse(I), ll0, ll, score, int(tot["n"] or 0), int(tot["e"] or 0), it, suf)
+    return CoxFit(design, beta, _inverse(I), ll0, ll, score, int(tot["n"] or 0), int(tot["e"] or 0), it, suf,
+                  wide)
 
 
 def coef_table(spark: SparkSession, fit: CoxFit) -> DataFrame:
@@ -383,7 +383,8 @@ def baseline_table(fit: CoxFit) -> DataFrame:
     case-insensitively.)"""
     cols = fit.design.cols
     p = len(cols)
-    pt = per_time_sums(fit.suf, cols, fit.beta)
+    pt = (per_time_from_patterns(fit.wide[0], fit.wide[1], fit.beta) if fit.wide is not None
+          else per_time_sums(fit.suf, cols, fit.beta))
     ex = efron_rows(pt, p)
     inc = ex.groupBy("t").agg(
         F.sum(1.0 / F.col("q0")).alias("haz"),
