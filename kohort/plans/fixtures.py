@@ -18,54 +18,66 @@ def _date(s: str):
     return F.lit(s).cast("date")
 
 
+# Row-level fixtures: one list of SQL expressions, used both by the Spark
+# builders (``selectExpr``: one JVM call per column) and by the oracle text.
+EXPRS = {
+    "fx_rec": ("orders", [
+        "o_custkey AS subject_id", "o_orderkey AS record_id", "CAST(o_orderdate AS DATE) AS dx_date",
+        "DATE '1915-01-01' + CAST((o_custkey * 37) % 31000 AS INT) AS birth_date",
+        "o_orderpriority AS code",
+        "CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'local' "
+        "WHEN o_orderstatus = 'O' THEN 'regional' ELSE 'distant' END AS stage",
+        "CASE WHEN o_orderkey % 7 = 0 THEN 'Unknown' WHEN o_orderkey % 13 = 0 THEN NULL "
+        "ELSE concat(CAST(o_orderkey % 5 AS STRING), ' - grade') END AS ecog_txt",
+        "CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 13 = 0 THEN NULL "
+        "ELSE CAST(o_orderkey % 5 AS INT) END AS ecog",
+        "CASE WHEN o_orderkey % 17 = 0 THEN 'M8140' WHEN o_orderkey % 19 = 0 THEN NULL "
+        "ELSE concat('M', CAST(8000 + o_orderkey % 900 AS STRING), '/3-adeno', "
+        "CASE o_orderkey % 3 WHEN 0 THEN '-metas' WHEN 1 THEN '-metas inc' ELSE '' END) END AS morph",
+    ]),
+    "fx_sess": ("lineitem", [
+        "l_orderkey AS subject_id", "l_linenumber", "l_partkey", "l_suppkey",
+        "CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE CAST(l_quantity AS INT) END AS age",
+        "CAST(l_shipdate AS DATE) AS session_date",
+        "CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS rtx_date",
+    ]),
+    "fx_tests": ("events", [
+        "event_id", "user_id AS subject_id", "CAST(ts AS DATE) AS test_date",
+        "CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_type END AS result", "value",
+    ]),
+    "fx_flags": ("orders", [
+        "o_orderkey AS record_id", "o_custkey AS subject_id", "o_orderpriority AS grp",
+        *[f"CASE WHEN o_orderkey % 50 = 0 OR (o_orderkey * 7 + {i} * 13) % 10 < 2 THEN NULL "
+          f"WHEN (o_orderkey + {i} * 3) % {i + 2} = 0 THEN 1 ELSE 0 END AS co_f{i}" for i in range(1, 7)],
+    ]),
+    "fx_dirty": ("events", [
+        "event_id",
+        "CASE event_id % 10 WHEN 0 THEN 'N/D' WHEN 1 THEN '999' WHEN 2 THEN '' WHEN 3 THEN 'No aplica' "
+        "WHEN 4 THEN 'abc' ELSE CAST(event_id AS STRING) END AS raw_num",
+        "CASE event_id % 4 WHEN 0 THEN CAST(45292 + event_id % 30 AS STRING) "
+        "WHEN 1 THEN CAST(CAST(ts AS DATE) AS STRING) WHEN 2 THEN 'Seleccione...' ELSE NULL END AS raw_date",
+    ]),
+}
+
+
+def _from_exprs(spark: SparkSession, d: str, name: str) -> DataFrame:
+    src, exprs = EXPRS[name]
+    return table(spark, d, src).selectExpr(*exprs)
+
+
 def fx_rec(spark: SparkSession, d: str) -> DataFrame:
     """Tumour registry: several records per subject."""
-    o = table(spark, d, "orders")
-    k = F.col("o_orderkey")
-    return o.select(
-        F.col("o_custkey").alias("subject_id"),
-        k.alias("record_id"),
-        F.col("o_orderdate").cast("date").alias("dx_date"),
-        F.date_add(_date("1915-01-01"), ((F.col("o_custkey") * 37) % 31000).cast("int")).alias("birth_date"),
-        F.col("o_orderpriority").alias("code"),
-        F.when(k % 11 == 0, F.lit(None).cast("string"))
-         .when(F.col("o_orderstatus") == "F", "local")
-         .when(F.col("o_orderstatus") == "O", "regional")
-         .otherwise("distant").alias("stage"),
-        F.when(k % 7 == 0, "Unknown").when(k % 13 == 0, F.lit(None).cast("string"))
-         .otherwise(F.concat((k % 5).cast("string"), F.lit(" - grade"))).alias("ecog_txt"),
-        F.when((k % 7 == 0) | (k % 13 == 0), F.lit(None).cast("int"))
-         .otherwise((k % 5).cast("int")).alias("ecog"),
-        F.when(k % 17 == 0, "M8140").when(k % 19 == 0, F.lit(None).cast("string"))
-         .otherwise(F.concat(F.lit("M"), (8000 + k % 900).cast("string"), F.lit("/3-adeno"),
-                             F.when(k % 3 == 0, "-metas").when(k % 3 == 1, "-metas inc").otherwise("")))
-         .alias("morph"),
-    )
+    return _from_exprs(spark, d, "fx_rec")
 
 
 def fx_sess(spark: SparkSession, d: str) -> DataFrame:
     """Treatment sessions, many per subject."""
-    li = table(spark, d, "lineitem")
-    return li.select(
-        F.col("l_orderkey").alias("subject_id"), "l_linenumber", "l_partkey", "l_suppkey",
-        F.when(F.col("l_partkey") % 10 == 0, F.lit(None).cast("int"))
-         .otherwise(F.col("l_quantity").cast("int")).alias("age"),
-        F.col("l_shipdate").cast("date").alias("session_date"),
-        F.when(F.col("l_suppkey") % 4 == 0, F.lit(None).cast("date"))
-         .otherwise(F.col("l_shipdate").cast("date")).alias("rtx_date"),
-    )
+    return _from_exprs(spark, d, "fx_sess")
 
 
 def fx_tests(spark: SparkSession, d: str) -> DataFrame:
     """Repeated tests per subject."""
-    e = table(spark, d, "events")
-    return e.select(
-        "event_id", F.col("user_id").alias("subject_id"),
-        F.col("ts").cast("date").alias("test_date"),
-        F.when(F.col("event_id") % 9 == 0, F.lit(None).cast("string"))
-         .otherwise(F.col("event_type")).alias("result"),
-        "value",
-    )
+    return _from_exprs(spark, d, "fx_tests")
 
 
 FLAG_COLS = [f"co_f{i}" for i in range(1, 7)]
@@ -73,28 +85,12 @@ FLAG_COLS = [f"co_f{i}" for i in range(1, 7)]
 
 def fx_flags(spark: SparkSession, d: str) -> DataFrame:
     """Nullable 0/1 indicators (comorbidity analogue)."""
-    o = table(spark, d, "orders")
-    k = F.col("o_orderkey")
-    flags = []
-    for i in range(1, 7):
-        flags.append(
-            F.when((k % 50 == 0) | ((k * 7 + i * 13) % 10 < 2), F.lit(None).cast("int"))
-             .when((k + i * 3) % (i + 2) == 0, F.lit(1)).otherwise(F.lit(0)).alias(f"co_f{i}"))
-    return o.select(k.alias("record_id"), F.col("o_custkey").alias("subject_id"),
-                    F.col("o_orderpriority").alias("grp"), *flags)
+    return _from_exprs(spark, d, "fx_flags")
 
 
 def fx_dirty(spark: SparkSession, d: str) -> DataFrame:
     """Missing-value tokens, non-numeric text, spreadsheet serial dates."""
-    e = table(spark, d, "events")
-    k = F.col("event_id")
-    m10, m4 = k % 10, k % 4
-    raw_num = (F.when(m10 == 0, "N/D").when(m10 == 1, "999").when(m10 == 2, "")
-               .when(m10 == 3, "No aplica").when(m10 == 4, "abc").otherwise(k.cast("string")))
-    raw_date = (F.when(m4 == 0, (45292 + k % 30).cast("string"))
-                .when(m4 == 1, F.col("ts").cast("date").cast("string"))
-                .when(m4 == 2, "Seleccione...").otherwise(F.lit(None).cast("string")))
-    return e.select(k, raw_num.alias("raw_num"), raw_date.alias("raw_date"))
+    return _from_exprs(spark, d, "fx_dirty")
 
 
 def fx_surv_dates(spark: SparkSession, d: str) -> DataFrame:
@@ -144,41 +140,7 @@ def fx_entry(spark: SparkSession, d: str) -> DataFrame:
 # --- SQL texts (valid in Spark SQL and DuckDB) ------------------------------
 
 SQL = {
-    "fx_rec": """
-SELECT o_custkey AS subject_id, o_orderkey AS record_id, CAST(o_orderdate AS DATE) AS dx_date,
-  DATE '1915-01-01' + CAST((o_custkey * 37) % 31000 AS INT) AS birth_date,
-  o_orderpriority AS code,
-  CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderstatus = 'F' THEN 'local'
-       WHEN o_orderstatus = 'O' THEN 'regional' ELSE 'distant' END AS stage,
-  CASE WHEN o_orderkey % 7 = 0 THEN 'Unknown' WHEN o_orderkey % 13 = 0 THEN NULL
-       ELSE concat(CAST(o_orderkey % 5 AS STRING), ' - grade') END AS ecog_txt,
-  CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 13 = 0 THEN NULL
-       ELSE CAST(o_orderkey % 5 AS INT) END AS ecog,
-  CASE WHEN o_orderkey % 17 = 0 THEN 'M8140' WHEN o_orderkey % 19 = 0 THEN NULL
-       ELSE concat('M', CAST(8000 + o_orderkey % 900 AS STRING), '/3-adeno',
-            CASE o_orderkey % 3 WHEN 0 THEN '-metas' WHEN 1 THEN '-metas inc' ELSE '' END) END AS morph
-FROM orders""",
-    "fx_sess": """
-SELECT l_orderkey AS subject_id, l_linenumber, l_partkey, l_suppkey,
-  CASE WHEN l_partkey % 10 = 0 THEN NULL ELSE CAST(l_quantity AS INT) END AS age,
-  CAST(l_shipdate AS DATE) AS session_date,
-  CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS rtx_date
-FROM lineitem""",
-    "fx_tests": """
-SELECT event_id, user_id AS subject_id, CAST(ts AS DATE) AS test_date,
-  CASE WHEN event_id % 9 = 0 THEN NULL ELSE event_type END AS result, value
-FROM events""",
-    "fx_flags": "SELECT o_orderkey AS record_id, o_custkey AS subject_id, o_orderpriority AS grp,\n" + ",\n".join(
-        f"  CASE WHEN o_orderkey % 50 = 0 OR (o_orderkey * 7 + {i} * 13) % 10 < 2 THEN NULL\n"
-        f"       WHEN (o_orderkey + {i} * 3) % {i + 2} = 0 THEN 1 ELSE 0 END AS co_f{i}"
-        for i in range(1, 7)) + "\nFROM orders",
-    "fx_dirty": """
-SELECT event_id,
-  CASE event_id % 10 WHEN 0 THEN 'N/D' WHEN 1 THEN '999' WHEN 2 THEN '' WHEN 3 THEN 'No aplica'
-       WHEN 4 THEN 'abc' ELSE CAST(event_id AS STRING) END AS raw_num,
-  CASE event_id % 4 WHEN 0 THEN CAST(45292 + event_id % 30 AS STRING)
-       WHEN 1 THEN CAST(CAST(ts AS DATE) AS STRING) WHEN 2 THEN 'Seleccione...' ELSE NULL END AS raw_date
-FROM events""",
+    **{name: "SELECT " + ",\n  ".join(exprs) + f"\nFROM {src}" for name, (src, exprs) in EXPRS.items()},
     "fx_surv_dates": """
 SELECT c_custkey AS subject_id, c_mktsegment AS grp,
   CASE WHEN c_acctbal > 4500 THEN 'Si' ELSE 'No' END AS exposed,
