@@ -28,13 +28,14 @@ def _cells(df: DataFrame, cols: list[str], by: str) -> DataFrame:
                        .agg(F.count(F.lit(1)).alias("o")))
 
 
-def chi2_test(df: DataFrame, cols: list[str], by: str) -> DataFrame:
+def chi2_test(df: DataFrame, cols: list[str], by: str, cells: DataFrame | None = None) -> DataFrame:
     """Pearson chi-square without continuity correction per variable:
     ``variable, statistic, df, p_value, min_expected, n``.
 
     Empty cells are not materialised: their contribution (0-E)^2/E = E sums
-    to N - (sum of E over the observed cells)."""
-    cells = _cells(df, cols, by)
+    to N - (sum of E over the observed cells).  ``cells`` may be passed in
+    when several tests share one count table."""
+    cells = cells if cells is not None else _cells(df, cols, by)
     rt = cells.groupBy("variable", "level").agg(F.sum("o").alias("r"))
     ct = cells.groupBy("variable", "grp").agg(F.sum("o").alias("c"))
     tot = rt.groupBy("variable").agg(F.sum("r").alias("n"), F.count(F.lit(1)).alias("nr"),
@@ -59,14 +60,14 @@ def _log_choose(n, k):
             - np.vectorize(math.lgamma)(n - k + 1.0))
 
 
-def fisher_2x2(df: DataFrame, cols: list[str], by: str) -> DataFrame:
+def fisher_2x2(df: DataFrame, cols: list[str], by: str, cells: DataFrame | None = None) -> DataFrame:
     """Two-sided Fisher exact test for 2x2 tables: ``variable, a, b, c, d,
     p_value`` (cells in level x group order; p sums the hypergeometric
     probabilities not above the observed one, relative tolerance 1e-7).
 
     The per-variable 4-cell row is tiny; the support sum is vectorised in
     numpy inside ``mapInPandas`` (an executor task)."""
-    cells = _cells(df, cols, by)
+    cells = cells if cells is not None else _cells(df, cols, by)
     lv = cells.groupBy("variable").agg(F.array_sort(F.collect_set("level")).alias("lv"),
                                        F.array_sort(F.collect_set("grp")).alias("gv"))
     j = cells.join(lv, "variable")
@@ -138,8 +139,9 @@ def association_table(df: DataFrame, categorical: list[str], continuous: list[st
     p-value and significance."""
     parts = []
     if categorical:
-        chi = chi2_test(df, categorical, by)
-        fis = fisher_2x2(df, categorical, by).select("variable", F.col("p_value").alias("__fp"))
+        cells = _cells(df, categorical, by)   # one count table for both tests
+        chi = chi2_test(df, categorical, by, cells)
+        fis = fisher_2x2(df, categorical, by, cells).select("variable", F.col("p_value").alias("__fp"))
         j = chi.join(fis, "variable", "left")
         small = F.col("min_expected") < 5
         use_f = small & F.col("__fp").isNotNull()

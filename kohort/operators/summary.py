@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kohort.operators.prefix import running_aggs, scaled_buckets
+from kohort.operators.prefix import scaled_buckets
 from kohort.session import materialize
 
 # Missing-ratio grades (upper bounds, right-closed).
@@ -68,23 +68,46 @@ def summary_categorical(df: DataFrame, cols: list[str], missing: bool = False) -
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), by=(),
                     names=None, n_buckets: int = 1024) -> DataFrame:
-    """Exact sample quantiles, distributed.
-
-    Values are collapsed to ``(by, variable, value, count)`` (checkpointed:
-    the ranges, ranks and totals all read it), ranked with a
-    two-level prefix sum, and each requested position is picked by a
-    conditional aggregate; no group is ever held in one task.  Definition:
-    inverse empirical CDF with averaging at jumps (sample quantile type 2);
-    at p = 0.5 this is the ordinary median.
+    """Exact sample quantiles as a distributed selection.
+
+    1. values are collapsed to ``(by, variable, value, count)``
+       (checkpointed: every later step reads this table),
+    2. a histogram over equal-width value buckets gives each bucket's row
+       offset (a prefix over at most ``n_buckets`` rows per variable),
+    3. only the buckets holding a requested rank are ranked exactly, by a
+       window partitioned by bucket; the values at the ranks are picked by
+       conditional aggregates.
+
+    No group is ever held in one task, and the exact ranking touches a few
+    buckets instead of every distinct value.  Definition: inverse empirical
+    CDF with averaging at jumps (sample quantile type 2); at p = 0.5 this is
+    the ordinary median.
     """
     by = list(by)
+    keys = [*by, "variable"]
     names = names or [f"p{int(round(p * 100))}" for p in probs]
     long = unpivot(df, cols, keep=by, as_string=False).filter(F.col("value").isNotNull())
-    counts = materialize(long.groupBy(*by, "variable", "value").agg(F.count(F.lit(1)).alias("cnt")))
-    counts = scaled_buckets(counts, [*by, "variable"], "value", n_buckets)
-    counts = running_aggs(counts, [*by, "variable"], "value", sums={"cum": "cnt"}, bucket_col="__qb")
-    tot = counts.groupBy(*by, "variable").agg(F.sum("cnt").alias("n"))
-    j = counts.join(tot, [*by, "variable"])
+    counts = materialize(long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt")))
+    counts = scaled_buckets(counts, keys, "value", n_buckets, name="__qb")
+
+    hist = counts.groupBy(*keys, "__qb").agg(F.sum("cnt").alias("__bt"))
+    wb = Window.partitionBy(*keys).orderBy("__qb")
+    hist = hist.withColumns({
+        "__off": F.coalesce(F.sum("__bt").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "n": F.sum("__bt").over(Window.partitionBy(*keys)),
+    })
+
+    def holds(pos):
+        return (F.col("__off") <= pos) & (pos < F.col("__off") + F.col("__bt"))
+    need = F.lit(False)
+    for p in probs:
+        jj = F.floor(F.col("n") * F.lit(float(p)))
+        need = need | holds(jj) | holds(jj - 1)
+    hist = hist.filter(need).select(*keys, "__qb", "__off", "n")
+
+    cand = counts.join(hist, [*keys, "__qb"])
+    wi = Window.partitionBy(*keys, "__qb").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    cand = cand.withColumn("cum", F.col("__off") + F.sum("cnt").over(wi))
     lo = F.col("cum") - F.col("cnt")          # 0-based position of the first copy
     hi = F.col("cum")                          # one past the last copy
     aggs = [F.first("n").alias("n")]
@@ -92,13 +115,11 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), by=
         np_ = F.col("n") * F.lit(float(p))
         jj = F.floor(np_)
         frac = np_ - jj
-        at_j = (lo <= jj) & (jj < hi)
-        at_jm1 = (lo <= jj - 1) & (jj - 1 < hi)
-        aggs.append(F.max(F.when(at_j, F.col("value"))).alias(f"__a_{name}"))
-        aggs.append(F.max(F.when(at_jm1, F.col("value"))).alias(f"__b_{name}"))
+        aggs.append(F.max(F.when((lo <= jj) & (jj < hi), F.col("value"))).alias(f"__a_{name}"))
+        aggs.append(F.max(F.when((lo <= jj - 1) & (jj - 1 < hi), F.col("value"))).alias(f"__b_{name}"))
         aggs.append(F.first(frac > 0).alias(f"__g_{name}"))
-    g = j.groupBy(*by, "variable").agg(*aggs)
-    sel = [*by, "variable", F.col("n").cast("bigint")]
+    g = cand.groupBy(*keys).agg(*aggs)
+    sel = [*keys, F.col("n").cast("bigint")]
     for name in names:
         sel.append(F.when(F.col(f"__g_{name}"), F.col(f"__a_{name}"))
                     .otherwise((F.col(f"__a_{name}") + F.col(f"__b_{name}")) / 2.0).alias(name))
