@@ -68,18 +68,20 @@ def fisher_2x2(df: DataFrame, cols: list[str], by: str, cells: DataFrame | None
     The per-variable 4-cell row is tiny; the support sum is vectorised in
     numpy inside ``mapInPandas`` (an executor task)."""
     cells = cells if cells is not None else _cells(df, cols, by)
-    lv = cells.groupBy("variable").agg(F.array_sort(F.collect_set("level")).alias("lv"),
-                                       F.array_sort(F.collect_set("grp")).alias("gv"))
-    j = cells.join(lv, "variable")
-    i0 = F.col("level") == F.col("lv")[0]
-    g0 = F.col("grp") == F.col("gv")[0]
+    # 2x2 only: two levels and two groups per variable, found with counts
+    # and min/max (no per-variable level lists)
+    shape = cells.groupBy("variable").agg(
+        F.count_distinct("level").alias("nl"), F.count_distinct("grp").alias("ng"),
+        F.min("level").alias("l0"), F.min("grp").alias("g0"))
+    shape = shape.filter((F.col("nl") == 2) & (F.col("ng") == 2))
+    j = cells.join(shape, "variable")
+    i0 = F.col("level") == F.col("l0")
+    g0 = F.col("grp") == F.col("g0")
     wide = j.groupBy("variable").agg(
         F.sum(F.when(i0 & g0, F.col("o")).otherwise(0)).alias("a"),
         F.sum(F.when(i0 & ~g0, F.col("o")).otherwise(0)).alias("b"),
         F.sum(F.when(~i0 & g0, F.col("o")).otherwise(0)).alias("c"),
-        F.sum(F.when(~i0 & ~g0, F.col("o")).otherwise(0)).alias("d"),
-        F.first(F.size("lv")).alias("nl"), F.first(F.size("gv")).alias("ng"))
-    wide = wide.filter((F.col("nl") == 2) & (F.col("ng") == 2)).drop("nl", "ng")
+        F.sum(F.when(~i0 & ~g0, F.col("o")).otherwise(0)).alias("d"))
 
     def run(batches):
         for pdf in batches:

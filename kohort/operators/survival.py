@@ -281,13 +281,19 @@ def logrank_many(df: DataFrame, time: str, event: str, groupings: list[str],
         long = long.filter(F.col(c).isNotNull())
     c = materialize(long.groupBy("variable", "level", F.col(time).alias("t")).agg(
         F.sum(F.col(event).cast("bigint")).alias("n_event"), F.count(F.lit(1)).alias("n_obs")))
-    lv = c.groupBy("variable").agg(F.array_sort(F.collect_set("level")).alias("levels"))
-    lv_rows = lv.limit(len(groupings) + 1).collect()
-    level_map = {r["variable"]: list(r["levels"]) for r in lv_rows}
-    K = max((len(v) for v in level_map.values()), default=0)
-    if K > max_levels:
+    lvl = c.select("variable", "level").distinct()
+    sizes = lvl.groupBy("variable").count().collect()          # one row per grouping
+    if any(r["count"] > max_levels for r in sizes):
         raise ValueError(f"a grouping has more than {max_levels} levels")
-    idx = c.join(lv, "variable").withColumn("__i", F.array_position("levels", F.col("level")) - 1)
+    level_map: dict = {}
+    for r in lvl.collect():                                     # bounded by the check above
+        level_map.setdefault(r["variable"], []).append(r["level"])
+    level_map = {k: sorted(v) for k, v in level_map.items()}
+    K = max((len(v) for v in level_map.values()), default=0)
+    index = c.sparkSession.createDataFrame(
+        [(v, lv, i) for v, lvs in level_map.items() for i, lv in enumerate(lvs)],
+        "variable string, level string, __i int")
+    idx = c.join(F.broadcast(index), ["variable", "level"])
     wide = idx.groupBy("variable", "t").agg(
         *[F.sum(F.when(F.col("__i") == i, F.col("n_event")).otherwise(0)).alias(f"d{i}") for i in range(K)],
         *[F.sum(F.when(F.col("__i") == i, F.col("n_obs")).otherwise(0)).alias(f"m{i}") for i in range(K)])
