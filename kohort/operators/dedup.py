@@ -47,6 +47,12 @@ def _numeric_key(df: DataFrame, name: str, how: str):
         k = F.unix_micros(c.cast("timestamp")).cast("double")
     elif isinstance(t, _NUMERIC):
         k = c.cast("double")
+    elif isinstance(t, T.StringType):
+        # first 7 UTF-8 bytes, right-padded, as a 56-bit number: never
+        # decreases along binary string order, so it can pick the bucket;
+        # the exact order is restored by the in-bucket sort
+        hexed = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0")
+        k = F.conv(hexed, 16, 10).cast("double")
     else:
         return None
     return -k if how == "desc" else k
@@ -61,7 +67,8 @@ def row_number_col(df: DataFrame, keys: list[str], order_by, name: str = "n",
     key's min/max/count, a small aggregate), then numbered with the
     two-level running count: a key holding a third of all rows is spread
     over many tasks instead of one window partition.  A text first key
-    falls back to a plain window.
+    buckets on its leading bytes; other types (e.g. binary) fall back to a
+    plain window.
     """
     ob = normalize_order(order_by)
     k0 = _numeric_key(df, ob[0][0], ob[0][1])

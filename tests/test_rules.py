@@ -192,3 +192,15 @@ def test_statistics_scan_input_once(spark, sf_dir):
 def SM_exact(li):
     from kohort.operators import summary as SM
     return SM.exact_quantiles(li, ["l_quantity", "l_discount"])
+
+
+def test_row_number_text_key_hot_key_matches_window(spark):
+    from pyspark.sql import Window
+    words = ["alpha", "alp", "beta", "b", "", "zeta", "ñu", "alphabet", None, "Zed"]
+    data = [(0 if i % 4 else 1, words[i % len(words)], i) for i in range(2000)]
+    df = spark.createDataFrame(data, "k int, s string, id int")
+    for how in ("asc", "desc"):
+        got = dedup.row_number_col(df, ["k"], [("s", how), "id"], "n", rows_per_bucket=50)
+        o = F.col("s").desc_nulls_last() if how == "desc" else F.col("s").asc_nulls_last()
+        want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(o, F.col("id"))))
+        assert sorted(rows(got, "k", "id", "n")) == sorted(rows(want, "k", "id", "n"))
