@@ -20,6 +20,12 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def qcol(name: str) -> Column:
+    """Column by its exact name, whatever characters it holds (raw headers
+    carry dots, spaces and quotes before they are normalised)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def if_else(cond: Column, yes, no) -> Column:
     """NULL-propagating two-way choice: NULL condition gives NULL (rule N1)."""
     return F.when(cond, yes).when(~cond, no)

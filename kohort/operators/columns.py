@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kohort.functions.nulls import qcol
+
 
 # --- header normalisation ----------------------------------------------------
 
@@ -65,10 +67,10 @@ def select_rename(df: DataFrame, spec) -> DataFrame:
     cols = []
     for item in spec:
         if isinstance(item, str):
-            cols.append(F.col(f"`{item}`"))
+            cols.append(qcol(item))
         else:
             new, old = item
-            cols.append(F.col(f"`{old}`").alias(new))
+            cols.append(qcol(old).alias(new))
     return df.select(*cols)
 
 
@@ -175,7 +177,7 @@ def cols(df: DataFrame, *selectors) -> list[str]:
 
 
 def select_cols(df: DataFrame, *selectors) -> DataFrame:
-    return df.select(*[F.col(f"`{c}`") for c in cols(df, *selectors)])
+    return df.select(*[qcol(c) for c in cols(df, *selectors)])
 
 
 def drop_cols(df: DataFrame, *selectors) -> DataFrame:
@@ -185,7 +187,7 @@ def drop_cols(df: DataFrame, *selectors) -> DataFrame:
 def mutate_across(df: DataFrame, selector, fn: Callable[[Column], Column]) -> DataFrame:
     """Apply one expression to many columns in place (one projection)."""
     targets = cols(df, selector) if not isinstance(selector, (list, tuple)) else list(selector)
-    return df.withColumns({c: fn(F.col(f"`{c}`")) for c in targets})
+    return df.withColumns({c: fn(qcol(c)) for c in targets})
 
 
 def final_projection(df: DataFrame, selectors, identifiers=()) -> DataFrame:
@@ -194,4 +196,4 @@ def final_projection(df: DataFrame, selectors, identifiers=()) -> DataFrame:
     leaked = [c for c in out if c in set(identifiers)]
     if leaked:
         raise ValueError(f"identifier columns must not be exported: {leaked}")
-    return df.select(*[F.col(f"`{c}`") for c in out])
+    return df.select(*[qcol(c) for c in out])

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kohort.functions.nulls import qcol
 from kohort.operators.prefix import scaled_buckets
 from kohort.session import materialize
 
@@ -21,7 +22,7 @@ NA_GRADES = [("Good", 0.05), ("OK", 0.1), ("NotBad", 0.2), ("Bad", 0.5), ("Remov
 def unpivot(df: DataFrame, cols: list[str], keep=(), as_string: bool = True,
             variable: str = "variable", value: str = "value") -> DataFrame:
     """Wide -> long ``(keep..., variable, value)``."""
-    vals = [F.col(f"`{c}`").cast("string") if as_string else F.col(f"`{c}`").cast("double") for c in cols]
+    vals = [qcol(c).cast("string") if as_string else qcol(c).cast("double") for c in cols]
     tmp = df.select(*[F.col(k) for k in keep], *[v.alias(f"__u{i}") for i, v in enumerate(vals)])
     return tmp.unpivot(list(keep), [f"__u{i}" for i in range(len(cols))], variable, value) \
         .withColumn(variable, F.element_at(F.create_map(*[x for i, c in enumerate(cols)
@@ -36,7 +37,7 @@ def na_pareto(df: DataFrame, only_na: bool = True) -> DataFrame:
     size is the schema width."""
     cols = df.columns
     wide = df.agg(F.count(F.lit(1)).alias("__n"),
-                  *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"__m{i}") for i, c in enumerate(cols)])
+                  *[F.count_if(qcol(c).isNull()).alias(f"__m{i}") for i, c in enumerate(cols)])
     stack = ", ".join(f"'{c}', __m{i}" for i, c in enumerate(cols))
     long = wide.selectExpr("__n", f"stack({len(cols)}, {stack}) AS (variable, n_missing)")
     if only_na:

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kohort.functions.nulls import qcol
+
 # Missing-value tokens of the two cleaning pipelines.
 NA_TOKENS_V1 = ["NA", "N/D", "Seleccione...", "No aplica", "Desconocido", "999", "-999"]
 NA_TOKENS_V2 = ["NA", "N/D", "ND", "Seleccione...", "No aplica", "999", "-999", "cofaco", ""]
@@ -34,11 +36,10 @@ def nullify_tokens(df: DataFrame, tokens, cols: list[str] | None = None) -> Data
     """
     tokens = [str(t) for t in tokens]
     cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns({
-        c: F.when(F.coalesce(F.trim(F.col(c)).isin(tokens), F.lit(False)), F.lit(None))
-            .otherwise(F.col(c))
-        for c in cols
-    })
+    return df.select(*[
+        (F.when(F.coalesce(F.trim(qcol(c)).isin(tokens), F.lit(False)), F.lit(None).cast("string"))
+          .otherwise(qcol(c)).alias(c)) if c in set(cols) else qcol(c)
+        for c in df.columns])
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "csv", na_tokens=("NA",),
@@ -57,7 +58,7 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", na_tokens=("NA"
         reader = reader.option(k, v)
     df = reader.load(path)
     if fmt != "csv":
-        df = df.select([F.col(c).cast("string").alias(c) for c in df.columns])
+        df = df.select([qcol(c).cast("string").alias(c) for c in df.columns])
     return nullify_tokens(df, na_tokens)
 
 
@@ -93,9 +94,9 @@ def data_dictionary(df: DataFrame, exact: bool = True) -> DataFrame:
     fields = df.schema.fields
     aggs = []
     for i, f in enumerate(fields):
-        aggs.append(F.count_if(F.col(f"`{f.name}`").isNull()).alias(f"n{i}"))
-        d = (F.countDistinct(F.col(f"`{f.name}`")) if exact
-             else F.approx_count_distinct(F.col(f"`{f.name}`")))
+        aggs.append(F.count_if(qcol(f.name).isNull()).alias(f"n{i}"))
+        d = (F.countDistinct(qcol(f.name)) if exact
+             else F.approx_count_distinct(qcol(f.name)))
         aggs.append(d.alias(f"d{i}"))
     wide = df.agg(*aggs)
     parts = ", ".join(

@@ -204,3 +204,25 @@ def test_row_number_text_key_hot_key_matches_window(spark):
         o = F.col("s").desc_nulls_last() if how == "desc" else F.col("s").asc_nulls_last()
         want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(o, F.col("id"))))
         assert sorted(rows(got, "k", "id", "n")) == sorted(rows(want, "k", "id", "n"))
+
+
+def test_read_table_csv_tokens_and_parts(spark, tmp_path):
+    from kohort.sources import io
+    raw = tmp_path / "registry.csv"
+    raw.write_text("Id Pte,Fecha Apertura,ECOG,Comorb. Cardio\n"
+                   "1,43893,1 - ok,1\n2,N/D,Desconocido,999\n3,2020-03-03,NA,0\n", encoding="utf-8")
+    df = C.clean_names(io.read_table(spark, str(raw), "csv", io.NA_TOKENS_V1))
+    assert df.columns == ["id_pte", "fecha_apertura", "ecog", "comorb_cardio"]
+    got = {r["id_pte"]: r for r in df.collect()}
+    assert got["2"]["fecha_apertura"] is None and got["2"]["ecog"] is None and got["2"]["comorb_cardio"] is None
+    assert got["3"]["ecog"] is None and got["1"]["ecog"] == "1 - ok"
+    dates = {r["id_pte"]: r["d"] for r in df.select("id_pte", R.to_date_lenient("fecha_apertura").alias("d")).collect()}
+    assert dates == {"1": dt.date(2020, 3, 3), "2": None, "3": dt.date(2020, 3, 3)}
+    # a two-part source, one directory per part
+    for part in (1, 2):
+        spark.createDataFrame([(part, "x")], "k int, v string").write.parquet(str(tmp_path / "src" / str(part)))
+    assert io.read_dataset(spark, str(tmp_path / "src"), 2).collect()[0]["k"] == 2
+    # round trip keeps types and NULLs
+    out = io.write_clean(df.withColumn("d", R.to_date_lenient("fecha_apertura")), str(tmp_path / "clean"))
+    back = io.read_clean(spark, out)
+    assert dict(back.dtypes)["d"] == "date" and back.filter(F.col("d").isNull()).count() == 1
