@@ -98,17 +98,27 @@ def distinct_rows(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def value_counts(df: DataFrame, c: str, levels: DataFrame | None = None,
-                 level_col: str = "level") -> DataFrame:
+                 level_col: str = "level", sort: str | None = None) -> DataFrame:
     """Count per value, NULL included.  With a level table, levels with no
-    rows count 0 (the level table is the small side of a left join)."""
+    rows count 0 (the level table is the small side of a left join).
+    ``sort``: ``"level_desc"`` (by level, descending) or ``"n_desc"``."""
     counts = df.groupBy(F.col(c).alias(level_col)).agg(F.count(F.lit(1)).alias("n"))
     if levels is None:
-        return counts
+        return _sorted_counts(counts, level_col, sort)
     joined = levels.join(counts, levels[level_col].eqNullSafe(counts[level_col]), "full")
-    return joined.select(
+    out = joined.select(
         F.coalesce(levels[level_col], counts[level_col]).alias(level_col),
         F.coalesce(counts["n"], F.lit(0)).cast("bigint").alias("n"),
         *[levels[x] for x in levels.columns if x != level_col])
+    return _sorted_counts(out, level_col, sort)
+
+
+def _sorted_counts(df: DataFrame, level_col: str, sort: str | None) -> DataFrame:
+    if sort == "level_desc":
+        return df.orderBy(F.col(level_col).desc_nulls_last())
+    if sort == "n_desc":
+        return df.orderBy(F.col("n").desc(), F.col(level_col).asc_nulls_last())
+    return df
 
 
 def top_values(df: DataFrame, c: str, k: int = 30) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from kohort.functions.nulls import qcol
 from kohort.operators.prefix import scaled_buckets
 from kohort.session import materialize
+from kohort.sources.io import sql_string
 
 # Missing-ratio grades (upper bounds, right-closed).
 NA_GRADES = [("Good", 0.05), ("OK", 0.1), ("NotBad", 0.2), ("Bad", 0.5), ("Remove", 1.0)]
@@ -38,7 +39,7 @@ def na_pareto(df: DataFrame, only_na: bool = True) -> DataFrame:
     cols = df.columns
     wide = df.agg(F.count(F.lit(1)).alias("__n"),
                   *[F.count_if(qcol(c).isNull()).alias(f"__m{i}") for i, c in enumerate(cols)])
-    stack = ", ".join(f"'{c}', __m{i}" for i, c in enumerate(cols))
+    stack = ", ".join(f"{sql_string(c)}, __m{i}" for i, c in enumerate(cols))
     long = wide.selectExpr("__n", f"stack({len(cols)}, {stack}) AS (variable, n_missing)")
     if only_na:
         long = long.filter(F.col("n_missing") > 0)

@@ -100,7 +100,7 @@ def data_dictionary(df: DataFrame, exact: bool = True) -> DataFrame:
         aggs.append(d.alias(f"d{i}"))
     wide = df.agg(*aggs)
     parts = ", ".join(
-        f"{i + 1}, '{f.name}', '{f.dataType.simpleString()}', n{i}, d{i}"
+        f"{i + 1}, {sql_string(f.name)}, '{f.dataType.simpleString()}', n{i}, d{i}"
         for i, f in enumerate(fields))
     return wide.selectExpr(
         f"stack({len(fields)}, {parts}) AS (position, column_name, data_type, n_missing, n_distinct)"
@@ -110,5 +110,10 @@ def data_dictionary(df: DataFrame, exact: bool = True) -> DataFrame:
         F.lit("").alias("description"))
 
 
+def sql_string(text: str) -> str:
+    """``text`` as a Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def union_all(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)

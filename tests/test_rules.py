@@ -226,3 +226,18 @@ def test_read_table_csv_tokens_and_parts(spark, tmp_path):
     out = io.write_clean(df.withColumn("d", R.to_date_lenient("fecha_apertura")), str(tmp_path / "clean"))
     back = io.read_clean(spark, out)
     assert dict(back.dtypes)["d"] == "date" and back.filter(F.col("d").isNull()).count() == 1
+
+
+def test_odd_column_names_in_generated_sql(spark):
+    from kohort.sources import io
+    from kohort.operators import summary as SM
+    df = spark.createDataFrame([(1, None), (None, "x")], "`it's` int, `a.b` string")
+    dd = {r["column_name"]: r for r in io.data_dictionary(df).collect()}
+    assert dd["it's"]["n_missing"] == 1 and dd["a.b"]["n_distinct"] == 1
+    assert {r["variable"] for r in SM.na_pareto(df).collect()} == {"it's", "a.b"}
+
+
+def test_value_counts_sorted_by_level_desc(spark):
+    from kohort.operators import aggregate as agg
+    df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "x string")
+    assert [r["level"] for r in agg.value_counts(df, "x", sort="level_desc").collect()] == ["c", "b", "a"]
