@@ -157,10 +157,12 @@ def km_delayed_entry(df: DataFrame, start: str, stop: str, event: str, by=(),
         F.count(F.lit(1)).alias("n_out"), F.sum("__e").alias("n_event")).withColumn("n_in", F.lit(0).cast("bigint"))
     ev = entries.unionByName(exits).groupBy(*by, "t").agg(
         F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"), F.sum("n_event").alias("n_event"))
-    ev = running_aggs(ev, by, "t", sums={"__cin": "n_in", "__cout": "n_out"}, n_buckets=n_buckets)
+    ev = scaled_buckets(ev, by, "t", n_buckets, name="__kb")   # shared by both passes
+    ev = running_aggs(ev, by, "t", sums={"__cin": "n_in", "__cout": "n_out"}, bucket_col="__kb")
     ev = ev.withColumn("n_risk", (F.col("__cin") - F.col("n_in")) - (F.col("__cout") - F.col("n_out")))
     ev = ev.filter(F.col("n_out") > 0).withColumn("n_censor", F.col("n_out") - F.col("n_event"))
-    km = _km_from_risk(ev.select(*by, "t", "n_risk", "n_event", "n_censor"), by, n_buckets)
+    km = _km_from_risk(ev.select(*by, "t", "n_risk", "n_event", "n_censor", "__kb"), by, n_buckets,
+                       bucket_col="__kb").drop("__kb")
     return km.select(*by, F.col("t").alias("time"), F.col("n_risk").cast("bigint"),
                      F.col("n_event").cast("bigint"), F.col("n_censor").cast("bigint"), "surv")
 
