@@ -49,9 +49,18 @@ def split_first(c, sep: str) -> tuple[Column, Column]:
     return F.get(parts, 0), F.get(parts, 1)
 
 
-def title_case(c) -> Column:
-    """Lower-case, then capitalise each space-separated word."""
-    return F.initcap(_c(c))
+def title_case(c, breaks: str = "space") -> Column:
+    """Title case.  ``breaks="space"``: Spark's ``initcap`` (words split at
+    spaces).  ``breaks="nonletter"``: a letter is capitalised when it starts
+    the text or follows any non-letter ("nandu-x" -> "Nandu-X"), as word-
+    boundary title casing does; computed JVM-side over the whole text with
+    a higher-order function on its characters."""
+    if breaks == "space":
+        return F.initcap(_c(c))
+    chars = F.split(F.lower(_c(c)), "")
+    out = F.transform(chars, lambda ch, i: F.when(
+        (i == 0) | ~F.get(chars, i - 1).rlike(r"^\p{L}$"), F.upper(ch)).otherwise(ch))
+    return F.when(_c(c).isNull(), F.lit(None)).when(_c(c) == "", F.lit("")).otherwise(F.array_join(out, ""))
 
 
 def to_number(c, to: str = "double") -> Column:

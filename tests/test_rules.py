@@ -241,3 +241,10 @@ def test_value_counts_sorted_by_level_desc(spark):
     from kohort.operators import aggregate as agg
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("a",)], "x string")
     assert [r["level"] for r in agg.value_counts(df, "x", sort="level_desc").collect()] == ["c", "b", "a"]
+
+
+def test_title_case_modes(spark):
+    df = spark.createDataFrame([("ñandú-x rojo",), ("ABC def",), ("",), (None,)], "s string")
+    got = [(r["a"], r["b"]) for r in df.select(R.title_case("s").alias("a"),
+                                               R.title_case("s", "nonletter").alias("b")).collect()]
+    assert got == [("Ñandú-x Rojo", "Ñandú-X Rojo"), ("Abc Def", "Abc Def"), ("", ""), (None, None)]
