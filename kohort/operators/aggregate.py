@@ -134,7 +134,9 @@ def spread_nth(df: DataFrame, keys: list[str], value: str, order_by, n: int = 2,
     """Number records within subject by order and spread ``value`` of
     records 1..n into ``value_1..value_n`` (pivot as conditional aggregates).
 
-    Ranking happens inside a window partitioned by subject."""
+    The ``rn <= n`` filter lets Spark plan a partial ``WindowGroupLimit``
+    before the shuffle: each map task forwards at most ``n`` rows per
+    subject, so a hot subject does not move whole."""
     prefix = prefix or value
     w = Window.partitionBy(*keys).orderBy(*window_order(order_by))
     r = df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n)
