@@ -44,7 +44,8 @@ def patch_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return literal_table(spark, rows, "key bigint, column string, value string, only_if_null boolean")
 
 
-def apply_patches(df: DataFrame, key: str, patches: DataFrame, null_rules: dict | None = None) -> DataFrame:
+def apply_patches(df: DataFrame, key: str, patches: DataFrame, null_rules: dict | None = None,
+                  columns: list[str] | None = None) -> DataFrame:
     """Cell corrections by key.
 
     For each patched column: an unconditional patch replaces the value, an
@@ -54,7 +55,10 @@ def apply_patches(df: DataFrame, key: str, patches: DataFrame, null_rules: dict
     and left-joined once.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    targets = sorted(set(r["column"] for r in patches.select("column").distinct().collect()))
+    # target columns: given, or read from the patch table (at most the
+    # schema width of distinct names)
+    targets = sorted(set(columns) if columns is not None else
+                     set(r["column"] for r in patches.select("column").distinct().collect()))
     wide = patches.groupBy("key").agg(*[
         x for c in targets for x in (
             F.max(F.when(F.col("column") == c, F.col("value"))).alias(f"__v_{c}"),

@@ -253,7 +253,8 @@ FROM fx_rec""")
 def q_apply_patches(spark, d):
     r = fx.fx_rec(spark, d).select("record_id", "dx_date", "stage")
     rules = {"dx_date": F.col("dx_date") > F.lit(PATCH_NULL_AFTER).cast("date")}
-    return LK.apply_patches(r, "record_id", LK.patch_table(spark, PATCHES), rules)
+    return LK.apply_patches(r, "record_id", LK.patch_table(spark, PATCHES), rules,
+                            columns=sorted({c for _, c, _, _ in PATCHES}))
 
 
 # Treatment classes of the two pipelines.

@@ -24,9 +24,20 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables; columns are pruned lazily."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+_TABLES: dict = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, fresh: bool = False) -> DataFrame:
+    """One of the driver's parquet tables; columns are pruned lazily.
+
+    The DataFrame handle (not data) is reused per session and path, so the
+    file listing and footer schema are resolved once; ``fresh`` re-reads
+    when the files may have changed."""
+    path = os.path.join(sf_dir, f"{name}.parquet")
+    key = (id(spark), path)
+    if fresh or key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def nullify_tokens(df: DataFrame, tokens, cols: list[str] | None = None) -> DataFrame:
