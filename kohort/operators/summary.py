@@ -69,7 +69,7 @@ def summary_categorical(df: DataFrame, cols: list[str], missing: bool = False) -
 
 
 def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), by=(),
-                    names=None, n_buckets: int = 1024) -> DataFrame:
+                    names=None, n_buckets: int = 1024, method: str = "type2") -> DataFrame:
     """Exact sample quantiles as a distributed selection.
 
     1. values are collapsed to ``(by, variable, value, count)``
@@ -81,10 +81,13 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), by=
        conditional aggregates.
 
     No group is ever held in one task, and the exact ranking touches a few
-    buckets instead of every distinct value.  Definition: inverse empirical
-    CDF with averaging at jumps (sample quantile type 2); at p = 0.5 this is
-    the ordinary median.
+    buckets instead of every distinct value.  ``method="type2"``: inverse
+    empirical CDF with averaging at jumps (at p = 0.5 the ordinary median);
+    ``method="linear"``: interpolation between order statistics at
+    (n-1)p (type 7, as ``percentile`` / ``quantile_cont``).
     """
+    if method not in ("type2", "linear"):
+        raise ValueError(method)
     by = list(by)
     keys = [*by, "variable"]
     names = names or [f"p{int(round(p * 100))}" for p in probs]
@@ -101,10 +104,19 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), by=
 
     def holds(pos):
         return (F.col("__off") <= pos) & (pos < F.col("__off") + F.col("__bt"))
+    def positions(p):
+        """0-based order statistics the quantile reads: (a, b, weight of b)."""
+        if method == "linear":
+            h = (F.col("n") - 1) * F.lit(float(p))
+            return F.floor(h), F.ceil(h), h - F.floor(h)
+        np_ = F.col("n") * F.lit(float(p))
+        jj = F.floor(np_)
+        # frac > 0: x[jj]; else the mean of x[jj-1] and x[jj]
+        return jj, jj - 1, F.when(np_ - jj > 0, F.lit(0.0)).otherwise(F.lit(0.5))
     need = F.lit(False)
     for p in probs:
-        jj = F.floor(F.col("n") * F.lit(float(p)))
-        need = need | holds(jj) | holds(jj - 1)
+        a, b, _ = positions(p)
+        need = need | holds(a) | holds(b)
     hist = hist.filter(need).select(*keys, "__qb", "__off", "n")
 
     cand = counts.join(hist, [*keys, "__qb"])
@@ -114,17 +126,16 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), by=
     hi = F.col("cum")                          # one past the last copy
     aggs = [F.first("n").alias("n")]
     for p, name in zip(probs, names):
-        np_ = F.col("n") * F.lit(float(p))
-        jj = F.floor(np_)
-        frac = np_ - jj
-        aggs.append(F.max(F.when((lo <= jj) & (jj < hi), F.col("value"))).alias(f"__a_{name}"))
-        aggs.append(F.max(F.when((lo <= jj - 1) & (jj - 1 < hi), F.col("value"))).alias(f"__b_{name}"))
-        aggs.append(F.first(frac > 0).alias(f"__g_{name}"))
+        a, b, wgt = positions(p)
+        aggs.append(F.max(F.when((lo <= a) & (a < hi), F.col("value"))).alias(f"__a_{name}"))
+        aggs.append(F.max(F.when((lo <= b) & (b < hi), F.col("value"))).alias(f"__b_{name}"))
+        aggs.append(F.first(wgt).alias(f"__w_{name}"))
     g = cand.groupBy(*keys).agg(*aggs)
     sel = [*keys, F.col("n").cast("bigint")]
     for name in names:
-        sel.append(F.when(F.col(f"__g_{name}"), F.col(f"__a_{name}"))
-                    .otherwise((F.col(f"__a_{name}") + F.col(f"__b_{name}")) / 2.0).alias(name))
+        va, vb, w = F.col(f"__a_{name}"), F.col(f"__b_{name}"), F.col(f"__w_{name}")
+        # weight 0 reads x[a] alone (x[b] may not exist, e.g. b = -1)
+        sel.append(F.when(w == 0, va).otherwise(va + w * (vb - va)).alias(name))
     return g.select(*sel)
 
 

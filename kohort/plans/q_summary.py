@@ -210,3 +210,15 @@ def q_association_table(spark, d):
     t = A.association_table(orders_period(spark, d), ["o_orderstatus", "o_orderpriority"], ["o_totalprice"],
                             "period")
     return rounded(t)
+
+
+@register("quantiles_linear", sql="""
+SELECT variable, CAST(COUNT(*) AS BIGINT) AS n,
+       ROUND(quantile_cont(value, 0.1), 6) AS p10, ROUND(quantile_cont(value, 0.5), 6) AS p50,
+       ROUND(quantile_cont(value, 0.9), 6) AS p90
+FROM (SELECT 'l_quantity' AS variable, CAST(l_quantity AS DOUBLE) AS value FROM lineitem
+      UNION ALL SELECT 'l_extendedprice', CAST(l_extendedprice AS DOUBLE) FROM lineitem) u
+WHERE value IS NOT NULL GROUP BY variable""")
+def q_quantiles_linear(spark, d):
+    li = table(spark, d, "lineitem")
+    return rounded(SM.exact_quantiles(li, ["l_quantity", "l_extendedprice"], (0.1, 0.5, 0.9), method="linear"))

@@ -110,3 +110,12 @@ def test_na_pareto_and_summaries(spark):
     assert p["y"]["cumulative"] == pytest.approx(50.0) and max(r["cumulative"] for r in p.values()) == 100.0
     cat = {(r["level"]): (r["n"], r["pct"]) for r in SM.summary_categorical(df, ["z"], missing=True).collect()}
     assert cat == {"a": (2, pytest.approx(200 / 3)), "b": (1, pytest.approx(100 / 3)), None: (1, None)}
+
+
+def test_exact_quantiles_linear_matches_numpy(spark):
+    rng = np.random.default_rng(11)
+    vals = np.round(rng.normal(50, 20, 999), 0)
+    df = spark.createDataFrame([(float(v),) for v in vals], "a double")
+    r = SM.exact_quantiles(df, ["a"], (0.1, 0.25, 0.5, 0.9), method="linear", n_buckets=8).collect()[0]
+    for p, name in ((0.1, "p10"), (0.25, "p25"), (0.5, "p50"), (0.9, "p90")):
+        assert r[name] == pytest.approx(np.percentile(vals, p * 100))
