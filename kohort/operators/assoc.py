@@ -2,19 +2,16 @@
 
 Each test is batched over many variables: counts (or ranks) for all
 variables come from one unpivoted aggregate, statistics are column
-arithmetic on the small per-variable tables, and the tail probability is
-an Arrow-batched pandas UDF applied to one row per variable.
+arithmetic on the small per-variable tables, and tail probabilities are
+JVM expressions (incomplete gamma via higher-order functions).
 """
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kohort.functions.stats import chi2_sf_udf, norm_sf2_udf
+from kohort.functions.stats import chi2_sf_sql, lgamma_sql, norm_sf2_sql
 from kohort.operators.prefix import running_aggs, scaled_buckets
 from kohort.operators.summary import unpivot
 from kohort.session import materialize
@@ -52,12 +49,7 @@ def chi2_test(df: DataFrame, cols: list[str], by: str, cells: DataFrame | None =
     out = per.select("variable", stat.alias("statistic"), dfree.alias("df"),
                      (F.col("rmin") * F.col("cmin") / F.col("n")).alias("min_expected"),
                      F.col("n").cast("bigint"), F.col("nr"), F.col("nc"))
-    return out.withColumn("p_value", chi2_sf_udf(F.col("statistic"), F.col("df").cast("double")))
-
-
-def _log_choose(n, k):
-    return (np.vectorize(math.lgamma)(n + 1.0) - np.vectorize(math.lgamma)(k + 1.0)
-            - np.vectorize(math.lgamma)(n - k + 1.0))
+    return out.withColumn("p_value", F.expr(chi2_sf_sql("statistic", "df")))
 
 
 def fisher_2x2(df: DataFrame, cols: list[str], by: str, cells: DataFrame | None = None) -> DataFrame:
@@ -65,8 +57,8 @@ def fisher_2x2(df: DataFrame, cols: list[str], by: str, cells: DataFrame | None
     p_value`` (cells in level x group order; p sums the hypergeometric
     probabilities not above the observed one, relative tolerance 1e-7).
 
-    The per-variable 4-cell row is tiny; the support sum is vectorised in
-    numpy inside ``mapInPandas`` (an executor task)."""
+    The support of cell a is exploded to one row per value and summed by
+    an aggregate: JVM-side, distributed when a margin is large."""
     cells = cells if cells is not None else _cells(df, cols, by)
     # 2x2 only: two levels and two groups per variable, found with counts
     # and min/max (no per-variable level lists)
@@ -83,18 +75,18 @@ def fisher_2x2(df: DataFrame, cols: list[str], by: str, cells: DataFrame | None
         F.sum(F.when(~i0 & g0, F.col("o")).otherwise(0)).alias("c"),
         F.sum(F.when(~i0 & ~g0, F.col("o")).otherwise(0)).alias("d"))
 
-    def run(batches):
-        for pdf in batches:
-            ps = []
-            for a, b, c, d in zip(pdf.a, pdf.b, pdf.c, pdf.d):
-                r1, c1, n = a + b, a + c, a + b + c + d
-                x = np.arange(max(0, r1 + c1 - n), min(r1, c1) + 1, dtype=float)
-                lp = _log_choose(r1, x) + _log_choose(n - r1, c1 - x) - _log_choose(n, c1)
-                lobs = float(_log_choose(r1, a) + _log_choose(n - r1, c1 - a) - _log_choose(n, c1))
-                keep = lp <= lobs + math.log1p(1e-7)
-                ps.append(float(min(1.0, np.exp(lp[keep]).sum())))
-            yield pdf.assign(p_value=ps)
-    return wide.mapInPandas(run, "variable string, a bigint, b bigint, c bigint, d bigint, p_value double")
+    # hypergeometric support of cell a, one row per value (distributed explode)
+    wide = wide.selectExpr("*", "a + b AS r1", "a + c AS c1", "a + b + c + d AS n")
+    lg = lambda z: lgamma_sql(f"CAST({z} AS DOUBLE) + 1D")   # log(z!)
+    # log P(x) = K - log x! - log (r1-x)! - log (c1-x)! - log (n-r1-c1+x)!, K per variable
+    wide = wide.selectExpr("*", f"({lg('r1')} + {lg('n - r1')} + {lg('c1')} + {lg('n - c1')} - {lg('n')}) AS k0")
+    lp = lambda x: f"(k0 - {lg(x)} - {lg(f'r1 - {x}')} - {lg(f'c1 - {x}')} - {lg(f'n - r1 - c1 + {x}')})"
+    wide = wide.selectExpr("*", f"{lp('a')} AS lobs")
+    sup = wide.selectExpr("*", "explode(sequence(greatest(0L, r1 + c1 - n), least(r1, c1))) AS x")
+    sup = sup.selectExpr("variable", "a", "b", "c", "d", "lobs", f"{lp('x')} AS lp")
+    out = sup.groupBy("variable", "a", "b", "c", "d").agg(
+        F.expr("least(1D, SUM(CASE WHEN lp <= lobs + ln(1D + 1e-7D) THEN exp(lp) ELSE 0D END))").alias("p_value"))
+    return out.select("variable", *[F.col(x).cast("bigint") for x in "abcd"], "p_value")
 
 
 def rank_sum_test(df: DataFrame, cols: list[str], by: str, n_buckets: int = 1024) -> DataFrame:
@@ -126,7 +118,7 @@ def rank_sum_test(df: DataFrame, cols: list[str], by: str, n_buckets: int = 1024
     z = (w - mu - F.signum(w - mu) * 0.5) / sigma
     out = per.select("variable", w.alias("statistic"), F.col("n1").cast("bigint"),
                      F.col("n2").cast("bigint"), z.alias("z"))
-    return out.withColumn("p_value", norm_sf2_udf(F.col("z")))
+    return out.withColumn("p_value", F.expr(norm_sf2_sql("z")))
 
 
 def flag_significant(df: DataFrame, alpha: float = 0.05, p: str = "p_value") -> DataFrame:

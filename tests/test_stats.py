@@ -119,3 +119,15 @@ def test_exact_quantiles_linear_matches_numpy(spark):
     r = SM.exact_quantiles(df, ["a"], (0.1, 0.25, 0.5, 0.9), method="linear", n_buckets=8).collect()[0]
     for p, name in ((0.1, "p10"), (0.25, "p25"), (0.5, "p50"), (0.9, "p90")):
         assert r[name] == pytest.approx(np.percentile(vals, p * 100))
+
+
+def test_jvm_tail_probabilities_match_python(spark):
+    from kohort.functions import stats as ST
+    cases = [(3.931597, 8.0), (3.841459, 1.0), (16.7929, 1.0), (500.0, 3.0), (0.5, 4.0), (0.0, 2.0),
+             (30.0, 5.0), (2.0, 25.0), (1e-4, 1.0), (120.0, 100.0), (3.0, 3.0)]
+    df = spark.createDataFrame(cases, "x double, k double")
+    for r in df.selectExpr("x", "k", f"{ST.chi2_sf_sql('x', 'k')} AS p").collect():
+        assert r["p"] == pytest.approx(ST.chi2_sf(r["x"], r["k"]), rel=1e-12, abs=1e-300)
+    z = spark.createDataFrame([(1.959964,), (-3.2,), (8.5,)], "z double")
+    for r in z.selectExpr("z", f"{ST.norm_sf2_sql('z')} AS p").collect():
+        assert r["p"] == pytest.approx(norm_sf2(r["z"]), rel=1e-12)
