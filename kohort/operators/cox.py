@@ -229,6 +229,8 @@ class CoxFit:
     iterations: int
     suf: DataFrame
     wide: tuple | None = None     # (per-pattern risk table, patterns) when few patterns
+    raw: DataFrame | None = None  # checkpointed (t, raw covariates, d, m) the fit was built from
+    covariates: tuple = ()
 
     @property
     def p(self) -> int:
@@ -298,8 +300,13 @@ def coxph(df: DataFrame, time: str, event: str, covariates: list[str], levels: d
     Levels, treatment coding and every iteration work on that table.
     """
     checkpoint_dir(df.sparkSession)
-    raw = raw_sufficient_table(df, time, event, covariates).persist()
-    raw = raw.checkpoint(eager=True)
+    raw = raw_sufficient_table(df, time, event, covariates).checkpoint(eager=True)
+    return _fit_raw(raw, list(covariates), levels, max_iter, eps)
+
+
+def _fit_raw(raw: DataFrame, covariates: list[str], levels: dict | None, max_iter: int,
+             eps: float) -> CoxFit:
+    """Newton-Raphson on a (t, raw covariates, d, m) table."""
     design = build_design(raw, covariates, levels)
     coded = raw.select("t", *design_columns(raw, design), "d", "m")
     suf = coded.groupBy("t", *design.cols).agg(F.sum("d").alias("d"), F.sum("m").alias("m"))
@@ -327,7 +334,7 @@ def coxph(df: DataFrame, time: str, event: str, covariates: list[str], levels: d
             break
     tot = suf.agg(F.sum("m").alias("n"), F.sum("d").alias("e")).collect()[0]
     return CoxFit(design, beta, _inverse(I), ll0, ll, score, int(tot["n"] or 0), int(tot["e"] or 0), it, suf,
-                  wide)
+                  wide, raw, tuple(covariates))
 
 
 def coef_table(spark: SparkSession, fit: CoxFit) -> DataFrame:
@@ -368,9 +375,16 @@ def nested_test(spark: SparkSession, full: CoxFit, reduced: CoxFit) -> DataFrame
 
 
 def drop_term(df: DataFrame, time: str, event: str, fit: CoxFit, covariates: list[str], term: str) -> CoxFit:
-    """Refit without one covariate on the same complete-case rows."""
+    """Refit without one covariate on the same rows.
+
+    The reduced model's sufficient table is the fitted model's table summed
+    over the dropped covariate, so the input is not read again."""
+    keep = [c for c in covariates if c != term]
+    if fit.raw is not None and list(fit.covariates) == list(covariates):
+        raw = fit.raw.groupBy("t", *keep).agg(F.sum("d").alias("d"), F.sum("m").alias("m"))
+        return _fit_raw(raw, keep, fit.design.levels, 20, 1e-9)
     cc = complete_cases(df, time, event, covariates)
-    return coxph(cc, time, event, [c for c in covariates if c != term], levels=fit.design.levels)
+    return coxph(cc, time, event, keep, levels=fit.design.levels)
 
 
 # --- baseline hazard and residuals -------------------------------------------

@@ -93,3 +93,15 @@ def test_concordance_brute_force(spark):
     r = C.concordance(spark, fit).collect()[0]
     assert (r["concordant"], r["discordant"], r["tied_risk"]) == (conc, disc, tied)
     assert r["concordance"] == pytest.approx((conc + tied / 2) / (conc + disc + tied))
+
+
+def test_drop_term_reuses_fit_table_and_matches_fresh_fit(spark):
+    rows = [(i, (i * 13) % 29 + 1, int(i % 5 != 0), "abc"[i % 3], "xy"[(i // 3) % 2]) for i in range(240)]
+    df = spark.createDataFrame(rows, "id bigint, t bigint, e bigint, g string, h string")
+    full = C.coxph(df, "t", "e", ["g", "h"])
+    reduced = C.drop_term(df, "t", "e", full, ["g", "h"], "h")
+    fresh = C.coxph(df, "t", "e", ["g"])
+    assert reduced.loglik == pytest.approx(fresh.loglik, abs=1e-10)
+    assert reduced.beta == pytest.approx(fresh.beta, abs=1e-10)
+    nt = C.nested_test(spark, full, reduced).collect()[0]
+    assert nt["df"] == 1 and nt["chisq"] == pytest.approx(2 * (full.loglik - fresh.loglik))
