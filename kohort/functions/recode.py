@@ -81,8 +81,10 @@ SPREADSHEET_EPOCH = "1899-12-30"
 
 def to_date_lenient(c, formats=("yyyy-MM-dd", "dd/MM/yyyy")) -> Column:
     """Spreadsheet serial day number or date text -> DATE; else NULL."""
-    serial = F.date_add(F.lit(SPREADSHEET_EPOCH).cast("date"),
-                        F.floor(_c(c).try_cast("double")).cast("int"))
+    num = _c(c).try_cast("double")
+    # day numbers of 0001-01-01 .. 9999-12-31; anything else is not a serial
+    serial = F.when(num.between(-693593.0, 2958465.0),
+                    F.date_add(F.lit(SPREADSHEET_EPOCH).cast("date"), F.floor(num).cast("int")))
     alts = [F.try_to_date(_c(c), fmt) for fmt in formats]
     return F.coalesce(serial, *alts)
 

@@ -101,7 +101,8 @@ def q_leading_grade(spark, d):
 
 
 @register("lenient_date", fixtures=("fx_dirty",), sql=f"""
-SELECT event_id, COALESCE(DATE '1899-12-30' + CAST(floor(TRY_CAST(x AS DOUBLE)) AS INT),
+SELECT event_id, COALESCE(CASE WHEN TRY_CAST(x AS DOUBLE) BETWEEN -693593.0 AND 2958465.0
+                               THEN DATE '1899-12-30' + CAST(floor(TRY_CAST(x AS DOUBLE)) AS INT) END,
                           CAST(try_strptime(x, '%Y-%m-%d') AS DATE),
                           CAST(try_strptime(x, '%d/%m/%Y') AS DATE)) AS day
 FROM (SELECT event_id, CASE WHEN trim(raw_date) IN ({V1_SQL}) THEN NULL ELSE raw_date END AS x FROM fx_dirty) t""")

@@ -91,9 +91,9 @@ def test_age_bands_literal(spark):
 
 
 def test_serial_dates(spark):
-    df = spark.createDataFrame([("43893",), ("2020-03-03",), ("N/D",)], "x string")
+    df = spark.createDataFrame([("43893",), ("2020-03-03",), ("N/D",), ("1e20",), ("NaN",)], "x string")
     got = [r["d"] for r in df.select(R.to_date_lenient("x").alias("d")).collect()]
-    assert got == [dt.date(2020, 3, 3), dt.date(2020, 3, 3), None]
+    assert got == [dt.date(2020, 3, 3), dt.date(2020, 3, 3), None, None, None]
 
 
 def test_days_and_years(spark):
