@@ -550,5 +550,5 @@ def concordance(spark: SparkSession, fit: CoxFit) -> DataFrame:
     tied = " + ".join(f"d{i} * {g[i]}" for i in range(r))
     agg = wide.selectExpr(f"SUM({conc}) AS concordant", f"SUM({disc}) AS discordant",
                           f"SUM({tied}) AS tied_risk")
-    return agg.withColumn("concordance", (F.col("concordant") + 0.5 * F.col("tied_risk"))
-                          / (F.col("concordant") + F.col("discordant") + F.col("tied_risk")))
+    pairs = F.col("concordant") + F.col("discordant") + F.col("tied_risk")
+    return agg.withColumn("concordance", F.when(pairs > 0, (F.col("concordant") + 0.5 * F.col("tied_risk")) / pairs))

@@ -43,7 +43,7 @@ def na_pareto(df: DataFrame, only_na: bool = True) -> DataFrame:
     long = wide.selectExpr("__n", f"stack({len(cols)}, {stack}) AS (variable, n_missing)")
     if only_na:
         long = long.filter(F.col("n_missing") > 0)
-    ratio = F.col("n_missing") / F.col("__n")
+    ratio = F.when(F.col("__n") > 0, F.col("n_missing") / F.col("__n"))
     grade = None
     for name, hi in NA_GRADES:
         grade = F.when(ratio <= hi, name) if grade is None else grade.when(ratio <= hi, name)
@@ -51,7 +51,9 @@ def na_pareto(df: DataFrame, only_na: bool = True) -> DataFrame:
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return long.select(
         "variable", F.col("n_missing").cast("bigint"), ratio.alias("ratio"),
-        (F.sum("n_missing").over(w) * 100.0 / F.sum("n_missing").over(Window.partitionBy())).alias("cumulative"),
+        F.when(F.sum("n_missing").over(Window.partitionBy()) > 0,
+               F.sum("n_missing").over(w) * 100.0 / F.sum("n_missing").over(Window.partitionBy()))
+         .alias("cumulative"),
         grade.alias("grade"))
 
 

@@ -277,3 +277,15 @@ def test_results_independent_of_input_partitioning(spark, sf_dir):
     seven = ops(rec.repartition(7), sess.repartition(7))
     for k in one:
         assert canon(one[k]) == canon(seven[k]), k
+
+
+def test_degenerate_inputs_give_null_not_errors(spark):
+    from kohort.operators import assoc as A
+    from kohort.operators import summary as SM
+    empty = spark.createDataFrame([], "x int, y string")
+    assert SM.na_pareto(empty, only_na=False).collect()[0]["ratio"] is None
+    full = spark.createDataFrame([(1, "a"), (2, "b")], "x int, y string")
+    assert all(r["cumulative"] is None for r in SM.na_pareto(full, only_na=False).collect())
+    ties = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("a", 1.0)], "g string, v double")
+    r = A.rank_sum_test(ties, ["v"], "g").collect()[0]
+    assert r["z"] is None and r["p_value"] is None
