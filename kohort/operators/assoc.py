@@ -114,7 +114,8 @@ def rank_sum_test(df: DataFrame, cols: list[str], by: str, n_buckets: int = 1024
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     w = F.col("r1") - n1 * (n1 + 1) / 2.0
     mu = n1 * n2 / 2.0
-    sigma = F.sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - F.col("ties") / ((n1 + n2) * (n1 + n2 - 1))))
+    sigma = F.when(n1 + n2 > 1,
+                   F.sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - F.col("ties") / ((n1 + n2) * (n1 + n2 - 1)))))
     z = F.when(sigma > 0, (w - mu - F.signum(w - mu) * 0.5) / sigma)   # NULL when undefined
     out = per.select("variable", w.alias("statistic"), F.col("n1").cast("bigint"),
                      F.col("n2").cast("bigint"), z.alias("z"))

@@ -289,3 +289,5 @@ def test_degenerate_inputs_give_null_not_errors(spark):
     ties = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("a", 1.0)], "g string, v double")
     r = A.rank_sum_test(ties, ["v"], "g").collect()[0]
     assert r["z"] is None and r["p_value"] is None
+    one = spark.createDataFrame([("a", 2.0)], "g string, v double")
+    assert A.rank_sum_test(one, ["v"], "g").collect()[0]["z"] is None
