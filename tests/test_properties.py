@@ -61,3 +61,37 @@ def test_collapse_matches_pandas(spark, rows):
         assert got[k]["n_records"] == len(g)
         assert got[k]["v_1"] == norm(first)
         assert got[k]["v_2"] == (norm(last) if len(g) > 1 else None)
+
+
+def _type2(x, p):
+    x = np.sort(np.asarray(x, float))
+    n = len(x)
+    j = int(np.floor(n * p))
+    return x[j] if n * p - j > 0 else (x[j - 1] + x[j]) / 2
+
+
+@settings(**SETTINGS)
+@given(vals=st.lists(st.integers(-50, 50), min_size=2, max_size=80),
+       nb=st.integers(1, 12))
+def test_quantiles_match_definitions(spark, vals, nb):
+    from kohort.operators import summary as SM
+    df = spark.createDataFrame([(float(v),) for v in vals], "a double")
+    t2 = SM.exact_quantiles(df, ["a"], (0.25, 0.5, 0.75), n_buckets=nb).collect()[0]
+    lin = SM.exact_quantiles(df, ["a"], (0.1, 0.5, 0.9), n_buckets=nb, method="linear").collect()[0]
+    for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
+        assert t2[name] == pytest.approx(_type2(vals, p))
+    for p, name in ((0.1, "p10"), (0.5, "p50"), (0.9, "p90")):
+        assert lin[name] == pytest.approx(np.percentile(vals, p * 100))
+
+
+@settings(**SETTINGS)
+@given(a=st.lists(st.integers(0, 8), min_size=1, max_size=30), b=st.lists(st.integers(0, 8), min_size=1, max_size=30))
+def test_rank_sum_statistic(spark, a, b):
+    from kohort.operators import assoc as A
+    rows = [("g1", float(v)) for v in a] + [("g2", float(v)) for v in b]
+    got = A.rank_sum_test(spark.createDataFrame(rows, "g string, v double"), ["v"], "g").collect()[0]
+    allv = np.array([r[1] for r in rows])
+    ranks = np.array([(allv < v).sum() + ((allv == v).sum() + 1) / 2 for v in allv])
+    w = ranks[: len(a)].sum() - len(a) * (len(a) + 1) / 2
+    assert got["statistic"] == pytest.approx(w)
+    assert (got["n1"], got["n2"]) == (len(a), len(b))
