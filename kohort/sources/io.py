@@ -94,13 +94,14 @@ def read_clean(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def data_dictionary(df: DataFrame, exact: bool = True) -> DataFrame:
+def data_dictionary(df: DataFrame, exact: bool = True, path: str | None = None) -> DataFrame:
     """One row per column: position, name, type, NULL count, distinct count.
 
     One aggregate pass computes every column's statistics; the wide result
     row is turned into rows with ``stack``.  ``exact=False`` uses HLL++
     (``approx_count_distinct``), which keeps the pass map-side combinable at
-    any scale; exact distinct counts shuffle every distinct value.
+    any scale; exact distinct counts shuffle every distinct value.  With
+    ``path`` the dictionary is written there (Parquet) and read back.
     """
     fields = df.schema.fields
     aggs = []
@@ -109,16 +110,19 @@ def data_dictionary(df: DataFrame, exact: bool = True) -> DataFrame:
         d = (F.countDistinct(qcol(f.name)) if exact
              else F.approx_count_distinct(qcol(f.name)))
         aggs.append(d.alias(f"d{i}"))
-    wide = df.agg(*aggs)
+    wide = df.agg(*aggs)   # one row: every statistic in a single pass
     parts = ", ".join(
         f"{i + 1}, {sql_string(f.name)}, '{f.dataType.simpleString()}', n{i}, d{i}"
         for i, f in enumerate(fields))
-    return wide.selectExpr(
+    out = wide.selectExpr(
         f"stack({len(fields)}, {parts}) AS (position, column_name, data_type, n_missing, n_distinct)"
     ).select(
         F.col("position").cast("bigint"), "column_name", "data_type",
         F.col("n_missing").cast("bigint"), F.col("n_distinct").cast("bigint"),
         F.lit("").alias("description"))
+    if path is not None:
+        return read_clean(df.sparkSession, write_clean(out, path))
+    return out
 
 
 def sql_string(text: str) -> str:

@@ -291,3 +291,11 @@ def test_degenerate_inputs_give_null_not_errors(spark):
     assert r["z"] is None and r["p_value"] is None
     one = spark.createDataFrame([("a", 2.0)], "g string, v double")
     assert A.rank_sum_test(one, ["v"], "g").collect()[0]["z"] is None
+
+
+def test_data_dictionary_persisted(spark, tmp_path):
+    from kohort.sources import io
+    df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
+    dd = io.data_dictionary(df, path=str(tmp_path / "dict"))
+    assert {r["column_name"]: r["n_missing"] for r in dd.collect()} == {"a": 0, "b": 1}
+    assert (tmp_path / "dict").exists()
