@@ -1,7 +1,7 @@
 """Running (prefix / suffix) aggregates over an ordered key without a
 single-partition window.
 
-Survival curves, risk sets, mid-ranks and exact quantiles all need a
+Survival curves, risk sets, mid-ranks and row numbers all need a
 cumulative sum over a sorted key.  ``Window.orderBy`` without
 ``partitionBy`` would pull every row into one task, so the key is split
 into range buckets:
@@ -12,8 +12,9 @@ into range buckets:
    over that small table),
 3. the offsets joined back to the windowed rows.
 
-Steps 1-3 share one hash partitioning of the input, so it is shuffled (and
-scanned) once.  Step 2's table has ``#partitions x #buckets`` rows; it is
+Steps 1-3 read the input through one hash partitioning (partition x
+bucket); step 2 needs no new shuffle of the rows, and AQE reuses the
+exchange when a branch repeats it.  Step 2's table has ``#partitions x #buckets`` rows; it is
 joined back without a broadcast hint, so AQE picks broadcast only when the
 measured size allows it.  Inputs must be unique on ``(partition_cols, order_col)``
 (callers collapse first), so row frames are exact.
