@@ -17,6 +17,8 @@ from kohort.functions import recode as R
 from kohort.functions import rowwise as RW
 from kohort.functions.nulls import isin_or_false
 from kohort.operators import aggregate as agg
+from kohort.operators import assoc as A
+from kohort.operators import levels as LV
 from kohort.operators import columns as C
 from kohort.operators import cox as CX
 from kohort.operators import dedup
@@ -115,6 +117,10 @@ def cohort_report(spark: SparkSession, d: str, reg: DataFrame | None = None,
     and a Cox model with its by-products (the model fit runs when called)."""
     reg = reg if reg is not None else clean_registry(spark, d)
     out = {
+        "levels_tumour_type": LV.relevel(LV.levels_from(reg, "tumour_type"), first=["Sólido"]),
+        "levels_code_group": LV.relevel(LV.levels_by_freq(reg, "code_group"), last=["other"]),
+        "association": A.association_table(reg, ["age_cat", "tumour_type", "severity", "com_band"],
+                                           ["age", "ecog_num"], "event"),
         "missing": SM.na_pareto(reg),
         "categorical": SM.summary_categorical(reg, ["age_cat", "tumour_type", "stage", "severity", "com_band"]),
         "continuous": SM.summary_continuous(reg, ["age", "ecog_num", "n_sessions"]),

@@ -155,6 +155,11 @@ def test_cohort_report_runs_end_to_end(spark, sf_dir):
     from kohort.plans import pipelines as P
     rep = P.cohort_report(spark, sf_dir)
     assert rep["km_groupings"].count() > 0
+    assert rep["levels_tumour_type"].orderBy("ord").first()["level"] == "Sólido"
+    assert rep["levels_code_group"].orderBy("ord").collect()[-1]["level"] == "other"
+    assoc = {r["variable"]: r for r in rep["association"].collect()}
+    assert set(assoc) == {"age_cat", "tumour_type", "severity", "com_band", "age", "ecog_num"}
+    assert assoc["age"]["test"] == "rank_sum"
     coefs = rep["cox_coefficients"].collect()
     assert {r["variable"] for r in coefs} == {"tumour_type", "age_cat"}
     n_age = sum(1 for r in coefs if r["variable"] == "age_cat")
