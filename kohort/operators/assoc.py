@@ -101,8 +101,9 @@ def rank_sum_test(df: DataFrame, cols: list[str], by: str, n_buckets: int = 1024
     # one pass over the input: counts per (variable, value, group), checkpointed
     vg = materialize(long.groupBy("variable", "value", F.col(by).cast("string").alias("__g"))
                      .agg(F.count(F.lit(1)).alias("c")))
-    first = vg.groupBy("variable").agg(F.min("__g").alias("__g1"))
-    counts = vg.join(first, "variable").groupBy("variable", "value").agg(
+    first = vg.groupBy("variable").agg(F.min("__g").alias("__g1"), F.count_distinct("__g").alias("__ng"))
+    # the test is defined for exactly two groups; other variables get NULLs
+    counts = vg.join(first.filter(F.col("__ng") == 2), "variable").groupBy("variable", "value").agg(
         F.sum("c").alias("t"), F.sum(F.when(F.col("__g") == F.col("__g1"), F.col("c")).otherwise(0)).alias("t1"))
     counts = scaled_buckets(counts, ["variable"], "value", n_buckets)
     counts = running_aggs(counts, ["variable"], "value", sums={"cum": "t"}, bucket_col="__qb")
@@ -119,6 +120,11 @@ def rank_sum_test(df: DataFrame, cols: list[str], by: str, n_buckets: int = 1024
     z = F.when(sigma > 0, (w - mu - F.signum(w - mu) * 0.5) / sigma)   # NULL when undefined
     out = per.select("variable", w.alias("statistic"), F.col("n1").cast("bigint"),
                      F.col("n2").cast("bigint"), z.alias("z"))
+    # variables without exactly two groups appear with NULL statistics
+    others = first.filter(F.col("__ng") != 2).select(
+        "variable", F.lit(None).cast("double").alias("statistic"), F.lit(None).cast("bigint").alias("n1"),
+        F.lit(None).cast("bigint").alias("n2"), F.lit(None).cast("double").alias("z"))
+    out = out.unionByName(others)
     return out.withColumn("p_value", F.expr(norm_sf2_sql("z")))
 
 

@@ -131,3 +131,9 @@ def test_jvm_tail_probabilities_match_python(spark):
     z = spark.createDataFrame([(1.959964,), (-3.2,), (8.5,)], "z double")
     for r in z.selectExpr("z", f"{ST.norm_sf2_sql('z')} AS p").collect():
         assert r["p"] == pytest.approx(norm_sf2(r["z"]), rel=1e-12)
+
+
+def test_rank_sum_requires_two_groups(spark):
+    rows = [("a", 1.0), ("b", 2.0), ("c", 3.0), ("a", 4.0)]
+    r = A.rank_sum_test(spark.createDataFrame(rows, "g string, v double"), ["v"], "g").collect()
+    assert len(r) == 1 and r[0]["statistic"] is None and r[0]["p_value"] is None
