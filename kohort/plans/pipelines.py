@@ -218,3 +218,40 @@ def clean_registry_v2(spark: SparkSession, d: str) -> DataFrame:
         "has_second", "metastasis", "severity", "age_first", "date_first", "date_last", "n_sessions",
         "lag", "event_study", "event_date", "died_study", "death_date_study", "entry_date", "exit_date"],
         identifiers=[])
+
+
+V1_REPORT_COLUMNS = {"time", "event", "subject_id", "tumour_type", "code_group", *REPORT_GROUPINGS}
+V2_REPORT_COLUMNS = {"subject_id", "entry_date", "exit_date", "event_study", "tumour_type", "loc_tumor",
+                     "age_cat", "severity", "com_n_cat", "age", "ecog_num"}
+
+
+def cohort_report_v2(spark: SparkSession, reg: DataFrame) -> dict:
+    """Report for a cohort with entry/exit dates: summaries, association by
+    the in-year event, and the delayed-entry curve on (entry, exit]."""
+    start = V2_STUDY[0]
+    surv = reg.select(D.days_between(start, "entry_date").alias("start"),
+                      D.days_between(start, "exit_date").alias("stop"), "event_study")
+    return {
+        "levels_tumour_type": LV.relevel(LV.levels_from(reg, "tumour_type"), first=["Sólido"]),
+        "levels_loc_tumor": LV.relevel(LV.levels_by_freq(reg, "loc_tumor"), last=["other"]),
+        "missing": SM.na_pareto(reg),
+        "categorical": SM.summary_categorical(reg, ["age_cat", "tumour_type", "loc_tumor", "severity",
+                                                     "com_n_cat"]),
+        "continuous": SM.summary_continuous(reg, ["age", "ecog_num", "n_sessions"]),
+        "association": A.association_table(reg, ["age_cat", "tumour_type", "severity", "com_n_cat"],
+                                           ["age", "ecog_num"], "event_study"),
+        "km_delayed_entry": S.km_delayed_entry(surv, "start", "stop", "event_study"),
+        "km_delayed_entry_excluded": S.delayed_entry_excluded(surv, "start", "stop"),
+    }
+
+
+def report_for(spark: SparkSession, reg: DataFrame) -> dict:
+    """Pick the report by the cohort's schema, checked at the boundary."""
+    cols = set(reg.columns)
+    if V1_REPORT_COLUMNS <= cols:
+        return cohort_report(spark, "", reg=reg)
+    if V2_REPORT_COLUMNS <= cols:
+        return cohort_report_v2(spark, reg)
+    missing_v1 = sorted(V1_REPORT_COLUMNS - cols)
+    missing_v2 = sorted(V2_REPORT_COLUMNS - cols)
+    raise ValueError(f"cohort fits neither report schema; missing {missing_v1} (v1) or {missing_v2} (v2)")

@@ -304,3 +304,17 @@ def test_data_dictionary_persisted(spark, tmp_path):
     dd = io.data_dictionary(df, path=str(tmp_path / "dict"))
     assert {r["column_name"]: r["n_missing"] for r in dd.collect()} == {"a": 0, "b": 1}
     assert (tmp_path / "dict").exists()
+
+
+def test_clean_then_report_jobs(spark, tmp_path):
+    from kohort.plans import jobs
+    cohort = jobs.clean(spark, "/root/testdata/sf0.01", str(tmp_path / "cohort"))
+    assert spark.read.parquet(cohort).count() > 0
+    assert spark.read.parquet(str(tmp_path / "cohort_dictionary")).count() > 0
+    written = jobs.report(spark, cohort, str(tmp_path / "report"))
+    assert {"km_groupings", "logrank", "cox_coefficients", "association", "missing"} <= set(written)
+    assert spark.read.parquet(written["km_groupings"]).count() > 0
+    cohort2 = jobs.clean(spark, "/root/testdata/sf0.01", str(tmp_path / "cohort2"), version="v2")
+    written2 = jobs.report(spark, cohort2, str(tmp_path / "report2"))
+    assert {"km_delayed_entry", "association", "levels_loc_tumor"} <= set(written2)
+    assert spark.read.parquet(written2["km_delayed_entry"]).count() > 0
