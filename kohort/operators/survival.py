@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from kohort.functions.stats import Z975, chi2_sf
 from kohort.operators.prefix import running_aggs, scaled_buckets
+from kohort.session import materialize
 
 
 def surv_data(df: DataFrame, time: str, event: str, by=()) -> DataFrame:
@@ -65,7 +66,9 @@ def kaplan_meier(df: DataFrame, time: str, event: str, by=(), conf_level: float
     censoring): ``by..., time, n_risk, n_event, n_censor, surv, std_err,
     lower, upper``."""
     by = list(by)
-    c = collapse(df, time, event, by)
+    # the collapsed table is small and feeds several branches: checkpoint it
+    # so the input is read once whatever the optimizer prunes per branch
+    c = materialize(collapse(df, time, event, by))
     c = scaled_buckets(c, by, "t", n_buckets, name="__kb")   # shared by both passes
     c = running_aggs(c, by, "t", suffix_sums={"n_risk": "n_obs"}, bucket_col="__kb")
     c = c.withColumn("n_censor", F.col("n_obs") - F.col("n_event"))
@@ -82,19 +85,24 @@ def _zq(level: float) -> float:
     return NormalDist().inv_cdf(0.5 + level / 2.0)
 
 
-def km_summary(km: DataFrame, df: DataFrame, time: str, event: str, by=(), tol: float = 1e-12) -> DataFrame:
-    """Records, events, median survival and its confidence limits.
+def km_summary(km: DataFrame, df: DataFrame | None = None, time: str | None = None,
+               event: str | None = None, by=(), tol: float = 1e-12) -> DataFrame:
+    """Records, events, median survival and its confidence limits, all
+    read from the curve table (records = at-risk count at the first time,
+    events = sum of events), so the input is not scanned again.
 
     Median = first time with S <= 0.5; when S is exactly 0.5 on a step, the
     midpoint to the next drop.  Limits: first times where the lower / upper
-    confidence curve reaches 0.5 (the lower curve gets there first).  NULL when never reached."""
+    confidence curve reaches 0.5 (the lower curve gets there first).  NULL
+    when never reached.  (``df``, ``time``, ``event`` are accepted for
+    compatibility and not used.)"""
+    by = list(by)
     if not by:
         # one overall group: a constant key keeps the join an equi join
-        df, km, by = df.withColumn("__all", F.lit(1)), km.withColumn("__all", F.lit(1)), ["__all"]
-        return km_summary(km, df, time, event, by, tol).drop("__all")
-    by = list(by)
-    counts = surv_data(df, time, event, by).groupBy(*by).agg(
-        F.count(F.lit(1)).cast("bigint").alias("records"), F.sum("e").cast("bigint").alias("events"))
+        km = km.withColumn("__all", F.lit(1))
+        return km_summary(km, None, None, None, ["__all"], tol).drop("__all")
+    counts = km.groupBy(*by).agg(F.max("n_risk").cast("bigint").alias("records"),
+                                 F.sum("n_event").cast("bigint").alias("events"))
     half = 0.5
     drops = km.filter(F.col("n_event") > 0)
     at_half = F.abs(F.col("surv") - half) <= tol
@@ -112,12 +120,13 @@ def km_summary(km: DataFrame, df: DataFrame, time: str, event: str, by=(), tol:
     return counts.join(med, on=by, how="left")
 
 
-def curve_points(km: DataFrame, df: DataFrame, time: str, event: str, by=(),
-                 ylim: tuple[float, float] | None = None) -> DataFrame:
+def curve_points(km: DataFrame, df: DataFrame | None = None, time: str | None = None,
+                 event: str | None = None, by=(), ylim: tuple[float, float] | None = None) -> DataFrame:
     """Step points for plotting: the curve plus an origin row (t=0, S=1)
-    per group; ``in_window`` marks points inside ``ylim``."""
+    per group, its at-risk count read from the curve; ``in_window`` marks
+    points inside ``ylim``."""
     by = list(by)
-    n = surv_data(df, time, event, by).groupBy(*by).agg(F.count(F.lit(1)).cast("bigint").alias("n_risk"))
+    n = km.groupBy(*by).agg(F.max("n_risk").cast("bigint").alias("n_risk"))
     origin = n.select(*by, F.lit(0).cast(km.schema["time"].dataType).alias("time"), "n_risk",
                       F.lit(0).cast("bigint").alias("n_event"), F.lit(0).cast("bigint").alias("n_censor"),
                       F.lit(1.0).alias("surv"), F.lit(1.0).alias("lower"), F.lit(1.0).alias("upper"))
@@ -155,8 +164,8 @@ def km_delayed_entry(df: DataFrame, start: str, stop: str, event: str, by=(),
         .withColumns({"n_out": F.lit(0).cast("bigint"), "n_event": F.lit(0).cast("bigint")})
     exits = base.groupBy(*by, F.col("__x").alias("t")).agg(
         F.count(F.lit(1)).alias("n_out"), F.sum("__e").alias("n_event")).withColumn("n_in", F.lit(0).cast("bigint"))
-    ev = entries.unionByName(exits).groupBy(*by, "t").agg(
-        F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"), F.sum("n_event").alias("n_event"))
+    ev = materialize(entries.unionByName(exits).groupBy(*by, "t").agg(
+        F.sum("n_in").alias("n_in"), F.sum("n_out").alias("n_out"), F.sum("n_event").alias("n_event")))
     ev = scaled_buckets(ev, by, "t", n_buckets, name="__kb")   # shared by both passes
     ev = running_aggs(ev, by, "t", sums={"__cin": "n_in", "__cout": "n_out"}, bucket_col="__kb")
     ev = ev.withColumn("n_risk", (F.col("__cin") - F.col("n_in")) - (F.col("__cout") - F.col("n_out")))
@@ -206,9 +215,9 @@ def logrank_sums(df: DataFrame, time: str, event: str, by: str, levels: list | N
     The collapsed table is widened to one row per time with one column per
     level (conditional sums: the levels are the pivot values), so at-risk
     counts of every level exist at every pooled time without a grid join."""
-    levels = levels if levels is not None else group_levels(df, by)
+    c = materialize(collapse(df, time, event, [by]))
+    levels = levels if levels is not None else group_levels(c, by)   # read from the small table
     k = len(levels)
-    c = collapse(df, time, event, [by])
     g = F.col(by)
     wide = c.groupBy("t").agg(
         *[F.sum(F.when(g == lv, F.col("n_event")).otherwise(0)).alias(f"d{i}") for i, lv in enumerate(levels)],
@@ -276,7 +285,6 @@ def logrank_many(df: DataFrame, time: str, event: str, groupings: list[str],
     runs in ``applyInPandas`` grouped by variable.
     """
     from kohort.operators.summary import unpivot  # local: summary imports prefix only
-    from kohort.session import materialize
     long = unpivot(df.select(time, event, *groupings), groupings, keep=[time, event],
                    variable="variable", value="level")
     for c in (time, event, "level"):
