@@ -15,58 +15,67 @@ import math
 Z975 = 1.959963984540054  # standard normal 97.5% quantile
 
 
-def gammaincc(a: float, x: float) -> float:
-    """Regularised upper incomplete gamma Q(a, x): series below a+1,
-    Lentz continued fraction above (standard numerical method)."""
-    if x is None or a is None or (isinstance(x, float) and math.isnan(x)):
-        return float("nan")
-    if x <= 0:
-        return 1.0
-    lg = math.lgamma(a)
-    if x < a + 1.0:
-        term = 1.0 / a
-        s = term
-        ap = a
-        for _ in range(10000):
-            ap += 1.0
-            term *= x / ap
-            s += term
-            if abs(term) < abs(s) * 1e-16:
+def _tail_functions():
+    """Build the tail functions as closures.  Functions created here are
+    shipped to Python workers by value, so tasks that use them do not need
+    this package installed on the executors."""
+    import math
+
+    def gammaincc(a: float, x: float) -> float:
+        """Regularised upper incomplete gamma Q(a, x): series below a+1,
+        Lentz continued fraction above (standard numerical method)."""
+        if x is None or a is None or (isinstance(x, float) and math.isnan(x)):
+            return float("nan")
+        if x <= 0:
+            return 1.0
+        lg = math.lgamma(a)
+        if x < a + 1.0:
+            term = 1.0 / a
+            s = term
+            ap = a
+            for _ in range(10000):
+                ap += 1.0
+                term *= x / ap
+                s += term
+                if abs(term) < abs(s) * 1e-16:
+                    break
+            p = s * math.exp(-x + a * math.log(x) - lg)
+            return max(0.0, 1.0 - p)
+        tiny = 1e-300
+        b = x + 1.0 - a
+        c = 1.0 / tiny
+        d = 1.0 / b
+        h = d
+        for i in range(1, 10000):
+            an = -i * (i - a)
+            b += 2.0
+            d = an * d + b
+            if abs(d) < tiny:
+                d = tiny
+            c = b + an / c
+            if abs(c) < tiny:
+                c = tiny
+            d = 1.0 / d
+            delta = d * c
+            h *= delta
+            if abs(delta - 1.0) < 1e-16:
                 break
-        p = s * math.exp(-x + a * math.log(x) - lg)
-        return max(0.0, 1.0 - p)
-    tiny = 1e-300
-    b = x + 1.0 - a
-    c = 1.0 / tiny
-    d = 1.0 / b
-    h = d
-    for i in range(1, 10000):
-        an = -i * (i - a)
-        b += 2.0
-        d = an * d + b
-        if abs(d) < tiny:
-            d = tiny
-        c = b + an / c
-        if abs(c) < tiny:
-            c = tiny
-        d = 1.0 / d
-        delta = d * c
-        h *= delta
-        if abs(delta - 1.0) < 1e-16:
-            break
-    return math.exp(-x + a * math.log(x) - lg) * h
-
-
-def chi2_sf(x: float, df: float) -> float:
-    """P(X >= x) for a chi-square with ``df`` degrees of freedom."""
-    if x is None or df is None or df <= 0:
-        return float("nan")
-    return gammaincc(df / 2.0, x / 2.0)
-
-
-def norm_sf2(z: float) -> float:
-    """Two-sided normal tail P(|Z| >= |z|)."""
-    return math.erfc(abs(z) / math.sqrt(2.0))
+        return math.exp(-x + a * math.log(x) - lg) * h
+
+    def chi2_sf(x: float, df: float) -> float:
+        """P(X >= x) for a chi-square with ``df`` degrees of freedom."""
+        if x is None or df is None or df <= 0:
+            return float("nan")
+        return gammaincc(df / 2.0, x / 2.0)
+
+    def norm_sf2(z: float) -> float:
+        """Two-sided normal tail P(|Z| >= |z|)."""
+        return math.erfc(abs(z) / math.sqrt(2.0))
+
+    return gammaincc, chi2_sf, norm_sf2
+
+
+gammaincc, chi2_sf, norm_sf2 = _tail_functions()
 
 
 # --- the same tail probabilities as JVM expressions ---------------------------

@@ -186,12 +186,18 @@ def delayed_entry_excluded(df: DataFrame, start: str, stop: str) -> DataFrame:
 
 # --- log-rank ------------------------------------------------------------------
 
-def _ratio(num: np.ndarray, den: np.ndarray) -> np.ndarray:
-    """num / den, NULL (NaN -> null in Arrow) where den is not positive."""
-    out = np.full(len(num), np.nan)
-    ok = den > 0
-    out[ok] = num[ok] / den[ok]
-    return out
+def _worker_helpers():
+    """Helpers used inside Python tasks, built as closures so they travel
+    to the workers by value (no package import needed there)."""
+    import numpy as _np
+
+    def ratio(num, den):
+        """num / den, NULL (NaN -> null in Arrow) where den is not positive."""
+        out = _np.full(len(num), _np.nan)
+        ok = den > 0
+        out[ok] = num[ok] / den[ok]
+        return out
+    return ratio
 
 
 MAX_LEVELS = 200
@@ -247,6 +253,7 @@ def logrank_test(df: DataFrame, time: str, event: str, by: str, levels: list | N
     sums table (an executor task), not on the driver."""
     sums, levels = logrank_sums(df, time, event, by, levels, n_buckets)
     k = len(levels)
+    ratio, sf = _worker_helpers(), chi2_sf   # closures: shipped by value
     lv_type = df.schema[by].dataType.simpleString()
 
     def solve(batches):
@@ -263,10 +270,10 @@ def logrank_test(df: DataFrame, time: str, event: str, by: str, levels: list | N
                 except np.linalg.LinAlgError:
                     stat = float(diff @ np.linalg.pinv(sub) @ diff)
                 df_ = float(np.linalg.matrix_rank(sub)) if k > 1 else 0.0
-                p = chi2_sf(stat, df_) if df_ > 0 else float("nan")
+                p = sf(stat, df_) if df_ > 0 else float("nan")
                 yield pd.DataFrame({
                     "level": levels, "n": N.astype("int64"), "observed": O, "expected": E,
-                    "oe2_e": _ratio((O - E) ** 2, E), "oe2_v": _ratio((O - E) ** 2, np.diag(V)),
+                    "oe2_e": ratio((O - E) ** 2, E), "oe2_v": ratio((O - E) ** 2, np.diag(V)),
                     "chisq": [stat] * k, "df": [int(df_)] * k, "p_value": [p] * k})
     schema = (f"level {lv_type}, n bigint, observed double, expected double, oe2_e double, "
               f"oe2_v double, chisq double, df bigint, p_value double")
@@ -320,6 +327,7 @@ def logrank_many(df: DataFrame, time: str, event: str, groupings: list[str],
             delta = "1D" if i == j else "0D"
             aggs.append(f"SUM(__w * (r{i} / __n) * ({delta} - r{j} / __n)) AS v_{i}_{j}")
     sums = wide.groupBy("variable").agg(*[F.expr(a) for a in aggs])
+    ratio, sf = _worker_helpers(), chi2_sf   # closures: shipped by value
 
     def solve(pdf):
         row = pdf.iloc[0]
@@ -338,12 +346,12 @@ def logrank_many(df: DataFrame, time: str, event: str, groupings: list[str],
             dfree = int(np.linalg.matrix_rank(sub))
         else:
             stat, dfree = float("nan"), 0
-        p = chi2_sf(stat, dfree) if dfree > 0 else float("nan")
+        p = sf(stat, dfree) if dfree > 0 else float("nan")
         with np.errstate(divide="ignore", invalid="ignore"):
             return pd.DataFrame({
                 "variable": [row["variable"]] * k, "level": levels, "n": N.astype("int64"),
-                "observed": O, "expected": E, "oe2_e": _ratio((O - E) ** 2, E),
-                "oe2_v": _ratio((O - E) ** 2, np.diag(V)),
+                "observed": O, "expected": E, "oe2_e": ratio((O - E) ** 2, E),
+                "oe2_v": ratio((O - E) ** 2, np.diag(V)),
                 "chisq": [stat] * k, "df": [dfree] * k, "p_value": [p] * k})
     schema = ("variable string, level string, n bigint, observed double, expected double, oe2_e double, "
               "oe2_v double, chisq double, df bigint, p_value double")
