@@ -318,3 +318,20 @@ def test_clean_then_report_jobs(spark, tmp_path):
     written2 = jobs.report(spark, cohort2, str(tmp_path / "report2"))
     assert {"km_delayed_entry", "association", "levels_loc_tumor"} <= set(written2)
     assert spark.read.parquet(written2["km_delayed_entry"]).count() > 0
+
+
+def test_entry_from_another_directory_runs_python_tasks(tmp_path):
+    """The driver may import the entry module from elsewhere: Python tasks
+    (log-rank solves) must not need the package importable on workers."""
+    import subprocess
+    import sys as _sys
+    code = (
+        "import importlib.util\n"
+        "spec = importlib.util.spec_from_file_location('se', '/root/repo/__spark_entry__.py')\n"
+        "m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled','false').getOrCreate()\n"
+        "print('ROWS', m.queries()['logrank_two_group'](s, '/root/testdata/sf0.001').count())\n")
+    out = subprocess.run([_sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True,
+                         timeout=300)
+    assert "ROWS 2" in out.stdout, out.stderr[-2000:]
