@@ -68,7 +68,8 @@ def repeated(docs: DataFrame) -> DataFrame:
     """
     at = F.struct(*ROW_ID, "pos")
     numbered = materialize(_numbered(docs).distinct())
-    often = numbered.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash")
+    # a table of its own, so that adaptive execution can split a hot chunk in the join
+    often = materialize(numbered.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash"))
     where = (numbered.join(often, "hash").groupBy(*ROW_ID)
              .agg(F.collect_list("pos").alias("chunks")))  # at most a document's chunks
     held = docs.select("text", *row_id()).join(where, ROW_ID).dropDuplicates(ROW_ID)
