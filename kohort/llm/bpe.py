@@ -20,8 +20,8 @@ import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +30,8 @@ from kohort.llm.common import ship
 ship(__name__)
 
 MAX_FILE = 64 << 20
-KEPT = 600_000  # encoded words and runs that a worker keeps at most (about 150 MB); then it starts afresh
+KEPT = 250_000  # encoded words and runs that a worker keeps at most (about 60 MB); then it starts afresh
+BATCH_SIZE = 1 << 20  # bytes or ids that leave a task at a time
 
 
 def byte_symbols() -> list[str]:
@@ -154,33 +155,59 @@ def shared(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(load(path))
 
 
-def encode(tables, text: str = "text") -> Column:
-    """Column of ids of a whole text; a null or empty text has none."""
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-        one = Encoder(tables.value)
-        for texts in batches:
-            yield pd.Series([np.array(one(t), dtype=np.int32) for t in texts], dtype=object)
+def _slices(batch, sizes: np.ndarray) -> Iterator:
+    """The batch in slices of about BATCH_SIZE, or of one row."""
+    at = 0
+    while at < batch.num_rows:
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), BATCH_SIZE, "right")))
+        yield batch.slice(at, n)
+        at += n
 
-    return ids.asNondeterministic()(text)  # so that no plan computes it twice
 
+def encode(docs: DataFrame, tables) -> DataFrame:
+    """``docs`` with the ids of each whole ``text`` in place of it; a null or empty text has none."""
+    rest = [f for f in docs.schema.fields if f.name != "text"]
 
-def decode(tables, ids: str = "ids") -> Column:
-    """Column of text: without a decoder in the file, the tokens' own strings joined by spaces; null ids give null."""
-    @F.pandas_udf(T.StringType())
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        one = Encoder(tables.value)
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(len(rest))), 0).to_numpy(zero_copy_only=False)
+            for part in _slices(batch, sizes):
+                ids = [np.array(one(t.as_py()), dtype=np.int32) for t in part.column(len(rest))]
+                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:len(rest)], flat], names=[*(f.name for f in rest), "ids"])
+
+    kinds = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    return docs.select(*[f"`{f.name}`" for f in rest], "text").mapInArrow(run, kinds)
+
+
+def decode(rows: DataFrame, tables) -> DataFrame:
+    """``rows`` with ``decoded``, the text of ``ids``: without a decoder in the file, the tokens' own strings joined by
+    spaces.  Null ids give null."""
+    at = rows.columns.index("ids")
+    names = [*rows.columns, "decoded"]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
         name = tables.value["names"].get
-        for rows in batches:
-            yield pd.Series([None if r is None else " ".join([name(i, "") for i in r.tolist()]) for r in rows], dtype=object)
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+            for part in _slices(batch, sizes):
+                texts = [None if not r.is_valid else " ".join([name(i, "") for i in r.values.to_numpy(zero_copy_only=False).tolist()])
+                         for r in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 
-    return text(ids)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
-def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, decoded) for every row of ``docs`` (doc_id, text)."""
+def encoded(docs: DataFrame, path: str, *others: str) -> DataFrame:
+    """(doc_id, others, ids, decoded) for every row of ``docs`` (doc_id, text, others)."""
     tables = shared(docs.sparkSession, path)
-    return docs.select("doc_id", encode(tables).alias("ids")).withColumn("decoded", decode(tables))
+    return decode(encode(docs.select("doc_id", *others, "text"), tables), tables)
 
 
 def digests(found: DataFrame) -> DataFrame:
@@ -192,7 +219,6 @@ def digests(found: DataFrame) -> DataFrame:
 
 def token_rows(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, lang, source, ids, n_tokens, decoded_sha256) for every row of ``docs``."""
-    tables = shared(docs.sparkSession, path)
-    found = docs.select("doc_id", "lang", "source", encode(tables).alias("ids")).withColumn("decoded", decode(tables))
-    return found.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
-                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return encoded(docs, path, "lang", "source").select(
+        "doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
