@@ -30,7 +30,7 @@ from kohort.llm.common import ship
 ship(__name__)
 
 MAX_FILE = 64 << 20
-KEPT = 250_000  # encoded words and runs that a worker keeps at most (about 60 MB); then it starts afresh
+KEPT = 150_000  # encoded words and runs that a worker keeps at most (about 40 MB); then it starts afresh
 BATCH_SIZE = 1 << 20  # bytes or ids that leave a task at a time
 
 
@@ -93,8 +93,9 @@ class Encoder:
     def __init__(self, tables: dict):
         import regex
         from tokenizers import models
-        if "models" not in tables:  # once for each worker
-            tables["models"] = [models.BPE(tables["vocab"], tables["merges"], cache_capacity=0, **end)
+        if "models" not in tables:  # once for each worker, which then needs the lists no more
+            vocab, merges = tables.pop("vocab"), tables.pop("merges")
+            tables["models"] = [models.BPE(vocab, merges, cache_capacity=0, **end)
                                 for end in ({}, {"end_of_word_suffix": tables["suffix"]})]
         self.inner, self.final = tables["models"]
         self.t, self.symbols = tables, byte_symbols()
@@ -164,29 +165,39 @@ def _slices(batch, sizes: np.ndarray) -> Iterator:
         at += n
 
 
-def encode(docs: DataFrame, tables) -> DataFrame:
-    """``docs`` with the ids of each whole ``text`` in place of it; a null or empty text has none."""
+def _ids_column(ids: list[np.ndarray]):
+    import pyarrow as pa
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+
+
+def encode(docs: DataFrame, tables, decoded: bool = False) -> DataFrame:
+    """``docs`` with the ids of each whole ``text`` in place of it, and on demand with what they decode to (see
+    ``decode``), by the same worker; a null or empty text has none."""
     rest = [f for f in docs.schema.fields if f.name != "text"]
+    names = [*(f.name for f in rest), "ids", "decoded"][:len(rest) + 1 + decoded]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
         one = Encoder(tables.value)
+        name = tables.value["names"].__getitem__
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(len(rest))), 0).to_numpy(zero_copy_only=False)
             for part in _slices(batch, sizes):
-                ids = [np.array(one(t.as_py()), dtype=np.int32) for t in part.column(len(rest))]
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:len(rest)], flat], names=[*(f.name for f in rest), "ids"])
+                lists = [one(t.as_py()) for t in part.column(len(rest))]
+                out = [*part.columns[:len(rest)], _ids_column([np.array(x, dtype=np.int32) for x in lists])]
+                if decoded:
+                    out.append(pa.array([" ".join(map(name, x)) for x in lists], pa.string()))
+                yield pa.RecordBatch.from_arrays(out, names=names)
 
-    kinds = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.select(*[f"`{f.name}`" for f in rest], "text").mapInArrow(run, kinds)
+    kinds = [*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+    return docs.select(*[f"`{f.name}`" for f in rest], "text").mapInArrow(run, T.StructType(kinds[:len(names)]))
 
 
 def decode(rows: DataFrame, tables) -> DataFrame:
     """``rows`` with ``decoded``, the text of ``ids``: without a decoder in the file, the tokens' own strings joined by
-    spaces.  Null ids give null."""
+    spaces.  Null ids give null; an id that the vocabulary lacks stands for nothing."""
     at = rows.columns.index("ids")
     names = [*rows.columns, "decoded"]
 
@@ -197,8 +208,7 @@ def decode(rows: DataFrame, tables) -> DataFrame:
         for batch in batches:
             sizes = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
             for part in _slices(batch, sizes):
-                texts = [None if not r.is_valid else " ".join([name(i, "") for i in r.values.to_numpy(zero_copy_only=False).tolist()])
-                         for r in part.column(at)]
+                texts = [None if not r.is_valid else " ".join(filter(None, map(name, r.as_py()))) for r in part.column(at)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=names)
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
@@ -206,8 +216,7 @@ def decode(rows: DataFrame, tables) -> DataFrame:
 
 def encoded(docs: DataFrame, path: str, *others: str) -> DataFrame:
     """(doc_id, others, ids, decoded) for every row of ``docs`` (doc_id, text, others)."""
-    tables = shared(docs.sparkSession, path)
-    return decode(encode(docs.select("doc_id", *others, "text"), tables), tables)
+    return encode(docs.select("doc_id", *others, "text"), shared(docs.sparkSession, path), decoded=True)
 
 
 def digests(found: DataFrame) -> DataFrame:

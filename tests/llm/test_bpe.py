@@ -49,6 +49,15 @@ def test_odd_texts(spark, library):
     assert got(docs(spark, [])) == []
 
 
+def test_decode_alone(spark, library):
+    tables = bpe.shared(spark, PATH)
+    rows = spark.createDataFrame([(1, [320, 2368]), (2, []), (3, None), (4, [-1, 320, 99999999])], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.decoded for r in bpe.decode(rows, tables).collect()}
+    assert got == {1: library.decode([320, 2368], skip_special_tokens=False), 2: "", 3: None, 4: "a</w>"}
+    whole = bpe.encode(docs(spark, [(1, "a cat"), (2, None)]).select("doc_id", "text"), tables)
+    assert {r.doc_id: r.ids for r in whole.collect()} == {1: library.encode("a cat", add_special_tokens=False).ids, 2: []}
+
+
 def test_cuts_are_forced(library):
     t = bpe.load(PATH)
     rng = random.Random(3)
