@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kohort.llm.common import ROW_ID, row_id
+from kohort.llm.common import ROW_ID, let, row_id
 
 # Whole texts of short licences and common notices of others.
 MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
@@ -72,8 +72,7 @@ def canonical(text: Column) -> Column:
 
 def digest(text: Column) -> Column:
     """SHA-256 of the canonical form; null for a null text or one that has nothing left."""
-    plain = canonical(text)
-    return F.when(plain != "", F.sha2(plain, 256))
+    return let(canonical(text), lambda plain: F.when(plain != "", F.sha2(plain, 256)))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
