@@ -33,7 +33,7 @@ def _tail_functions():
             term = 1.0 / a
             s = term
             ap = a
-            for _ in range(10000):
+            while math.isfinite(s):
                 ap += 1.0
                 term *= x / ap
                 s += term
@@ -46,7 +46,9 @@ def _tail_functions():
         c = 1.0 / tiny
         d = 1.0 / b
         h = d
-        for i in range(1, 10000):
+        i = 0
+        while math.isfinite(h):
+            i += 1
             an = -i * (i - a)
             b += 2.0
             d = an * d + b
@@ -58,7 +60,7 @@ def _tail_functions():
             d = 1.0 / d
             delta = d * c
             h *= delta
-            if abs(delta - 1.0) < 1e-16:
+            if abs(delta - 1.0) < 4e-16:
                 break
         return math.exp(-x + a * math.log(x) - lg) * h
 
@@ -92,10 +94,13 @@ def lgamma_sql(z: str) -> str:
             f" + 1D / (1188D * pow({w}, 9)) - 691D / (360360D * pow({w}, 11)) - ({shift}))")
 
 
-def gammaincc_sql(a: str, x: str, terms: int = 300) -> str:
+def gammaincc_sql(a: str, x: str) -> str:
     """Regularised upper incomplete gamma Q(a, x): series below a+1,
-    Lentz continued fraction above (as :func:`gammaincc`).  Lambda
-    variables carry unlikely names so they never shadow a column."""
+    Lentz continued fraction above (as :func:`gammaincc`).  Both need the
+    more terms the larger a and x are, in proportion to the root of the
+    larger.  Lambda variables carry unlikely names so they never shadow a
+    column."""
+    terms = f"CAST(ceil(60D + 10D * sqrt(greatest({a}, {x}))) AS INT)"
     pref = f"exp(-({x}) + ({a}) * ln({x}) - {lgamma_sql(a)})"
     series = (f"aggregate(sequence(1, {terms}), named_struct('t', 1D / ({a}), 's', 1D / ({a})), "
               f"(kq_acc, kq_k) -> named_struct('t', kq_acc.t * ({x}) / (({a}) + kq_k), "

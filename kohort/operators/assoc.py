@@ -39,7 +39,7 @@ def chi2_test(df: DataFrame, cols: list[str], by: str, cells: DataFrame | None =
                                      F.min("r").alias("rmin"))
     ctot = ct.groupBy("variable").agg(F.count(F.lit(1)).alias("nc"), F.min("c").alias("cmin"))
     j = cells.join(rt, ["variable", "level"]).join(ct, ["variable", "grp"]).join(tot, "variable")
-    e = F.col("r") * F.col("c") / F.col("n")
+    e = F.col("r").cast("double") * F.col("c") / F.col("n")
     per = j.groupBy("variable").agg(
         F.sum((F.col("o") - e) * (F.col("o") - e) / e).alias("__obs"), F.sum(e).alias("__esum"),
         F.first("n").alias("n"), F.first("nr").alias("nr"), F.first("rmin").alias("rmin"))
@@ -47,7 +47,7 @@ def chi2_test(df: DataFrame, cols: list[str], by: str, cells: DataFrame | None =
     stat = F.col("__obs") + (F.col("n") - F.col("__esum"))
     dfree = ((F.col("nr") - 1) * (F.col("nc") - 1)).cast("bigint")
     out = per.select("variable", stat.alias("statistic"), dfree.alias("df"),
-                     (F.col("rmin") * F.col("cmin") / F.col("n")).alias("min_expected"),
+                     (F.col("rmin").cast("double") * F.col("cmin") / F.col("n")).alias("min_expected"),
                      F.col("n").cast("bigint"), F.col("nr"), F.col("nc"))
     return out.withColumn("p_value", F.expr(chi2_sf_sql("statistic", "df")))
 
@@ -111,7 +111,7 @@ def rank_sum_test(df: DataFrame, cols: list[str], by: str, n_buckets: int = 1024
     per = counts.groupBy("variable").agg(
         F.sum(F.col("t1") * rank).alias("r1"), F.sum("t1").alias("n1"),
         (F.sum("t") - F.sum("t1")).alias("n2"),
-        F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+        F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     w = F.col("r1") - n1 * (n1 + 1) / 2.0
     mu = n1 * n2 / 2.0
@@ -142,7 +142,9 @@ def association_table(df: DataFrame, categorical: list[str], continuous: list[st
     if categorical:
         cells = _cells(df, categorical, by)   # one count table for both tests
         chi = chi2_test(df, categorical, by, cells)
-        fis = fisher_2x2(df, categorical, by, cells).select("variable", F.col("p_value").alias("__fp"))
+        # the exact test only where the expected counts call for it
+        few = cells.join(chi.filter("min_expected < 5").select("variable"), "variable", "left_semi")
+        fis = fisher_2x2(df, categorical, by, few).select("variable", F.col("p_value").alias("__fp"))
         j = chi.join(fis, "variable", "left")
         small = F.col("min_expected") < 5
         use_f = small & F.col("__fp").isNotNull()

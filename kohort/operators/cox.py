@@ -25,6 +25,7 @@ Plan
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -63,7 +64,12 @@ def build_design(df: DataFrame, covariates: list[str], levels: dict | None = Non
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     for v in covariates:
         if types[v] in ("string", "boolean"):
-            lv = levels.get(v) or [str(x) for x in group_levels(df, v, MAX_LEVELS)]
+            text = df.select(F.col(v).cast("string").alias(v))
+            if v in levels:  # a value that isn't listed would pass for the reference level
+                odd = text.filter(F.col(v).isNotNull() & ~F.col(v).isin(list(levels[v]))).first()
+                if odd is not None:
+                    raise ValueError(f"{v} has the value {odd[0]!r}, which is not among its levels")
+            lv = levels.get(v) or [str(x) for x in group_levels(text, v, MAX_LEVELS)]
             levels[v] = lv
             refs[v] = lv[0]
             for i, L in enumerate(lv[1:]):
@@ -231,6 +237,7 @@ class CoxFit:
     wide: tuple | None = None     # (per-pattern risk table, patterns) when few patterns
     raw: DataFrame | None = None  # checkpointed (t, raw covariates, d, m) the fit was built from
     covariates: tuple = ()
+    converged: bool = True
 
     @property
     def p(self) -> int:
@@ -314,7 +321,7 @@ def _fit_raw(raw: DataFrame, covariates: list[str], levels: dict | None, max_ite
     cols = design.cols
     p = len(cols)
     wide = pattern_risk_table(suf, cols)
-    beta = np.zeros(p)
+    beta, done = np.zeros(p), p == 0
     ll0, U, I = newton_parts(suf, cols, beta, wide)
     score = float(U @ _solve(I, U)) if p else 0.0
     ll = ll0
@@ -333,8 +340,10 @@ def _fit_raw(raw: DataFrame, covariates: list[str], levels: dict | None, max_ite
         if done:
             break
     tot = suf.agg(F.sum("m").alias("n"), F.sum("d").alias("e")).collect()[0]
+    if not done:
+        warnings.warn(f"the Cox fit did not converge in {max_iter} steps", stacklevel=3)
     return CoxFit(design, beta, _inverse(I), ll0, ll, score, int(tot["n"] or 0), int(tot["e"] or 0), it, suf,
-                  wide, raw, tuple(covariates))
+                  wide, raw, tuple(covariates), bool(done))
 
 
 def coef_table(spark: SparkSession, fit: CoxFit) -> DataFrame:
@@ -489,6 +498,8 @@ def adjusted_curves(fit: CoxFit, variable: str) -> DataFrame:
     and enter as literals, so each curve is a projection of the baseline
     table."""
     d = fit.design
+    if variable not in d.levels:
+        raise ValueError(f"{variable} is no categorical covariate of the fit")
     cols = d.cols
     idx = [i for i, t in enumerate(d.terms) if t.variable == variable]
     others = [i for i in range(len(cols)) if i not in idx]

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kohort.operators.joins import join_null_safe
+
 _BUCKET = "__bucket"
 
 
@@ -67,7 +69,7 @@ def running_aggs(df: DataFrame, partition_cols: list[str], order_col: str,
     #    the (partition, bucket) hash partitioning
     wi = Window.partitionBy(*part, _BUCKET).orderBy(*(within_order or [order_col]))
     upto = wi.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole_b = Window.partitionBy(*part, _BUCKET)
+    whole_b = wi.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in order: same rounding each run
     loc = {}
     for name, c in {**sums, **suffix_sums}.items():
         loc[f"__lp_{name}"] = F.sum(c).over(upto)
@@ -96,7 +98,7 @@ def running_aggs(df: DataFrame, partition_cols: list[str], order_col: str,
 
     # 3. join the offsets back (the windowed side keeps its partitioning;
     #    AQE broadcasts the small offsets table when its size allows)
-    joined = local.drop(*bt).join(offsets, on=[*part, _BUCKET], how="inner")
+    joined = join_null_safe(local.drop(*bt), offsets, [*part, _BUCKET], "inner")
     cols = {}
     for name, c in sums.items():
         cols[name] = F.col(f"__off_{name}") + F.col(f"__lp_{name}")
@@ -122,7 +124,7 @@ def scaled_buckets(df: DataFrame, partition_cols: list[str], order_col: str,
         df, part = df.withColumn("__all", F.lit(1)), ["__all"]
         return scaled_buckets(df, part, order_col, n_buckets, name).drop("__all")
     rng = df.groupBy(*part).agg(F.min(order_col).alias("__lo"), F.max(order_col).alias("__hi"))
-    j = df.join(rng, part)
+    j = join_null_safe(df, rng, part, "inner")
     span = F.col("__hi") - F.col("__lo")
     b = F.when(span > 0, F.floor((F.col(order_col) - F.col("__lo")) / span * (n_buckets - 1))) \
          .otherwise(F.lit(0)).cast("bigint")

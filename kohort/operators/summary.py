@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohort.functions.nulls import qcol
+from kohort.operators.joins import join_null_safe
 from kohort.operators.prefix import scaled_buckets
 from kohort.session import materialize
 from kohort.sources.io import sql_string
@@ -121,7 +122,7 @@ def exact_quantiles(df: DataFrame, cols: list[str], probs=(0.25, 0.5, 0.75), by=
         need = need | holds(a) | holds(b)
     hist = hist.filter(need).select(*keys, "__qb", "__off", "n")
 
-    cand = counts.join(hist, [*keys, "__qb"])
+    cand = join_null_safe(counts, hist, [*keys, "__qb"], "inner")
     wi = Window.partitionBy(*keys, "__qb").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     cand = cand.withColumn("cum", F.col("__off") + F.sum("cnt").over(wi))
     lo = F.col("cum") - F.col("cnt")          # 0-based position of the first copy

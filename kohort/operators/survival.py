@@ -41,7 +41,7 @@ def _km_from_risk(c: DataFrame, by, n_buckets, bucket_col: str | None = None) ->
     c = c.withColumns({
         "__f": F.when(F.col("n_risk") > 0, 1.0 - F.col("n_event") / F.col("n_risk")).otherwise(F.lit(1.0)),
         "__g": F.when(F.col("n_risk") > F.col("n_event"),
-                      F.col("n_event") / (F.col("n_risk") * (F.col("n_risk") - F.col("n_event"))))
+                      F.col("n_event") / (F.col("n_risk").cast("double") * (F.col("n_risk") - F.col("n_event"))))
                 .otherwise(F.lit(0.0)),
     })
     out = running_aggs(c, list(by), "t", sums={"greenwood": "__g"}, products={"surv": "__f"},
@@ -143,7 +143,8 @@ def risk_table(df: DataFrame, time: str, event: str, times, by=()) -> DataFrame:
     s = surv_data(df, time, event, by)
     wide = s.groupBy(*by).agg(*[F.sum(F.when(F.col("t") >= b, 1).otherwise(0)).alias(f"b{i}")
                                 for i, b in enumerate(times)])
-    stack = ", ".join(f"CAST({b} AS BIGINT), CAST(b{i} AS BIGINT)" for i, b in enumerate(times))
+    kind = "BIGINT" if all(float(b).is_integer() for b in times) else "DOUBLE"
+    stack = ", ".join(f"CAST({b} AS {kind}), CAST(b{i} AS BIGINT)" for i, b in enumerate(times))
     return wide.selectExpr(*[f"`{b}`" for b in by], f"stack({len(times)}, {stack}) AS (time, n_risk)")
 
 

@@ -16,14 +16,8 @@ from kohort.plans.q_summary import _pval_sql
 from kohort.plans.q_survival import Z, rounded
 from kohort.plans.registry import register
 
-_FITS: dict = {}
-
-
 def _fit(spark, d, covs: tuple[str, ...]) -> C.CoxFit:
-    key = (id(spark), d, covs)
-    if key not in _FITS:
-        _FITS[key] = C.coxph(surv_small(spark, d), "time", "event", list(covs))
-    return _FITS[key]
+    return C.coxph(surv_small(spark, d), "time", "event", list(covs))
 
 
 # --- SQL oracle: one 0/1 covariate, Efron ties, Newton unrolled ------------

@@ -136,3 +136,27 @@ def test_rank_sum_requires_two_groups(spark):
     rows = [("a", 1.0), ("b", 2.0), ("c", 3.0), ("a", 4.0)]
     r = A.rank_sum_test(spark.createDataFrame(rows, "g string, v double"), ["v"], "g").collect()
     assert len(r) == 1 and r[0]["statistic"] is None and r[0]["p_value"] is None
+
+
+def test_chi2_tail_at_many_degrees_of_freedom(spark):
+    from kohort.functions.stats import chi2_sf, chi2_sf_sql
+    cases = [(x, df) for df in (1, 10, 1000, 20000, 100000) for x in (df * 0.97, float(df), df * 1.02 + 1)]
+    got = spark.createDataFrame(cases, "x double, df bigint").selectExpr("x", "df", f"{chi2_sf_sql('x', 'df')} AS p").collect()
+    for r in got:
+        assert abs(r.p - chi2_sf(r.x, r.df)) < 1e-9
+    assert abs(chi2_sf(20000.0, 20000) - 0.49867) < 1e-5
+
+
+def test_large_counts_do_not_overflow(spark):
+    from kohort.operators.assoc import chi2_test
+    cells = spark.createDataFrame([("v", a, g, n) for a, g, n in (("a", "x", 4 * 10**9), ("a", "y", 3 * 10**9),
+                                                                  ("b", "x", 3 * 10**9), ("b", "y", 4 * 10**9))],
+                                  "variable string, level string, grp string, o bigint")
+    assert chi2_test(None, [], "", cells).first().statistic > 1e6
+
+
+def test_null_keys_are_a_group(spark):
+    from kohort.operators.dedup import flag_duplicated, row_number_col
+    df = spark.createDataFrame([(1, 1), (1, 2), (None, 1), (None, 2)], "k int, o int")
+    assert sorted((r.k or 0, r.o, r.n) for r in row_number_col(df, ["k"], ["o"]).collect()) == [(0, 1, 1), (0, 2, 2), (1, 1, 1), (1, 2, 2)]
+    assert flag_duplicated(df, ["k"], ["o"]).filter("is_dup").count() == 2
