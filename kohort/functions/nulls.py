@@ -9,7 +9,6 @@ operators never rely on Spark's defaults by accident.
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Iterable
 
 from pyspark.sql import Column
@@ -56,23 +55,6 @@ def desc_last(c) -> Column:
     return _c(c).desc_nulls_last()
 
 
-def order_spec(spec) -> list[Column]:
-    """``[("a", "asc"), ("b", "desc"), "c"]`` -> NULL-last sort columns."""
-    out = []
-    for item in spec:
-        if isinstance(item, Column):
-            out.append(item)
-            continue
-        name, how = (item, "asc") if isinstance(item, str) else item
-        out.append(desc_last(name) if how == "desc" else asc_last(name))
-    return out
-
-
-def null_safe_keys(left, right, keys: Iterable[str]) -> Column:
-    """Join condition where NULL keys match each other."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def strict_max(c) -> Column:
     """Aggregate max that is NULL if any input is NULL."""
     return F.when(F.count(_c(c)) == F.count(F.lit(1)), F.max(_c(c)))
@@ -86,8 +68,3 @@ def strict_min(c) -> Column:
 def floor_div(a, b) -> Column:
     """Flooring integer division (N13); Spark ``div`` truncates."""
     return F.floor(_c(a) / _c(b)).cast("bigint")
-
-
-def keep_null_value(c) -> Column:
-    """Wrap a value so ``min_by``/``max_by`` keep a NULL value."""
-    return F.struct(_c(c).alias("v"))

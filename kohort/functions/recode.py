@@ -153,7 +153,3 @@ def any_true_kleene(conds) -> Column:
 def severity(conds, yes="Grave", no="Leve") -> Column:
     """Kleene OR of the severity tests, then a NULL-propagating recode."""
     return if_else(any_true_kleene(conds), yes, no)
-
-
-def in_set(c, values) -> Column:
-    return isin_or_false(c, values)

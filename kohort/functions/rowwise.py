@@ -23,10 +23,3 @@ def row_sum(cols) -> Column:
 def row_any(cols) -> Column:
     """ceil(mean of 0/1 ignoring NULL) = logical OR; all-NULL -> NULL."""
     return F.greatest(*[F.col(c) for c in cols])
-
-
-def row_mean(cols) -> Column:
-    """Mean ignoring NULL; all-NULL -> NULL."""
-    n_ok = reduce(lambda a, b: a + b, [F.col(c).isNotNull().cast("int") for c in cols])
-    s = reduce(lambda a, b: a + b, [F.coalesce(F.col(c), F.lit(0)) for c in cols])
-    return F.when(n_ok > 0, s / n_ok)

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohort.functions.nulls import strict_max, strict_min
@@ -49,15 +49,6 @@ def session_summary_strict(df: DataFrame, key: str, date_col: str, age_col: str,
     )
 
 
-def first_value(c: str, ordkey: Column) -> Column:
-    """Value of ``c`` on the first row by ``ordkey``; a NULL value survives."""
-    return F.min_by(F.struct(F.col(c).alias("v")), ordkey)["v"]
-
-
-def last_value(c: str, ordkey: Column) -> Column:
-    return F.max_by(F.struct(F.col(c).alias("v")), ordkey)["v"]
-
-
 def collapse_multi(df: DataFrame, keys: list[str], first_last: list[str], order_by,
                    first_only: list[str] = (), strict_max_cols: list[str] = (),
                    mean_cols: list[str] = (), n_col: str = "n_records") -> DataFrame:
@@ -68,24 +59,30 @@ def collapse_multi(df: DataFrame, keys: list[str], first_last: list[str], order_
     keep the first value; ``strict_max_cols`` are NULL if any record is
     NULL; ``mean_cols`` average ignoring NULL.  All parts are ``min_by`` /
     ``max_by`` / ``count`` aggregates: one shuffle, partially aggregated.
+    First and last record are picked whole, so that columns of records
+    with tied order keys never mix.
     """
     ordkey = order_struct(df, order_by)
     if ordkey is None:
         raise ValueError("collapse_multi needs an order without descending text keys")
     df = df.withColumn("__ord", ordkey)
-    o = F.col("__ord")
-    n = F.count(F.lit(1))
-    aggs = [n.alias(n_col)]
+    from_first = list(dict.fromkeys([*first_last, *first_only]))
+    aggs = [F.count(F.lit(1)).alias("__n")]
+    if from_first:
+        aggs.append(F.min_by(F.struct(*from_first), "__ord").alias("__first"))
+    if first_last:
+        aggs.append(F.max_by(F.struct(*first_last), "__ord").alias("__last"))
+    aggs += [strict_max(c).alias(f"__max_{c}") for c in strict_max_cols]
+    aggs += [F.avg(c).alias(f"__avg_{c}") for c in mean_cols]
+    g = df.groupBy(*keys).agg(*aggs)
+    out = [F.col("__n").alias(n_col)]
     for c in first_last:
-        aggs.append(first_value(c, o).alias(f"{c}_1"))
-        aggs.append(F.when(n > 1, last_value(c, o)).alias(f"{c}_2"))
-    for c in first_only:
-        aggs.append(first_value(c, o).alias(c))
-    for c in strict_max_cols:
-        aggs.append(strict_max(c).alias(c))
-    for c in mean_cols:
-        aggs.append(F.avg(c).alias(c))
-    return df.groupBy(*keys).agg(*aggs)
+        out.append(F.col("__first")[c].alias(f"{c}_1"))
+        out.append(F.when(F.col("__n") > 1, F.col("__last")[c]).alias(f"{c}_2"))
+    out += [F.col("__first")[c].alias(c) for c in first_only]
+    out += [F.col(f"__max_{c}").alias(c) for c in strict_max_cols]
+    out += [F.col(f"__avg_{c}").alias(c) for c in mean_cols]
+    return g.select(*keys, *out)
 
 
 def mean_indicators(df: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:

@@ -16,6 +16,8 @@ from kohort.operators.prefix import running_aggs, scaled_buckets
 from kohort.operators.summary import unpivot
 from kohort.session import materialize
 
+STEPS_PER_ROW = 10_000  # values of an exact test's support that one row stands for before the last explode
+
 
 def _cells(df: DataFrame, cols: list[str], by: str) -> DataFrame:
     """Cell counts ``(variable, level, grp, o)``, checkpointed: margins,
@@ -58,7 +60,8 @@ def fisher_2x2(df: DataFrame, cols: list[str], by: str, cells: DataFrame | None
     probabilities not above the observed one, relative tolerance 1e-7).
 
     The support of cell a is exploded to one row per value and summed by
-    an aggregate: JVM-side, distributed when a margin is large."""
+    an aggregate: JVM-side, and dealt out in runs of ``STEPS_PER_ROW``
+    values, so that a large margin is spread over tasks."""
     cells = cells if cells is not None else _cells(df, cols, by)
     # 2x2 only: two levels and two groups per variable, found with counts
     # and min/max (no per-variable level lists)
@@ -75,14 +78,17 @@ def fisher_2x2(df: DataFrame, cols: list[str], by: str, cells: DataFrame | None
         F.sum(F.when(~i0 & g0, F.col("o")).otherwise(0)).alias("c"),
         F.sum(F.when(~i0 & ~g0, F.col("o")).otherwise(0)).alias("d"))
 
-    # hypergeometric support of cell a, one row per value (distributed explode)
+    # hypergeometric support of cell a, one row per value
     wide = wide.selectExpr("*", "a + b AS r1", "a + c AS c1", "a + b + c + d AS n")
     lg = lambda z: lgamma_sql(f"CAST({z} AS DOUBLE) + 1D")   # log(z!)
     # log P(x) = K - log x! - log (r1-x)! - log (c1-x)! - log (n-r1-c1+x)!, K per variable
     wide = wide.selectExpr("*", f"({lg('r1')} + {lg('n - r1')} + {lg('c1')} + {lg('n - c1')} - {lg('n')}) AS k0")
     lp = lambda x: f"(k0 - {lg(x)} - {lg(f'r1 - {x}')} - {lg(f'c1 - {x}')} - {lg(f'n - r1 - c1 + {x}')})"
     wide = wide.selectExpr("*", f"{lp('a')} AS lobs")
-    sup = wide.selectExpr("*", "explode(sequence(greatest(0L, r1 + c1 - n), least(r1, c1))) AS x")
+    sup = wide.selectExpr("*", "least(r1, c1) AS hi")
+    sup = sup.selectExpr("*", f"explode(sequence(greatest(0L, r1 + c1 - n), hi, {STEPS_PER_ROW}L)) AS x0") \
+        .repartition("variable", "x0")
+    sup = sup.selectExpr("*", f"explode(sequence(x0, least(x0 + {STEPS_PER_ROW - 1}L, hi))) AS x")
     sup = sup.selectExpr("variable", "a", "b", "c", "d", "lobs", f"{lp('x')} AS lp")
     out = sup.groupBy("variable", "a", "b", "c", "d").agg(
         F.expr("least(1D, SUM(CASE WHEN lp <= lobs + ln(1D + 1e-7D) THEN exp(lp) ELSE 0D END))").alias("p_value"))

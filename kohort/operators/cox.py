@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from kohort.functions.stats import Z975, chi2_sf, norm_sf2
 from kohort.operators.prefix import running_aggs, scaled_buckets
 from kohort.operators.survival import MAX_LEVELS, group_levels
-from kohort.session import checkpoint_dir
+from kohort.session import materialize
+
+STEPS_PER_ROW = 10_000  # Efron steps that one row stands for before the last explode
 
 
 @dataclass
@@ -89,18 +91,6 @@ def design_columns(df: DataFrame, design: Design) -> list:
     return out
 
 
-def sufficient_table(df: DataFrame, time: str, event: str, design: Design) -> DataFrame:
-    """``(t, x..., d, m)``: deaths and subjects per time and pattern."""
-    base = df.select(F.col(time).alias("t"), F.col(event).cast("double").alias("e"),
-                     *design_columns(df, design))
-    for c in ["t", "e", *design.cols]:
-        base = base.filter(F.col(c).isNotNull())
-    suf = base.groupBy("t", *design.cols).agg(F.sum("e").alias("d"), F.count(F.lit(1)).cast("double").alias("m"))
-    # time buckets for the risk-set suffix sums do not depend on beta:
-    # computed once, reused by every Newton iteration
-    return scaled_buckets(suf, [], "t", name="__tb")
-
-
 def complete_cases(df: DataFrame, time: str, event: str, covariates: list[str]) -> DataFrame:
     out = df
     for c in [time, event, *covariates]:
@@ -141,8 +131,12 @@ def per_time_sums(suf: DataFrame, cols: list[str], beta) -> DataFrame:
 def efron_rows(pt: DataFrame, p: int) -> DataFrame:
     """Explode each event time into its Efron steps k = 0..d-1 with the
     reduced risk-set sums q0, q1_j, q2_jk (names unlike S0.. in more
-    than case)."""
-    ev = pt.filter(F.col("dt") > 0).selectExpr("*", "explode(sequence(0, CAST(dt AS INT) - 1)) AS k")
+    than case).  The tied deaths of one time are dealt out in runs of
+    ``STEPS_PER_ROW`` steps, so that no task holds them all."""
+    ev = pt.filter(F.col("dt") > 0).selectExpr(
+        "*", f"explode(sequence(0L, CAST(dt AS BIGINT) - 1L, {STEPS_PER_ROW}L)) AS __k0").repartition("t", "__k0")
+    ev = ev.selectExpr(
+        "*", f"explode(sequence(__k0, least(__k0 + {STEPS_PER_ROW - 1}L, CAST(dt AS BIGINT) - 1L))) AS k").drop("__k0")
     exprs = ["(S0 - (k / dt) * D0) AS q0"]
     for j in range(p):
         exprs.append(f"(S1_{j} - (k / dt) * D1_{j}) AS q1_{j}")
@@ -306,8 +300,7 @@ def coxph(df: DataFrame, time: str, event: str, covariates: list[str], levels: d
     (reliable: a lost executor does not send the fit back to the scan).
     Levels, treatment coding and every iteration work on that table.
     """
-    checkpoint_dir(df.sparkSession)
-    raw = raw_sufficient_table(df, time, event, covariates).checkpoint(eager=True)
+    raw = materialize(raw_sufficient_table(df, time, event, covariates))
     return _fit_raw(raw, list(covariates), levels, max_iter, eps)
 
 
@@ -403,7 +396,8 @@ def baseline_table(fit: CoxFit) -> DataFrame:
     subjects at risk), the tied deaths' own share ``hd``, cumulative
     hazard ``cumhaz`` and the Efron-averaged covariate means ``xbar_j``.
     (Names differ by more than case: Spark resolves columns
-    case-insensitively.)"""
+    case-insensitively.)  One row per distinct time, checkpointed: the
+    residuals and curves read it several times."""
     cols = fit.design.cols
     p = len(cols)
     pt = (per_time_from_patterns(fit.wide[0], fit.wide[1], fit.beta) if fit.wide is not None
@@ -413,8 +407,8 @@ def baseline_table(fit: CoxFit) -> DataFrame:
         F.sum(1.0 / F.col("q0")).alias("haz"),
         F.sum((1.0 - F.col("k") / F.col("dt")) / F.col("q0")).alias("hd"),
         *[F.avg(F.col(f"q1_{j}") / F.col("q0")).alias(f"xbar_{j}") for j in range(p)])
-    allt = pt.select("t").join(inc, "t", "left").fillna(0.0, subset=["haz", "hd"])
-    return _cum_hazard(allt)
+    allt = materialize(pt.select("t").join(inc, "t", "left").fillna(0.0, subset=["haz", "hd"]))
+    return materialize(_cum_hazard(allt))
 
 
 def _cum_hazard(allt: DataFrame) -> DataFrame:

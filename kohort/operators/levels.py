@@ -58,14 +58,3 @@ def drop_unused_levels(levels: DataFrame, df: DataFrame, c: str) -> DataFrame:
     """Remove levels with no rows in ``df`` and renumber."""
     used = df.select(F.col(c).cast("string").alias("level"))
     return renumber(levels.join(used, on="level", how="left_semi"))
-
-
-def attach_order(df: DataFrame, c: str, levels: DataFrame, name: str | None = None) -> DataFrame:
-    """Add the level order of ``c`` as a column (left join to the level table)."""
-    name = name or f"{c}_ord"
-    lv = levels.select(F.col("level").alias("__level"), F.col("ord").alias(name))
-    return df.join(lv, df[c] == lv["__level"], "left").drop("__level")
-
-
-def reference_level(levels: DataFrame) -> DataFrame:
-    return levels.filter(F.col("ord") == 1)

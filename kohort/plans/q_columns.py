@@ -38,7 +38,7 @@ UNION ALL SELECT 'customer', CAST(COUNT(*) AS BIGINT) FROM customer""")
 def q_scan_parts(spark, d):
     parts = []
     for p in ("orders", "lineitem", "customer"):
-        parts.append(io.read_dataset(spark, d, p).agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
+        parts.append(io.read_dataset(spark, d, p, suffix=".parquet").agg(F.count(F.lit(1)).cast("bigint").alias("n_rows"))
                      .select(F.lit(p).alias("part"), "n_rows"))
     return io.union_all(parts)
 

@@ -55,37 +55,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-GIB = 1 << 30
-
-
-def scale_conf(input_bytes: int, shuffle_bytes_per_partition: int = GIB,
-               max_partitions: int = 100_000) -> dict[str, str]:
-    """Settings sized for an input of ``input_bytes`` on a cluster.
-
-    Scan splits of 256 MiB; the initial shuffle width gives roughly 1 GiB
-    of input per partition (partial aggregation usually shrinks the
-    shuffled bytes well below that) and AQE coalesces toward 256 MiB
-    partitions after each exchange, splits skewed join partitions, and
-    turns joins into broadcasts only when the measured build side is
-    under the threshold.
-    """
-    n = max(200, min(max_partitions, -(-int(input_bytes) // shuffle_bytes_per_partition)))
-    return {
-        "spark.sql.files.maxPartitionBytes": str(256 << 20),
-        "spark.sql.shuffle.partitions": str(n),
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 << 20),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
-    }
-
-
-def apply_conf(spark: SparkSession, conf: dict[str, str]) -> None:
-    for k, v in conf.items():
-        spark.conf.set(k, v)
-
-
 def materialize(df):
     """Write ``df`` once as a reliable checkpoint in the shared folder and
     return the reloaded DataFrame.

@@ -73,12 +73,10 @@ def read_table(spark: SparkSession, path: str, fmt: str = "csv", na_tokens=("NA"
     return nullify_tokens(df, na_tokens)
 
 
-def read_dataset(spark: SparkSession, root: str, part, fmt: str = "parquet") -> DataFrame:
-    """Part ``part`` of a multi-part source: one directory (or file) per part."""
-    path = os.path.join(root, str(part))
-    if not os.path.exists(path) and os.path.exists(path + f".{fmt}"):
-        path = path + f".{fmt}"
-    return spark.read.format(fmt).load(path)
+def read_dataset(spark: SparkSession, root: str, part, fmt: str = "parquet", suffix: str = "") -> DataFrame:
+    """Part ``part`` of a multi-part source: one directory (or file, whose
+    ending ``suffix`` names) per part.  Only Spark's readers look at the path."""
+    return spark.read.format(fmt).load(f"{root.rstrip('/')}/{part}{suffix}")
 
 
 def write_clean(df: DataFrame, path: str, partition_by: list[str] | None = None) -> str:

@@ -105,3 +105,15 @@ def test_drop_term_reuses_fit_table_and_matches_fresh_fit(spark):
     assert reduced.beta == pytest.approx(fresh.beta, abs=1e-10)
     nt = C.nested_test(spark, full, reduced).collect()[0]
     assert nt["df"] == 1 and nt["chisq"] == pytest.approx(2 * (full.loglik - fresh.loglik))
+
+
+def test_efron_steps_dealt_out_in_runs(spark, monkeypatch):
+    rows = [(i, i % 3 + 1, int(i % 7 != 0), "ab"[(i * i) % 2]) for i in range(90)]
+    df = spark.createDataFrame(rows, "id bigint, time bigint, event bigint, g string")
+    whole = C.coxph(df, "time", "event", ["g"])
+    monkeypatch.setattr(C, "STEPS_PER_ROW", 4)
+    runs = C.coxph(df, "time", "event", ["g"])
+    assert runs.beta == pytest.approx(whole.beta, abs=1e-10)
+    assert runs.loglik == pytest.approx(whole.loglik, abs=1e-9)
+    both = [C.baseline_table(f).select("t", "cumhaz").orderBy("t").collect() for f in (whole, runs)]
+    assert [r["cumhaz"] for r in both[1]] == pytest.approx([r["cumhaz"] for r in both[0]])

@@ -335,3 +335,12 @@ def test_entry_from_another_directory_runs_python_tasks(tmp_path):
     out = subprocess.run([_sys.executable, "-c", code], cwd=str(tmp_path), capture_output=True, text=True,
                          timeout=300)
     assert "ROWS 2" in out.stdout, out.stderr[-2000:]
+
+
+def test_collapse_takes_tied_records_whole(spark):
+    from kohort.operators import aggregate as agg
+    rows = [(1, 5, f"a{i}", f"b{i}", i) for i in range(8)]
+    df = spark.createDataFrame(rows, "id int, day int, x string, y string, z int").repartition(4)
+    r = agg.collapse_multi(df, ["id"], ["x", "y"], ["day"], first_only=["z"]).collect()[0]
+    assert r["x_1"][1:] == r["y_1"][1:] == str(r["z"]) and r["x_2"][1:] == r["y_2"][1:]
+    assert r["n_records"] == 8

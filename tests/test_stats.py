@@ -160,3 +160,12 @@ def test_null_keys_are_a_group(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (None, 1), (None, 2)], "k int, o int")
     assert sorted((r.k or 0, r.o, r.n) for r in row_number_col(df, ["k"], ["o"]).collect()) == [(0, 1, 1), (0, 2, 2), (1, 1, 1), (1, 2, 2)]
     assert flag_duplicated(df, ["k"], ["o"]).filter("is_dup").count() == 2
+
+
+def test_fisher_support_dealt_out_in_runs(spark, monkeypatch):
+    from kohort.operators import assoc as A
+    rows = [("x" if i % 3 else "y", "p" if i % 5 < 2 else "q") for i in range(70)]
+    df = spark.createDataFrame(rows, "v string, g string")
+    whole = A.fisher_2x2(df, ["v"], "g").collect()[0]
+    monkeypatch.setattr(A, "STEPS_PER_ROW", 3)
+    assert A.fisher_2x2(df, ["v"], "g").collect()[0]["p_value"] == pytest.approx(whole["p_value"], abs=1e-12)
