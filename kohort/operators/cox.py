@@ -16,10 +16,8 @@ Plan
   time (two-level, no single-partition window); Efron's tie correction
   explodes each time's death count into k = 0..d-1 rows (work grows with
   the number of deaths, as in any Cox fit).  Only the p-vector U and the
-  p x p matrix I reach the driver, where the step is solved.
-* Few covariate patterns (the categorical case): per-pattern at-risk
-  counts are beta-free, so they are suffix-summed once into a small wide
-  table and each step is a projection of it (no window per step).
+  p x p matrix I reach the driver, where the step is solved.  The plan is
+  the same for any number of covariate patterns.
 """
 
 from __future__ import annotations
@@ -34,7 +32,6 @@ from pyspark.sql import functions as F
 
 from kohort.functions.stats import Z975, chi2_sf, norm_sf2
 from kohort.operators.prefix import running_aggs, scaled_buckets
-from kohort.operators.survival import MAX_LEVELS, group_levels
 from kohort.session import materialize
 
 STEPS_PER_ROW = 10_000  # Efron steps that one row stands for before the last explode
@@ -58,9 +55,19 @@ class Design:
         return [t.column for t in self.terms]
 
 
-def build_design(df: DataFrame, covariates: list[str], levels: dict | None = None) -> Design:
+def group_levels(df: DataFrame, by: str, max_levels: int) -> list:
+    """Sorted distinct non-NULL levels of a covariate; raises beyond ``max_levels``."""
+    got = [r[0] for r in df.select(by).filter(F.col(by).isNotNull()).distinct().limit(max_levels + 1).collect()]
+    if len(got) > max_levels:
+        raise ValueError(f"{by}: more than {max_levels} levels")
+    return sorted(got)
+
+
+def build_design(df: DataFrame, covariates: list[str], levels: dict | None = None, max_levels: int = 200) -> Design:
     """Treatment coding.  ``levels`` may give a variable's level order
-    (first = reference); otherwise levels are sorted (checked bound)."""
+    (first = reference); otherwise levels are sorted.  Every level is a
+    coefficient, and their p x p matrix is solved on the driver: a
+    covariate of more than ``max_levels`` levels is refused."""
     levels = dict(levels or {})
     terms, refs = [], {}
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -71,7 +78,7 @@ def build_design(df: DataFrame, covariates: list[str], levels: dict | None = Non
                 odd = text.filter(F.col(v).isNotNull() & ~F.col(v).isin(list(levels[v]))).first()
                 if odd is not None:
                     raise ValueError(f"{v} has the value {odd[0]!r}, which is not among its levels")
-            lv = levels.get(v) or [str(x) for x in group_levels(text, v, MAX_LEVELS)]
+            lv = levels.get(v) or [str(x) for x in group_levels(text, v, max_levels)]
             levels[v] = lv
             refs[v] = lv[0]
             for i, L in enumerate(lv[1:]):
@@ -107,8 +114,8 @@ def _eta(cols: list[str], beta) -> F.Column:
 
 def per_time_sums(suf: DataFrame, cols: list[str], beta) -> DataFrame:
     """Per distinct time: risk-set sums S0, S1_j, S2_jk (subjects with
-    T >= t) and the deaths' sums D0, D1_j, D2_jk, XD_j, DE, dt (general
-    path for many covariate patterns; expressions as SQL text)."""
+    T >= t) and the deaths' sums D0, D1_j, D2_jk, XD_j, DE, dt
+    (expressions as SQL text)."""
     p = len(cols)
     eta = " + ".join(f"({float(b)!r}D * `{c}`)" for c, b in zip(cols, beta)) or "0D"
     base = suf.selectExpr("*", f"({eta}) AS __eta", f"exp({eta}) AS __w")
@@ -145,63 +152,10 @@ def efron_rows(pt: DataFrame, p: int) -> DataFrame:
     return ev.selectExpr("*", *exprs)
 
 
-MAX_PATTERNS_WIDE = 256
-
-
-def pattern_risk_table(suf: DataFrame, cols: list[str]):
-    """For few covariate patterns: one row per time with, per pattern, the
-    deaths ``d_i`` and the at-risk count ``R_i`` (suffix sum over time).
-    These do not depend on beta, so they are built once per fit; every
-    Newton step is then a projection of this table.  Returns ``(table,
-    patterns)`` or ``None`` when there are too many patterns."""
-    pats = suf.select(*cols).distinct().limit(MAX_PATTERNS_WIDE + 1).collect()
-    if len(pats) > MAX_PATTERNS_WIDE:
-        return None
-    pats = [tuple(float(r[c]) for c in cols) for r in pats]
-
-    def is_p(pv):
-        cond = F.lit(True)
-        for c, v in zip(cols, pv):
-            cond = cond & (F.col(c) == F.lit(v))
-        return cond
-    aggs = []
-    for i, pv in enumerate(pats):
-        aggs += [F.sum(F.when(is_p(pv), F.col("m")).otherwise(0.0)).alias(f"m_{i}"),
-                 F.sum(F.when(is_p(pv), F.col("d")).otherwise(0.0)).alias(f"d_{i}")]
-    wide = suf.groupBy("t", "__tb").agg(*aggs)
-    wide = running_aggs(wide, [], "t", suffix_sums={f"R_{i}": f"m_{i}" for i in range(len(pats))},
-                        bucket_col="__tb")
-    wide = wide.select("t", *[f"R_{i}" for i in range(len(pats))], *[f"d_{i}" for i in range(len(pats))])
-    return wide.persist(), np.array(pats)
-
-
-def per_time_from_patterns(wide: DataFrame, pats: np.ndarray, beta) -> DataFrame:
-    """Risk-set and death sums at ``beta`` as linear combinations of the
-    per-pattern columns (weights are literals).  Built as SQL expression
-    text: one JVM call per column instead of one per arithmetic node."""
-    n, p = pats.shape
-    eta = pats @ np.asarray(beta, float)
-    w = np.exp(eta)
-
-    def comb(prefix, coef):
-        terms = [f"({float(coef[i])!r}D * {prefix}_{i})" for i in range(n) if coef[i] != 0.0]
-        return " + ".join(terms) if terms else "0.0D"
-    cols = {"S0": comb("R", w), "D0": comb("d", w), "dt": comb("d", np.ones(n)), "DE": comb("d", eta)}
-    for j in range(p):
-        cols[f"S1_{j}"] = comb("R", w * pats[:, j])
-        cols[f"D1_{j}"] = comb("d", w * pats[:, j])
-        cols[f"XD_{j}"] = comb("d", pats[:, j])
-        for k in range(j, p):
-            cols[f"S2_{j}_{k}"] = comb("R", w * pats[:, j] * pats[:, k])
-            cols[f"D2_{j}_{k}"] = comb("d", w * pats[:, j] * pats[:, k])
-    return wide.selectExpr("t", *[f"CAST({v} AS DOUBLE) AS `{k}`" for k, v in cols.items()])
-
-
-def newton_parts(suf: DataFrame, cols: list[str], beta, wide=None) -> tuple[float, np.ndarray, np.ndarray]:
+def newton_parts(suf: DataFrame, cols: list[str], beta) -> tuple[float, np.ndarray, np.ndarray]:
     """Log partial likelihood, score U and information I at ``beta``."""
     p = len(cols)
-    pt = per_time_from_patterns(wide[0], wide[1], beta) if wide is not None else per_time_sums(suf, cols, beta)
-    ex = efron_rows(pt, p)
+    ex = efron_rows(per_time_sums(suf, cols, beta), p)
     aggs = ["SUM(CASE WHEN k = 0 THEN DE ELSE 0D END - ln(q0)) AS ll"]
     for j in range(p):
         aggs.append(f"SUM(CASE WHEN k = 0 THEN XD_{j} ELSE 0D END - q1_{j} / q0) AS u{j}")
@@ -228,7 +182,6 @@ class CoxFit:
     n_events: int
     iterations: int
     suf: DataFrame
-    wide: tuple | None = None     # (per-pattern risk table, patterns) when few patterns
     raw: DataFrame | None = None  # checkpointed (t, raw covariates, d, m) the fit was built from
     covariates: tuple = ()
     converged: bool = True
@@ -313,20 +266,19 @@ def _fit_raw(raw: DataFrame, covariates: list[str], levels: dict | None, max_ite
     suf = scaled_buckets(suf, [], "t", name="__tb").persist()
     cols = design.cols
     p = len(cols)
-    wide = pattern_risk_table(suf, cols)
     beta, done = np.zeros(p), p == 0
-    ll0, U, I = newton_parts(suf, cols, beta, wide)
+    ll0, U, I = newton_parts(suf, cols, beta)
     score = float(U @ _solve(I, U)) if p else 0.0
     ll = ll0
     it = 0
     for it in range(1, max_iter + 1):
         step = _solve(I, U)
         new = beta + step
-        ll_new, U_new, I_new = newton_parts(suf, cols, new, wide)
+        ll_new, U_new, I_new = newton_parts(suf, cols, new)
         halvings = 0
         while ll_new < ll - 1e-12 and halvings < 10:
             new = (beta + new) / 2.0
-            ll_new, U_new, I_new = newton_parts(suf, cols, new, wide)
+            ll_new, U_new, I_new = newton_parts(suf, cols, new)
             halvings += 1
         done = abs(1.0 - ll_new / ll) <= eps if ll != 0 else abs(ll_new - ll) <= eps
         beta, ll, U, I = new, ll_new, U_new, I_new
@@ -336,7 +288,7 @@ def _fit_raw(raw: DataFrame, covariates: list[str], levels: dict | None, max_ite
     if not done:
         warnings.warn(f"the Cox fit did not converge in {max_iter} steps", stacklevel=3)
     return CoxFit(design, beta, _inverse(I), ll0, ll, score, int(tot["n"] or 0), int(tot["e"] or 0), it, suf,
-                  wide, raw, tuple(covariates), bool(done))
+                  raw, tuple(covariates), bool(done))
 
 
 def coef_table(spark: SparkSession, fit: CoxFit) -> DataFrame:
@@ -400,8 +352,7 @@ def baseline_table(fit: CoxFit) -> DataFrame:
     residuals and curves read it several times."""
     cols = fit.design.cols
     p = len(cols)
-    pt = (per_time_from_patterns(fit.wide[0], fit.wide[1], fit.beta) if fit.wide is not None
-          else per_time_sums(fit.suf, cols, fit.beta))
+    pt = per_time_sums(fit.suf, cols, fit.beta)
     ex = efron_rows(pt, p)
     inc = ex.groupBy("t").agg(
         F.sum(1.0 / F.col("q0")).alias("haz"),
@@ -480,7 +431,7 @@ def fit_metrics(spark: SparkSession, fit: CoxFit) -> DataFrame:
                                  "aic double, bic double, r2_nagelkerke double, rmse double")
 
 
-MAX_PATTERNS = 64
+PATTERNS_PER_BLOCK = 1024
 
 
 def adjusted_curves(fit: CoxFit, variable: str) -> DataFrame:
@@ -488,72 +439,81 @@ def adjusted_curves(fit: CoxFit, variable: str) -> DataFrame:
     averaged over the sample's mix of the other covariates:
     S_L(t) = sum_p m_p exp(-cumhaz(t) exp(eta_p(L))) / sum_p m_p.
 
-    The other covariates' distinct patterns are read once (checked bound)
-    and enter as literals, so each curve is a projection of the baseline
-    table."""
+    The other covariates' patterns are summed to (risk, m) and dealt into
+    blocks; every (level, time) meets every block by its number and sums
+    over the block in place, so that any number of patterns will do."""
     d = fit.design
     if variable not in d.levels:
         raise ValueError(f"{variable} is no categorical covariate of the fit")
-    cols = d.cols
-    idx = [i for i, t in enumerate(d.terms) if t.variable == variable]
-    others = [i for i in range(len(cols)) if i not in idx]
-    if others:
-        pats = fit.suf.groupBy(*[cols[i] for i in others]).agg(F.sum("m").alias("m")) \
-            .limit(MAX_PATTERNS + 1).collect()
-        if len(pats) > MAX_PATTERNS:
-            raise ValueError("too many covariate patterns for averaged curves")
-        pats = [([r[cols[i]] for i in others], r["m"]) for r in pats]
-    else:
-        pats = [([], 1.0)]
-    tot = sum(m for _, m in pats)
-    levels = d.levels.get(variable) or [None]
-    base = baseline_table(fit).filter(F.col("haz") > 0).select("t", "cumhaz")
-    curves = []
-    for L in levels:
-        xs = np.zeros(len(cols))
-        for i in idx:
-            xs[i] = 1.0 if d.terms[i].level == L else 0.0
-        s = F.lit(0.0)
-        for vals, m in pats:
-            x = xs.copy()
-            for i, v in zip(others, vals):
-                x[i] = v
-            s = s + F.lit(float(m)) * F.exp(-F.col("cumhaz") * F.lit(math.exp(float(x @ fit.beta))))
-        curves.append(base.select(F.lit(L).alias(variable), F.col("t").alias("time"),
-                                  (s / F.lit(float(tot))).alias("surv")))
-    out = curves[0]
-    for c in curves[1:]:
-        out = out.unionByName(c)
-    return out
+    own = {t.level: float(b) for t, b in zip(d.terms, fit.beta) if t.variable == variable}
+    others = [(t.column, b) for t, b in zip(d.terms, fit.beta) if t.variable != variable]
+    risk = F.exp(_eta([c for c, _ in others], [b for _, b in others]))
+    pats = materialize(fit.suf.groupBy(risk.alias("risk")).agg(F.sum("m").alias("m")))
+    size = pats.agg(F.count("*").alias("n"), F.sum("m").alias("m")).first()
+    n_blocks = max(1, -(-size["n"] // PATTERNS_PER_BLOCK))
+    blocks = pats.groupBy(F.pmod(F.xxhash64("risk"), F.lit(n_blocks)).alias("block")).agg(
+        F.collect_list(F.struct("risk", "m")).alias("patterns"))   # about PATTERNS_PER_BLOCK
+    levels = F.array(*[F.struct(F.lit(L).alias("level"), F.lit(math.exp(own.get(L, 0.0))).alias("own"))
+                       for L in d.levels[variable]])
+    at = (baseline_table(fit).filter(F.col("haz") > 0).select("t", "cumhaz", F.explode(levels).alias("l"))
+          .select("t", "cumhaz", "l.*", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")).alias("block")))
+    part = F.aggregate("patterns", F.lit(0.0), lambda s, p: s + p["m"] * F.exp(-F.col("cumhaz") * F.col("own") * p["risk"]))
+    return (at.join(blocks, "block").groupBy("level", "t").agg(F.sum(part).alias("s"))
+            .select(F.col("level").alias(variable), F.col("t").alias("time"), (F.col("s") / float(size["m"] or 1)).alias("surv")))
 
 
 def concordance(spark: SparkSession, fit: CoxFit) -> DataFrame:
-    """Harrell's C from (time, risk score, event) counts.
+    """Harrell's C and its standard error from (time, risk score, event) counts.
 
     A pair is comparable when the earlier time is a death and the other
     subject is still at risk after it (or censored at the same time);
     concordant when the earlier death has the higher risk score; equal
-    scores count one half.  Risk scores take few values for categorical
-    covariates: one column per distinct score (checked bound), so the
-    counts come from suffix sums over time, not from pairs."""
-    cols = fit.design.cols
-    eta = F.round(_eta(cols, fit.beta), 12)
-    cells = fit.suf.select("t", eta.alias("eta"), "d", "m")
-    scores = sorted(r[0] for r in cells.select("eta").distinct().limit(MAX_LEVELS + 1).collect())
-    if len(scores) > MAX_LEVELS:
-        raise ValueError("too many distinct risk scores")
-    r = len(scores)
-    wide = cells.groupBy("t").agg(
-        *[F.sum(F.when(F.col("eta") == s, F.col("d")).otherwise(0.0)).alias(f"d{i}") for i, s in enumerate(scores)],
-        *[F.sum(F.when(F.col("eta") == s, F.col("m")).otherwise(0.0)).alias(f"m{i}") for i, s in enumerate(scores)])
-    wide = scaled_buckets(wide, [], "t")
-    wide = running_aggs(wide, [], "t", suffix_sums={f"R{i}": f"m{i}" for i in range(r)}, bucket_col="__qb")
-    # at risk strictly after t, plus censored at t (SQL text: r^2 terms)
-    g = [f"(R{i} - d{i})" for i in range(r)]
-    conc = " + ".join(f"d{i} * ({' + '.join(g[:i]) or '0D'})" for i in range(r))
-    disc = " + ".join(f"d{i} * ({' + '.join(g[i + 1:]) or '0D'})" for i in range(r))
-    tied = " + ".join(f"d{i} * {g[i]}" for i in range(r))
-    agg = wide.selectExpr(f"SUM({conc}) AS concordant", f"SUM({disc}) AS discordant",
-                          f"SUM({tied}) AS tied_risk")
-    pairs = F.col("concordant") + F.col("discordant") + F.col("tied_risk")
-    return agg.withColumn("concordance", F.when(pairs > 0, (F.col("concordant") + 0.5 * F.col("tied_risk")) / pairs))
+    scores count one half.
+
+    No pairs are formed and any number of scores will do.  Scores are
+    ranked; of two different ranks the higher one has the 1 at the highest
+    bit in which they differ.  So each cell stands once for every bit, in
+    the group of the cells that agree above that bit, and running sums over
+    time within such groups count, for each subject, the partners of higher
+    and of lower score.  The standard error is the infinitesimal jackknife
+    over those counts per subject."""
+    eta = F.round(_eta(fit.design.cols, fit.beta), 12)
+    cells = materialize(fit.suf.groupBy("t", eta.alias("eta")).agg(F.sum("d").alias("d"), F.sum("m").alias("m")))
+    scores = materialize(cells.select("eta").distinct().withColumn("one", F.lit(1)))
+    bits = max(1, scores.count().bit_length())
+    ranks = running_aggs(scores, [], "eta", sums={"r": "one"})
+    cells = materialize(cells.join(ranks.select("eta", F.col("r").cast("bigint").alias("r")), "eta")
+                        .select("t", "d", "m", "r", F.explode(F.sequence(F.lit(-1), F.lit(bits - 1))).alias("bit"))
+                        # bit -1: the cells of equal score
+                        .selectExpr("*", "shiftright(r, bit + 1) AS above",
+                                    "CASE WHEN bit < 0 THEN 0 ELSE shiftright(r, bit) & 1 END AS side"))
+    sides = cells.groupBy("bit", "above", "t").agg(*[
+        F.sum(F.when(F.col("side") == k, F.col(c)).otherwise(0.0)).alias(f"{c}{k}") for c in "dm" for k in (0, 1)])
+    run = running_aggs(materialize(sides), ["bit", "above"], "t", suffix_sums={"R0": "m0", "R1": "m1"},
+                       sums={"P0": "d0", "P1": "d1"})
+    each = cells.join(run, ["bit", "above", "t"])
+
+    # partners of one subject that died (first) or was censored (second) in the cell
+    counts = {
+        "conc": ("IF(side = 1, R0 - d0, P1 - d1)", "IF(side = 1, 0D, P1)", "bit >= 0"),
+        "disc": ("IF(side = 0, R1 - d1, P0 - d0)", "IF(side = 0, 0D, P0)", "bit >= 0"),
+        "tied": ("(R0 - d0) + (P0 - d0)", "P0", "bit < 0"),
+    }
+    subject = each.groupBy("t", "r").agg(F.first("d").alias("d"), F.first("m").alias("m"), *[
+        F.expr(f"SUM(IF({when}, {e}, 0D)) AS {name}_{kind}")
+        for name, (dead, alive, when) in counts.items() for kind, e in (("d", dead), ("c", alive))])
+    kinds = (("d", "d"), ("(m - d)", "c"))
+    total = {n: " + ".join(f"{w} * {n}_{k}" for w, k in kinds) for n in counts}
+    x, n = "(conc_{0} - disc_{0})", "(conc_{0} + disc_{0} + tied_{0})"
+
+    def squares(a, b):
+        return "SUM(" + " + ".join(f"{w} * {a.format(k)} * {b.format(k)}" for w, k in kinds) + ")"
+    sums = subject.selectExpr(
+        # each pair is counted at both of its ends
+        f"SUM({total['conc']}) / 2 AS concordant", f"SUM({total['disc']}) / 2 AS discordant",
+        f"SUM({total['tied']}) / 2 AS tied_risk", f"{squares(x, x)} AS xx", f"{squares(x, n)} AS xn", f"{squares(n, n)} AS nn")
+    sums = sums.selectExpr("*", "concordant + discordant + tied_risk AS pairs")
+    sums = sums.selectExpr("*", "IF(pairs > 0, (concordant - discordant) / pairs, NULL) AS gap")
+    return sums.selectExpr("concordant", "discordant", "tied_risk",
+                           "IF(pairs > 0, (concordant + 0.5D * tied_risk) / pairs, NULL) AS concordance",
+                           "sqrt(greatest(xx - 2 * gap * xn + gap * gap * nn, 0D)) / (2 * pairs) AS std_err")

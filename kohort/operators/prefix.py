@@ -48,8 +48,8 @@ def running_aggs(df: DataFrame, partition_cols: list[str], order_col: str,
 
     Buckets are a precomputed ``bucket_col`` (non-decreasing in the order
     key), else ``floor(order / bucket_width)`` when a width is given, else
-    ``n_buckets`` equal-width ranges per partition from its min/max (any
-    scale of the order key; the bucket table stays <= n_buckets rows per
+    ``n_buckets`` ranges of about equally many rows per partition (see
+    :func:`scaled_buckets`; the bucket table stays <= n_buckets rows per
     partition).
     ``within_order`` (sort Columns) replaces ``order_col`` inside a bucket,
     for composite orders whose first key drives the bucket.
@@ -114,18 +114,28 @@ def running_aggs(df: DataFrame, partition_cols: list[str], order_col: str,
     return out.drop(*drop, _BUCKET)
 
 
+def range_bucket(value, cuts, most: int):
+    """How many of the sorted ``cuts`` (at most ``most``) lie below ``value``, by binary search."""
+    steps = [1 << k for k in reversed(range(max(1, most.bit_length())))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(
+        F.get(cuts, at + step - 1) < value, at + step).otherwise(at)).cast("bigint")
+
+
 def scaled_buckets(df: DataFrame, partition_cols: list[str], order_col: str,
                    n_buckets: int = 1024, name: str = "__qb") -> DataFrame:
-    """Add ``name`` = equal-width bucket of ``order_col`` within each
-    partition, from the partition's min/max (a small aggregate joined back;
-    AQE broadcasts it).  Suits keys whose scale differs per partition."""
+    """Add ``name`` = range bucket of ``order_col`` within each partition.
+
+    Borders are the partition's quantiles (``percentile_approx``, combined
+    before the shuffle), so a bucket holds about 1 / ``n_buckets`` of the
+    partition's rows whatever the scale and however far its outliers lie.
+    A partition's borders are one array of at most ``n_buckets`` - 1
+    numbers; without partition columns it is read once and put in the plan."""
     part = list(partition_cols)
-    if not part:  # one global range: a constant key keeps this an equi join
-        df, part = df.withColumn("__all", F.lit(1)), ["__all"]
-        return scaled_buckets(df, part, order_col, n_buckets, name).drop("__all")
-    rng = df.groupBy(*part).agg(F.min(order_col).alias("__lo"), F.max(order_col).alias("__hi"))
-    j = join_null_safe(df, rng, part, "inner")
-    span = F.col("__hi") - F.col("__lo")
-    b = F.when(span > 0, F.floor((F.col(order_col) - F.col("__lo")) / span * (n_buckets - 1))) \
-         .otherwise(F.lit(0)).cast("bigint")
-    return j.withColumn(name, b).drop("__lo", "__hi")
+    value = F.col(order_col).cast("double")
+    probs = [k / n_buckets for k in range(1, n_buckets)] or [0.5]
+    found = F.array_distinct(F.percentile_approx(value, probs, max(10_000, 10 * n_buckets)))
+    if not part:
+        cuts = df.agg(found.alias("cuts")).first()["cuts"] or []
+        return df.withColumn(name, F.coalesce(range_bucket(value, F.lit(cuts).cast("array<double>"), len(probs)), F.lit(0)))
+    j = join_null_safe(df, df.groupBy(*part).agg(found.alias("__cuts")), part, "inner")
+    return j.withColumn(name, F.coalesce(range_bucket(value, F.col("__cuts"), len(probs)), F.lit(0))).drop("__cuts")

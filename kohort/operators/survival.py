@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kohort.functions.stats import Z975, chi2_sf
@@ -85,8 +85,7 @@ def _zq(level: float) -> float:
     return NormalDist().inv_cdf(0.5 + level / 2.0)
 
 
-def km_summary(km: DataFrame, df: DataFrame | None = None, time: str | None = None,
-               event: str | None = None, by=(), tol: float = 1e-12) -> DataFrame:
+def km_summary(km: DataFrame, by=(), tol: float = 1e-12) -> DataFrame:
     """Records, events, median survival and its confidence limits, all
     read from the curve table (records = at-risk count at the first time,
     events = sum of events), so the input is not scanned again.
@@ -94,34 +93,28 @@ def km_summary(km: DataFrame, df: DataFrame | None = None, time: str | None = No
     Median = first time with S <= 0.5; when S is exactly 0.5 on a step, the
     midpoint to the next drop.  Limits: first times where the lower / upper
     confidence curve reaches 0.5 (the lower curve gets there first).  NULL
-    when never reached.  (``df``, ``time``, ``event`` are accepted for
-    compatibility and not used.)"""
+    when never reached."""
     by = list(by)
-    if not by:
-        # one overall group: a constant key keeps the join an equi join
-        km = km.withColumn("__all", F.lit(1))
-        return km_summary(km, None, None, None, ["__all"], tol).drop("__all")
-    counts = km.groupBy(*by).agg(F.max("n_risk").cast("bigint").alias("records"),
-                                 F.sum("n_event").cast("bigint").alias("events"))
     half = 0.5
-    drops = km.filter(F.col("n_event") > 0)
-    at_half = F.abs(F.col("surv") - half) <= tol
-    med = drops.groupBy(*by).agg(
-        F.min(F.when(F.col("surv") <= half + tol, F.col("time"))).alias("__m"),
-        F.min(F.when(at_half, F.col("time"))).alias("__flat"),
-        F.min(F.when(F.col("surv") < half - tol, F.col("time"))).alias("__after"),
-        F.min(F.when(F.col("lower") <= half + tol, F.col("time"))).alias("lower_ci"),
-        F.min(F.when(F.col("upper") <= half + tol, F.col("time"))).alias("upper_ci"))
+    drop = F.col("n_event") > 0
+
+    def first_time(cond):
+        return F.min(F.when(drop & cond, F.col("time")))
+    med = km.groupBy(*by).agg(
+        F.max("n_risk").cast("bigint").alias("records"), F.sum("n_event").cast("bigint").alias("events"),
+        first_time(F.col("surv") <= half + tol).alias("__m"),
+        first_time(F.abs(F.col("surv") - half) <= tol).alias("__flat"),
+        first_time(F.col("surv") < half - tol).alias("__after"),
+        first_time(F.col("lower") <= half + tol).alias("lower_ci"),
+        first_time(F.col("upper") <= half + tol).alias("upper_ci"))
     median = (F.when(F.col("__flat").isNotNull() & F.col("__after").isNotNull(),
                      (F.col("__flat") + F.col("__after")) / 2.0)
                .otherwise(F.col("__m").cast("double")))
-    med = med.select(*by, median.alias("median"), F.col("lower_ci").cast("double"),
-                     F.col("upper_ci").cast("double"))
-    return counts.join(med, on=by, how="left")
+    return med.filter("records IS NOT NULL").select(*by, "records", "events", median.alias("median"), F.col("lower_ci").cast("double"),
+                      F.col("upper_ci").cast("double"))
 
 
-def curve_points(km: DataFrame, df: DataFrame | None = None, time: str | None = None,
-                 event: str | None = None, by=(), ylim: tuple[float, float] | None = None) -> DataFrame:
+def curve_points(km: DataFrame, by=(), ylim: tuple[float, float] | None = None) -> DataFrame:
     """Step points for plotting: the curve plus an origin row (t=0, S=1)
     per group, its at-risk count read from the curve; ``in_window`` marks
     points inside ``ylim``."""
@@ -201,97 +194,104 @@ def _worker_helpers():
     return ratio
 
 
-MAX_LEVELS = 200
-
-
-def group_levels(df: DataFrame, by: str, max_levels: int = MAX_LEVELS) -> list:
-    """Sorted distinct non-NULL levels of a grouping column, with a checked
-    bound (the test needs one column per level)."""
-    got = [r[0] for r in df.select(by).filter(F.col(by).isNotNull()).distinct()
-           .limit(max_levels + 1).collect()]
-    if len(got) > max_levels:
-        raise ValueError(f"{by}: more than {max_levels} levels")
-    return sorted(got)
-
-
-def logrank_sums(df: DataFrame, time: str, event: str, by: str, levels: list | None = None,
-                 n_buckets: int = 1024) -> tuple[DataFrame, list]:
-    """One-row DataFrame with, per level i, subjects ``n_i``, observed
-    ``o_i``, expected ``e_i`` and the covariance ``v_i_j``.
-
-    The collapsed table is widened to one row per time with one column per
-    level (conditional sums: the levels are the pivot values), so at-risk
-    counts of every level exist at every pooled time without a grid join."""
-    c = materialize(collapse(df, time, event, [by]))
-    levels = levels if levels is not None else group_levels(c, by)   # read from the small table
-    k = len(levels)
-    g = F.col(by)
-    wide = c.groupBy("t").agg(
-        *[F.sum(F.when(g == lv, F.col("n_event")).otherwise(0)).alias(f"d{i}") for i, lv in enumerate(levels)],
-        *[F.sum(F.when(g == lv, F.col("n_obs")).otherwise(0)).alias(f"m{i}") for i, lv in enumerate(levels)])
-    wide = running_aggs(wide, [], "t", suffix_sums={f"r{i}": f"m{i}" for i in range(k)},
-                        n_buckets=n_buckets)
-    n = " + ".join(f"r{i}" for i in range(k))
-    d = " + ".join(f"d{i}" for i in range(k))
-    wide = wide.selectExpr("*", f"CAST({n} AS DOUBLE) AS __n", f"CAST({d} AS DOUBLE) AS __d")
-    wide = wide.selectExpr("*", "CASE WHEN __n > 1 THEN __d * (__n - __d) / (__n - 1) ELSE 0D END AS __w")
-    # expressions as SQL text: one JVM call per column for k^2 covariances
-    aggs = []
-    for i in range(k):
-        aggs += [f"SUM(m{i}) AS n_{i}", f"SUM(d{i}) AS o_{i}", f"SUM(__d * r{i} / __n) AS e_{i}"]
-        for j in range(k):
-            delta = "1D" if i == j else "0D"
-            aggs.append(f"SUM(__w * (r{i} / __n) * ({delta} - r{j} / __n)) AS v_{i}_{j}")
-    return wide.selectExpr(*aggs), levels
-
-
-def logrank_test(df: DataFrame, time: str, event: str, by: str, levels: list | None = None,
-                 n_buckets: int = 1024) -> DataFrame:
-    """Per level: n, observed, expected, (O-E)^2/E, (O-E)^2/V, and the
-    test chi-square on k-1 df with its p-value.
-
-    The k x k covariance solve runs inside ``mapInPandas`` on the one-row
-    sums table (an executor task), not on the driver."""
-    sums, levels = logrank_sums(df, time, event, by, levels, n_buckets)
-    k = len(levels)
+CELLS_PER_BUCKET = 200_000   # (time, level) cells that one task sums
+GRID = 1 << 21               # numbers of the time x level grid that a task holds at a time
+
+
+def _logrank(c: DataFrame, level_type: str) -> DataFrame:
+    """Log-rank results per ``variable`` and ``level`` from collapsed cells
+    ``(variable, level, t, n_event, n_obs)``.
+
+    Cells stay in long form, so the number of levels is not limited.  Times
+    are split into range buckets of about equally many cells; a bucket
+    starts from each level's at-risk count behind it (a suffix sum over the
+    small bucket table), walks its own times in numpy blocks and yields its
+    share of the expected events and of the covariance, which Spark sums.
+    One (k-1) x (k-1) solve per variable is left."""
+    buckets = max(1, -(-c.count() // CELLS_PER_BUCKET))
+    totals = c.groupBy("variable", "level").agg(F.sum("n_obs").alias("n"), F.sum("n_event").alias("observed"))
+    lv = materialize(totals.withColumn("i", F.row_number().over(Window.partitionBy("variable").orderBy("level")) - 1))
+    cells = c.join(lv.select("variable", "level", "i"), ["variable", "level"]).drop("level")
+    cells = materialize(scaled_buckets(cells, ["variable"], "t", buckets, name="tb"))
+
+    held = cells.groupBy("variable", "tb", "i").agg(F.sum("n_obs").alias("m"))
+    grid = cells.select("variable", "tb").distinct().join(lv.select("variable", "i"), "variable")
+    later = Window.partitionBy("variable", "i").orderBy(F.desc("tb")).rowsBetween(Window.unboundedPreceding, -1)
+    behind = (grid.join(held, ["variable", "tb", "i"], "left")
+              .select("variable", "tb", "i", F.coalesce(F.sum("m").over(later), F.lit(0)).alias("after"))
+              .toDF("variable", "tb", "i", "after"))   # columns of its own, apart from those of cells
+
+    def share(cells, behind):
+        k = len(behind)
+        at_risk = np.zeros(k)
+        at_risk[behind["i"].to_numpy()] = behind["after"].to_numpy()
+        E, V = np.zeros(k), np.zeros((k, k))
+        times, row = np.unique(cells["t"].to_numpy(), return_inverse=True)
+        order = np.argsort(row, kind="stable")
+        row, level = row[order], cells["i"].to_numpy()[order]
+        seen, died = cells["n_obs"].to_numpy(float)[order], cells["n_event"].to_numpy(float)[order]
+        block = max(1, GRID // k)
+        for stop in range(len(times), 0, -block):  # from the last time to the first
+            start = max(0, stop - block)
+            part = slice(*np.searchsorted(row, [start, stop]))
+            risk = np.zeros((stop - start, k))
+            np.add.at(risk, (row[part] - start, level[part]), seen[part])
+            risk = at_risk + np.cumsum(risk[::-1], axis=0)[::-1]
+            at_risk = risk[0]
+            d = np.bincount(row[part] - start, weights=died[part], minlength=stop - start)
+            event = d > 0
+            d, n = d[event], risk[event].sum(axis=1)
+            w = np.where(n > 1, d * (n - d) / np.maximum(n - 1, 1), 0.0)
+            p = risk[event] / n[:, None]
+            E += d @ p
+            V += np.diag(w @ p) - (p * w[:, None]).T @ p
+        i, j = np.indices((k, k)).reshape(2, -1)
+        return pd.DataFrame({"variable": cells["variable"].iloc[0], "i": np.concatenate([np.arange(k), i]),
+                             "j": np.concatenate([np.full(k, -1), j]), "v": np.concatenate([E, V.ravel()])})
+
+    keys = ["variable", "tb"]
+    parts = (cells.groupBy(*keys).cogroup(behind.groupBy(*keys))
+             .applyInPandas(share, "variable string, i int, j int, v double"))
+    summed = parts.groupBy("variable", "i", "j").agg(F.sum("v").alias("v"))
     ratio, sf = _worker_helpers(), chi2_sf   # closures: shipped by value
-    lv_type = df.schema[by].dataType.simpleString()
-
-    def solve(batches):
-        for pdf in batches:
-            for _, row in pdf.iterrows():
-                O = np.array([row[f"o_{i}"] for i in range(k)], float)
-                E = np.array([row[f"e_{i}"] for i in range(k)], float)
-                N = np.array([row[f"n_{i}"] for i in range(k)], float)
-                V = np.array([[row[f"v_{i}_{j}"] for j in range(k)] for i in range(k)], float)
-                diff = (O - E)[: k - 1]
-                sub = V[: k - 1, : k - 1]
-                try:
-                    stat = float(diff @ np.linalg.solve(sub, diff)) if k > 1 else float("nan")
-                except np.linalg.LinAlgError:
-                    stat = float(diff @ np.linalg.pinv(sub) @ diff)
-                df_ = float(np.linalg.matrix_rank(sub)) if k > 1 else 0.0
-                p = sf(stat, df_) if df_ > 0 else float("nan")
-                yield pd.DataFrame({
-                    "level": levels, "n": N.astype("int64"), "observed": O, "expected": E,
-                    "oe2_e": ratio((O - E) ** 2, E), "oe2_v": ratio((O - E) ** 2, np.diag(V)),
-                    "chisq": [stat] * k, "df": [int(df_)] * k, "p_value": [p] * k})
-    schema = (f"level {lv_type}, n bigint, observed double, expected double, oe2_e double, "
+
+    def solve(levels, sums):
+        levels = levels.sort_values("i")
+        k = len(levels)
+        E, V = np.zeros(k), np.zeros((k, k))
+        mean = sums["j"].to_numpy() < 0
+        E[sums["i"][mean]] = sums["v"][mean]
+        V[sums["i"][~mean], sums["j"][~mean]] = sums["v"][~mean]
+        O = levels["observed"].to_numpy(float)
+        diff, sub = (O - E)[: k - 1], V[: k - 1, : k - 1]
+        stat, dfree = float("nan"), 0
+        if k > 1:
+            try:
+                stat = float(diff @ np.linalg.solve(sub, diff))
+            except np.linalg.LinAlgError:
+                stat = float(diff @ np.linalg.pinv(sub) @ diff)
+            dfree = int(np.linalg.matrix_rank(sub))
+        p = sf(stat, dfree) if dfree > 0 else float("nan")
+        return pd.DataFrame({"variable": levels["variable"], "level": levels["level"], "n": levels["n"].astype("int64"),
+                             "observed": O, "expected": E, "oe2_e": ratio((O - E) ** 2, E),
+                             "oe2_v": ratio((O - E) ** 2, np.diag(V)), "chisq": stat, "df": dfree, "p_value": p})
+    schema = (f"variable string, level {level_type}, n bigint, observed double, expected double, oe2_e double, "
               f"oe2_v double, chisq double, df bigint, p_value double")
-    return sums.mapInPandas(solve, schema).withColumnRenamed("level", by)
+    return lv.groupBy("variable").cogroup(summed.groupBy("variable")).applyInPandas(solve, schema)
 
 
-def logrank_many(df: DataFrame, time: str, event: str, groupings: list[str],
-                 max_levels: int = MAX_LEVELS, n_buckets: int = 1024) -> DataFrame:
-    """Log-rank tests for several grouping columns in one job.
+def logrank_test(df: DataFrame, time: str, event: str, by: str) -> DataFrame:
+    """Per level: n, observed, expected, (O-E)^2/E, (O-E)^2/V, and the
+    test chi-square on k-1 df with its p-value."""
+    c = materialize(collapse(df, time, event, [by]).select(
+        F.lit("by").alias("variable"), F.col(by).alias("level"), "t", "n_event", "n_obs"))
+    out = _logrank(c, df.schema[by].dataType.simpleString())
+    return out.drop("variable").withColumnRenamed("level", by)
+
 
-    Grouping columns are unpivoted to ``(variable, level)``; each level gets
-    an index within its variable (a small level table, checked against
-    ``max_levels``), so one table with one column per level index holds the
-    at-risk counts of every grouping at every pooled time.  Risk sets are
-    suffix sums partitioned by variable; each variable's (k-1)x(k-1) solve
-    runs in ``applyInPandas`` grouped by variable.
-    """
+def logrank_many(df: DataFrame, time: str, event: str, groupings: list[str]) -> DataFrame:
+    """Log-rank tests for several grouping columns in one job: they are
+    unpivoted to ``(variable, level)`` and the input is read once."""
     from kohort.operators.summary import unpivot  # local: summary imports prefix only
     long = unpivot(df.select(time, event, *groupings), groupings, keep=[time, event],
                    variable="variable", value="level")
@@ -299,61 +299,4 @@ def logrank_many(df: DataFrame, time: str, event: str, groupings: list[str],
         long = long.filter(F.col(c).isNotNull())
     c = materialize(long.groupBy("variable", "level", F.col(time).alias("t")).agg(
         F.sum(F.col(event).cast("bigint")).alias("n_event"), F.count(F.lit(1)).alias("n_obs")))
-    lvl = c.select("variable", "level").distinct()
-    sizes = lvl.groupBy("variable").count().collect()          # one row per grouping
-    if any(r["count"] > max_levels for r in sizes):
-        raise ValueError(f"a grouping has more than {max_levels} levels")
-    level_map: dict = {}
-    for r in lvl.collect():                                     # bounded by the check above
-        level_map.setdefault(r["variable"], []).append(r["level"])
-    level_map = {k: sorted(v) for k, v in level_map.items()}
-    K = max((len(v) for v in level_map.values()), default=0)
-    index = c.sparkSession.createDataFrame(
-        [(v, lv, i) for v, lvs in level_map.items() for i, lv in enumerate(lvs)],
-        "variable string, level string, __i int")
-    idx = c.join(F.broadcast(index), ["variable", "level"])
-    wide = idx.groupBy("variable", "t").agg(
-        *[F.sum(F.when(F.col("__i") == i, F.col("n_event")).otherwise(0)).alias(f"d{i}") for i in range(K)],
-        *[F.sum(F.when(F.col("__i") == i, F.col("n_obs")).otherwise(0)).alias(f"m{i}") for i in range(K)])
-    wide = running_aggs(wide, ["variable"], "t", suffix_sums={f"r{i}": f"m{i}" for i in range(K)},
-                        n_buckets=n_buckets)
-    n = " + ".join(f"r{i}" for i in range(K))
-    d = " + ".join(f"d{i}" for i in range(K))
-    wide = wide.selectExpr("*", f"CAST({n} AS DOUBLE) AS __n", f"CAST({d} AS DOUBLE) AS __d")
-    wide = wide.selectExpr("*", "CASE WHEN __n > 1 THEN __d * (__n - __d) / (__n - 1) ELSE 0D END AS __w")
-    aggs = []
-    for i in range(K):
-        aggs += [f"SUM(m{i}) AS n_{i}", f"SUM(d{i}) AS o_{i}", f"SUM(__d * r{i} / __n) AS e_{i}"]
-        for j in range(K):
-            delta = "1D" if i == j else "0D"
-            aggs.append(f"SUM(__w * (r{i} / __n) * ({delta} - r{j} / __n)) AS v_{i}_{j}")
-    sums = wide.groupBy("variable").agg(*[F.expr(a) for a in aggs])
-    ratio, sf = _worker_helpers(), chi2_sf   # closures: shipped by value
-
-    def solve(pdf):
-        row = pdf.iloc[0]
-        levels = level_map[row["variable"]]
-        k = len(levels)
-        O = np.array([row[f"o_{i}"] for i in range(k)], float)
-        E = np.array([row[f"e_{i}"] for i in range(k)], float)
-        N = np.array([row[f"n_{i}"] for i in range(k)], float)
-        V = np.array([[row[f"v_{i}_{j}"] for j in range(k)] for i in range(k)], float)
-        diff, sub = (O - E)[: k - 1], V[: k - 1, : k - 1]
-        if k > 1:
-            try:
-                stat = float(diff @ np.linalg.solve(sub, diff))
-            except np.linalg.LinAlgError:
-                stat = float(diff @ np.linalg.pinv(sub) @ diff)
-            dfree = int(np.linalg.matrix_rank(sub))
-        else:
-            stat, dfree = float("nan"), 0
-        p = sf(stat, dfree) if dfree > 0 else float("nan")
-        with np.errstate(divide="ignore", invalid="ignore"):
-            return pd.DataFrame({
-                "variable": [row["variable"]] * k, "level": levels, "n": N.astype("int64"),
-                "observed": O, "expected": E, "oe2_e": ratio((O - E) ** 2, E),
-                "oe2_v": ratio((O - E) ** 2, np.diag(V)),
-                "chisq": [stat] * k, "df": [dfree] * k, "p_value": [p] * k})
-    schema = ("variable string, level string, n bigint, observed double, expected double, oe2_e double, "
-              "oe2_v double, chisq double, df bigint, p_value double")
-    return sums.groupBy("variable").applyInPandas(solve, schema)
+    return _logrank(c, "string")

@@ -135,19 +135,25 @@ def q_cox_fit_metrics(spark, d):
 
 @register("cox_concordance", fixtures=("fx_surv_dates",), sql=COX_BASE + """,
 cells AS (SELECT t, x, SUM(e) AS d, COUNT(*) AS m FROM base GROUP BY t, x),
-pairs AS (SELECT i.d * (CASE WHEN j.t > i.t THEN j.m ELSE j.m - j.d END) AS w,
+pairs AS (SELECT i.t AS it, i.x AS ix, i.d AS id, j.t AS jt, j.x AS jx,
+                 CASE WHEN j.t > i.t THEN j.m ELSE j.m - j.d END AS jn,
                  CASE WHEN i.x * est.b > j.x * est.b THEN 1 WHEN i.x * est.b < j.x * est.b THEN -1 ELSE 0 END AS cmp
-          FROM cells i JOIN cells j ON j.t >= i.t, est WHERE i.d > 0)
-SELECT CAST(SUM(CASE WHEN cmp = 1 THEN w ELSE 0 END) AS BIGINT) AS concordant,
-       CAST(SUM(CASE WHEN cmp = -1 THEN w ELSE 0 END) AS BIGINT) AS discordant,
-       CAST(SUM(CASE WHEN cmp = 0 THEN w ELSE 0 END) AS BIGINT) AS tied_risk,
-       ROUND((SUM(CASE WHEN cmp = 1 THEN w ELSE 0 END) + 0.5 * SUM(CASE WHEN cmp = 0 THEN w ELSE 0 END))
-             / SUM(w), 6) AS concordance
-FROM pairs""")
+          FROM cells i JOIN cells j ON j.t >= i.t, est WHERE i.d > 0),
+tot AS (SELECT SUM(CASE WHEN cmp = 1 THEN id * jn ELSE 0 END) AS c, SUM(CASE WHEN cmp = -1 THEN id * jn ELSE 0 END) AS d,
+               SUM(CASE WHEN cmp = 0 THEN id * jn ELSE 0 END) AS u, SUM(id * jn) AS n FROM pairs),
+ends AS (SELECT it AS t, ix AS x, 1 AS dead, SUM(cmp * jn) AS s, SUM(jn) AS n FROM pairs GROUP BY it, ix
+         UNION ALL SELECT jt, jx, 1, SUM(cmp * id), SUM(id) FROM pairs WHERE jt > it GROUP BY jt, jx
+         UNION ALL SELECT jt, jx, 0, SUM(cmp * id), SUM(id) FROM pairs GROUP BY jt, jx),
+subj AS (SELECT t, x, dead, SUM(s) AS s, SUM(n) AS n FROM ends GROUP BY t, x, dead),
+jack AS (SELECT SUM((CASE WHEN dead = 1 THEN cells.d ELSE cells.m - cells.d END)
+                    * POWER((subj.s - (tot.c - tot.d) / tot.n * subj.n) / (2 * tot.n), 2)) AS v
+         FROM subj JOIN cells ON cells.t = subj.t AND cells.x = subj.x, tot)
+SELECT CAST(c AS BIGINT) AS concordant, CAST(d AS BIGINT) AS discordant, CAST(u AS BIGINT) AS tied_risk,
+       ROUND((c + 0.5 * u) / n, 6) AS concordance, ROUND(sqrt(v), 6) AS std_err FROM tot, jack""")
 def q_cox_concordance(spark, d):
     c = C.concordance(spark, _fit(spark, d, ("exposed",)))
     return rounded(c.select(*[F.col(x).cast("bigint") for x in ("concordant", "discordant", "tied_risk")],
-                            "concordance"))
+                            "concordance", "std_err"))
 
 
 @register("cox_two_covariates")

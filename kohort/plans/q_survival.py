@@ -111,7 +111,7 @@ FROM cnt LEFT JOIN med ON cnt.grp = med.grp"""
 def q_km_median(spark, d):
     s = surv_big(spark, d)
     km = S.kaplan_meier(s, "time", "event", by=["grp"])
-    return rounded(S.km_summary(km, s, "time", "event", by=["grp"]))
+    return rounded(S.km_summary(km, by=["grp"]))
 
 
 @register("km_curve_points", fixtures=("fx_surv_dates",), sql="WITH " + SURV_SMALL_SQL + km_sql("grp", """,
@@ -124,7 +124,7 @@ SELECT grp, CAST(0 AS BIGINT), CAST(COUNT(*) AS BIGINT), CAST(0 AS BIGINT), CAST
 def q_km_curve_points(spark, d):
     s = surv_small(spark, d)
     km = S.kaplan_meier(s, "time", "event", by=["grp"])
-    return rounded(S.curve_points(km, s, "time", "event", by=["grp"], ylim=(0.75, 1.0)))
+    return rounded(S.curve_points(km, by=["grp"], ylim=(0.75, 1.0)))
 
 
 RISK_TIMES = [0, 365, 730, 1095, 1460]

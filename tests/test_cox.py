@@ -73,26 +73,52 @@ def test_cox_two_covariates_matches_brute_force(spark):
     assert m.count() == n
 
 
-def test_concordance_brute_force(spark):
-    rows = [(i, (i * 13) % 17 + 1, int(i % 4 != 0), "ab"[i % 2]) for i in range(60)]
-    df = spark.createDataFrame(rows, "id bigint, time bigint, event bigint, g string")
-    fit = C.coxph(df, "time", "event", ["g"])
-    eta = {"a": 0.0, "b": float(fit.beta[0])}
-    conc = disc = tied = 0
-    for i, ti, ei, gi in rows:
-        if not ei:
-            continue
-        for j, tj, ej, gj in rows:
-            if tj > ti or (tj == ti and not ej):
-                if eta[gi] > eta[gj]:
-                    conc += 1
-                elif eta[gi] < eta[gj]:
-                    disc += 1
-                else:
-                    tied += 1
+def _concordance_brute(times, events, eta):
+    """(concordant, discordant, tied, C, infinitesimal-jackknife standard error) from all pairs."""
+    n = len(times)
+    per = np.zeros((n, 3))
+    for i in range(n):
+        for j in range(n):
+            if i != j and events[i] and (times[j] > times[i] or (times[j] == times[i] and not events[j])):
+                kind = 0 if eta[i] > eta[j] else 1 if eta[i] < eta[j] else 2
+                per[i, kind] += 1
+                per[j, kind] += 1
+    c, d, u = per.sum(axis=0) / 2
+    pairs = c + d + u
+    influence = (per[:, 0] - per[:, 1] - (c - d) / pairs * per.sum(axis=1)) / (2 * pairs)
+    return c, d, u, (c + u / 2) / pairs, math.sqrt((influence ** 2).sum())
+
+
+@pytest.mark.parametrize("kind", ["two levels", "numeric"])
+def test_concordance_brute_force(spark, kind):
+    rows = [(i, (i * 13) % 17 + 1, int(i % 4 != 0), "ab"[i % 2], (i * 31) % 57 / 8) for i in range(60)]
+    if kind == "numeric":  # more distinct scores than any fixed number of columns would hold
+        rng = np.random.default_rng(3)
+        rows = [(i, int(rng.integers(1, 60)), int(rng.random() < 0.7), "a", float(rng.integers(0, 260)) / 100) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, time bigint, event bigint, g string, x double")
+    fit = C.coxph(df, "time", "event", ["g"] if kind == "two levels" else ["x"])
+    b = float(fit.beta[0])
+    eta = [round(b * ((r[3] == "b") if kind == "two levels" else r[4]), 12) for r in rows]
+    want = _concordance_brute([r[1] for r in rows], [r[2] for r in rows], eta)
     r = C.concordance(spark, fit).collect()[0]
-    assert (r["concordant"], r["discordant"], r["tied_risk"]) == (conc, disc, tied)
-    assert r["concordance"] == pytest.approx((conc + tied / 2) / (conc + disc + tied))
+    assert (r["concordant"], r["discordant"], r["tied_risk"]) == want[:3]
+    assert r["concordance"] == pytest.approx(want[3])
+    assert r["std_err"] == pytest.approx(want[4])
+
+
+def test_averaged_curves_over_many_patterns(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(int(rng.integers(1, 30)), int(rng.random() < 0.8), "ab"[int(rng.integers(0, 2))], float(rng.integers(0, 90)) / 30)
+            for _ in range(300)]
+    df = spark.createDataFrame(rows, "time bigint, event bigint, g string, x double")
+    fit = C.coxph(df, "time", "event", ["g", "x"])
+    monkeypatch.setattr(C, "PATTERNS_PER_BLOCK", 16)
+    base = {r["t"]: r["cumhaz"] for r in C.baseline_table(fit).filter("haz > 0").collect()}
+    got = C.adjusted_curves(fit, "g").collect()
+    assert len(got) == 2 * len(base)
+    for r in got:
+        risk = [math.exp(fit.beta[0] * (r["g"] == "b") + fit.beta[1] * x) for *_, x in rows]
+        assert r["surv"] == pytest.approx(np.mean([math.exp(-base[r["time"]] * w) for w in risk]))
 
 
 def test_drop_term_reuses_fit_table_and_matches_fresh_fit(spark):

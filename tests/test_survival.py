@@ -101,7 +101,7 @@ def test_delayed_entry_risk_set(spark):
 def test_median_and_limits_order(spark):
     df = sixmp.frame(spark)
     km = S.kaplan_meier(df, "time", "event", by=["arm"])
-    m = {r["arm"]: r for r in S.km_summary(km, df, "time", "event", by=["arm"]).collect()}
+    m = {r["arm"]: r for r in S.km_summary(km, by=["arm"]).collect()}
     # control arm: 21 events, median 8 (published); treated arm median 23
     assert m["control"]["median"] == 8 and m["treated"]["median"] == 23
     for r in m.values():
@@ -119,3 +119,30 @@ def test_logrank_many_equals_one_at_a_time(spark):
             m = many[(g, r[g])]
             for c in ("n", "observed", "expected", "oe2_v", "chisq", "df", "p_value"):
                 assert m[c] == pytest.approx(r[c])
+
+
+def test_logrank_many_levels_and_buckets_match_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [(int(rng.integers(1, 40)), int(rng.random() < 0.7), int(rng.integers(0, 230))) for _ in range(2500)]
+    df = spark.createDataFrame(rows, "time bigint, event bigint, g int")
+    monkeypatch.setattr(S, "CELLS_PER_BUCKET", 400)
+    monkeypatch.setattr(S, "GRID", 1000)
+    got = {r["g"]: r for r in S.logrank_test(df, "time", "event", "g").collect()}
+    levels, O, E, x2 = _logrank_brute(*zip(*rows))
+    assert sorted(got) == levels
+    for i, g in enumerate(levels):
+        assert got[g]["observed"] == pytest.approx(O[i])
+        assert got[g]["expected"] == pytest.approx(E[i])
+        assert got[g]["chisq"] == pytest.approx(x2, rel=1e-6)
+
+
+def test_range_buckets_stay_even_beside_an_outlier(spark):
+    from kohort.operators.prefix import scaled_buckets
+    df = spark.range(20_000).selectExpr("id % 2 AS k", "IF(id = 7, 1e15, CAST(id AS DOUBLE)) AS t")
+    for part, rows in ((["k"], 10_000), ([], 20_000)):
+        sizes = scaled_buckets(df, part, "t", 64, name="b").groupBy(*part, "b").count().collect()
+        assert max(r["count"] for r in sizes) <= 2 * rows / 64
+        order = scaled_buckets(df, part, "t", 64, name="b").groupBy(*part, "b").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).collect()
+        for k in {tuple(r[c] for c in part) for r in order}:
+            mine = sorted((r["b"], r["lo"], r["hi"]) for r in order if tuple(r[c] for c in part) == k)
+            assert all(a[2] < b[1] for a, b in zip(mine, mine[1:]))
