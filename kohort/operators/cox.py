@@ -516,4 +516,4 @@ def concordance(spark: SparkSession, fit: CoxFit) -> DataFrame:
     sums = sums.selectExpr("*", "IF(pairs > 0, (concordant - discordant) / pairs, NULL) AS gap")
     return sums.selectExpr("concordant", "discordant", "tied_risk",
                            "IF(pairs > 0, (concordant + 0.5D * tied_risk) / pairs, NULL) AS concordance",
-                           "sqrt(greatest(xx - 2 * gap * xn + gap * gap * nn, 0D)) / (2 * pairs) AS std_err")
+                           "IF(pairs > 0, sqrt(greatest(xx - 2 * gap * xn + gap * gap * nn, 0D)) / (2 * pairs), NULL) AS std_err")

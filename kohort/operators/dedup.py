@@ -5,11 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from kohort.functions.nulls import qcol
 from kohort.operators.joins import join_null_safe
-from kohort.operators.ordering import _NUMERIC, normalize_order, order_struct, window_order
+from kohort.operators.ordering import order_struct, window_order
 from kohort.operators.prefix import running_aggs
+from kohort.session import materialize
 
 
 def first_per_key(df: DataFrame, keys: list[str], order_by) -> DataFrame:
@@ -35,59 +36,23 @@ def first_per_key_window(df: DataFrame, keys: list[str], order_by) -> DataFrame:
     return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
 
 
-ROWS_PER_BUCKET = 1_000_000
-
-
-def _numeric_key(df: DataFrame, name: str, how: str):
-    t = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(t, T.DateType):
-        k = F.unix_date(c).cast("double")
-    elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        k = F.unix_micros(c.cast("timestamp")).cast("double")
-    elif isinstance(t, _NUMERIC):
-        k = c.cast("double")
-    elif isinstance(t, T.StringType):
-        # first 7 UTF-8 bytes, right-padded, as a 56-bit number: never
-        # decreases along binary string order, so it can pick the bucket;
-        # the exact order is restored by the in-bucket sort
-        hexed = F.rpad(F.hex(F.substring(F.encode(c, "UTF-8"), 1, 7)), 14, "0")
-        k = F.conv(hexed, 16, 10).cast("double")
-    else:
-        return None
-    return -k if how == "desc" else k
-
-
 def row_number_col(df: DataFrame, keys: list[str], order_by, name: str = "n",
-                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+                   n_ranges: int | None = None) -> DataFrame:
     """Row number within key by order (NULLs last), kept as a column.
 
-    Skew-safe plan: each key's rows are split into ``ceil(rows /
-    rows_per_bucket)`` range buckets of the first order column (from the
-    key's min/max/count, a small aggregate), then numbered with the
-    two-level running count: a key holding a third of all rows is spread
-    over many tasks instead of one window partition.  A text first key
-    buckets on its leading bytes; other types (e.g. binary) fall back to a
-    plain window.
-    """
-    ob = normalize_order(order_by)
-    k0 = _numeric_key(df, ob[0][0], ob[0][1])
-    if k0 is None:
-        w = Window.partitionBy(*keys).orderBy(*window_order(order_by))
-        return df.withColumn(name, F.row_number().over(w))
-    keys = list(keys)
-    base = df.withColumn("__k0", k0)
-    stats = base.groupBy(*keys).agg(F.min("__k0").alias("__lo"), F.max("__k0").alias("__hi"),
-                                    F.count(F.lit(1)).alias("__cnt"))
-    nb = F.greatest(F.lit(1), F.ceil(F.col("__cnt") / F.lit(float(rows_per_bucket))))
-    span = F.col("__hi") - F.col("__lo")
-    inner = F.when(span > 0, F.least(nb - 1, F.floor((F.col("__k0") - F.col("__lo")) / span * nb))) \
-             .otherwise(F.lit(0))
-    bucket = F.when(F.col("__k0").isNull(), nb).otherwise(inner).cast("bigint")
-    j = join_null_safe(base, stats, keys, "inner").withColumns({"__rb": bucket, "__one": F.lit(1)})
-    out = running_aggs(j, keys, "__k0", sums={name: "__one"}, bucket_col="__rb",
-                       within_order=window_order(order_by))
-    return out.drop("__k0", "__lo", "__hi", "__cnt", "__one").select(*df.columns, name)
+    The rows are range-partitioned once by key and order and written with
+    the number of their range (a reliable checkpoint); a running count by
+    key over the ranges numbers them.  Spark samples the borders, so a key
+    holding a third of all rows, far outliers and long common prefixes of
+    texts all spread over many ranges.  Tied rows are told apart by a hash
+    of the whole row.  ``n_ranges`` fixes the number of ranges, which is
+    otherwise the session's number of shuffle partitions."""
+    order = [*window_order(order_by), F.xxhash64(*[qcol(c) for c in df.columns])]
+    count = [] if n_ranges is None else [n_ranges]
+    ranges = df.repartitionByRange(*count, *[qcol(k) for k in keys], *order)
+    held = materialize(ranges.withColumns({"__rb": F.spark_partition_id(), "__one": F.lit(1)}))
+    out = running_aggs(held, list(keys), "__rb", sums={name: "__one"}, bucket_col="__rb", within_order=order)
+    return out.select(*[qcol(c) for c in df.columns], name)
 
 
 def flag_duplicated(df: DataFrame, keys: list[str], order_by, name: str = "is_dup") -> DataFrame:

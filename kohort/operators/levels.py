@@ -4,8 +4,9 @@ A categorical column keeps its values as strings; its level order lives in
 a small side table ``(level, ord)``.  Level order decides display order,
 the reference group of a model, and factor sort order.
 
-Level tables are built from the distinct values, so their size is the
-column's cardinality; ``collect_set`` is partially aggregated per task.
+Level tables are built from the distinct values and numbered with the
+range-partitioned row numbering, so a column of any cardinality is never
+held in one task.
 """
 
 from __future__ import annotations
@@ -13,21 +14,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kohort.operators.dedup import row_number_col
+
 
 def levels_from(df: DataFrame, c: str) -> DataFrame:
     """Sorted distinct non-NULL values -> ``(level, ord)``, ord from 1."""
-    return (df.agg(F.array_sort(F.collect_set(F.col(c).cast("string"))).alias("__lv"))
-              .select(F.posexplode("__lv").alias("__pos", "level"))
-              .select("level", (F.col("__pos") + 1).cast("bigint").alias("ord")))
+    values = df.select(F.col(c).cast("string").alias("level")).filter("level IS NOT NULL").distinct()
+    return row_number_col(values, [], ["level"], "ord")
 
 
 def levels_by_freq(df: DataFrame, c: str) -> DataFrame:
     """Levels by decreasing frequency (ties alphabetical)."""
     counts = (df.filter(F.col(c).isNotNull())
                 .groupBy(F.col(c).cast("string").alias("level")).agg(F.count(F.lit(1)).alias("__n")))
-    return (counts.agg(F.array_sort(F.collect_list(F.struct((-F.col("__n")).alias("k"), "level"))).alias("__lv"))
-                  .select(F.posexplode("__lv").alias("__pos", "__s"))
-                  .select(F.col("__s.level").alias("level"), (F.col("__pos") + 1).cast("bigint").alias("ord")))
+    return row_number_col(counts, [], [("__n", "desc"), "level"], "ord").select("level", "ord")
 
 
 def levels_literal(spark, levels: list[str]) -> DataFrame:
@@ -48,10 +48,8 @@ def relevel(levels: DataFrame, first: list[str] = (), last: list[str] = ()) -> D
 
 
 def renumber(levels: DataFrame, key: str = "ord") -> DataFrame:
-    """Dense 1..k ``ord`` following ``key`` (the level table is small)."""
-    return (levels.agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), "level"))).alias("__lv"))
-                  .select(F.posexplode("__lv").alias("__pos", "__s"))
-                  .select(F.col("__s.level").alias("level"), (F.col("__pos") + 1).cast("bigint").alias("ord")))
+    """Dense 1..k ``ord`` following ``key``."""
+    return row_number_col(levels.select("level", F.col(key).alias("__key")), [], ["__key", "level"], "ord").select("level", "ord")
 
 
 def drop_unused_levels(levels: DataFrame, df: DataFrame, c: str) -> DataFrame:

@@ -78,3 +78,15 @@ def apply_patches(df: DataFrame, key: str, patches: DataFrame, null_rules: dict
         new[c] = cur
     out = j.withColumns(new)
     return out.drop("__pkey", *[x for c in targets for x in (f"__v_{c}", f"__o_{c}")])
+
+
+def patch_where(df: DataFrame, rules: list[tuple]) -> DataFrame:
+    """Cell corrections that depend on other cells: ``rules = [(column,
+    test, value)]`` sets ``column`` to ``value`` where the test holds (a
+    NULL test does not).  Tests read the row as it came; of two rules for
+    one column that both hold, the later wins."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    new: dict = {}
+    for c, test, value in rules:
+        new[c] = F.when(F.coalesce(test, F.lit(False)), F.lit(value).cast(types[c])).otherwise(new.get(c, F.col(c)))
+    return df.withColumns(new)

@@ -50,6 +50,17 @@ EXPRS = {
         *[f"CASE WHEN o_orderkey % 50 = 0 OR (o_orderkey * 7 + {i} * 13) % 10 < 2 THEN NULL "
           f"WHEN (o_orderkey + {i} * 3) % {i + 2} = 0 THEN 1 ELSE 0 END AS co_f{i}" for i in range(1, 7)],
     ]),
+    "fx_raw": ("orders", [
+        "CAST(o_custkey AS STRING) AS id_pte", "CAST(o_orderkey AS STRING) AS num_registro",
+        "concat('DOC-', CAST(o_custkey AS STRING)) AS num_doc",
+        "CASE o_custkey % 5 WHEN 0 THEN 'N/D' WHEN 1 THEN 'Mujer' WHEN 2 THEN 'Mujer' ELSE 'Varón' END AS ptesxn_x",
+        "CASE o_orderkey % 23 WHEN 0 THEN 'Benigno' WHEN 1 THEN 'Seleccione...' ELSE 'Maligno' END AS compn",
+    ]),
+    "fx_treat": ("orders", [
+        "o_custkey AS subject_id", "o_orderkey AS record_id",
+        "CASE o_custkey % 4 WHEN 0 THEN 'SI' WHEN 1 THEN 'si' WHEN 2 THEN 'no' ELSE 'N/D' END AS chemo",
+        "CASE o_custkey % 3 WHEN 0 THEN 'si' WHEN 1 THEN 'NO' ELSE 'No aplica' END AS radio",
+    ]),
     "fx_dirty": ("events", [
         "event_id",
         "CASE event_id % 10 WHEN 0 THEN 'N/D' WHEN 1 THEN '999' WHEN 2 THEN '' WHEN 3 THEN 'No aplica' "
@@ -88,6 +99,20 @@ def fx_flags(spark: SparkSession, d: str) -> DataFrame:
     return _from_exprs(spark, d, "fx_flags")
 
 
+# The raw extract's headers as they come, in the order of fx_raw's columns.
+RAW_HEADERS = ["ID Pte", "Núm. Registro", "Núm. Doc", "Ptesxn X", "COMPN"]
+
+
+def fx_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Raw registry extract: text only, messy headers, missing-value tokens."""
+    return _from_exprs(spark, d, "fx_raw").toDF(*RAW_HEADERS)
+
+
+def fx_treat(spark: SparkSession, d: str) -> DataFrame:
+    """Treatment flags, several rows per subject."""
+    return _from_exprs(spark, d, "fx_treat")
+
+
 def fx_dirty(spark: SparkSession, d: str) -> DataFrame:
     """Missing-value tokens, non-numeric text, spreadsheet serial dates."""
     return _from_exprs(spark, d, "fx_dirty")
@@ -167,7 +192,7 @@ FROM orders GROUP BY o_custkey""",
 
 BUILDERS = {
     "fx_rec": fx_rec, "fx_sess": fx_sess, "fx_tests": fx_tests, "fx_flags": fx_flags,
-    "fx_dirty": fx_dirty, "fx_surv_dates": fx_surv_dates,
+    "fx_raw": fx_raw, "fx_treat": fx_treat, "fx_dirty": fx_dirty, "fx_surv_dates": fx_surv_dates,
     "fx_surv_big_dates": fx_surv_big_dates, "fx_entry": fx_entry,
 }
 

@@ -208,3 +208,22 @@ SELECT p_name AS value, CAST(COUNT(*) AS BIGINT) AS n FROM part
 GROUP BY p_name ORDER BY n DESC, value LIMIT 30""")
 def q_top_k_values(spark, d):
     return agg.top_values(table(spark, d, "part"), "p_name", 30)
+
+
+@register("arrange_rows", fixtures=("fx_rec",), sql="""
+SELECT subject_id, record_id, ecog, stage FROM fx_rec ORDER BY ecog DESC NULLS LAST, stage NULLS LAST, record_id""")
+def q_arrange_rows(spark, d):
+    r = fx.fx_rec(spark, d).select("subject_id", "record_id", "ecog", "stage")
+    return dedup.arrange(r, [("ecog", "desc"), "stage", "record_id"])
+
+
+@register("number_null_keys", fixtures=("fx_rec",), sql="""
+SELECT stage, record_id,
+  CAST(ROW_NUMBER() OVER (PARTITION BY stage ORDER BY code DESC NULLS LAST, record_id) AS BIGINT) AS rn,
+  ROW_NUMBER() OVER (PARTITION BY stage ORDER BY code DESC NULLS LAST, record_id) > 1 AS is_dup
+FROM fx_rec""")
+def q_number_null_keys(spark, d):
+    """NULL keys are one group; text order, descending."""
+    r = fx.fx_rec(spark, d).select("stage", "code", "record_id")
+    out = dedup.row_number_col(r, ["stage"], [("code", "desc"), "record_id"], "rn")
+    return out.select("stage", "record_id", F.col("rn").cast("bigint"), (F.col("rn") > 1).alias("is_dup"))

@@ -153,3 +153,14 @@ def q_deidentify_project(spark, d):
     cu = io.table(spark, d, "customer")
     return C.final_projection(cu, ["c_custkey", C.starts_with("c_nation"), C.contains("segment"),
                                    C.ends_with("acctbal")], identifiers=["c_name"])
+
+
+@register("read_csv_tokens", fixtures=("fx_dirty",), sql=f"""
+SELECT CASE WHEN CAST(event_id AS VARCHAR) IN ({V2_SQL}) THEN NULL ELSE CAST(event_id AS VARCHAR) END AS event_id,
+  CASE WHEN trim(raw_num) IN ({V2_SQL}) THEN NULL ELSE raw_num END AS raw_num,
+  CASE WHEN trim(raw_date) IN ({V2_SQL}) THEN NULL ELSE raw_date END AS raw_date
+FROM fx_dirty""")
+def q_read_csv_tokens(spark, d):
+    path = os.path.join(checkpoint_dir(spark), f"raw-{uuid.uuid4().hex}")
+    fx.fx_dirty(spark, d).write.option("header", "true").csv(path)
+    return io.read_table(spark, path, na_tokens=io.NA_TOKENS_V2)

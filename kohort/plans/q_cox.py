@@ -1,9 +1,8 @@
 """Registered queries: Cox model and its by-products.
 
 The one-covariate model (exposure on FX-SURV) has a SQL oracle: ten
-unrolled Newton steps on the per-time table.  Models with several
-covariates need a p x p solve per step; they are checked against a
-brute-force fit in tests/test_cox.py instead.
+unrolled Newton steps on the per-time table.  The two-covariate model's
+oracle unrolls its steps in long form, with a 5 x 5 elimination each.
 """
 
 from __future__ import annotations
@@ -14,7 +13,7 @@ from kohort.operators import cox as C
 from kohort.plans.q_scalar import SURV_SMALL_SQL, surv_small
 from kohort.plans.q_summary import _pval_sql
 from kohort.plans.q_survival import Z, rounded
-from kohort.plans.registry import register
+from kohort.plans.registry import gauss_jordan_sql, register
 
 def _fit(spark, d, covs: tuple[str, ...]) -> C.CoxFit:
     return C.coxph(surv_small(spark, d), "time", "event", list(covs))
@@ -156,13 +155,65 @@ def q_cox_concordance(spark, d):
                             "concordance", "std_err"))
 
 
-@register("cox_two_covariates")
+# --- SQL oracle: exposure and group, five coefficients ----------------------
+
+N_COEF = 5   # one for the exposure, four for the five market segments
+N_STEPS = 8
+
+
+def _newton_step(s: int) -> str:
+    """CTEs of step ``s``: risk shares at coefficients ``nb{s}``, information and score, their solution."""
+    return f"""
+nw{s} AS MATERIALIZED (SELECT p, exp(SUM(x * b)) AS w FROM nx JOIN nb{s} USING (j) GROUP BY p),
+nu{s} AS MATERIALIZED (SELECT t, k, p, w * q / SUM(w * q) OVER (PARTITION BY t, k) AS u FROM nex JOIN nw{s} USING (p)),
+ne{s} AS MATERIALIZED (SELECT t, k, j, SUM(x * u) AS e FROM nu{s} JOIN nx USING (p) GROUP BY t, k, j),
+nm{s}_0 AS MATERIALIZED (SELECT i, j, SUM(v) AS v FROM (
+  SELECT a.j AS i, b.j AS j, a.x * b.x * g.u AS v
+  FROM (SELECT p, SUM(u) AS u FROM nu{s} GROUP BY p) g JOIN nx a ON a.p = g.p JOIN nx b ON b.p = g.p
+  UNION ALL SELECT a.j, b.j, -a.e * b.e FROM ne{s} a JOIN ne{s} b ON a.t = b.t AND a.k = b.k
+  UNION ALL SELECT j, 0, x * d FROM ncell JOIN nx USING (p)
+  UNION ALL SELECT j, 0, -e FROM ne{s}
+  UNION ALL SELECT a.j, 100 + b.j, CASE WHEN a.j = b.j THEN 1.0 ELSE 0.0 END FROM nterm a, nterm b) z GROUP BY i, j),
+{gauss_jordan_sql(f"nm{s}", N_COEF)},
+nb{s + 1} AS MATERIALIZED (SELECT b.j, b.b + m.v AS b FROM nb{s} b JOIN nm{s}_{N_COEF} m ON m.i = b.j AND m.j = 0)"""
+
+
+COX_TWO = f""",
+nlv AS (SELECT 'exposed' AS variable, exposed AS level FROM surv UNION SELECT 'grp', grp FROM surv),
+nterm AS (SELECT *, ROW_NUMBER() OVER (ORDER BY variable, level) AS j FROM (
+            SELECT *, ROW_NUMBER() OVER (PARTITION BY variable ORDER BY level) - 1 AS pos FROM nlv) l WHERE pos > 0),
+npat AS (SELECT *, ROW_NUMBER() OVER (ORDER BY exposed, grp) AS p FROM (SELECT DISTINCT exposed, grp FROM surv) x),
+nx AS MATERIALIZED (SELECT p, j, CASE WHEN level = (CASE WHEN variable = 'grp' THEN grp ELSE exposed END) THEN 1.0 ELSE 0.0 END AS x
+                    FROM npat, nterm),
+ncell AS MATERIALIZED (SELECT time AS t, p, CAST(SUM(event) AS DOUBLE) AS d, CAST(COUNT(*) AS DOUBLE) AS m
+                       FROM surv JOIN npat ON surv.exposed = npat.exposed AND surv.grp = npat.grp GROUP BY time, p),
+ntt AS (SELECT t, SUM(d) AS dt FROM ncell GROUP BY t HAVING SUM(d) > 0),
+nrisk AS (SELECT ntt.t, ntt.dt, c.p, SUM(c.m) AS r, SUM(CASE WHEN c.t = ntt.t THEN c.d ELSE 0 END) AS d
+          FROM ntt JOIN ncell c ON c.t >= ntt.t GROUP BY ntt.t, ntt.dt, c.p),
+nk AS (SELECT t, dt, unnest(range(CAST(dt AS BIGINT))) AS k FROM ntt),
+nex AS MATERIALIZED (SELECT nk.t, nk.k, nrisk.p, nrisk.r - (nk.k / nk.dt) * nrisk.d AS q FROM nrisk JOIN nk ON nk.t = nrisk.t),
+nb0 AS (SELECT j, CAST(0.0 AS DOUBLE) AS b FROM nterm),""" + ",".join(_newton_step(s) for s in range(N_STEPS)) + f""",
+nwf AS MATERIALIZED (SELECT p, exp(SUM(x * b)) AS w FROM nx JOIN nb{N_STEPS} USING (j) GROUP BY p),
+nll AS (SELECT (SELECT SUM(d * ln(w)) FROM ncell JOIN nwf USING (p))
+             - (SELECT SUM(ln(s)) FROM (SELECT SUM(w * q) AS s FROM nex JOIN nwf USING (p) GROUP BY t, k) y) AS ll),
+nest AS (SELECT nterm.*, nb{N_STEPS}.b, sqrt(m.v) AS se FROM nterm JOIN nb{N_STEPS} ON nb{N_STEPS}.j = nterm.j
+         JOIN nm{N_STEPS - 1}_{N_COEF} m ON m.i = nterm.j AND m.j = 100 + nterm.j)"""
+
+
+@register("cox_two_covariates", fixtures=("fx_surv_dates",), sql="WITH " + SURV_SMALL_SQL + COX_TWO + f"""
+SELECT variable, variable || '_' || pos AS term, level, ROUND(b, 6) AS coef, ROUND(exp(b), 6) AS exp_coef,
+       ROUND(se, 6) AS se, ROUND(b / se, 6) AS z, ROUND({_pval_sql('(b / se) * (b / se)', '1')}, 6) AS p_value,
+       ROUND(exp(b - {Z} * se), 6) AS lower, ROUND(exp(b + {Z} * se), 6) AS upper
+FROM nest""")
 def q_cox_two(spark, d):
     t = C.coef_table(spark, _fit(spark, d, ("exposed", "grp")))
     return rounded(t)
 
 
-@register("cox_nested_test")
+@register("cox_nested_test", fixtures=("fx_surv_dates",), sql=COX_BASE + COX_TWO + f"""
+SELECT ROUND(est.ll, 6) AS loglik_reduced, ROUND(nll.ll, 6) AS loglik_full, ROUND(2 * (nll.ll - est.ll), 6) AS chisq,
+       CAST({N_COEF - 1} AS BIGINT) AS df, ROUND({_pval_sql('2 * (nll.ll - est.ll)', str(N_COEF - 1))}, 6) AS p_value
+FROM est, nll""")
 def q_cox_nested(spark, d):
     full = _fit(spark, d, ("exposed", "grp"))
     reduced = C.drop_term(surv_small(spark, d), "time", "event", full, ["exposed", "grp"], "grp")

@@ -413,3 +413,13 @@ FROM lv WHERE level IN (SELECT o_orderpriority FROM orders)""")
 def q_levels_drop_unused(spark, d):
     lv = LV.levels_literal(spark, PRIORITY_LEVELS)
     return LV.drop_unused_levels(lv, table(spark, d, "orders"), "o_orderpriority")
+
+
+@register("patch_where_code", fixtures=("fx_rec",), sql="""
+SELECT record_id, CASE WHEN code = '3-MEDIUM' THEN 'blood' ELSE 'solid' END AS kind,
+  CASE WHEN subject_id = 7 AND stage IS NULL THEN 'local' ELSE stage END AS stage FROM fx_rec""")
+def q_patch_where_code(spark, d):
+    r = fx.fx_rec(spark, d).select("record_id", "subject_id", "code", "stage", F.lit("solid").alias("kind"))
+    r = LK.patch_where(r, [("kind", F.col("code") == "3-MEDIUM", "blood"),
+                           ("stage", (F.col("subject_id") == 7) & F.col("stage").isNull(), "local")])
+    return r.select("record_id", "kind", "stage")

@@ -10,7 +10,7 @@ from kohort.functions import dates as D
 from kohort.operators import survival as S
 from kohort.plans import fixtures as fx
 from kohort.plans.q_scalar import ENTRY_EXIT_SQL, STUDY_START, SURV_SMALL_SQL, entry_exit, surv_small
-from kohort.plans.registry import register
+from kohort.plans.registry import gauss_jordan_sql, register
 
 Z = "1.959963984540054"
 BIG_ORIGIN, BIG_END = "1995-01-01", "1998-12-31"
@@ -199,10 +199,24 @@ def q_logrank_k_group(spark, d):
     return rounded(t.drop("chisq", "df", "p_value"))
 
 
-@register("logrank_k_group_test")
+N_GROUPS = 5  # market segments
+_GRID_SQL = _logrank_sql("grp", False)
+_GRID_SQL = _GRID_SQL[:_GRID_SQL.index(",\nf AS")]
+
+
+@register("logrank_k_group_test", fixtures=("fx_surv_dates",), sql="WITH " + SURV_SMALL_SQL + _GRID_SQL + f""",
+ix AS (SELECT g, ROW_NUMBER() OVER (ORDER BY g) AS i FROM lv),
+y AS (SELECT ix.i, x.t, x.r, x.n, CASE WHEN n > 1 THEN dd * (n - dd) / (n - 1) ELSE 0 END AS w FROM x JOIN ix ON ix.g = x.g),
+m_0 AS MATERIALIZED (
+  SELECT a.i, b.i AS j, SUM(a.w * (CASE WHEN a.i = b.i THEN a.r / a.n ELSE 0 END - a.r * b.r / (a.n * a.n))) AS v
+  FROM y a JOIN y b ON a.t = b.t WHERE a.i < {N_GROUPS} AND b.i < {N_GROUPS} GROUP BY a.i, b.i
+  UNION ALL SELECT ix.i, 0, s.o - s.e FROM s JOIN ix ON ix.g = s.g WHERE ix.i < {N_GROUPS}),
+{gauss_jordan_sql("m", N_GROUPS - 1)},
+st AS (SELECT SUM(a.v * b.v) AS x2 FROM m_0 a JOIN m_{N_GROUPS - 1} b ON a.i = b.i AND a.j = 0 AND b.j = 0)
+SELECT g AS grp, ROUND(x2, 6) AS chisq, CAST({N_GROUPS - 1} AS BIGINT) AS df,
+       ROUND({_pval_sql("x2", str(N_GROUPS - 1))}, 6) AS p_value FROM lv, st""")
 def q_logrank_k_group_test(spark, d):
-    """k-group chi-square (needs a (k-1)x(k-1) solve; checked by brute
-    force in tests/test_survival.py)."""
+    """k-group chi-square: a (k-1)x(k-1) solve."""
     t = S.logrank_test(surv_small(spark, d), "time", "event", "grp")
     return rounded(t.select("grp", "chisq", "df", "p_value"))
 

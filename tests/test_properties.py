@@ -101,8 +101,8 @@ def test_rank_sum_statistic(spark, a, b):
 @given(rows=st.lists(st.tuples(st.integers(0, 2), st.one_of(st.none(), st.integers(-5, 5)),
                                st.one_of(st.none(), st.sampled_from(["", "a", "ab", "b", "Z"]))),
                      min_size=1, max_size=60),
-       per_bucket=st.integers(1, 7), desc=st.booleans(), text_first=st.booleans())
-def test_row_number_matches_window(spark, rows, per_bucket, desc, text_first):
+       n_ranges=st.integers(1, 7), desc=st.booleans(), text_first=st.booleans())
+def test_row_number_matches_window(spark, rows, n_ranges, desc, text_first):
     from pyspark.sql import Window
     from pyspark.sql import functions as F
     from kohort.operators import dedup
@@ -110,7 +110,7 @@ def test_row_number_matches_window(spark, rows, per_bucket, desc, text_first):
     df = spark.createDataFrame(data, "k int, v int, s string, id int")
     first = "s" if text_first else "v"
     how = "desc" if desc else "asc"
-    got = dedup.row_number_col(df, ["k"], [(first, how), "id"], "n", rows_per_bucket=per_bucket)
+    got = dedup.row_number_col(df, ["k"], [(first, how), "id"], "n", n_ranges=n_ranges)
     o = F.col(first).desc_nulls_last() if desc else F.col(first).asc_nulls_last()
     want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(o, F.col("id"))))
     assert sorted((r["id"], r["n"]) for r in got.collect()) == sorted((r["id"], r["n"]) for r in want.collect())

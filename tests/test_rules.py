@@ -137,7 +137,7 @@ def test_row_number_hot_key_matches_window(spark):
     from pyspark.sql import Window
     data = [(0 if i % 3 else i % 7, None if i % 11 == 0 else (i * 7919) % 97, i) for i in range(3000)]
     df = spark.createDataFrame(data, "k int, v int, id int")
-    got = dedup.row_number_col(df, ["k"], [("v", "desc"), "id"], "n", rows_per_bucket=37)
+    got = dedup.row_number_col(df, ["k"], [("v", "desc"), "id"], "n", n_ranges=37)
     w = Window.partitionBy("k").orderBy(F.col("v").desc_nulls_last(), F.col("id").asc_nulls_last())
     want = df.withColumn("n", F.row_number().over(w))
     assert sorted(rows(got, "k", "id", "n")) == sorted(rows(want, "k", "id", "n"))
@@ -161,7 +161,7 @@ def test_cohort_report_runs_end_to_end(spark, sf_dir):
     assert set(assoc) == {"age_cat", "tumour_type", "severity", "com_band", "age", "ecog_num"}
     assert assoc["age"]["test"] == "rank_sum"
     coefs = rep["cox_coefficients"].collect()
-    assert {r["variable"] for r in coefs} == {"tumour_type", "age_cat"}
+    assert {r["variable"] for r in coefs} == {"treat_class", "age_cat"}
     n_age = sum(1 for r in coefs if r["variable"] == "age_cat")
     assert rep["cox_nested_test"].collect()[0]["df"] == n_age
     lr = rep["logrank"].collect()
@@ -205,7 +205,7 @@ def test_row_number_text_key_hot_key_matches_window(spark):
     data = [(0 if i % 4 else 1, words[i % len(words)], i) for i in range(2000)]
     df = spark.createDataFrame(data, "k int, s string, id int")
     for how in ("asc", "desc"):
-        got = dedup.row_number_col(df, ["k"], [("s", how), "id"], "n", rows_per_bucket=50)
+        got = dedup.row_number_col(df, ["k"], [("s", how), "id"], "n", n_ranges=20)
         o = F.col("s").desc_nulls_last() if how == "desc" else F.col("s").asc_nulls_last()
         want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy(o, F.col("id"))))
         assert sorted(rows(got, "k", "id", "n")) == sorted(rows(want, "k", "id", "n"))
@@ -269,7 +269,7 @@ def test_results_independent_of_input_partitioning(spark, sf_dir):
                                            strict_max_cols=["ecog"]),
             "first": dedup.first_per_key(r, ["subject_id"], ["dx_date", "record_id"]),
             "rownum": dedup.row_number_col(r, ["subject_id"], [("ecog", "desc"), "record_id"], "n",
-                                           rows_per_bucket=3),
+                                           n_ranges=5),
             "quant": SM.exact_quantiles(s_, ["age"], (0.25, 0.5, 0.75), n_buckets=7),
             "km": S.kaplan_meier(s_.withColumn("e", (F.col("age") > 25).cast("int")), "l_linenumber", "e",
                                  n_buckets=3),
