@@ -80,7 +80,9 @@ def repeated(docs: DataFrame) -> DataFrame:
             (first + n).alias("stop")))
     texts = held.select(*ROW_ID, F.explode(F.filter(_chunks(F.col("text"), each), lambda c: c.isNotNull())).alias("c"))
     texts = materialize(texts.select(*ROW_ID, "c.*").select("chunk", at.alias("at"), "first", "stop"))
-    earliest = texts.groupBy("chunk").agg(F.min("at").alias("kept"), F.count("*").alias("times")).filter("times > 1")
+    # likewise a table of its own, for the join by the chunk's text
+    earliest = materialize(texts.groupBy("chunk").agg(F.min("at").alias("kept"), F.count("*").alias("times"))
+                           .filter("times > 1").select("chunk", "kept"))
     return (texts.join(earliest, "chunk").filter("at <> kept")
             .groupBy(*[F.col(f"at.{c}").alias(c) for c in ROW_ID])
             .agg(F.array_sort(F.collect_list(F.struct("first", "stop"))).alias("gone")))
