@@ -37,11 +37,11 @@ OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
 CONTEXT_WORD = 24  # a pattern's words have at most so many characters
 WINDOW = 3 * CONTEXT_WORD
-MIN_SEEDS = 5  # distinct trusted instances that a pattern needs,
-MIN_SHARE = 0.002  # and the share of its kind's occurrences: at most 1 / MIN_SHARE patterns of a kind have it
+MIN_SEEDS = 5  # distinct trusted instances that a pattern needs
 MIN_SCORE = 0.6
 MIN_TRUST = 0.8
 MIN_DIGITS = 4
+CELLS = 2**20  # hash cells of patterns, a number each: some 16 MB
 
 
 def _marked(kind: str) -> Column:
@@ -149,13 +149,18 @@ def context(start: Column) -> Column:
 def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """(pattern, total): how often each of ``patterns`` stands in the whole corpus before any further word.
 
-    MIN_SHARE bounds the patterns to 2,000 of some fifty characters, which are broadcast.
+    Any number of patterns will do: the corpus's word pairs are counted in each task before the shuffle, and the
+    counts joined with the patterns.  Of the pairs only those go that share a hash cell with no pattern; there are
+    CELLS cells at most, which bounds what is broadcast.
     """
+    cell = F.pmod(F.xxhash64("pattern"), F.lit(CELLS)).alias("cell")
+    cells = patterns.select(cell).distinct()
     plain = F.regexp_replace(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))), "[0-9]", "0")
     pairs = let(F.split(plain, " "), lambda w: F.transform(
         F.slice(w, F.lit(1), F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))))
     seen = docs.filter("text is not null").select(F.explode(pairs).alias("pattern"))
-    return seen.join(F.broadcast(patterns), "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+    seen = seen.select("pattern", cell).join(F.broadcast(cells), "cell", "left_semi")
+    return seen.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns, "pattern")
 
 
 def bootstrap(docs: DataFrame, seen: DataFrame) -> DataFrame | None:
@@ -166,12 +171,8 @@ def bootstrap(docs: DataFrame, seen: DataFrame) -> DataFrame | None:
     instances from the accepted patterns; turns end when no more are trusted.
     """
     seeds = seen.filter("kind is not null")
-    least = {r.kind: max(MIN_SEEDS, r.n * MIN_SHARE) for r in seeds.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    if not least:
-        return None
-    enough = F.coalesce(*[F.when(F.col("kind") == k, n) for k, n in least.items()])
     several = materialize(seeds.groupBy("pattern", "kind").agg(F.count_distinct("value").alias("seeds"))
-                          .filter(F.col("seeds") >= enough).select("pattern").distinct())
+                          .filter(F.col("seeds") >= MIN_SEEDS).select("pattern").distinct())
     if several.isEmpty():
         return None
     totals = pattern_totals(docs, several)
@@ -183,7 +184,7 @@ def bootstrap(docs: DataFrame, seen: DataFrame) -> DataFrame | None:
         scored = (graph.select("pattern", "total", "value", "n").join(trusted, "value").groupBy("pattern", "kind")
                   .agg((F.sum(F.col("n") * F.col("trust")) / F.max("total")).alias("score"),
                        F.count_distinct("value").alias("seeds"))
-                  .filter((F.col("seeds") >= enough) & (F.col("score") >= MIN_SCORE)))
+                  .filter((F.col("seeds") >= MIN_SEEDS) & (F.col("score") >= MIN_SCORE)))
         scored = materialize(scored)
         # likely by any of its patterns: one less the product of what each leaves open
         left = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))

@@ -67,6 +67,15 @@ def test_contexts_reveal_others_and_spare_the_rest(spark):
     assert out[0].startswith("phone:18:")
 
 
+def test_copies_do_not_raise_the_bar_of_a_pattern(spark):
+    rng = random.Random(2)
+    rows = [(k, f"you can dial us on +1 555 {k:03d} {rng.randrange(1000, 9999)} or walk in") for k in range(8)]
+    rows += [(100 + k, "then ring +1 555 000 0000 now " * 250) for k in range(20)]
+    rows += [(200, "or dial us on 0555-123987 today")]
+    out = {r[0]: r[-1] for r in got(spark, rows)}
+    assert out[200] == "phone:14:25"
+
+
 def test_empty(spark):
     assert got(spark, []) == []
 
