@@ -168,18 +168,19 @@ def bootstrap(docs: DataFrame, seen: DataFrame) -> DataFrame | None:
 
     ``seen`` has the occurrences (row identity, kind, s, e, value, pattern).
     Each turn scores all patterns from the trusted instances, then all
-    instances from the accepted patterns; turns end when no more are trusted.
+    instances from the accepted patterns; turns end when neither grow in number.
     """
     seeds = seen.filter("kind is not null")
-    several = materialize(seeds.groupBy("pattern", "kind").agg(F.count_distinct("value").alias("seeds"))
-                          .filter(F.col("seeds") >= MIN_SEEDS).select("pattern").distinct())
-    if several.isEmpty():
+    # all that any turn can accept: a pattern's trusted instances are among the values behind it, of whatever kind
+    several = materialize(seen.groupBy("pattern").agg(F.count_distinct("value").alias("values"))
+                          .filter(F.col("values") >= MIN_SEEDS).select("pattern"))
+    if seeds.isEmpty() or several.isEmpty():
         return None
     totals = pattern_totals(docs, several)
     graph = materialize(seen.join(totals, "pattern").groupBy("pattern", "total", "kind", "value").agg(F.count("*").alias("n")))
     seeds = graph.filter("kind is not null").select("kind", "value", F.lit(1.0).alias("trust")).distinct()
     open_ = graph.filter("kind is null").select("pattern", "value")
-    trusted, known = seeds, 0
+    trusted, accepted, known = seeds, 0, 0
     while True:
         scored = (graph.select("pattern", "total", "value", "n").join(trusted, "value").groupBy("pattern", "kind")
                   .agg((F.sum(F.col("n") * F.col("trust")) / F.max("total")).alias("score"),
@@ -193,10 +194,10 @@ def bootstrap(docs: DataFrame, seen: DataFrame) -> DataFrame | None:
         best = F.max_by("kind", F.struct("trust", F.negative(F.ascii("kind"))))
         likely = materialize(likely.groupBy("value").agg(best.alias("kind"), F.max("trust").alias("trust"))
                              .select("kind", "value", "trust"))
-        now = likely.count()
-        if now <= known:
+        patterns, now = scored.count(), likely.count()
+        if patterns <= accepted and now <= known:
             break
-        trusted, known = seeds.unionByName(likely), now
+        trusted, accepted, known = seeds.unionByName(likely), max(patterns, accepted), max(now, known)
     if not known:
         return None
     return (seen.filter("kind is null").drop("kind").join(scored.select("pattern", "kind"), "pattern")

@@ -76,6 +76,17 @@ def test_copies_do_not_raise_the_bar_of_a_pattern(spark):
     assert out[200] == "phone:14:25"
 
 
+def test_trusted_instances_raise_further_patterns(spark):
+    rng = random.Random(3)
+    rows = [(k, f"please call at +1 555 {k:03d} {rng.randrange(1000, 9999)} or walk in") for k in range(40)]
+    rows += [(100 + k, f"you may call at 0555-1239{k:02d} today") for k in range(6)]
+    rows += [(200 + k, f"or dial us on 0555-1239{k:02d} today") for k in range(6)]
+    rows += [(300, "or dial us on 0777-555444 today")]
+    out = {r[0]: r[-1] for r in got(spark, rows)}
+    assert out[100] == "phone:16:27"
+    assert out[200] == "phone:14:25" and out[300] == "phone:14:25"
+
+
 def test_empty(spark):
     assert got(spark, []) == []
 
