@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kohort.llm import bpe, chat_format, decontaminate, hilbert_ann, langid, license_scan, line_dedup, periodic_runs, pii, simhash, url_filter
+from kohort.llm import (bpe, chat_format, compress_quality, decontaminate, hilbert_ann, langid, license_scan, line_dedup, periodic_runs,
+                        pii, simhash, url_filter)
 from kohort.llm.common import table
 
 # The rules of the URL query.
@@ -60,11 +61,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.personal_data(table(spark, sf_dir, "documents")))
 
 
+def op11_compress_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return compress_quality.answers(docs, compress_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.planted(docs)))
 
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_simhash, op4_decontaminate, op5_license_scan, op6_bpe,
-                                   op7_langid, op8_hilbert_ann, op9_url_filter, op10_pii, op13_periodic_runs)}
+                                   op7_langid, op8_hilbert_ann, op9_url_filter, op10_pii, op11_compress_quality,
+                                   op13_periodic_runs)}
 ORACLES = {"op2_chat_format": chat_format.ORACLE}
