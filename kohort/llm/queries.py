@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kohort.llm import (bpe, chat_format, compress_quality, decontaminate, hilbert_ann, langid, license_scan, line_dedup, periodic_runs,
-                        pii, simhash, url_filter)
+                        pii, simhash, spelling, url_filter)
 from kohort.llm.common import table
 
 # The rules of the URL query.
@@ -66,6 +66,12 @@ def op11_compress_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_quality.answers(docs, compress_quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.occurrences(table(spark, sf_dir, "documents"))
+    words = runs.select(spelling.thinned(F.col("doc_id"), F.col("run")).alias("word"))
+    return spelling.spelling_groups(spelling.vocabulary(words))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.planted(docs)))
@@ -73,5 +79,5 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_chat_format, op3_simhash, op4_decontaminate, op5_license_scan, op6_bpe,
                                    op7_langid, op8_hilbert_ann, op9_url_filter, op10_pii, op11_compress_quality,
-                                   op13_periodic_runs)}
+                                   op12_spelling, op13_periodic_runs)}
 ORACLES = {"op2_chat_format": chat_format.ORACLE}
