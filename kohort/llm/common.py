@@ -53,3 +53,12 @@ def packed(docs: DataFrame) -> DataFrame:
     columns of ``docs`` may have any name.  ``doc.*`` gives the rows back."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.select(whole.alias("doc"), "doc_id", "text")
+
+
+def hash_share(key: Column, wanted: int, total: int) -> Column:
+    """Whether a row is among a share of about twice ``wanted`` of ``total`` rows, told by a hash of ``key``.
+
+    For samples of a bounded size: an ordered limit keeps ``wanted`` rows of every partition until the last
+    step; behind this filter they are few in all, however many partitions there are."""
+    part = 1 << 30
+    return F.pmod(F.xxhash64(key, F.lit(5)), F.lit(part)) < min(part, 2 * wanted * part // max(1, total) + 1)

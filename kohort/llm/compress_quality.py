@@ -6,11 +6,11 @@ as in a short one, and every piece is compressed with either dictionary.  The
 evidence is (bytes with the bad one - bytes with the good one) / bytes of the
 text; a logistic curve turns it into the probability of label 1.
 
-The model is fitted on a bounded sample: of each label at most ``sample`` rows,
-those with the smallest hash of their doc_id, so that any partitioning picks the
-same ones.  Half of the doc_ids teach the dictionaries and a quarter the curve;
-the rest is held out.  The sampled labels are broadcast (2 * sample rows at
-most), their texts are written once to the shared folder, and every document is
+The model is fitted on a bounded sample: of each label at most ``sample`` rows
+for the dictionaries and as many for the curve, chosen by a hash of their doc_id,
+so that any partitioning picks the same ones.  Half of the doc_ids teach the
+dictionaries and a quarter the curve; the rest is held out.  The sampled labels
+are broadcast (4 * sample rows at most), their texts are written once to the shared folder, and every document is
 scored where it is read: nothing is shuffled.
 """
 
@@ -24,12 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kohort.llm.common import packed, ship
+from kohort.llm.common import hash_share, packed, ship
 from kohort.session import materialize
 
 ship(__name__)
 
-SAMPLE = 4096  # labelled rows of each label that the model is fitted on, at most
+SAMPLE = 4096  # labelled rows of each label for the dictionaries, and as many for the curve, at most
 PIECES = 16384  # distinct pieces of each label that its dictionary is built from, at most: 4 MB
 PIECE = 256
 DICTIONARY = 1 << 16
@@ -117,7 +117,7 @@ def logistic(x: np.ndarray, ones: np.ndarray, zeros: np.ndarray) -> tuple[float,
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """The model learned from the ``labels`` (doc_id, quality) that aren't held out and the texts of ``docs`` (doc_id, text).
 
-    Of each label at most ``sample`` rows are used: those with the smallest hash of their doc_id.  The curve's
+    Of each label at most ``sample`` rows are used for either purpose, chosen by a hash of their doc_id.  The curve's
     counts are weighted by how many rows each label has in all.  Rows with another or no quality, or without a
     text, teach nothing; a doc_id with both labels counts for both.  Where a label has no text for a dictionary
     or for the curve, there is no evidence and every score is the share of label 1.
@@ -128,7 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.withColumn("teaches", F.when(_crc(4) == 3, "curve").otherwise("dictionary")).drop("doc_id")
     totals = {(r.label, r.teaches): r.n for r in known.groupBy("label", "teaches").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("l_id", F.lit(11)), "l_id"]
-    picked = [known.filter((F.col("label") == k) & (F.col("teaches") == t)).orderBy(*order).limit(sample)
+    picked = [known.filter((F.col("label") == k) & (F.col("teaches") == t))
+              .filter(hash_share(F.col("l_id"), sample, totals.get((k, t), 0))).orderBy(*order).limit(sample)
               for k in (0, 1) for t in ("dictionary", "curve")]
     few = picked[0].union(picked[1]).union(picked[2]).union(picked[3])  # 4 * sample rows at most
     texts = materialize(docs.select("doc_id", "text").filter("text <> ''")
@@ -140,8 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     learned = []
     cut = F.transform(F.sequence(F.lit(1), F.length("text"), F.lit(PIECE)), lambda at: F.substr("text", at, F.lit(PIECE)))
     for k in (0, 1):
-        pieces = (texts.filter((F.col("label") == k) & (F.col("teaches") == "dictionary")).select(F.explode(cut).alias("p"))
-                  .distinct().orderBy(F.xxhash64("p"), "p").limit(PIECES).collect())
+        taught = texts.filter((F.col("label") == k) & (F.col("teaches") == "dictionary"))
+        many = taught.agg(F.sum(F.ceil(F.length("text") / PIECE))).first()[0] or 0
+        pieces = (taught.select(F.explode(cut).alias("p")).filter(hash_share(F.col("p"), PIECES, many)).distinct()
+                  .orderBy(F.xxhash64("p"), "p").limit(PIECES).collect())
         if not pieces:
             return flat
         learned.append(dictionary([r.p.encode("utf-8", "surrogatepass") for r in pieces]))

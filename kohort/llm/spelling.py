@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kohort.llm.common import ascii_lower, ship
+from kohort.llm.common import ascii_lower, hash_share, ship
 from kohort.session import materialize
 
 ship(__name__)
@@ -147,8 +147,9 @@ def place(words: list[str], add: int = 0) -> np.ndarray:
 
 
 def upper_tree(words: DataFrame, total: int) -> Tree:
-    """The cells, from the SAMPLE words with the smallest hash."""
-    some = [r.word for r in words.orderBy(F.xxhash64("word"), "word").limit(SAMPLE).select("word").collect()]
+    """The cells, from the SAMPLE words with the smallest hash, of about twice as many."""
+    few = words.select("word").filter(hash_share(F.col("word"), SAMPLE, total))
+    some = [r.word for r in few.orderBy(F.xxhash64("word"), "word").limit(SAMPLE).collect()]
     cells = min(MAX_CELLS, -(-total // PER_CELL))
     unit = np.ones(1 + LETTERS, np.int32)
     unit[0] = FAR
