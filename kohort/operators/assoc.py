@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kohort.functions.stats import chi2_sf_sql, lgamma_sql, norm_sf2_sql
+from kohort.operators.exact import EXACT_BELOW, fisher_rxc, rank_sum_exact_sql
 from kohort.operators.prefix import running_aggs, scaled_buckets
 from kohort.operators.summary import unpivot
 from kohort.session import materialize
@@ -95,11 +96,16 @@ def fisher_2x2(df: DataFrame, cols: list[str], by: str, cells: DataFrame | None
     return out.select("variable", *[F.col(x).cast("bigint") for x in "abcd"], "p_value")
 
 
-def rank_sum_test(df: DataFrame, cols: list[str], by: str, n_buckets: int = 1024) -> DataFrame:
+def rank_sum_test(df: DataFrame, cols: list[str], by: str, n_buckets: int = 1024,
+                  exact: bool = False) -> DataFrame:
     """Wilcoxon rank-sum (Mann-Whitney) for a two-level group, per
     variable: W of the first group (level order), normal approximation
     with tie-corrected variance and continuity correction.
 
+    With ``exact``, variables without ties and with fewer than 50 values in
+    either group get the exact law's p-value, and a column ``method`` tells
+    which (``exact`` or ``normal``; NULL without two groups).
+
     Values are collapsed to ``(variable, value)`` counts and mid-ranks come
     from a distributed prefix sum over the distinct values."""
     long = unpivot(df, cols, keep=[by], as_string=False) \
@@ -125,13 +131,19 @@ def rank_sum_test(df: DataFrame, cols: list[str], by: str, n_buckets: int = 1024
                    F.sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - F.col("ties") / ((n1 + n2) * (n1 + n2 - 1)))))
     z = F.when(sigma > 0, (w - mu - F.signum(w - mu) * 0.5) / sigma)   # NULL when undefined
     out = per.select("variable", w.alias("statistic"), F.col("n1").cast("bigint"),
-                     F.col("n2").cast("bigint"), z.alias("z"))
+                     F.col("n2").cast("bigint"), z.alias("z"), (F.col("ties") > 0).alias("__tied"))
     # variables without exactly two groups appear with NULL statistics
     others = first.filter(F.col("__ng") != 2).select(
         "variable", F.lit(None).cast("double").alias("statistic"), F.lit(None).cast("bigint").alias("n1"),
-        F.lit(None).cast("bigint").alias("n2"), F.lit(None).cast("double").alias("z"))
+        F.lit(None).cast("bigint").alias("n2"), F.lit(None).cast("double").alias("z"),
+        F.lit(None).cast("boolean").alias("__tied"))
     out = out.unionByName(others)
-    return out.withColumn("p_value", F.expr(norm_sf2_sql("z")))
+    if not exact:
+        return out.drop("__tied").withColumn("p_value", F.expr(norm_sf2_sql("z")))
+    small = ~F.col("__tied") & (F.col("n1") < EXACT_BELOW) & (F.col("n2") < EXACT_BELOW)
+    p = F.when(small, F.expr(rank_sum_exact_sql("statistic", "n1", "n2"))).otherwise(F.expr(norm_sf2_sql("z")))
+    method = F.when(small, "exact").when(F.col("__tied").isNotNull(), "normal")
+    return out.withColumns({"p_value": p, "method": method}).drop("__tied")
 
 
 def flag_significant(df: DataFrame, alpha: float = 0.05, p: str = "p_value") -> DataFrame:
@@ -140,18 +152,24 @@ def flag_significant(df: DataFrame, alpha: float = 0.05, p: str = "p_value") ->
 
 def association_table(df: DataFrame, categorical: list[str], continuous: list[str], by: str,
                       alpha: float = 0.05) -> DataFrame:
-    """One row per variable: the test chosen per type and expected count
-    (categorical: chi-square when every expected count >= 5, else Fisher for
-    2x2, else chi-square flagged; continuous: rank-sum), with statistic,
-    p-value and significance."""
+    """One row per variable: the test chosen per type and expected count,
+    with statistic, p-value and significance.
+
+    Categorical: chi-square when every expected count is 5 or more, else
+    the exact test (2x2 or larger); where an exact test of a larger table
+    is out of reach (see :func:`fisher_rxc`), chi-square flagged
+    ``chisq_low_expected``.  Continuous: rank-sum, with the exact law for
+    untied samples below 50 (``rank_sum_exact``)."""
     parts = []
     if categorical:
-        cells = _cells(df, categorical, by)   # one count table for both tests
-        chi = chi2_test(df, categorical, by, cells)
-        # the exact test only where the expected counts call for it
+        cells = _cells(df, categorical, by)   # one count table for all tests
+        chi = materialize(chi2_test(df, categorical, by, cells))
+        # the exact tests only where the expected counts call for them
         few = cells.join(chi.filter("min_expected < 5").select("variable"), "variable", "left_semi")
+        two = chi.filter("nr = 2 AND nc = 2").select("variable")
         fis = fisher_2x2(df, categorical, by, few).select("variable", F.col("p_value").alias("__fp"))
-        j = chi.join(fis, "variable", "left")
+        big = fisher_rxc(few.join(two, "variable", "left_anti")).select("variable", F.col("p_value").alias("__fp"))
+        j = chi.join(fis.unionByName(big), "variable", "left")
         small = F.col("min_expected") < 5
         use_f = small & F.col("__fp").isNotNull()
         parts.append(j.select(
@@ -160,8 +178,9 @@ def association_table(df: DataFrame, categorical: list[str], continuous: list[st
             F.when(use_f, F.lit(None).cast("double")).otherwise(F.col("statistic")).alias("statistic"),
             F.when(use_f, F.col("__fp")).otherwise(F.col("p_value")).alias("p_value")))
     if continuous:
-        rs = rank_sum_test(df, continuous, by)
-        parts.append(rs.select("variable", F.lit("rank_sum").alias("test"), "statistic", "p_value"))
+        rs = rank_sum_test(df, continuous, by, exact=True)
+        parts.append(rs.select("variable", F.when(F.col("method") == "exact", "rank_sum_exact").otherwise("rank_sum").alias("test"),
+                               "statistic", "p_value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from kohort.operators import assoc as A
 from kohort.operators import summary as SM
+from kohort.operators.exact import fisher_rxc
 from kohort.plans import fixtures as fx
 from kohort.plans.q_survival import _pval_sql, rounded
 from kohort.plans.registry import register
@@ -194,6 +195,93 @@ def q_rank_sum(spark, d):
     return rounded(A.rank_sum_test(table(spark, d, "lineitem"), ["l_quantity"], "l_linestatus"))
 
 
+# Balances at either end are rare, so their expected counts call for an exact test.
+_RARE_FIXTURE = """x AS (SELECT
+    CASE r_name WHEN 'AMERICA' THEN 'a' WHEN 'ASIA' THEN 'b' ELSE 'c' END AS grp,
+    CASE c_mktsegment WHEN 'BUILDING' THEN 'w' WHEN 'MACHINERY' THEN 'w' WHEN 'FURNITURE' THEN 'x'
+                      WHEN 'HOUSEHOLD' THEN 'y' ELSE 'z' END AS segment,
+    CASE WHEN c_acctbal < -950 THEN 'low' WHEN c_acctbal > 9950 THEN 'top' ELSE 'mid' END AS band,
+    CASE WHEN c_acctbal > 9940 THEN 'top' ELSE 'rest' END AS rare
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+def rare_balances(spark, d):
+    j = (table(spark, d, "customer").join(table(spark, d, "nation"), F.expr("c_nationkey = n_nationkey"))
+         .join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey")))
+    return j.select(
+        F.expr("CASE r_name WHEN 'AMERICA' THEN 'a' WHEN 'ASIA' THEN 'b' ELSE 'c' END").alias("grp"),
+        F.expr("CASE c_mktsegment WHEN 'BUILDING' THEN 'w' WHEN 'MACHINERY' THEN 'w' WHEN 'FURNITURE' THEN 'x' "
+               "WHEN 'HOUSEHOLD' THEN 'y' ELSE 'z' END").alias("segment"),
+        F.expr("CASE WHEN c_acctbal < -950 THEN 'low' WHEN c_acctbal > 9950 THEN 'top' ELSE 'mid' END").alias("band"),
+        F.expr("CASE WHEN c_acctbal > 9940 THEN 'top' ELSE 'rest' END").alias("rare"))
+
+
+def _rxc_sql(var: str, by: str, groups: str, free: list[str], rest: str) -> str:
+    """All tables with the observed margins: the levels ``free`` take every filling of the groups, ``rest`` what is left."""
+    k, levels = len(groups), [*free, rest]
+    n = lambda lv, g: f"n_{lv}_{g}"
+    counts = ",\n    ".join(f"CAST(COUNT(*) FILTER ({var} = '{lv}' AND {by} = '{g}') AS BIGINT) AS {n(lv, g)}" for lv in levels for g in groups)
+    sql = f"WITH {_RARE_FIXTURE},\no AS (SELECT {counts} FROM x),\nt0 AS (SELECT * FROM o)"
+    step = 0
+    for lv in free:
+        whole = " + ".join(n(lv, g) for g in groups)
+        for i, g in enumerate(groups[:-1]):
+            used = " + ".join([f"y_{lv}_{h}" for h in groups[:i]] or ["0"])
+            step += 1
+            sql += (f",\nt{step} AS (SELECT *, unnest(range(0, {whole} - ({used}) + 1)) AS y_{lv}_{g} FROM t{step - 1})")
+        step += 1
+        sql += f",\nt{step} AS (SELECT *, {whole} - ({' + '.join(f'y_{lv}_{h}' for h in groups[:-1])}) AS y_{lv}_{groups[-1]} FROM t{step - 1})"
+    left = ", ".join(f"{' + '.join(n(lv, g) for lv in levels)} - ({' + '.join(f'y_{lv}_{g}' for lv in free)}) AS y_{rest}_{g}" for g in groups)
+    fits = " AND ".join(f"y_{rest}_{g} >= 0" for g in groups)
+    cells = [(lv, g) for lv in levels for g in groups]
+    log = lambda c: " - ".join(["0"] + [f"lgamma({c}_{lv}_{g} + 1)" for lv, g in cells])
+    return sql + f""",
+z AS (SELECT * FROM (SELECT *, {left} FROM t{step}) q WHERE {fits}),
+w AS (SELECT {log('y')} AS lw, {log('n')} AS lobs, {' + '.join(n(*c) for c in cells)} AS n FROM z),
+s AS (SELECT *, exp(lw - MAX(lw) OVER ()) AS p FROM w)
+SELECT '{var}' AS variable, CAST(MAX(n) AS BIGINT) AS n,
+       ROUND(SUM(CASE WHEN lw <= lobs + ln(1 + 1e-7) THEN p ELSE 0 END) / SUM(p), 6) AS p_value FROM s"""
+
+
+@register("fisher_exact_rxc", sql=_rxc_sql("band", "grp", "abc", ["low", "top"], "mid"))
+def q_fisher_rxc(spark, d):
+    return rounded(fisher_rxc(A._cells(rare_balances(spark, d), ["band"], "grp")))
+
+
+@register("fisher_exact_2x4", sql=_rxc_sql("rare", "segment", "wxyz", ["top"], "rest"))
+def q_fisher_2x4(spark, d):
+    return rounded(fisher_rxc(A._cells(rare_balances(spark, d), ["rare"], "segment")))
+
+
+# Suppliers of two regions; at small scale factors both have fewer than 50, at larger ones the rule takes the
+# normal approximation.  The oracle sums the law's characteristic function over the roots of unity of an order
+# that is prime and larger than any product of two such sizes.
+_TWO_REGIONS = "(SELECT s_acctbal, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey " \
+               "JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE'))"
+
+
+@register("rank_sum_exact", sql=f"""
+WITH a AS ({_ranksum_full(_TWO_REGIONS + " sup", "s_acctbal", "r_name")}),
+ties AS (SELECT COUNT(*) - COUNT(DISTINCT s_acctbal) AS t FROM {_TWO_REGIONS} sup),
+s AS (SELECT variable, statistic, n1, n2, z, p_value, n1 < 50 AND n2 < 50 AND t = 0 AS small,
+             LEAST(statistic, n1 * n2 - statistic) AS tail FROM a, ties),
+f AS (SELECT t, EXP(SUM(LN(ABS(SIN(PI() * (hi + i) * t / 2411) / SIN(PI() * i * t / 2411) * i / (hi + i)))))
+             * (CASE WHEN SUM(CASE WHEN SIN(PI() * (hi + i) * t / 2411) / SIN(PI() * i * t / 2411) < 0 THEN 1 ELSE 0 END) % 2 = 0
+                     THEN 1 ELSE -1 END) AS g
+      FROM (SELECT LEAST(n1, n2) AS lo, GREATEST(n1, n2) AS hi FROM s WHERE small) b,
+           (SELECT unnest(range(1, 2411)) AS t) r, (SELECT unnest(range(1, 50)) AS i) e WHERE i <= lo GROUP BY t),
+p AS (SELECT LEAST(1, 2 * SUM(1 + c) / 2411) AS exact_p FROM (
+      SELECT k, SUM(g * COS(2 * PI() * t * (k - n1 * n2 / 2.0) / 2411)) AS c
+      FROM s, f, (SELECT unnest(range(0, 2402)) AS k) ks WHERE k <= tail GROUP BY k) q)
+SELECT variable, ROUND(statistic, 6) AS statistic, n1, n2, ROUND(z, 6) AS z,
+       ROUND(CASE WHEN small THEN exact_p ELSE p_value END, 6) AS p_value,
+       CASE WHEN small THEN 'exact' ELSE 'normal' END AS method FROM s, p""")
+def q_rank_sum_exact(spark, d):
+    j = (table(spark, d, "supplier").join(table(spark, d, "nation"), F.expr("s_nationkey = n_nationkey"))
+         .join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey")).filter("r_name IN ('ASIA', 'EUROPE')"))
+    return rounded(A.rank_sum_test(j.select("s_acctbal", "r_name"), ["s_acctbal"], "r_name", exact=True))
+
+
 _OP = f"(SELECT *, {PERIOD_SQL} AS period FROM orders)"
 
 
