@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from kohort.operators.joins import join_null_safe
 
 _BUCKET = "__bucket"
+ONE = {"one_bucket": True}   # metadata of a bucket column that has one value only
+ROWS_PER_BUCKET = 4          # fewer rows than this a bucket are not worth splitting
 
 
 def _bucket_expr(order_col: str, bucket_width: float):
@@ -65,6 +67,14 @@ def running_aggs(df: DataFrame, partition_cols: list[str], order_col: str,
     else:
         b = scaled_buckets(df, part, order_col, n_buckets, name=_BUCKET)
 
+    if b.schema[_BUCKET].metadata == ONE:
+        # small partitions (checked by scaled_buckets): the window inside the bucket is the whole answer
+        wi = Window.partitionBy(*part, _BUCKET).orderBy(*(within_order or [order_col]))
+        upto, onward = wi.rowsBetween(Window.unboundedPreceding, 0), wi.rowsBetween(0, Window.unboundedFollowing)
+        return b.withColumns({**{n: F.sum(c).over(upto) for n, c in sums.items()},
+                              **{n: F.product(c).over(upto) for n, c in products.items()},
+                              **{n: F.sum(c).over(onward) for n, c in suffix_sums.items()}}).drop(_BUCKET)
+
     # 1. in-bucket window: local inclusive prefix and bucket total, both on
     #    the (partition, bucket) hash partitioning
     wi = Window.partitionBy(*part, _BUCKET).orderBy(*(within_order or [order_col]))
@@ -129,8 +139,14 @@ def scaled_buckets(df: DataFrame, partition_cols: list[str], order_col: str,
     before the shuffle), so a bucket holds about 1 / ``n_buckets`` of the
     partition's rows whatever the scale and however far its outliers lie.
     A partition's borders are one array of at most ``n_buckets`` - 1
-    numbers; without partition columns it is read once and put in the plan."""
+    numbers; without partition columns it is read once and put in the plan.
+
+    The rows are counted first: where no partition has more than
+    ``ROWS_PER_BUCKET * n_buckets`` of them, all are one bucket, which
+    :func:`running_aggs` sums in one window."""
     part = list(partition_cols)
+    if n_buckets <= 1 or (df.groupBy(*part).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= ROWS_PER_BUCKET * n_buckets:
+        return df.withColumn(name, F.lit(0).cast("bigint")).withMetadata(name, ONE)
     value = F.col(order_col).cast("double")
     probs = [k / n_buckets for k in range(1, n_buckets)] or [0.5]
     found = F.array_distinct(F.percentile_approx(value, probs, max(10_000, 10 * n_buckets)))

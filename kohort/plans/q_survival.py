@@ -8,9 +8,11 @@ from pyspark.sql import types as T
 
 from kohort.functions import dates as D
 from kohort.operators import survival as S
+from kohort.operators.interval import km_interval
 from kohort.plans import fixtures as fx
 from kohort.plans.q_scalar import ENTRY_EXIT_SQL, STUDY_START, SURV_SMALL_SQL, entry_exit, surv_small
 from kohort.plans.registry import gauss_jordan_sql, register
+from kohort.sources.io import table
 
 Z = "1.959963984540054"
 BIG_ORIGIN, BIG_END = "1995-01-01", "1998-12-31"
@@ -230,3 +232,46 @@ def q_km_delayed_entry_excluded(spark, d):
         D.days_between(STUDY_START, "entry_date").alias("start"),
         D.days_between(STUDY_START, "exit_date").alias("stop"))
     return S.delayed_entry_excluded(ee, "start", "stop")
+
+
+# Days from an order to its full shipment, known to lie between its first and last shipping date; open to the right
+# for orders still open, and known at the last date only for urgent ones.
+INTERVAL_SQL = """
+WITH x AS (
+  SELECT CASE WHEN MIN(o_orderpriority) = '1-URGENT' THEN NULL
+              ELSE CAST(MIN(l_shipdate) AS DATE) - CAST(MIN(o_orderdate) AS DATE) END AS l,
+         CASE WHEN MIN(o_orderstatus) = 'O' THEN NULL
+              ELSE CAST(MAX(l_shipdate) AS DATE) - CAST(MIN(o_orderdate) AS DATE) END AS r
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey)"""
+
+
+def _interval_sql(steps: int = 10) -> str:
+    sql = INTERVAL_SQL + """,
+d AS (SELECT CASE WHEN l IS NULL THEN -1000000000 WHEN l = r THEN 2 * l ELSE 2 * l + 1 END AS lo,
+             COALESCE(2 * r, 1000000000) AS hi, CAST(COUNT(*) AS DOUBLE) AS n
+      FROM x WHERE (l IS NOT NULL OR r IS NOT NULL) AND (l IS NULL OR r IS NULL OR l <= r) GROUP BY 1, 2),
+e AS (SELECT DISTINCT pt, kind FROM (SELECT lo AS pt, 0 AS kind FROM d UNION ALL SELECT hi, 1 FROM d) u),
+q AS (SELECT kind, pt AS lo, LEAD(kind) OVER (ORDER BY pt, kind) AS k2, LEAD(pt) OVER (ORDER BY pt, kind) AS hi FROM e),
+i AS MATERIALIZED (SELECT lo, hi FROM q WHERE kind = 0 AND k2 = 1),
+h AS MATERIALIZED (SELECT d.lo AS dl, d.hi AS dh, d.n, i.lo, i.hi FROM d JOIN i ON d.lo <= i.lo AND i.hi <= d.hi),
+p0 AS MATERIALIZED (SELECT lo, hi, 1.0 / COUNT(*) OVER () AS p FROM i)"""
+    for k in range(1, steps + 1):
+        sql += f""",
+m{k} AS MATERIALIZED (SELECT dl, dh, SUM(p) AS mass FROM h JOIN p{k - 1} USING (lo, hi) GROUP BY dl, dh),
+p{k} AS MATERIALIZED (SELECT lo, hi, p{k - 1}.p * SUM(h.n / mass) / (SELECT SUM(n) FROM d) AS p
+       FROM h JOIN m{k} USING (dl, dh) JOIN p{k - 1} USING (lo, hi) GROUP BY lo, hi, p{k - 1}.p)"""
+    return sql + f"""
+SELECT CASE WHEN lo > -1000000000 THEN CAST(floor(lo / 2.0) AS BIGINT) END AS time_left,
+       CASE WHEN hi < 1000000000 THEN CAST(hi / 2 AS BIGINT) END AS time_right,
+       lo % 2 = 0 AND lo > -1000000000 AS exact, ROUND(p, 6) AS mass,
+       ROUND(GREATEST(0, 1 - SUM(p) OVER (ORDER BY lo)), 6) AS surv FROM p{steps}"""
+
+
+@register("km_interval", sql=_interval_sql())
+def q_km_interval(spark, d):
+    days = lambda c: F.datediff(F.col(c).cast("date"), F.col("o_orderdate").cast("date"))
+    ships = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
+    j = table(spark, d, "orders").join(ships, F.expr("l_orderkey = o_orderkey"))
+    x = j.select(F.when(F.col("o_orderpriority") != "1-URGENT", days("first")).alias("l"),
+                 F.when(F.col("o_orderstatus") != "O", days("last")).alias("r"))
+    return rounded(km_interval(x, "l", "r", max_iter=10, tol=0.0))
