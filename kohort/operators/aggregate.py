@@ -64,7 +64,7 @@ def collapse_multi(df: DataFrame, keys: list[str], first_last: list[str], order_
     """
     ordkey = order_struct(df, order_by)
     if ordkey is None:
-        raise ValueError("collapse_multi needs an order without descending text keys")
+        raise ValueError("collapse_multi needs an order without descending nested keys")
     df = df.withColumn("__ord", ordkey)
     from_first = list(dict.fromkeys([*first_last, *first_only]))
     aggs = [F.count(F.lit(1)).alias("__n")]

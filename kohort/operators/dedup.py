@@ -18,8 +18,9 @@ def first_per_key(df: DataFrame, keys: list[str], order_by) -> DataFrame:
 
     Preferred plan: ``min_by(struct(row), order_struct)`` grouped by key,
     a partial aggregate that keeps one candidate per key per map task, so a
-    hot key does not land whole in one task.  A descending text key falls
-    back to ``row_number`` (Spark then plans a WindowGroupLimit).
+    hot key does not land whole in one task.  A descending nested key
+    (array, struct) falls back to ``row_number`` (Spark then plans a
+    WindowGroupLimit).
     """
     keys = list(keys)
     rest = [c for c in df.columns if c not in keys]
