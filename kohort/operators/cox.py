@@ -11,13 +11,11 @@ Plan
   (patterns x distinct times) rows whatever the number of subjects.  It is
   checkpointed once to the shared ``spark.checkpoint.dir`` (reliable,
   lineage cut); level discovery and coding read the small table.
-* One Newton iteration = one aggregate job: per-time sums of exp(eta),
-  their x-moments and the deaths' moments; risk sets are suffix sums over
-  time (two-level, no single-partition window); Efron's tie correction
-  explodes each time's death count into k = 0..d-1 rows (work grows with
-  the number of deaths, as in any Cox fit).  Only the p-vector U and the
-  p x p matrix I reach the driver, where the step is solved.  The plan is
-  the same for any number of covariate patterns.
+* One Newton iteration (:mod:`kohort.operators.cox_steps`): packed moments
+  over a table that was range-partitioned by time once; no shuffle in a
+  step.  Only the p-vector U and p x p matrices reach the driver, where the
+  step is solved.  The plan is the same for any number of covariates and
+  covariate patterns.
 """
 
 from __future__ import annotations
@@ -31,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kohort.functions.stats import Z975, chi2_sf, norm_sf2
+from kohort.operators.cox_steps import laid_out, newton_parts
 from kohort.operators.prefix import running_aggs, scaled_buckets
 from kohort.session import materialize
 
@@ -126,13 +125,13 @@ def per_time_sums(suf: DataFrame, cols: list[str], beta) -> DataFrame:
         for k in range(j, p):
             aggs += [f"SUM(m * __w * `{cols[j]}` * `{cols[k]}`) AS a2_{j}_{k}",
                      f"SUM(d * __w * `{cols[j]}` * `{cols[k]}`) AS D2_{j}_{k}"]
-    pt = base.groupBy("t", "__tb").agg(*[F.expr(a) for a in aggs])
+    pt = materialize(base.groupBy("t").agg(*[F.expr(a) for a in aggs]))   # a row a time
     suffix = {"S0": "a0"}
     for j in range(p):
         suffix[f"S1_{j}"] = f"a1_{j}"
         for k in range(j, p):
             suffix[f"S2_{j}_{k}"] = f"a2_{j}_{k}"
-    return running_aggs(pt, [], "t", suffix_sums=suffix, bucket_col="__tb")
+    return running_aggs(pt, [], "t", suffix_sums=suffix)
 
 
 def efron_rows(pt: DataFrame, p: int) -> DataFrame:
@@ -152,24 +151,6 @@ def efron_rows(pt: DataFrame, p: int) -> DataFrame:
     return ev.selectExpr("*", *exprs)
 
 
-def newton_parts(suf: DataFrame, cols: list[str], beta) -> tuple[float, np.ndarray, np.ndarray]:
-    """Log partial likelihood, score U and information I at ``beta``."""
-    p = len(cols)
-    ex = efron_rows(per_time_sums(suf, cols, beta), p)
-    aggs = ["SUM(CASE WHEN k = 0 THEN DE ELSE 0D END - ln(q0)) AS ll"]
-    for j in range(p):
-        aggs.append(f"SUM(CASE WHEN k = 0 THEN XD_{j} ELSE 0D END - q1_{j} / q0) AS u{j}")
-        for k in range(j, p):
-            aggs.append(f"SUM(q2_{j}_{k} / q0 - q1_{j} * q1_{k} / (q0 * q0)) AS i{j}_{k}")
-    r = ex.selectExpr(*aggs).collect()[0]
-    U = np.array([r[f"u{j}"] or 0.0 for j in range(p)])
-    I = np.zeros((p, p))
-    for j in range(p):
-        for k in range(j, p):
-            I[j, k] = I[k, j] = r[f"i{j}_{k}"] or 0.0
-    return float(r["ll"] or 0.0), U, I
-
-
 @dataclass
 class CoxFit:
     design: Design
@@ -217,19 +198,36 @@ class CoxFit:
                 "iterations": self.iterations}
 
 
+def _eliminated(A: np.ndarray, B: np.ndarray) -> np.ndarray:
+    """A^-1 B by elimination with row exchanges, in row operations only: the driver shares its cores with Spark,
+    and a linear algebra library's own threads can stall beside it."""
+    M = np.concatenate([A, B.reshape(len(A), -1)], axis=1).astype(float)
+    p = len(A)
+    for k in range(p):
+        best = k + int(np.abs(M[k:, k]).argmax())
+        if M[best, k] == 0 or not np.isfinite(M[best, k]):
+            raise np.linalg.LinAlgError("singular matrix")
+        M[[k, best]] = M[[best, k]]
+        M[k] /= M[k, k]
+        others = M[:, k].copy()
+        others[k] = 0.0
+        M -= others[:, None] * M[k]
+    return M[:, p:].reshape(B.shape)
+
+
 def _solve(I: np.ndarray, U: np.ndarray) -> np.ndarray:
     """Newton step; a singular information matrix (no events, or a
     covariate without variation among the at-risk) falls back to the
     pseudo-inverse, which leaves the non-identified directions at 0."""
     try:
-        return np.linalg.solve(I, U)
+        return _eliminated(I, U)
     except np.linalg.LinAlgError:
-        return np.linalg.pinv(I) @ U
+        return np.linalg.pinv(np.nan_to_num(I)) @ U
 
 
 def _inverse(I: np.ndarray) -> np.ndarray:
     try:
-        return np.linalg.inv(I)
+        return _eliminated(I, np.eye(len(I)))
     except np.linalg.LinAlgError:
         return np.full_like(I, np.nan)
 
@@ -263,28 +261,29 @@ def _fit_raw(raw: DataFrame, covariates: list[str], levels: dict | None, max_ite
     design = build_design(raw, covariates, levels)
     coded = raw.select("t", *design_columns(raw, design), "d", "m")
     suf = coded.groupBy("t", *design.cols).agg(F.sum("d").alias("d"), F.sum("m").alias("m"))
-    suf = scaled_buckets(suf, [], "t", name="__tb").persist()
+    suf = materialize(suf)
     cols = design.cols
     p = len(cols)
+    tot = suf.agg(F.sum("m").alias("n"), F.sum("d").alias("e"), F.count(F.lit(1)).alias("rows")).collect()[0]
+    steps = laid_out(suf, cols, tot["rows"])
     beta, done = np.zeros(p), p == 0
-    ll0, U, I = newton_parts(suf, cols, beta)
+    ll0, U, I = newton_parts(*steps, beta)
     score = float(U @ _solve(I, U)) if p else 0.0
     ll = ll0
     it = 0
     for it in range(1, max_iter + 1):
         step = _solve(I, U)
         new = beta + step
-        ll_new, U_new, I_new = newton_parts(suf, cols, new)
+        ll_new, U_new, I_new = newton_parts(*steps, new)
         halvings = 0
         while ll_new < ll - 1e-12 and halvings < 10:
             new = (beta + new) / 2.0
-            ll_new, U_new, I_new = newton_parts(suf, cols, new)
+            ll_new, U_new, I_new = newton_parts(*steps, new)
             halvings += 1
         done = abs(1.0 - ll_new / ll) <= eps if ll != 0 else abs(ll_new - ll) <= eps
         beta, ll, U, I = new, ll_new, U_new, I_new
         if done:
             break
-    tot = suf.agg(F.sum("m").alias("n"), F.sum("d").alias("e")).collect()[0]
     if not done:
         warnings.warn(f"the Cox fit did not converge in {max_iter} steps", stacklevel=3)
     return CoxFit(design, beta, _inverse(I), ll0, ll, score, int(tot["n"] or 0), int(tot["e"] or 0), it, suf,
