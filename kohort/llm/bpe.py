@@ -7,7 +7,9 @@ dropped by the vocabulary and is a cut anyhow, as is every border that the
 pre-tokenizer's pattern draws.  The merges within a fragment are the
 library's BPE model's, once for fragments that end a word and once for those
 that don't.  Words repeat far more often than texts, so each worker process
-keeps the ids of those that it has encoded.
+keeps the ids of those that it has met lately, in two generations: when the
+younger is full it becomes the older one, from which words met again come back,
+so that frequent words outlast any number of rare ones.
 
 The vocabulary file is read on the driver and broadcast (a few MB, checked);
 tasks need no file.
@@ -19,6 +21,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
+from operator import add
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +33,8 @@ from kohort.llm.common import ship
 ship(__name__)
 
 MAX_FILE = 64 << 20
-KEPT = 150_000  # encoded words and runs that a worker keeps at most (about 40 MB); then it starts afresh
+KEPT = 150_000  # encoded words and runs that make a generation (about 40 MB)
+CHUNK = 4096  # runs looked up at a time; generations change between chunks
 BATCH_SIZE = 1 << 20  # bytes or ids that leave a task at a time
 
 
@@ -78,11 +82,13 @@ def load(path: str) -> dict:
     merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
     return {"vocab": vocab, "merges": [tuple(m) for m in merges], "inside": inside, "suffix": suffix,
             "pattern": split["pattern"]["Regex"], "added": added, "names": {i: t for t, i in (vocab | added).items()},
-            "file": raw, "kept": {}}
+            "file": raw, "young": {}, "old": {}}
 
 
 def fragments(word: str, inside: set) -> list[str]:
     """The word cut at every pair of symbols that no token holds."""
+    if inside.issuperset(map(add, word, word[1:])):
+        return [word]
     cuts = [k for k in range(1, len(word)) if word[k - 1:k + 1] not in inside]
     return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
 
@@ -98,8 +104,8 @@ class Encoder:
             tables["models"] = [models.BPE(vocab, merges, cache_capacity=0, **end)
                                 for end in ({}, {"end_of_word_suffix": tables["suffix"]})]
         self.inner, self.final = tables["models"]
-        self.t, self.symbols = tables, byte_symbols()
-        self.values = {c: b for b, c in enumerate(self.symbols)}
+        self.t, self.symbols = tables, dict(enumerate(byte_symbols()))
+        self.values = {c: b for b, c in self.symbols.items()}
         self.words = regex.compile(tables["pattern"]).findall
         # Latin letters with their accents and common punctuation; not U+0130, whose lower case is two characters
         self.plain = regex.compile("[\\x00-\\x1b\\x20-\\u012f\\u0131-\\u024f\\u2010-\\u2027\\u2030-\\u205e]*+").fullmatch
@@ -116,24 +122,34 @@ class Encoder:
 
     def run(self, run: str) -> tuple[int, ...]:
         """Ids of a run of Latin characters between white space, which no word crosses."""
-        kept, out = self.t["kept"], ()
-        for w in self.words(run):
-            out += kept.get(w) or self.word(w)
+        ids = self.t["old"].get(run)
+        if ids is None:
+            known, ids = self.t["young"].get, ()
+            for w in self.words(run):
+                ids += known(w) or self.word(w)
         if len(run) < 64:
-            kept[run] = out
-        return out
+            self.t["young"][run] = ids
+        return ids
 
     def word(self, word: str) -> tuple[int, ...]:
         """Ids of one word: its fragments' merges, one after the other; only the last fragment ends the word."""
-        kept = self.t["kept"]
-        if len(kept) >= KEPT:
-            kept.clear()
-        *firsts, last = fragments("".join(map(self.symbols.__getitem__, word.encode("utf-8", "replace"))), self.t["inside"])
-        ids = tuple(t.id for piece in firsts for t in self.inner.tokenize(piece)) + tuple(t.id for t in self.final.tokenize(last))
+        ids = self.t["old"].get(word)
+        if ids is None:
+            level = word.encode("utf-8", "replace").decode("latin-1").translate(self.symbols)
+            *firsts, last = fragments(level, self.t["inside"])
+            ids = tuple([t.id for t in self.final.tokenize(last)])
+            if firsts:
+                ids = tuple([t.id for piece in firsts for t in self.inner.tokenize(piece)]) + ids
         if len(word) < 64:
-            kept[word] = ids
+            self.t["young"][word] = ids
         return ids
 
+    def turn(self) -> dict:
+        """The younger generation, a new one if it is full."""
+        if len(self.t["young"]) >= KEPT:
+            self.t["old"], self.t["young"] = self.t["young"], {}
+        return self.t["young"]
+
     def __call__(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -144,11 +160,12 @@ class Encoder:
                 continue
             composed = part if part.isascii() else unicodedata.normalize("NFC", part)
             if self.plain(composed):  # Python's rules agree there; elsewhere character tables differ between libraries
-                known, one, pieces = self.t["kept"].get, self.run, composed.lower().split()
+                one, pieces = self.run, composed.lower().split()
             else:
-                known, one, pieces = self.t["kept"].get, self.word, self.cut(part)
-            for k in range(0, len(pieces), 4096):
-                out.extend(chain.from_iterable([known(w) or one(w) for w in pieces[k:k + 4096]]))
+                one, pieces = self.word, self.cut(part)
+            for k in range(0, len(pieces), CHUNK):
+                known = self.turn().get
+                out.extend(chain.from_iterable([known(w) or one(w) for w in pieces[k:k + CHUNK]]))
         return out
 
 
