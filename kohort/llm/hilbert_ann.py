@@ -10,7 +10,13 @@ query's nearest leave the task.  The nearest of all orderings are merged and
 ranked by the exact cosine of the original vectors.
 
 Equal vectors are one point: they are searched once, and stand in the result
-by their smallest ids, which are all that can rank.
+by their smallest ids, which are all that can rank.  Cosines that agree to 12
+decimals are ties, which go to the smaller id: multiples of one vector differ in
+their last digits only.  Every tie at the border stays until ids are compared.
+
+Cosine is defined between vectors of one length, and each length is searched by
+itself: the most frequent lengths on orderings of their own, any others by
+comparing all vectors of a length.
 
 The share of vectors that a query meets follows from the number of orderings
 and windows and not from the table's size, and recall with it.  For vectors
@@ -37,6 +43,8 @@ DIMS, BITS = 12, 4  # a key of 48 bits
 SAMPLE = 20_000  # vectors that window borders are fitted on
 MIN_WINDOW = 64
 PIECE = 4096
+LENGTHS = 8  # vector lengths that get orderings
+TIE = 12  # decimals
 CHUNK = 1 << 21  # scores held at a time
 
 
@@ -91,24 +99,30 @@ def ordering(points: np.ndarray, plan: dict, curve: int) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of the rows that take part: with an id, and a vector that is not null, empty or zero, has finite
-    components only and the table's most frequent length.  Repeated rows count once; of different vectors with one
-    id the smallest counts."""
+    """(vec_id, v) of the rows that take part: with an id, and a vector that is not null, empty or zero and has finite
+    components only.  Repeated rows count once; of different vectors with one id the smallest counts."""
     v = F.col("embedding")
     rows = vectors.filter(F.col("vec_id").isNotNull() & v.isNotNull()
                           & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
                           & F.exists(v, lambda x: x != 0))
-    common = rows.groupBy(F.size(v).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    rows = rows.filter(F.size(v) == (common.n if common else 0))
     return rows.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(v).alias("v"))
 
 
+def nearest(scores: np.ndarray, most: int) -> list[np.ndarray]:
+    """For each row, the places of its ``most`` largest scores and of all that tie with the last of them."""
+    if scores.shape[1] <= most:
+        return [np.arange(scores.shape[1])] * len(scores)
+    least = np.partition(scores, -most, axis=1)[:, -most] - 10.0 ** -(TIE - 1)
+    return [np.flatnonzero(row >= x) for row, x in zip(scores, least)]
+
+
 def search(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = 32, windows: int = 128,
            seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of every row whose vec_id is divisible by ``every``.
 
-    Nearest first, ties to the smaller vec_id; a query never finds itself.
-    See ``usable`` for the rows that take part; an empty table gives no rows.
+    Nearest first, ties to the smaller vec_id; a query never finds itself, nor
+    vectors of another length.  See ``usable`` for the rows that take part; an
+    empty table gives no rows.
     """
     context = vectors.sparkSession.sparkContext
     rows = materialize(usable(vectors))
@@ -117,68 +131,77 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = 32, wi
                          .select(F.col("ids")[0].alias("p"), "ids", "v"))
     queries = materialize(rows.filter(F.col("vec_id") % every == 0).join(points.select("v", "p"), "v")
                           .select(F.col("vec_id").alias("query_id"), F.col("p").alias("q")))
-    n = points.count()
-    if n == 0:
+    lengths = points.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(LENGTHS + 1).collect()
+    if not lengths:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    fitted = points.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE).collect()
-    windows = max(1, min(windows, n // MIN_WINDOW))
-    plan = context.broadcast(fit(np.array([r.v for r in fitted]), curves, windows, seed))
-    pieces = -(-n // (windows * PIECE))
-    parts = -(-3 * n // (every * windows * PIECE))  # of a window's queries
+
+    def shape(n: int, cut: int) -> dict:
+        return {"windows": cut, "pieces": -(-n // (cut * PIECE)), "parts": -(-3 * n // (every * cut * PIECE))}
+
+    plans = {}
+    frequent = lengths[:LENGTHS]
+    for d, n in frequent:
+        cut = max(1, min(windows, n // MIN_WINDOW))
+        sample = (points.filter(F.size("v") == d).select("v").orderBy(F.xxhash64("v"), "v")
+                  .limit(SAMPLE // len(frequent)).collect())
+        plans[d] = shape(n, cut) | {"curves": curves, "fit": fit(np.array([r.v for r in sample]), curves, cut, seed)}
+    plan = context.broadcast((plans, shape(lengths[-1][1], 1) | {"curves": 1}))  # the latter for lengths without orderings
 
     asked = points.join(queries.select(F.col("q").alias("p")).distinct(), "p", "left_semi").withColumn("asks", F.lit(True))
     both = points.withColumn("asks", F.lit(False)).unionByName(asked).select("p", "v", "asks")
 
+    def deal_length(part: pd.DataFrame, d: int) -> Iterator[pd.DataFrame]:
+        at = plan.value[0].get(d, plan.value[1])
+        cut, pieces, parts = at["windows"], at["pieces"], at["parts"]
+        asks, ids = part["asks"].to_numpy(bool), part["p"].to_numpy()
+        points_1 = unit(np.stack(part["v"].to_numpy())) if "fit" in at else None
+        mixed = (ids * 0x2545F4914F6CDD1D >> 20) & 0x7FFFFFFF
+        for c in range(at["curves"]):
+            spot = np.zeros(len(ids), np.int64)
+            if points_1 is not None:
+                spot = np.searchsorted(at["fit"]["borders"][c], ordering(points_1, at["fit"], c), "right")
+            out = []
+            for step in (-1, 0, 1):  # a query goes to three windows and all their pieces
+                for piece in range(pieces):
+                    out.append((asks, spot + step, np.full(len(ids), piece), mixed % parts))
+            for query_part in range(parts):
+                out.append((~asks, spot, mixed % pieces, np.full(len(ids), query_part)))
+            for take, window, piece, query_part in out:
+                take = take & (window >= 0) & (window < cut)
+                if take.any():
+                    yield pd.DataFrame({"d": d, "window": (c * cut + window)[take], "piece": piece[take],
+                                        "part": query_part[take], "p": ids[take], "asks": asks[take],
+                                        "v": part["v"][take]})
+
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        p = plan.value
         for pdf in batches:
             for at in range(0, len(pdf), 2048):
                 part = pdf.iloc[at:at + 2048]
-                unit_v = unit(np.stack(part["v"].to_numpy()))
-                asks, ids = part["asks"].to_numpy(bool), part["p"].to_numpy()
-                mixed = (ids * 0x2545F4914F6CDD1D >> 20) & 0x7FFFFFFF
-                for c in range(curves):
-                    spot = np.searchsorted(p["borders"][c], ordering(unit_v, p, c), "right")
-                    out = []
-                    for step in (-1, 0, 1):  # a query goes to three windows and all their pieces
-                        for piece in range(pieces):
-                            out.append((asks, spot + step, np.full(len(ids), piece), mixed % parts))
-                    for query_part in range(parts):
-                        out.append((~asks, spot, mixed % pieces, np.full(len(ids), query_part)))
-                    for take, window, piece, query_part in out:
-                        take = take & (window >= 0) & (window < windows)
-                        if take.any():
-                            yield pd.DataFrame({"window": (c * windows + window)[take], "piece": piece[take],
-                                                "part": query_part[take], "p": ids[take], "asks": asks[take],
-                                                "v": part["v"][take]})
+                for d, same in part.groupby(part["v"].map(len)):
+                    yield from deal_length(same, int(d))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = pdf["asks"].to_numpy(bool)
         out = []
         if asks.any() and not asks.all():
             q_ids, c_ids = pdf["p"].to_numpy()[asks], pdf["p"].to_numpy()[~asks]
-            order = np.argsort(c_ids)
-            q, c = unit(np.stack(pdf["v"][asks].to_numpy())), unit(np.stack(pdf["v"][~asks].to_numpy()))[order]
-            c_ids = c_ids[order]
-            most = min(len(c_ids), k + 8)
+            q, c = unit(np.stack(pdf["v"][asks].to_numpy())), unit(np.stack(pdf["v"][~asks].to_numpy()))
             step = max(1, CHUNK // len(c_ids))
             for at in range(0, len(q), step):
-                s = q[at:at + step] @ c.T
-                near = np.argpartition(-s, most - 1, axis=1)[:, :most]
-                for row, found in enumerate(near):
+                for row, found in enumerate(nearest(q[at:at + step] @ c.T, k + 1)):
                     exact = np.einsum("ij,j->i", c[found], q[at + row])
-                    best = np.lexsort((c_ids[found], -exact))[:k + 1]
+                    best = np.lexsort((c_ids[found], -exact.round(TIE)))[:k + 1]
                     out.append(pd.DataFrame({"q": q_ids[at + row], "p": c_ids[found][best], "score": exact[best]}))
         return pd.concat(out) if out else pd.DataFrame({"q": [], "p": [], "score": []})
 
     element = dict(points.dtypes)["v"]
-    dealt = both.mapInPandas(deal, f"window long, piece long, part long, p long, asks boolean, v {element}")
-    near = dealt.groupBy("window", "piece", "part").applyInPandas(meet, "q long, p long, score double")
+    dealt = both.mapInPandas(deal, f"d long, window long, piece long, part long, p long, asks boolean, v {element}")
+    near = dealt.groupBy("d", "window", "piece", "part").applyInPandas(meet, "q long, p long, score double")
     near = near.groupBy("q", "p").agg(F.max("score").alias("score"))
-    first = Window.partitionBy("q").orderBy(F.desc("score"), "p")
-    near = near.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
+    level = F.round("score", TIE).desc()
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(level, "p"))).filter(F.col("r") <= k + 1)
     told = near.join(points.select("p", "ids"), "p").select("q", F.explode("ids").alias("vec_id"), "score")
     told = told.join(queries, "q").filter("vec_id <> query_id")
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    by_query = Window.partitionBy("query_id").orderBy(level, "vec_id")
     return (told.withColumn("rank", F.row_number().over(by_query)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -57,3 +57,36 @@ def test_recall(spark):
     assert found.keys() == want.keys() and all(len(x) == 5 for x in found.values())
     assert np.mean([len({i for _, i in want[q]} & {i for _, i in found[q]}) / 5 for q in want]) >= 0.9
     assert found[100] == want[100] and found[150] == want[150]
+
+
+def test_ties_go_to_the_smallest_ids(spark):
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((2000, 16))
+    many = rng.choice(2000, 900, replace=False)
+    v[many] = v[many[0]] * rng.integers(1, 1000, (900, 1)) / 7
+    rows = [(k, x.tolist()) for k, x in enumerate(v.astype(np.float64))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {}
+    for r in sorted(h.search(df).collect(), key=lambda r: (r.query_id, r.rank)):
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    tied = [q for q in set(many.tolist()) if q % 50 == 0]
+    assert tied
+    for q in tied:
+        assert found[q] == sorted(set(many.tolist()) - {q})[:5]
+
+
+def test_each_length_is_searched(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(2 + k % 5)]) for k in range(600)]
+    want = {}
+    for q, x in rows[::50]:
+        near = brute([(i, y) for i, y in rows if len(y) == len(x)], every=1)[q]
+        want[q] = [i for _, i in near]
+    for lengths in (8, 2):  # with and without lengths that have no orderings
+        monkeypatch.setattr(h, "LENGTHS", lengths)
+        monkeypatch.setattr(h, "MIN_WINDOW", 1000)
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        found = {}
+        for r in sorted(h.search(df).collect(), key=lambda r: (r.query_id, r.rank)):
+            found.setdefault(r.query_id, []).append(r.vec_id)
+        assert found == want
