@@ -95,34 +95,54 @@ def read_clean(spark: SparkSession, path: str) -> DataFrame:
 def data_dictionary(df: DataFrame, exact: bool = True, path: str | None = None) -> DataFrame:
     """One row per column: position, name, type, NULL count, distinct count.
 
-    One aggregate pass computes every column's statistics; the wide result
-    row is turned into rows with ``stack``.  ``exact=False`` uses HLL++
-    (``approx_count_distinct``), which keeps the pass map-side combinable at
-    any scale; exact distinct counts shuffle every distinct value.  With
+    Exact counts take the long form: each cell is a row of its column's
+    position and value, with one value field for each type of the schema, so
+    that a cell carries itself and not its row.  Cells are counted by
+    (position, value), which combines map-side, and the counts by position:
+    one shuffle of distinct values.  ``exact=False`` uses HLL++
+    (``approx_count_distinct``) in one aggregate without that shuffle.  With
     ``path`` the dictionary is written there (Parquet) and read back.
     """
     fields = df.schema.fields
-    aggs = []
-    for i, f in enumerate(fields):
-        aggs.append(F.count_if(qcol(f.name).isNull()).alias(f"n{i}"))
-        d = (F.countDistinct(qcol(f.name)) if exact
-             else F.approx_count_distinct(qcol(f.name)))
-        aggs.append(d.alias(f"d{i}"))
-    wide = df.agg(*aggs)   # one row: every statistic in a single pass
-    parts = ", ".join(
-        f"{i + 1}, {sql_string(f.name)}, '{f.dataType.simpleString()}', n{i}, d{i}"
-        for i, f in enumerate(fields))
-    out = wide.selectExpr(
-        f"stack({len(fields)}, {parts}) AS (position, column_name, data_type, n_missing, n_distinct)"
-    ).select(
-        F.col("position").cast("bigint"), "column_name", "data_type",
-        F.col("n_missing").cast("bigint"), F.col("n_distinct").cast("bigint"),
-        F.lit("").alias("description"))
+    stats = _exact_counts(df) if exact else _approx_counts(df)
+    names = ", ".join(f"({i + 1}L, {sql_string(f.name)}, '{f.dataType.simpleString()}')" for i, f in enumerate(fields))
+    columns = df.sparkSession.sql(f"SELECT * FROM VALUES {names} AS v(position, column_name, data_type)")
+    out = columns.join(stats, "position", "left").select(
+        "position", "column_name", "data_type",
+        F.coalesce("n_missing", F.lit(0)).cast("bigint").alias("n_missing"),
+        F.coalesce("n_distinct", F.lit(0)).cast("bigint").alias("n_distinct"), F.lit("").alias("description"))
     if path is not None:
         return read_clean(df.sparkSession, write_clean(out, path))
     return out
 
 
+def _exact_counts(df: DataFrame) -> DataFrame:
+    """(position, n_missing, n_distinct); no row for a column of an empty table."""
+    types: list = []
+    for f in df.schema.fields:
+        if f.dataType not in types:
+            types.append(f.dataType)
+    values = [f"v{k}" for k in range(len(types))]
+    cells = []
+    for i, f in enumerate(df.schema.fields):
+        own = types.index(f.dataType)
+        cells.append(F.struct(F.lit(i + 1).cast("bigint").alias("position"), qcol(f.name).isNull().alias("missing"),
+                              *[(qcol(f.name) if k == own else F.lit(None).cast(t)).alias(values[k])
+                                for k, t in enumerate(types)]))
+    long = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*")
+    counted = long.groupBy("position", "missing", *values).agg(F.count(F.lit(1)).alias("n"))
+    return counted.groupBy("position").agg(F.sum(F.when(F.col("missing"), F.col("n")).otherwise(0)).alias("n_missing"),
+                                           F.count_if(~F.col("missing")).alias("n_distinct"))
+
+
+def _approx_counts(df: DataFrame) -> DataFrame:
+    aggs = []
+    for i, f in enumerate(df.schema.fields):
+        aggs += [F.count_if(qcol(f.name).isNull()).alias(f"n{i}"), F.approx_count_distinct(qcol(f.name)).alias(f"d{i}")]
+    parts = ", ".join(f"{i + 1}L, n{i}, d{i}" for i in range(len(df.columns)))
+    return df.agg(*aggs).selectExpr(f"stack({len(df.columns)}, {parts}) AS (position, n_missing, n_distinct)")
+
+
 def sql_string(text: str) -> str:
     """``text`` as a Spark SQL string literal."""
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
