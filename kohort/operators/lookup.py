@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kohort.functions.nulls import rlike_or_false
+from kohort.session import materialize
 
 # A literal table up to this many rows is broadcast with an explicit hint.
 LITERAL_BROADCAST_MAX_ROWS = 100_000
@@ -39,6 +40,46 @@ def code_to_group_regex(c, rules: list[tuple[str, str]], default: str) -> Column
     return expr.otherwise(default)
 
 
+GRAM = 3  # characters
+
+
+def _grams(text, size: int) -> Column:
+    """The distinct runs of ``size`` characters of a text, at every place."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def substring_rules(df: DataFrame, text_col: str, rules: DataFrame, out: str, default: str,
+                    order: str = "rule_order", pattern: str = "pattern", label: str = "label") -> DataFrame:
+    """``df`` with the label of the first rule whose pattern is part of the text, for any number of rules.
+
+    ``rules`` is a table (order, pattern, label).  Each pattern is filed under
+    its rarest run of three characters (a shorter one under itself); distinct
+    texts meet the rules filed under their own runs by an equality join, keyed
+    by a hash so that runs don't carry texts, and candidates are verified.  A
+    text that no rule matches, or NULL, gets ``default``; NULL patterns match
+    nothing, an empty one every text.  Of rules with one order the smallest
+    (pattern, label) counts.
+    """
+    rule = rules.filter(F.col(pattern).isNotNull()).select(
+        F.struct(F.col(order).alias("o"), F.col(pattern).alias("pattern"), F.col(label).alias("label")).alias("rule")).distinct()
+    short = F.length("rule.pattern") < GRAM
+    filed = materialize(rule.withColumn("gram", F.explode(
+        F.when(short, F.array("rule.pattern")).otherwise(_grams(F.col("rule.pattern"), GRAM)))))
+    common = filed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    index = (filed.join(common, "gram").groupBy("rule").agg(F.min(F.struct("n", "gram")).alias("least"))
+             .select("rule", F.col("least.gram").alias("gram")))
+    sizes = sorted(r[0] for r in filed.select(F.least(F.length("rule.pattern"), F.lit(GRAM))).distinct().collect())
+    text = F.col("__text")
+    texts = df.select(F.col(text_col).alias("__text")).filter(text.isNotNull()).distinct().withColumn("__key", F.xxhash64("__text"))
+    runs = F.array_distinct(F.concat(F.array().cast("array<string>"),
+                                     *[_grams(text, z) if z else F.array(F.lit("")) for z in sizes]))
+    met = texts.select("__key", F.explode(runs).alias("gram")).join(index, "gram").select("__key", "rule")
+    first = (texts.join(met, "__key").filter(text.contains(F.col("rule.pattern")))
+             .groupBy("__text").agg(F.min("rule").alias("__rule")))
+    j = df.join(first, df[text_col] == first["__text"], "left")
+    return j.withColumn(out, F.coalesce(F.col("__rule.label"), F.lit(default))).drop("__text", "__rule")
+
+
 def patch_table(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     """``rows = [(key, column, value_text, only_if_null)]``."""
     return literal_table(spark, rows, "key bigint, column string, value string, only_if_null boolean")

@@ -235,6 +235,21 @@ def q_code_lookup_regex(spark, d):
     return p.select("p_partkey", LK.code_to_group_regex("p_name", NAME_RULES, "other").alias("name_group"))
 
 
+@register("code_lookup_substring", sql="""
+WITH word AS (SELECT item_id, unnest(string_split(text, ' ')) AS pattern FROM benchmark),
+rule AS (SELECT pattern, MIN(item_id) AS label FROM word WHERE length(pattern) >= 6 GROUP BY pattern),
+hit AS (SELECT d.text, MIN({'pattern': r.pattern, 'label': r.label}) AS first
+        FROM (SELECT DISTINCT text FROM documents) d JOIN rule r ON contains(d.text, r.pattern) GROUP BY d.text)
+SELECT d.doc_id, COALESCE(CAST(hit.first.label AS VARCHAR), 'none') AS item
+FROM documents d LEFT JOIN hit ON d.text = hit.text""")
+def q_code_lookup_substring(spark, d):
+    word = table(spark, d, "benchmark").select("item_id", F.explode(F.split("text", " ")).alias("pattern"))
+    rules = (word.filter(F.length("pattern") >= 6).groupBy("pattern")
+             .agg(F.min("item_id").cast("string").alias("label")).withColumn("rule_order", F.col("pattern")))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return LK.substring_rules(docs, "text", rules, "item", "none").select("doc_id", "item")
+
+
 # Cell patches (key, column, value, only_if_null) and the nulling bound.
 PATCHES = [
     (4, "dx_date", "1996-09-10", False), (5, "dx_date", "1996-09-19", False),
