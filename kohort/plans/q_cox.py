@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kohort.operators import cox as C
+from kohort.operators.smooth import even_points, local_linear
 from kohort.plans.q_scalar import SURV_SMALL_SQL, surv_small
 from kohort.plans.q_summary import _pval_sql
 from kohort.plans.q_survival import Z, rounded
 from kohort.plans.registry import gauss_jordan_sql, register
+from kohort.session import materialize
 
 def _fit(spark, d, covs: tuple[str, ...]) -> C.CoxFit:
     return C.coxph(surv_small(spark, d), "time", "event", list(covs))
@@ -116,6 +118,40 @@ def q_cox_schoenfeld(spark, d):
     return rounded(C.schoenfeld_residuals(fit, surv_small(spark, d), "time", "event", ["exposed"], "subject_id"))
 
 
+SMOOTH_DAYS = 120.0
+
+
+def _smooth_sql(rows: str) -> str:
+    """Oracle CTEs ``sm (point, fit)`` after ``rows (x, y)``: the local lines by their definition."""
+    return f""",
+grid AS (SELECT lo + (hi - lo) * i / 20 AS point
+         FROM (SELECT CAST(MIN(x) AS DOUBLE) AS lo, CAST(MAX(x) AS DOUBLE) AS hi FROM {rows}), range(21) r(i)),
+near AS (SELECT point, y, (x - point) / {SMOOTH_DAYS} AS u, pow(1 - pow(abs((x - point) / {SMOOTH_DAYS}), 3), 3) AS w
+         FROM grid JOIN {rows} ON abs(x - point) < {SMOOTH_DAYS}),
+mid AS (SELECT point, SUM(w * u) / SUM(w) AS um, SUM(w * y) / SUM(w) AS ym FROM near GROUP BY point),
+sm AS (SELECT near.point, MAX(ym) - MAX(um) * SUM(w * (u - um) * (y - ym)) / SUM(w * (u - um) * (u - um)) AS fit
+       FROM near JOIN mid ON near.point = mid.point GROUP BY near.point)"""
+
+
+@register("cox_schoenfeld_smooth", fixtures=("fx_surv_dates",), sql=COX_BASE + """,
+sch AS (SELECT base.t AS x, base.x - cum.xbar AS y FROM base JOIN cum ON base.t = cum.t WHERE base.e > 0)"""
+          + _smooth_sql("sch") + """
+SELECT 'exposed_1' AS term, ROUND(point, 6) AS point, ROUND(fit, 6) AS fit FROM sm""")
+def q_cox_schoenfeld_smooth(spark, d):
+    fit = _fit(spark, d, ("exposed",))
+    res = materialize(C.schoenfeld_residuals(fit, surv_small(spark, d), "time", "event", ["exposed"], "subject_id"))
+    return rounded(local_linear(res, "time", "residual", even_points(res, "time"), SMOOTH_DAYS, ["term"]))
+
+
+@register("cox_martingale_smooth", fixtures=("fx_surv_dates",), sql=COX_BASE + """,
+mar AS (SELECT t AS x, residual AS y FROM res)""" + _smooth_sql("mar") + """
+SELECT ROUND(point, 6) AS point, ROUND(fit, 6) AS fit FROM sm""")
+def q_cox_martingale_smooth(spark, d):
+    fit = _fit(spark, d, ("exposed",))
+    res = materialize(C.martingale_residuals(fit, surv_small(spark, d), "time", "event", ["exposed"], "subject_id"))
+    return rounded(local_linear(res, "time", "residual", even_points(res, "time"), SMOOTH_DAYS))
+
+
 @register("cox_adjusted_curves", fixtures=("fx_surv_dates",), sql=COX_BASE + """
 SELECT lv.exposed, cum.t AS time, ROUND(exp(-cum.cumhaz * exp(est.b * lv.x)), 6) AS surv
 FROM cum, est, (VALUES ('No', 0.0), ('Si', 1.0)) lv(exposed, x) WHERE cum.haz > 0""")
