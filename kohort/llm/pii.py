@@ -167,26 +167,28 @@ def bootstrap(docs: DataFrame, seen: DataFrame) -> DataFrame | None:
     """(row identity, kind, s, e) of the identifiers that only contexts reveal; None if no pattern is good enough.
 
     ``seen`` has the occurrences (row identity, kind, s, e, value, pattern).
-    Each turn scores all patterns from the trusted instances, then all
+    Each turn scores the patterns that have enough trusted instances, then all
     instances from the accepted patterns; turns end when neither grow in number.
+    Only such patterns are counted in the corpus, each once.
     """
-    seeds = seen.filter("kind is not null")
-    # all that any turn can accept: a pattern's trusted instances are among the values behind it, of whatever kind
-    several = materialize(seen.groupBy("pattern").agg(F.count_distinct("value").alias("values"))
-                          .filter(F.col("values") >= MIN_SEEDS).select("pattern"))
-    if seeds.isEmpty() or several.isEmpty():
-        return None
-    totals = pattern_totals(docs, several)
-    graph = materialize(seen.join(totals, "pattern").groupBy("pattern", "total", "kind", "value").agg(F.count("*").alias("n")))
+    # by value as well, so that no hot pattern lies in one task
+    graph = materialize(seen.groupBy("pattern", "kind", "value").agg(F.count("*").alias("n")))
     seeds = graph.filter("kind is not null").select("kind", "value", F.lit(1.0).alias("trust")).distinct()
     open_ = graph.filter("kind is null").select("pattern", "value")
-    trusted, accepted, known = seeds, 0, 0
+    trusted, accepted, known, totals = seeds, 0, 0, None
     while True:
-        scored = (graph.select("pattern", "total", "value", "n").join(trusted, "value").groupBy("pattern", "kind")
-                  .agg((F.sum(F.col("n") * F.col("trust")) / F.max("total")).alias("score"),
-                       F.count_distinct("value").alias("seeds"))
-                  .filter((F.col("seeds") >= MIN_SEEDS) & (F.col("score") >= MIN_SCORE)))
-        scored = materialize(scored)
+        held = materialize(graph.select("pattern", "value", "n").join(trusted, "value").groupBy("pattern", "kind")
+                           .agg(F.sum(F.col("n") * F.col("trust")).alias("weight"), F.count_distinct("value").alias("seeds"))
+                           .filter(F.col("seeds") >= MIN_SEEDS))
+        new = held.select("pattern").distinct()
+        new = materialize(new if totals is None else new.join(totals, "pattern", "left_anti"))
+        if not new.isEmpty():
+            counted = pattern_totals(docs, new)
+            totals = materialize(counted if totals is None else totals.unionByName(counted))
+        if totals is None:
+            return None
+        scored = materialize(held.join(totals, "pattern").select("pattern", "kind", (F.col("weight") / F.col("total")).alias("score"))
+                             .filter(F.col("score") >= MIN_SCORE))
         # likely by any of its patterns: one less the product of what each leaves open
         left = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
         likely = (open_.join(scored, "pattern").groupBy("kind", "value").agg((1 - left).alias("trust"))
