@@ -1,44 +1,24 @@
 import random
-import struct
 
-import xxhash
+from pyspark.sql import functions as F
 
 from kohort.llm import line_dedup as d
 from tests.llm.data import clashing, docs
 
 
-def signed(x):
-    return x - (1 << 64) if x >> 63 else x
-
-
-def chunks(lines):
-    """(first, end) of each chunk by the definition."""
-    h = [signed(xxhash.xxh64(x.encode(), seed=42).intdigest()) for x in lines]
-    r = [None] + [signed(xxhash.xxh64(struct.pack("<q", h[i]),
-                                      seed=xxhash.xxh64(struct.pack("<q", h[i - 1]), seed=42).intdigest()).intdigest())
-                  for i in range(1, len(lines))]
-    out, first = [], 0
-    for i in range(len(lines)):
-        low = 0 < i < len(lines) - 1 and r[i] < r[i + 1] and (r[i - 1] is None or r[i] < r[i - 1])
-        if low or i == len(lines) - 1:
-            out.append((first, i + 1))
-            first = i + 1
-    return out
-
-
 def brute(rows):
+    """By the definition, without chunks: from each line that isn't blank to the next, all but the first of equal ones go."""
     seen, out = set(), {}
-    order = sorted({(i is None, i or 0, t) for i, t in rows if t is not None})
-    for null, i, t in order:
-        lines, kept = t.split("\n"), []
-        for a, b in chunks(lines):
-            part = lines[a:b]
-            big = len(part) > 1 and sum(bool(x.strip(" ")) for x in part) > 1
-            if not (big and "\n".join(part) in seen):
-                kept += part
-            if big:
-                seen.add("\n".join(part))
-        out[(None if null else i, t)] = ("\n".join(kept), len(lines), len(lines) - len(kept))
+    for null, i, t in sorted({(i is None, i or 0, t) for i, t in rows if t is not None}):
+        lines = t.split("\n")
+        units = [k for k, x in enumerate(lines) if x.strip(" ")]
+        gone = set()
+        for a, b in zip(units, units[1:]):
+            part = "\n".join(lines[a:b + 1])
+            if part in seen:
+                gone |= set(range(a, b + 1))
+            seen.add(part)
+        out[(None if null else i, t)] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines), len(gone))
     return sorted(((i, *(out[(i, t)] if t is not None else (None, 0, 0))) for i, t in rows), key=str)
 
 
@@ -70,12 +50,36 @@ def test_matches_brute_force(spark):
     assert got(spark, rows) == want
 
 
-def test_borders_resist_shifts():
+def test_short_passages_go_whole(spark):
+    for size in (2, 3, 5):
+        passage = [f"passage {size} line {k}" for k in range(size)]
+        rows = [(k, "\n".join([f"own {k} a", f"own {k} b"] + passage + [f"own {k} c", f"own {k} d"])) for k in range(20)]
+        assert [r[3] for r in sorted(got(spark, rows))] == [0] + [size] * 19
+
+
+def test_overlaps_blank_lines_and_first_occurrences(spark):
+    rows = [(1, "X\nA\nB"), (2, "Y\nA\nB"), (3, "Y\nA\nZ"), (4, "\np\n\n \nq\n"), (5, "p\n\n \nq"), (6, "p\n\nq"),
+            (7, "s\ns\ns\ns")]
+    assert got(spark, rows) == [(1, "X\nA\nB", 3, 0), (2, "Y", 3, 2), (3, "Z", 3, 2), (4, "\np\n\n \nq\n", 6, 0), (5, "", 4, 4),
+                                (6, "p\n\nq", 3, 0), (7, "s", 4, 3)] == brute(rows)
+    assert sorted(r.doc_id for r in d.without_repeats(docs(spark, rows)).collect()) == [1, 2, 3, 4, 6, 7]
+
+
+def test_borders_resist_shifts(spark):
     rng = random.Random(4)
     lines = [f"{rng.random()}" for _ in range(40)]
-    ends = {lines[b - 1] for _, b in chunks(lines)}
-    moved = {x[b - 1] for x in [["new"] * 3 + lines] for _, b in chunks(x)}
-    assert len(ends - moved) <= 1
+    rows = docs(spark, [(1, "\n".join(lines)), (2, "\n".join(["new"] * 3 + lines))])
+    found = rows.select("doc_id", F.explode(d._chunks(F.col("text"))).alias("c")).select("doc_id", "c.*").collect()
+    first, moved = ({r.stop - 3 * (i - 1) for r in found if r.doc_id == i} for i in (1, 2))
+    assert len(first) > 5 and len(first - moved) <= 1
+
+
+def test_whole_table_matches_brute_force(spark):
+    from kohort.llm.common import table
+    rows = [tuple(r) for r in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()]
+    want = brute(rows)
+    assert sum(r[3] > 0 for r in want) > 50
+    assert got(spark, rows) == want
 
 
 def test_empty_and_columns(spark):
