@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import sys
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kohort.session import checkpoint_dir
+
 
 def ship(module: str) -> None:
     """Send the task code of ``module`` with each job, so that executors need
@@ -62,3 +65,12 @@ def hash_share(key: Column, wanted: int, total: int) -> Column:
     step; behind this filter they are few in all, however many partitions there are."""
     part = 1 << 30
     return F.pmod(F.xxhash64(key, F.lit(5)), F.lit(part)) < min(part, 2 * wanted * part // max(1, total) + 1)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read again: like a checkpoint it cuts the lineage,
+    but columns are compressed, which matters for texts and arrays."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -31,8 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kohort.llm.common import ROW_ID, let, packed, row_id
-from kohort.session import materialize
+from kohort.llm.common import ROW_ID, let, packed, row_id, stored
 
 
 def _present(values: Column) -> Column:
@@ -69,19 +68,19 @@ def _chunks(text: Column) -> Column:
 
 def _candidates(docs: DataFrame) -> DataFrame:
     """(row identity, first, stop) of the chunks and pairs whose hash occurs more than once."""
-    chunks = materialize(docs.filter("text is not null").select(*row_id(), F.explode(_chunks(F.col("text"))).alias("c"))
+    chunks = stored(docs.filter("text is not null").select(*row_id(), F.explode(_chunks(F.col("text"))).alias("c"))
                          .select(*ROW_ID, "c.*").distinct())
     at = F.struct(*ROW_ID, "first")
     # tables of their own, so that adaptive execution can split a hot hash in the joins
-    often = materialize(chunks.filter("n > 1").groupBy("hash").agg(F.min(at).alias("kept"), F.count("*").alias("times"))
+    often = stored(chunks.filter("n > 1").groupBy("hash").agg(F.min(at).alias("kept"), F.count("*").alias("times"))
                         .filter("times > 1").select("hash", "kept"))
     again = F.col("kept").isNotNull() & (F.col("n") > 1)
-    known = materialize(chunks.join(often, "hash", "left").select(
+    known = stored(chunks.join(often, "hash", "left").select(
         *ROW_ID, "first", "stop", "n", "starts", "keys", again.alias("again"), (again & (at != F.col("kept"))).alias("later")))
     pairs = F.transform("keys", lambda key, k: F.when(~F.col("later") | (k == F.col("n") - 1), F.struct(
         F.get("starts", k).alias("first"), (F.get("starts", k + 1) + 1).alias("stop"), key.alias("hash"))))
     pairs = known.select(*ROW_ID, F.explode(_present(pairs)).alias("p")).select(*ROW_ID, "p.*")
-    twice = materialize(pairs.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash"))
+    twice = stored(pairs.groupBy("hash").agg(F.count("*").alias("times")).filter("times > 1").select("hash"))
     place = [*ROW_ID, "first", "stop"]
     return known.filter("again").select(*place).unionByName(pairs.join(twice, "hash").select(*place))
 
@@ -102,9 +101,9 @@ def repeated(docs: DataFrame) -> DataFrame:
             F.array_join(F.slice(lines, s["first"] + 1, s["stop"] - s["first"]), "\n").alias("chunk"),
             s["first"].alias("first"), s["stop"].alias("stop")))
     texts = held.select(*ROW_ID, F.explode(let(F.split("text", "\n"), of)).alias("c"))
-    texts = materialize(texts.select("c.chunk", F.struct(*ROW_ID, "c.first").alias("at"), "c.stop"))
+    texts = stored(texts.select("c.chunk", F.struct(*ROW_ID, "c.first").alias("at"), "c.stop"))
     # likewise a table of its own, for the join by the stretch's text
-    earliest = materialize(texts.groupBy("chunk").agg(F.min("at").alias("kept"), F.count("*").alias("times"))
+    earliest = stored(texts.groupBy("chunk").agg(F.min("at").alias("kept"), F.count("*").alias("times"))
                            .filter("times > 1").select("chunk", "kept"))
     return (texts.join(earliest, "chunk").filter("at <> kept")
             .groupBy(*[F.col(f"at.{c}").alias(c) for c in ROW_ID])
