@@ -23,7 +23,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    return chat_format.preferences(turns, chat_format.neighbour_pairs(turns))
+    return chat_format.paired(chat_format.rendered(chat_format.swapped_sides(turns)))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
