@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kohort.llm.common import stored
+
 ASSISTANT = "assistant"
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 
@@ -77,7 +79,7 @@ def swapped_sides(turns: DataFrame) -> DataFrame:
     own = last.select(F.col("conv_id").alias("chosen_id"), F.col("turn").alias("end"), F.col("text").alias("good"))
     other = last.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("chosen_id"), F.col("conv_id").alias("rejected_id"),
                         F.col("text").alias("bad"))
-    ends = own.join(other, "chosen_id")
+    ends = stored(own.join(other, "chosen_id"))  # read by the endings and by the turns before
     answer = F.array(F.struct(F.lit(True).alias("chosen"), F.col("good").alias("text")),
                      F.struct(F.lit(False).alias("chosen"), F.col("bad").alias("text")))
     ending = ends.select("chosen_id", "rejected_id", F.explode(answer).alias("a"), F.col("end").alias("turn"), F.lit(ASSISTANT).alias("role"))
@@ -119,6 +121,7 @@ def paired(segments: DataFrame, max_chars: int = 1 << 20) -> DataFrame:
     texts.  Losses are ``start:end`` within the row's completion, comma-joined.
     """
     whole = ["pair_id", "chosen_id", "rejected_id"]
+    segments = stored(segments)
     sizes = segments.groupBy(*whole).agg(F.sum(F.length("rendered")).alias("size"))
     sized = segments.join(sizes.select("pair_id", (F.col("size") <= max_chars).alias("fits")), "pair_id")
     row = F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "rendered", "loss_start", "loss_end")
