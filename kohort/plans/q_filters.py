@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from kohort.functions import dates as D
@@ -14,6 +17,8 @@ from kohort.operators.lookup import literal_table
 from kohort.plans import fixtures as fx
 from kohort.plans.q_aggregate import SESS_HI, SESS_LO
 from kohort.plans.registry import register
+from kohort.session import checkpoint_dir
+from kohort.sources import layout
 from kohort.sources.io import table
 
 # Subjects excluded outright, and the conditional exclusion.
@@ -136,3 +141,20 @@ def q_join_preagg(spark, d):
           .agg(F.sum("l_quantity").alias("qty"), F.count(F.lit(1)).alias("n_lines")))
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     return o.join(li, o.o_orderkey == li.l_orderkey, "inner").select("o_orderkey", "o_custkey", "qty", "n_lines")
+
+
+@register("join_layout", sql="""
+WITH o AS (SELECT CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey END AS subject_id, o_orderkey, o_totalprice FROM orders),
+s AS (SELECT subject_id, CAST(COUNT(*) AS BIGINT) AS n_records, MAX(o_totalprice) AS top FROM o GROUP BY subject_id)
+SELECT o.subject_id, o.o_orderkey, s.n_records, s.top, c.c_mktsegment AS segment
+FROM o JOIN s ON o.subject_id IS NOT DISTINCT FROM s.subject_id LEFT JOIN customer c ON o.subject_id = c.c_custkey""")
+def q_join_layout(spark, d):
+    at = os.path.join(checkpoint_dir(spark), f"layout-{uuid.uuid4().hex}")
+    orders = table(spark, d, "orders").select(
+        F.when(F.col("o_custkey") % 10 != 0, F.col("o_custkey")).alias("subject_id"), "o_orderkey", "o_totalprice")
+    people = table(spark, d, "customer").select(F.col("c_custkey").alias("subject_id"), F.col("c_mktsegment").alias("segment"))
+    orders = layout.write_laid_out(orders, f"{at}/orders", ["subject_id"])
+    people = layout.write_laid_out(people, f"{at}/people", ["subject_id"])
+    summ = layout.summary_laid_out(orders, ["subject_id"], F.count(F.lit(1)).alias("n_records"), F.max("o_totalprice").alias("top"))
+    j = layout.join_laid_out(layout.join_laid_out(orders, summ, ["subject_id"], "inner"), people, ["subject_id"])
+    return j.select("subject_id", "o_orderkey", "n_records", "top", "segment")
