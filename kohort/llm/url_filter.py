@@ -23,6 +23,7 @@ from kohort.session import materialize
 
 ALLOW, BLOCK = "allow", "block"
 LINK = r"(?is)<link\b[^>]*>"
+BASE = r"(?is)<base\b[^>]*>"
 META = r"(?is)<meta\b[^>]*>"
 VALUE = r"""\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
 
@@ -42,10 +43,26 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """What links tell URLs apart by: host, path and query; null without a host."""
-    query = F.regexp_extract(after_scheme(url), r"^[^?#]*(\?[^#]*)?", 1)
+    """What links tell URLs apart by: host, path without dot segments, and query; null without a host."""
     host = host_of(url)
-    return F.when(host != "", F.concat(host, F.when(path_of(url) == "", "/").otherwise(path_of(url)), query))
+    return F.when(host != "", F.concat(host, without_dots(path_of(url)), query_of(url)))
+
+
+def query_of(url: Column) -> Column:
+    """The query with its question mark; empty without one."""
+    return F.coalesce(F.regexp_extract(after_scheme(url), r"^[^?#]*(\?[^#]*)?", 1), F.lit(""))
+
+
+def without_dots(path: Column) -> Column:
+    """A path with its segments ``.`` and ``..`` worked out; ``/`` for an empty one."""
+    last = F.regexp_extract(path, r"([^/]*)$", 1)
+    # a dot segment at the end names a folder
+    whole = F.when(last.isin(".", ".."), F.concat(path, F.lit("/"))).otherwise(path)
+    steps = F.slice(F.split(whole, "/"), F.lit(2), F.greatest(F.lit(0), F.size(F.split(whole, "/")) - 1))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(
+        x == "..", F.slice(done, F.lit(1), F.greatest(F.lit(0), F.size(done) - 1))).otherwise(F.concat(done, F.array(x))))
+    return (F.when(path == "", "/").when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/")))
+            .otherwise(path))
 
 
 def attribute(tag: Column, name: str) -> Column:
@@ -53,21 +70,31 @@ def attribute(tag: Column, name: str) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(tag, rx, k), F.lit("")) for k in (1, 2, 3)])
 
 
-def resolved(target: Column, url: Column) -> Column:
-    """An absolute URL from a link's target and its page's URL; null if there is none."""
+def resolved(target: Column, base: Column) -> Column:
+    """An absolute URL from a link's target and the URL it is relative to; null if there is none.
+
+    A target may be absolute, begin with ``//``, ``/`` or ``?``, or be a path from
+    the base's folder; ``.`` and ``..`` are worked out.  Empty targets, fragments
+    alone and other schemes (``mailto:``) give null.
+    """
     target = F.replace(F.trim(target), F.lit("&amp;"), F.lit("&"))
-    scheme = F.regexp_extract(url, r"^([^:/?#]*):\/\/", 1)
-    root = F.concat(scheme, F.lit("://"), F.regexp_extract(after_scheme(url), r"^[^/?#]*", 0))
-    folder = F.regexp_extract(path_of(url), r"^(.*/)?", 0)
-    return (F.when(target == "", None).when(F.instr(target, "://") > 0, target)
+    scheme = F.regexp_extract(base, r"^([^:/?#]*):\/\/", 1)
+    root = F.concat(scheme, F.lit("://"), F.regexp_extract(after_scheme(base), r"^[^/?#]*", 0))
+    folder = F.regexp_extract(path_of(base), r"^(.*/)?", 0)
+    full = (F.when(target == "", None).when(target.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), target)
             .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
             .when(target.startswith("/"), F.concat(root, target))
-            .when(target.rlike("^[#?]|^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+            .when(target.startswith("?"), F.concat(root, path_of(base), target))
+            .when(target.rlike("^#|^[A-Za-z][A-Za-z0-9+.-]*:"), None)
             .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), target)))
+    return let(full, lambda u: F.concat(F.regexp_extract(u, r"^(.*?://[^/?#]*)", 1), without_dots(path_of(u)), query_of(u)))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(url, target) of the pages' canonical links and immediate or timed refreshes; absolute URLs."""
+    """(url, target) of the pages' canonical links and immediate or timed refreshes; absolute URLs.
+
+    They are relative to the page's first ``<base href>``, itself relative to its url, or else to its url.
+    """
     may = F.col("html").rlike("(?i)canonical|http-equiv")
     tags = F.concat(
         F.transform(F.filter(F.regexp_extract_all("html", F.lit(LINK), F.lit(0)),
@@ -76,7 +103,9 @@ def page_links(pages: DataFrame) -> DataFrame:
         F.transform(F.filter(F.regexp_extract_all("html", F.lit(META), F.lit(0)),
                              lambda t: F.lower(attribute(t, "http-equiv")) == "refresh"),
                     lambda t: F.regexp_extract(attribute(t, "content"), r"(?is)url\s*=\s*['\"]?([^'\"]*)", 1)))
-    targets = F.filter(F.transform(tags, lambda t: resolved(t, F.col("url"))), lambda t: t.isNotNull())
+    named = F.get(F.regexp_extract_all("html", F.lit(BASE), F.lit(0)), 0)
+    base = F.coalesce(resolved(attribute(named, "href"), F.col("url")), F.col("url"))
+    targets = F.filter(let(base, lambda b: F.transform(tags, lambda t: resolved(t, b))), lambda t: t.isNotNull())
     return pages.filter(F.col("url").isNotNull() & may).select("url", F.explode(targets).alias("target"))
 
 
