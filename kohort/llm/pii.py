@@ -169,17 +169,27 @@ def bootstrap(docs: DataFrame, seen: DataFrame) -> DataFrame | None:
     ``seen`` has the occurrences (row identity, kind, s, e, value, pattern).
     Each turn scores the patterns that have enough trusted instances, then all
     instances from the accepted patterns; turns end when neither grow in number.
-    Only such patterns are counted in the corpus, each once.
+    Only such patterns are counted in the corpus, each once, and of them only
+    those that the instances alone leave a chance: the places before instances
+    are some of a pattern's occurrences, so that a weight too small for them is
+    too small for all.  That spares the count of common word pairs, which meet
+    enough instances by chance once the corpus is large.
     """
     # by value as well, so that no hot pattern lies in one task
     graph = materialize(seen.groupBy("pattern", "kind", "value").agg(F.count("*").alias("n")))
+    # spans of two kinds may start at one place; those of one kind, and those without a kind, never share theirs
+    by_kind = graph.groupBy("pattern", "kind").agg(F.sum("n").alias("n"))
+    places = materialize(by_kind.groupBy("pattern").agg((
+        F.coalesce(F.max(F.when(F.col("kind").isNull(), F.col("n"))), F.lit(0))
+        + F.coalesce(F.max(F.when(F.col("kind").isNotNull(), F.col("n"))), F.lit(0))).alias("places")))
     seeds = graph.filter("kind is not null").select("kind", "value", F.lit(1.0).alias("trust")).distinct()
     open_ = graph.filter("kind is null").select("pattern", "value")
     trusted, accepted, known, totals = seeds, 0, 0, None
     while True:
         held = materialize(graph.select("pattern", "value", "n").join(trusted, "value").groupBy("pattern", "kind")
                            .agg(F.sum(F.col("n") * F.col("trust")).alias("weight"), F.count_distinct("value").alias("seeds"))
-                           .filter(F.col("seeds") >= MIN_SEEDS))
+                           .filter(F.col("seeds") >= MIN_SEEDS)
+                           .join(places, "pattern").filter(F.col("weight") / F.col("places") >= MIN_SCORE).drop("places"))
         new = held.select("pattern").distinct()
         new = materialize(new if totals is None else new.join(totals, "pattern", "left_anti"))
         if not new.isEmpty():

@@ -87,6 +87,29 @@ def test_trusted_instances_raise_further_patterns(spark):
     assert out[200] == "phone:14:25" and out[300] == "phone:14:25"
 
 
+def test_common_pairs_are_not_counted_for_a_few_instances(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(k, f"please call me at +1 555 {k:03d} {rng.randrange(1000, 9999)} or the shop") for k in range(30)]
+    rows += [(100 + k, f"one of the k{k}@x.org") for k in range(6)]
+    rows += [(200 + k, f"some of the {1000 + 17 * k} and of the many of the few") for k in range(20)]
+    rows += [(300, "Please call me  at 0555-123987, or not")]
+    counted, count = [], pii.pattern_totals
+
+    def spied(docs, patterns):
+        counted.extend(r.pattern for r in patterns.collect())
+        return count(docs, patterns)
+    monkeypatch.setattr(pii, "pattern_totals", spied)
+    out = {r[0]: r[-1] for r in got(spark, rows)}
+    assert counted == ["me at"]  # "of the" stands before 6 addresses and 20 other numbers
+    assert out[300] == "phone:19:30" and out[200] == "" and out[100] == "email:11:19"
+
+
+def test_kinds_that_start_at_one_place_count_it_once(spark):
+    rows = [(k, f"log in as 10.0.0.{k}@x.org now") for k in range(6)] + [(100, "log in as root@host now")]
+    out = {r[0]: r[-1] for r in got(spark, rows)}
+    assert out[0] == "email:10:24,ip:10:18" and out[100] == "email:10:19"
+
+
 def test_empty(spark):
     assert got(spark, []) == []
 
