@@ -114,8 +114,9 @@ def rank_sum_test(df: DataFrame, cols: list[str], by: str, n_buckets: int = 1024
     vg = materialize(long.groupBy("variable", "value", F.col(by).cast("string").alias("__g"))
                      .agg(F.count(F.lit(1)).alias("c")))
     first = vg.groupBy("variable").agg(F.min("__g").alias("__g1"), F.count_distinct("__g").alias("__ng"))
-    # the test is defined for exactly two groups; other variables get NULLs
-    counts = vg.join(first.filter(F.col("__ng") == 2), "variable").groupBy("variable", "value").agg(
+    # the test is defined for exactly two groups; other variables get NULLs.  A row a variable is broadcast: a
+    # shuffle by variable would put all of its values into one task
+    counts = vg.join(F.broadcast(first.filter(F.col("__ng") == 2)), "variable").groupBy("variable", "value").agg(
         F.sum("c").alias("t"), F.sum(F.when(F.col("__g") == F.col("__g1"), F.col("c")).otherwise(0)).alias("t1"))
     counts = scaled_buckets(counts, ["variable"], "value", n_buckets)
     counts = running_aggs(counts, ["variable"], "value", sums={"cum": "t"}, bucket_col="__qb")

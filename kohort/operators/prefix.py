@@ -30,6 +30,7 @@ from kohort.operators.joins import join_null_safe
 _BUCKET = "__bucket"
 ONE = {"one_bucket": True}   # metadata of a bucket column that has one value only
 ROWS_PER_BUCKET = 4          # fewer rows than this a bucket are not worth splitting
+MAX_BORDERS = 1_000_000      # numbers that a table of borders may hold to be broadcast: 8 MB
 
 
 def _bucket_expr(order_col: str, bucket_width: float):
@@ -139,19 +140,25 @@ def scaled_buckets(df: DataFrame, partition_cols: list[str], order_col: str,
     before the shuffle), so a bucket holds about 1 / ``n_buckets`` of the
     partition's rows whatever the scale and however far its outliers lie.
     A partition's borders are one array of at most ``n_buckets`` - 1
-    numbers; without partition columns it is read once and put in the plan.
+    numbers; the arrays are broadcast, as a shuffle by the partition columns
+    would put each partition's rows into one task.  Without partition columns,
+    or with more of them than ``MAX_BORDERS`` allows, the borders are those of
+    all rows, read once and put in the plan; no bucket of a partition then
+    holds more than about 1 / ``n_buckets`` of all rows.
 
     The rows are counted first: where no partition has more than
     ``ROWS_PER_BUCKET * n_buckets`` of them, all are one bucket, which
     :func:`running_aggs` sums in one window."""
     part = list(partition_cols)
-    if n_buckets <= 1 or (df.groupBy(*part).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) <= ROWS_PER_BUCKET * n_buckets:
+    if n_buckets > 1:
+        sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("parts")).first()
+    if n_buckets <= 1 or (sizes["most"] or 0) <= ROWS_PER_BUCKET * n_buckets:
         return df.withColumn(name, F.lit(0).cast("bigint")).withMetadata(name, ONE)
     value = F.col(order_col).cast("double")
     probs = [k / n_buckets for k in range(1, n_buckets)] or [0.5]
     found = F.array_distinct(F.percentile_approx(value, probs, max(10_000, 10 * n_buckets)))
-    if not part:
+    if not part or sizes["parts"] * n_buckets > MAX_BORDERS:
         cuts = df.agg(found.alias("cuts")).first()["cuts"] or []
         return df.withColumn(name, F.coalesce(range_bucket(value, F.lit(cuts).cast("array<double>"), len(probs)), F.lit(0)))
-    j = join_null_safe(df, df.groupBy(*part).agg(found.alias("__cuts")), part, "inner")
+    j = join_null_safe(df, F.broadcast(df.groupBy(*part).agg(found.alias("__cuts"))), part, "inner")
     return j.withColumn(name, F.coalesce(range_bucket(value, F.col("__cuts"), len(probs)), F.lit(0))).drop("__cuts")

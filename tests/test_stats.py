@@ -169,3 +169,15 @@ def test_fisher_support_dealt_out_in_runs(spark, monkeypatch):
     whole = A.fisher_2x2(df, ["v"], "g").collect()[0]
     monkeypatch.setattr(A, "STEPS_PER_ROW", 3)
     assert A.fisher_2x2(df, ["v"], "g").collect()[0]["p_value"] == pytest.approx(whole["p_value"], abs=1e-12)
+
+
+def test_rank_sum_broadcasts_what_it_knows_of_a_variable(spark):
+    from kohort.operators import assoc as A
+    df = spark.range(20_000).selectExpr("IF(id % 3 = 0, 'p', 'q') AS g", "CAST(id * 7 % 20011 AS DOUBLE) AS v")
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = A.rank_sum_test(df, ["v"], "g", n_buckets=64)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+    assert plan.count("strategy=broadcast") >= 2  # groups and borders of a variable, not its values by variable

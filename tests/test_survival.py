@@ -146,3 +146,17 @@ def test_range_buckets_stay_even_beside_an_outlier(spark):
         for k in {tuple(r[c] for c in part) for r in order}:
             mine = sorted((r["b"], r["lo"], r["hi"]) for r in order if tuple(r[c] for c in part) == k)
             assert all(a[2] < b[1] for a, b in zip(mine, mine[1:]))
+
+
+def test_range_buckets_need_no_shuffle_by_partition(spark, monkeypatch):
+    from kohort.operators import prefix
+    df = spark.range(20_000).selectExpr("IF(id % 10 < 9, 0, id % 10 * 1000 + id) AS k", "CAST(id AS DOUBLE) AS t")
+    few = df.selectExpr("k > 0 AS k", "t")
+    plan = prefix.scaled_buckets(few, ["k"], "t", 64)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(prefix, "MAX_BORDERS", 1000)  # more partitions than may be broadcast, and one hot
+    b = prefix.scaled_buckets(df, ["k"], "t", 64, name="b")
+    assert "Join" not in b._jdf.queryExecution().executedPlan().toString()
+    assert b.groupBy("k", "b").count().agg(F.max("count")).first()[0] <= 2 * 20_000 / 64
+    got = prefix.running_aggs(b.withColumn("one", F.lit(1)), ["k"], "t", sums={"n": "one"}, bucket_col="b")
+    assert got.filter("k = 0").agg(F.count_distinct("n"), F.max("n")).first()[:] == (18_000, 18_000)
