@@ -10,8 +10,9 @@ not matter, and same product.  Before that, a path whose longest continuation
 keeps it below the observed table is settled with the closed sum of all its
 continuations, and one whose shortest continuation is above is dropped.  All
 variables go through the stages together; nodes are rows of a table, which Spark
-deals out over tasks, and the ways of a batch of nodes are walked through in numpy,
-in parts of bounded size.
+deals out over tasks; a node with more ways than a task should take goes out in
+pieces, each with its own range of the cells.  The ways of a batch of nodes are
+walked through in numpy, in parts of bounded size.
 
 **Rank sums.**  Without ties, the number of ways in which samples of m and n have
 the statistic w follows f(m, n, w) = f(m - 1, n, w - n) + f(m, n - 1, w).  The
@@ -33,6 +34,7 @@ MAX_SIDE = 12        # levels of a table's smaller side: the length of a node's
 MAX_STAGES = 400     # levels of its other side: one stage each
 MAX_ARCS = 50_000_000  # paths that one stage of one variable spreads to
 ARCS_PER_PART, MAX_PARTS = 200_000, 2000  # a stage's work is dealt out over tasks of about so many paths
+SPREAD = "aggregate(slice(v, 2, size(v)), 1D, (kq_a, kq_x) -> kq_a * (1D + least(kq_x, c)))"  # ways of a node, at most
 EXACT_BELOW = 50     # rank sums: the exact law holds for samples smaller than this
 
 
@@ -87,15 +89,14 @@ def fisher_rxc(cells: DataFrame, max_arcs: int = MAX_ARCS) -> DataFrame:
     settled = []
     for k in range(max([len(_sides(t.r, t.c)[1]) for t in tables], default=0)):
         state = state.join(F.broadcast(steps.filter(F.col("k") == k)), "variable")  # a row a variable
-        spread = "aggregate(slice(v, 2, size(v)), 1D, (kq_a, kq_x) -> kq_a * (1D + least(kq_x, c)))"
-        arcs = {r.variable: r.arcs for r in state.groupBy("variable").agg(F.sum(F.expr(spread)).alias("arcs")).collect()}
+        arcs = {r.variable: r.arcs for r in state.groupBy("variable").agg(F.sum(F.expr(SPREAD)).alias("arcs")).collect()}
         if not arcs:
             break
         over = [v for v, a in arcs.items() if a > max_arcs]
         if over:
             settled.append(spark.createDataFrame([(v, None) for v in over], "variable string, p double"))
             state = state.filter(~F.col("variable").isin(over))
-        done = materialize(_stage(state, width, min(MAX_PARTS, int(sum(arcs.values()) // ARCS_PER_PART) + 1)))
+        done = materialize(_stage(_pieces(state, width), width, min(MAX_PARTS, int(sum(arcs.values()) // ARCS_PER_PART) + 1)))
         settled.append(done.filter("settled").select("variable", F.col("total").alias("p")))
         state = done.filter("not settled").select("variable", "v", "past", F.col("total").alias("paths"))
     found = settled[0] if settled else spark.createDataFrame([], "variable string, p double")
@@ -107,6 +108,28 @@ def fisher_rxc(cells: DataFrame, max_arcs: int = MAX_ARCS) -> DataFrame:
         F.least("nr", "nc") == 1, F.lit(1.0)).otherwise(F.col("p")).alias("p_value"))
 
 
+def _pieces(state: DataFrame, width: int) -> DataFrame:
+    """``state`` with ``lo`` and ``hi``, bounds of each cell of the column to fill: a node of more than
+    ``ARCS_PER_PART`` ways is cut into pieces of fewer, by ranges of the first cell, where need be by its single
+    values and ranges of the next, and so on.  Together the pieces have the node's ways, each once."""
+    bounds = [f"array_repeat(0L, {width}) AS lo", f"array_repeat(c, {width}) AS hi"]
+    whole = state.filter(f"{SPREAD} <= {ARCS_PER_PART}").selectExpr("*", *bounds)
+    out = state.filter(f"{SPREAD} > {ARCS_PER_PART}").selectExpr("*", *bounds, "c AS kq_left", "false AS kq_done")
+    for i in range(width - 1):
+        # ways to fill the cells behind this one; of those the largest, which is the first, is forced
+        behind = f"aggregate(slice(v, {i + 3}, {width}), 1D, (kq_a, kq_x) -> kq_a * (1D + least(kq_x, kq_left)))"
+        out = out.selectExpr("*", f"{behind} AS kq_behind", f"least(v[{i}], kq_left) AS kq_to",
+                             f"greatest(0L, kq_left - aggregate(slice(v, {i + 2}, {width}), 0L, (kq_a, kq_x) -> kq_a + kq_x)) AS kq_from")
+        out = out.selectExpr("*", f"CAST(greatest(1D, floor(least(kq_to + 1D, {ARCS_PER_PART} / kq_behind))) AS BIGINT) AS kq_step")
+        out = out.selectExpr("*", "explode(IF(kq_done, array(0L), sequence(least(kq_from, kq_to), kq_to, kq_step))) AS kq_at")
+        out = out.withColumns({
+            "lo": F.expr(f"IF(kq_done, lo, transform(lo, (kq_x, kq_i) -> IF(kq_i = {i}, kq_at, kq_x)))"),
+            "hi": F.expr(f"IF(kq_done, hi, transform(hi, (kq_x, kq_i) -> IF(kq_i = {i}, least(kq_at + kq_step - 1, kq_to), kq_x)))"),
+            "kq_left": F.expr("IF(kq_done, kq_left, kq_left - kq_at)"),
+            "kq_done": F.expr(f"kq_done OR kq_behind <= {ARCS_PER_PART}")}).drop("kq_behind", "kq_to", "kq_from", "kq_step", "kq_at")
+    return whole.unionByName(out.drop("kq_left", "kq_done"))
+
+
 def _spreader(width: int):
     """Task code of a stage, as a closure that travels by value: nodes in, the nodes that they lead to out."""
     import numpy as np
@@ -123,8 +146,9 @@ def _spreader(width: int):
     def log_factorial(x):
         return np.where(x < 4097, small[np.minimum(x, 4096)], 0.0) if x.size == 0 or x.max() < 4097 else lgamma(x + 1.0)
 
-    def ways(v, c):
-        """(rows, x): every way x to put c[k] into the cells below the margins v[k], in parts of bounded size."""
+    def ways(v, c, least, most):
+        """(rows, x): every way x to put c[k] into the cells below the margins v[k], all but the last from least[k] to
+        most[k], in parts of bounded size."""
         tail = np.cumsum(v[:, ::-1], axis=1)[:, ::-1]
         todo = [(np.arange(len(v)), np.zeros((len(v), 0), np.int64), c)]
         while todo:
@@ -133,8 +157,8 @@ def _spreader(width: int):
             if i == width - 1:
                 yield rows, np.concatenate([x, left[:, None]], axis=1)
                 continue
-            lo = np.maximum(0, left - tail[rows, i + 1])
-            hi = np.minimum(v[rows, i], left)
+            lo = np.maximum(least[rows, i], left - tail[rows, i + 1])
+            hi = np.minimum(np.minimum(v[rows, i], left), most[rows, i])
             while (hi - lo).max(initial=0) >= part:  # a long range is cut in two
                 middle = (lo + hi) // 2
                 rows, x, left = np.tile(rows, 2), np.tile(x, (2, 1)), np.tile(left, 2)
@@ -155,11 +179,11 @@ def _spreader(width: int):
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            v = batch.column("v").flatten().to_numpy().reshape(-1, width)
+            v, least, most = (batch.column(k).flatten().to_numpy().reshape(-1, width) for k in ("v", "lo", "hi"))
             past, paths, c, m, high, low, bar, whole = (batch.column(k).to_numpy() for k in
                                                         ("past", "paths", "c", "m", "high", "low", "bar", "whole"))
             names = batch.column("variable")
-            for rows, x in ways(v, c):
+            for rows, x in ways(v, c, least, most):
                 was = past[rows] - log_factorial(x).sum(axis=1)
                 rest = -np.sort(x - v[rows], axis=1)  # what is left, the largest first
                 each, left = -log_factorial(rest).sum(axis=1), m[rows]
@@ -195,7 +219,7 @@ def _spreader(width: int):
 def _stage(state: DataFrame, width: int, parts: int) -> DataFrame:
     """(variable, settled, v, past, total): the nodes that a column's ways lead to, with the paths that meet in each;
     where ``settled``, the probability that the stage decided."""
-    rows = state.repartition(parts, "variable", "v", "past") if parts > 1 else state
+    rows = state.repartition(parts, "variable", "v", "past", "lo") if parts > 1 else state
     out = rows.mapInArrow(_spreader(width), "variable string, settled boolean, v array<bigint>, past double, total double")
     return out.groupBy("variable", "settled", "v", F.round("past", 10).alias("past")).agg(F.sum("total").alias("total"))
 

@@ -73,6 +73,24 @@ def test_one_row_empty_and_large_tables(spark):
     assert fisher_rxc(cells(spark, [[[1]]]).filter("o > 1")).count() == 0
 
 
+def test_a_node_with_many_ways_goes_out_in_pieces(spark, monkeypatch):
+    from kohort.operators import exact
+    tables = [[[3, 0, 1], [1, 4, 0], [0, 1, 5]], [[1, 2, 3, 4], [4, 3, 2, 1], [2, 2, 0, 5]], [[9, 1], [2, 8]], [[5, 0, 0], [0, 5, 0], [0, 0, 5]],
+              [[2, 0, 1, 1], [0, 3, 1, 0], [1, 1, 2, 1], [0, 1, 0, 3]]]
+    monkeypatch.setattr(exact, "ARCS_PER_PART", 4)
+    got = {x.variable: x.p_value for x in fisher_rxc(cells(spark, tables)).collect()}
+    for k, t in enumerate(tables):
+        assert got[f"v{k}"] == pytest.approx(enumerated(t), rel=1e-9), t
+    node = spark.createDataFrame([("x", [9, 7, 4, 3, 0], 8)], "variable string, v array<bigint>, c bigint")
+    want = sorted(x for x in itertools.product(range(9), range(8), range(5), range(4), [0]) if sum(x) == 8)
+    found = []
+    for p in exact._pieces(node, 5).collect():
+        mine = [x for x in want if all(a <= y <= b for a, y, b in list(zip(p.lo, x, p.hi))[:-1])]
+        assert len(mine) <= 4
+        found += mine
+    assert sorted(found) == want
+
+
 def exact_rank_sum(a, b):
     """Two-sided p by all ways to choose the first sample's ranks."""
     pool = sorted(a + b)
