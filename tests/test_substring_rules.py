@@ -30,6 +30,30 @@ def test_many_rules_against_a_loop(spark):
     assert run(spark, texts, rules) == [want(t) for t in texts]
 
 
+def test_patterns_with_white_space(spark):
+    texts = ["a b", "a  b", "ab", " ", "", "x a\tb", "the end of it", "end", "of", "the  end", "foo bar baz", "xfoo barx", None, "foo", "\u00a0", "a\nb"]
+    rules = [(5, "a b", "ab"), (4, "\t", "tab"), (3, "  ", "two"), (2, "end of", "eo"), (1, "foo bar", "fb"), (9, " ", "blank"),
+             (6, "oo", "oo"), (0, "o barx", "late"), (7, "\u00a0", "hard"), (8, "a\nb", "line"), (6, "oo", None)]
+
+    def want(text):
+        hits = [r for r in rules if text is not None and r[1] in text]
+        return min(hits, key=lambda r: (r[0], r[1], r[2] or ""))[2] or "other" if hits else "other"
+    assert run(spark, texts, rules) == [want(t) for t in texts]
+
+
+def test_words_are_matched_once_for_all_texts(spark, monkeypatch):
+    texts = [f"alpha beta gamma-{k % 3}" for k in range(300)] + ["delta"]
+    seen, containing = [], LK._containing
+
+    def spied(words, pieces):
+        seen.extend(r.word for r in words.collect())
+        return containing(words, pieces)
+    monkeypatch.setattr(LK, "_containing", spied)
+    monkeypatch.setattr(LK, "LITERAL_BROADCAST_MAX_ROWS", 0)  # nothing is small enough
+    assert run(spark, texts, [(2, "mma", "g"), (1, "elt", "d")]) == ["g"] * 300 + ["d"]
+    assert sorted(seen) == ["", "alpha", "beta", "delta", "gamma-0", "gamma-1", "gamma-2"]
+
+
 def test_rules_meet_texts_by_equality(spark):
     df = spark.createDataFrame([(1, "abc")], "id long, t string")
     rules = spark.createDataFrame([(1, "abc", "x")], "rule_order long, pattern string, label string")
