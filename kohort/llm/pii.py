@@ -42,6 +42,8 @@ MIN_SCORE = 0.6
 MIN_TRUST = 0.8
 MIN_DIGITS = 4
 CELLS = 2**20  # hash cells of patterns, a number each: some 16 MB
+FIRST = 1024  # rows of the first part of the corpus in which patterns are counted
+STEP = 16  # a further part has so many times the rows
 
 
 def _marked(kind: str) -> Column:
@@ -163,35 +165,60 @@ def pattern_totals(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     return seen.groupBy("pattern").agg(F.count("*").alias("total")).join(patterns, "pattern")
 
 
+def growing_parts(docs: DataFrame) -> list[DataFrame]:
+    """Parts of ``docs`` by a hash of the row, each within the next: some FIRST rows, then STEP times as many and so
+    on, up to a quarter of all.  Few rows have none."""
+    of, parts = docs.count() // FIRST, []
+    while of > 3:
+        parts.append(docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(of)) == 0))
+        of //= STEP
+    return parts
+
+
 def bootstrap(docs: DataFrame, seen: DataFrame) -> DataFrame | None:
     """(row identity, kind, s, e) of the identifiers that only contexts reveal; None if no pattern is good enough.
 
-    ``seen`` has the occurrences (row identity, kind, s, e, value, pattern).
+    ``docs`` are the rows (doc_id, text), ``seen`` has the occurrences (row identity, kind, s, e, value, pattern).
     Each turn scores the patterns that have enough trusted instances, then all
     instances from the accepted patterns; turns end when neither grow in number.
-    Only such patterns are counted in the corpus, each once, and of them only
-    those that the instances alone leave a chance: the places before instances
-    are some of a pattern's occurrences, so that a weight too small for them is
-    too small for all.  That spares the count of common word pairs, which meet
-    enough instances by chance once the corpus is large.
+    Only such patterns are counted in the corpus, and of them only those that
+    still have a chance: whatever is known to be some of a pattern's
+    occurrences, a weight too small for them is too small for all.  Known are
+    at first the places before instances, then the occurrences in growing
+    parts of the corpus; what no part rules out is counted in all of it, once.
+    Common word pairs meet enough instances by chance once the corpus is
+    large, and more of them the larger it is; they are ruled out by the first
+    part that holds more of them than their weight allows, so that the
+    occurrences counted keep to the number of instances, not to that of such
+    pairs.  No score is taken from a part.
     """
     # by value as well, so that no hot pattern lies in one task
     graph = materialize(seen.groupBy("pattern", "kind", "value").agg(F.count("*").alias("n")))
     # spans of two kinds may start at one place; those of one kind, and those without a kind, never share theirs
     by_kind = graph.groupBy("pattern", "kind").agg(F.sum("n").alias("n"))
-    places = materialize(by_kind.groupBy("pattern").agg((
+    least = materialize(by_kind.groupBy("pattern").agg((
         F.coalesce(F.max(F.when(F.col("kind").isNull(), F.col("n"))), F.lit(0))
-        + F.coalesce(F.max(F.when(F.col("kind").isNotNull(), F.col("n"))), F.lit(0))).alias("places")))
+        + F.coalesce(F.max(F.when(F.col("kind").isNotNull(), F.col("n"))), F.lit(0))).alias("least")))
     seeds = graph.filter("kind is not null").select("kind", "value", F.lit(1.0).alias("trust")).distinct()
     open_ = graph.filter("kind is null").select("pattern", "value")
-    trusted, accepted, known, totals = seeds, 0, 0, None
+    trusted, accepted, known, totals, parts = seeds, 0, 0, None, None
+
+    def uncounted():
+        possible = held.join(least, "pattern").filter(F.col("weight") / F.col("least") >= MIN_SCORE).select("pattern").distinct()
+        return materialize(possible if totals is None else possible.join(totals, "pattern", "left_anti"))
     while True:
         held = materialize(graph.select("pattern", "value", "n").join(trusted, "value").groupBy("pattern", "kind")
                            .agg(F.sum(F.col("n") * F.col("trust")).alias("weight"), F.count_distinct("value").alias("seeds"))
-                           .filter(F.col("seeds") >= MIN_SEEDS)
-                           .join(places, "pattern").filter(F.col("weight") / F.col("places") >= MIN_SCORE).drop("places"))
-        new = held.select("pattern").distinct()
-        new = materialize(new if totals is None else new.join(totals, "pattern", "left_anti"))
+                           .filter(F.col("seeds") >= MIN_SEEDS))
+        new = uncounted()
+        if parts is None and not new.isEmpty():
+            parts = growing_parts(docs)
+        for part in parts or []:
+            if new.isEmpty():
+                break
+            least = materialize(least.join(pattern_totals(part, new), "pattern", "left")
+                                .select("pattern", F.greatest("least", "total").alias("least")))
+            new = uncounted()
         if not new.isEmpty():
             counted = pattern_totals(docs, new)
             totals = materialize(counted if totals is None else totals.unionByName(counted))
@@ -230,7 +257,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
         context(x["s"]).alias("pattern")))
     found = materialize(rows.select("doc_id", *ROW_ID, seen.alias("seen")))
     single = found.select(*ROW_ID, F.explode("seen").alias("o")).select(*ROW_ID, "o.*").filter("pattern is not null")
-    more = bootstrap(docs.select("text"), single)
+    more = bootstrap(docs.select("doc_id", "text"), single)
     kinds = F.array(*map(F.lit, KINDS))
     base = F.filter("seen", lambda x: x["kind"].isNotNull())
     out = found.select("doc_id", *ROW_ID, base.alias("base"))

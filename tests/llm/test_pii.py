@@ -104,6 +104,40 @@ def test_common_pairs_are_not_counted_for_a_few_instances(spark, monkeypatch):
     assert out[300] == "phone:19:30" and out[200] == "" and out[100] == "email:11:19"
 
 
+def test_common_pairs_are_ruled_out_by_a_part_of_the_corpus(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k, f"please call me at +1 555 {k:03d} {rng.randrange(1000, 9999)} or the shop") for k in range(30)]
+    rows += [(100 + k, f"one of the k{k}@x.org") for k in range(6)]  # nothing else that may identify stands behind it
+    rows += [(200, "Please call me  at 0555-123987, or not"), (201, "one of the 0555-123987")]
+    rows += [(1000 + k, f"some of the many and of the few {rng.choice('abc')}") for k in range(12_000)]
+    counted, count = [], pii.pattern_totals
+
+    def spied(docs, patterns):
+        totals = count(docs, patterns)
+        counted.append({r.pattern: r.total for r in totals.collect()})
+        return totals
+    monkeypatch.setattr(pii, "pattern_totals", spied)
+    out = {r[0]: r[-1] for r in got(spark, rows)}
+    assert sum(c.get("of the", 0) for c in counted) < 6_000  # of 24,007 in all
+    assert counted[-1] == {"me at": 31}  # what is scored is counted in the whole corpus
+    assert out[200] == "phone:19:30" and out[201] == "" and out[100] == "email:11:19"
+
+
+def test_parts_change_no_result(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(k, f"please call at +1 555 {k:03d} {rng.randrange(1000, 9999)} or walk in") for k in range(80)]
+    rows += [(100 + k, f"you may call at 0555-1239{k:02d} today") for k in range(12)]
+    rows += [(200 + k, f"or dial us on 0555-1239{k:02d} today") for k in range(12)]
+    rows += [(300, "or dial us on 0777-555444 today"), (None, "dial us on 0777-555445"), (None, None), rows[0]]
+    rows += [(400 + k, f"one of the k{k}@x.org and of the few and of the {1000 + k}") for k in range(9)]
+    whole = got(spark, rows)
+    assert sum("phone:14:25" in r[-1] for r in whole) == 13
+    for first, step in [(3, 4), (9, 16)]:
+        monkeypatch.setattr(pii, "FIRST", first)
+        monkeypatch.setattr(pii, "STEP", step)
+        assert got(spark, rows) == whole
+
+
 def test_kinds_that_start_at_one_place_count_it_once(spark):
     rows = [(k, f"log in as 10.0.0.{k}@x.org now") for k in range(6)] + [(100, "log in as root@host now")]
     out = {r[0]: r[-1] for r in got(spark, rows)}
