@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kohort.llm.common import ROW_ID, let, row_id
-from kohort.session import materialize
+from kohort.session import materialize, scratch
 
 KINDS = ("email", "ip", "card", "phone")
 DOT, GAP, OPEN, SHUT = "\u0001", "\u0002", "\u0003", "\u0004"  # marks; a text's own ones count as U+0007
@@ -192,11 +192,18 @@ def bootstrap(docs: DataFrame, seen: DataFrame) -> DataFrame | None:
     occurrences counted keep to the number of instances, not to that of such
     pairs.  No score is taken from a part.
     """
+    with scratch() as keep:
+        return _turns(docs, seen, keep)
+
+
+def _turns(docs: DataFrame, seen: DataFrame, keep) -> DataFrame | None:
+    """``bootstrap``.  Tables of one turn are kept by ``keep``; what grows from turn to turn or goes to the caller is a
+    checkpoint, so that plans stay short."""
     # by value as well, so that no hot pattern lies in one task
-    graph = materialize(seen.groupBy("pattern", "kind", "value").agg(F.count("*").alias("n")))
+    graph = keep(seen.groupBy("pattern", "kind", "value").agg(F.count("*").alias("n")))
     # spans of two kinds may start at one place; those of one kind, and those without a kind, never share theirs
     by_kind = graph.groupBy("pattern", "kind").agg(F.sum("n").alias("n"))
-    least = materialize(by_kind.groupBy("pattern").agg((
+    least = keep(by_kind.groupBy("pattern").agg((
         F.coalesce(F.max(F.when(F.col("kind").isNull(), F.col("n"))), F.lit(0))
         + F.coalesce(F.max(F.when(F.col("kind").isNotNull(), F.col("n"))), F.lit(0))).alias("least")))
     seeds = graph.filter("kind is not null").select("kind", "value", F.lit(1.0).alias("trust")).distinct()
@@ -205,11 +212,11 @@ def bootstrap(docs: DataFrame, seen: DataFrame) -> DataFrame | None:
 
     def uncounted():
         possible = held.join(least, "pattern").filter(F.col("weight") / F.col("least") >= MIN_SCORE).select("pattern").distinct()
-        return materialize(possible if totals is None else possible.join(totals, "pattern", "left_anti"))
+        return keep(possible if totals is None else possible.join(totals, "pattern", "left_anti"))
     while True:
-        held = materialize(graph.select("pattern", "value", "n").join(trusted, "value").groupBy("pattern", "kind")
-                           .agg(F.sum(F.col("n") * F.col("trust")).alias("weight"), F.count_distinct("value").alias("seeds"))
-                           .filter(F.col("seeds") >= MIN_SEEDS))
+        held = keep(graph.select("pattern", "value", "n").join(trusted, "value").groupBy("pattern", "kind")
+                    .agg(F.sum(F.col("n") * F.col("trust")).alias("weight"), F.count_distinct("value").alias("seeds"))
+                    .filter(F.col("seeds") >= MIN_SEEDS))
         new = uncounted()
         if parts is None and not new.isEmpty():
             parts = growing_parts(docs)
@@ -224,8 +231,8 @@ def bootstrap(docs: DataFrame, seen: DataFrame) -> DataFrame | None:
             totals = materialize(counted if totals is None else totals.unionByName(counted))
         if totals is None:
             return None
-        scored = materialize(held.join(totals, "pattern").select("pattern", "kind", (F.col("weight") / F.col("total")).alias("score"))
-                             .filter(F.col("score") >= MIN_SCORE))
+        scored = keep(held.join(totals, "pattern").select("pattern", "kind", (F.col("weight") / F.col("total")).alias("score"))
+                      .filter(F.col("score") >= MIN_SCORE))
         # likely by any of its patterns: one less the product of what each leaves open
         left = F.exp(F.sum(F.log(F.greatest(1 - F.col("score"), F.lit(1e-9)))))
         likely = (open_.join(scored, "pattern").groupBy("kind", "value").agg((1 - left).alias("trust"))
@@ -239,8 +246,8 @@ def bootstrap(docs: DataFrame, seen: DataFrame) -> DataFrame | None:
         trusted, accepted, known = seeds.unionByName(likely), max(patterns, accepted), max(now, known)
     if not known:
         return None
-    return (seen.filter("kind is null").drop("kind").join(scored.select("pattern", "kind"), "pattern")
-            .join(likely.select("kind", "value"), ["kind", "value"]).select(*ROW_ID, "kind", "s", "e").distinct())
+    return materialize(seen.filter("kind is null").drop("kind").join(scored.select("pattern", "kind"), "pattern")
+                       .join(likely.select("kind", "value"), ["kind", "value"]).select(*ROW_ID, "kind", "s", "e").distinct())
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

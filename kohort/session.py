@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -64,3 +66,26 @@ def materialize(df):
     executor re-reads the checkpoint instead of the base table."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def scratch():
+    """Gives ``keep(df)``, which computes ``df`` once and keeps it on the
+    executors' disks until the block ends.
+
+    For small aggregates that only the block reads: a checkpoint makes two
+    files for each partition, however few rows there are, and the local file
+    system starts a process for each file's permissions.  The lineage stays,
+    so a lost executor costs its partitions.  What outlives the block, or is
+    carried from turn to turn, is for :func:`materialize`."""
+    held = []
+
+    def keep(df):
+        held.append(df.persist(StorageLevel.DISK_ONLY))
+        df.count()
+        return df
+    try:
+        yield keep
+    finally:
+        for df in reversed(held):
+            df.unpersist()

@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 from kohort.llm import pii
+from kohort.session import checkpoint_dir
 from tests.llm.data import clashing, docs
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -138,6 +140,34 @@ def test_parts_change_no_result(spark, monkeypatch):
         assert got(spark, rows) == whole
 
 
+def test_small_tables_write_no_file_for_each_partition(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(k, f"please call me at +1 555 {k:03d} {rng.randrange(1000, 9999)} or the shop") for k in range(30)]
+    rows += [(100 + k, f"one of the k{k}@x.org") for k in range(6)]
+    rows += [(200 + k, f"some of the {1000 + 17 * k} and of the many of the few") for k in range(20)]
+    rows += [(300, "Please call me  at 0555-123987, or not"), (None, None), rows[0]]
+    want, folder = got(spark, rows), Path(checkpoint_dir(spark).removeprefix("file:"))
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old, kept = {k: spark.conf.get(k) for k in conf}, spark.sparkContext._jsc.getPersistentRDDs().size()
+    there, made, checkpoint = set(folder.rglob("part-*")), [], pii.materialize
+
+    def spied(df):
+        out = checkpoint(df)
+        made.append(set(folder.rglob("part-*")) - there)
+        return out
+    monkeypatch.setattr(pii, "materialize", spied)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert got(spark, rows) == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "phone:19:30" in {r[-1] for r in want}
+    assert len(set().union(*made)) <= 6 * 40  # with a checkpoint for each table of the graph: over 10 * 40
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= kept  # nothing stays behind
+
+
 def test_kinds_that_start_at_one_place_count_it_once(spark):
     rows = [(k, f"log in as 10.0.0.{k}@x.org now") for k in range(6)] + [(100, "log in as root@host now")]
     out = {r[0]: r[-1] for r in got(spark, rows)}
