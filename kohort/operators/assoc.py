@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kohort.functions.stats import chi2_sf_sql, lgamma_sql, norm_sf2_sql
-from kohort.operators.exact import EXACT_BELOW, fisher_rxc, rank_sum_exact_sql
+from kohort.operators.exact import EXACT_BELOW, MAX_ARCS, fisher_rxc, rank_sum_exact_sql
 from kohort.operators.prefix import running_aggs, scaled_buckets
 from kohort.operators.summary import unpivot
 from kohort.session import materialize
@@ -158,7 +158,7 @@ def association_table(df: DataFrame, categorical: list[str], continuous: list[st
 
     Categorical: chi-square when every expected count is 5 or more, else
     the exact test (2x2 or larger); where an exact test of a larger table
-    is out of reach (see :func:`fisher_rxc`), chi-square flagged
+    is out of reach (``max_arcs`` of :func:`fisher_rxc`), chi-square flagged
     ``chisq_low_expected``.  Continuous: rank-sum, with the exact law for
     untied samples below 50 (``rank_sum_exact``)."""
     parts = []
@@ -169,7 +169,7 @@ def association_table(df: DataFrame, categorical: list[str], continuous: list[st
         few = cells.join(chi.filter("min_expected < 5").select("variable"), "variable", "left_semi")
         two = chi.filter("nr = 2 AND nc = 2").select("variable")
         fis = fisher_2x2(df, categorical, by, few).select("variable", F.col("p_value").alias("__fp"))
-        big = fisher_rxc(few.join(two, "variable", "left_anti")).select("variable", F.col("p_value").alias("__fp"))
+        big = fisher_rxc(few.join(two, "variable", "left_anti"), MAX_ARCS).select("variable", F.col("p_value").alias("__fp"))
         j = chi.join(fis.unionByName(big), "variable", "left")
         small = F.col("min_expected") < 5
         use_f = small & F.col("__fp").isNotNull()

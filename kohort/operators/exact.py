@@ -5,14 +5,21 @@ observed margins that are no likelier than the observed one.  It runs as a
 network over the columns, one stage each: a node is the vector of row margins
 that the columns not yet filled have left, the state of a path is the product of
 1 / x! over the cells filled so far.  A stage spreads each node over the ways to
-fill its column (bounded so that the rest can still be filled), then merges paths that meet: same remaining margins, whose order does
-not matter, and same product.  Before that, a path whose longest continuation
-keeps it below the observed table is settled with the closed sum of all its
-continuations, and one whose shortest continuation is above is dropped.  All
-variables go through the stages together; nodes are rows of a table, which Spark
-deals out over tasks; a node with more ways than a task should take goes out in
-pieces, each with its own range of the cells.  The ways of a batch of nodes are
-walked through in numpy, in parts of bounded size.
+fill its column (bounded so that the rest can still be filled), then merges
+paths that meet: same remaining margins, whose order does not matter, and same
+product.  A column is filled cell by cell.  With the other cells filled so far
+given, the longest continuation falls from some value of a cell on to either
+side, and so does a bound on it by duality; where it is below the observed table
+the cell's values are not walked through, but settled with the closed sum of all
+their continuations, which is a tail of a hypergeometric law.  In the last column
+to choose, what is left between the two tails of the last two cells is above the
+observed table.  So the work goes with the tables that are likelier than the
+observed one, less two cells, not with all tables.  A path whose shortest
+continuation is above the observed table is dropped.  All variables go through
+the stages together; nodes are rows of a table, which Spark deals out over tasks;
+a node with more ways than a task should take goes out in pieces, each with its
+own range of the cells.  The ways of a batch of nodes are walked through in
+numpy, in parts of bounded size.
 
 **Rank sums.**  Without ties, the number of ways in which samples of m and n have
 the statistic w follows f(m, n, w) = f(m - 1, n, w - n) + f(m, n - 1, w).  The
@@ -22,6 +29,7 @@ recursion runs in array functions, one row a variable.
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +38,10 @@ from kohort.functions.stats import lgamma_sql
 from kohort.session import materialize
 
 TOLERANCE = math.log1p(1e-7)  # tables are as likely as the observed one up to this, as is customary
-MAX_SIDE = 12        # levels of a table's smaller side: the length of a node's vector
-MAX_STAGES = 400     # levels of its other side: one stage each
-MAX_ARCS = 50_000_000  # paths that one stage of one variable spreads to
+MAX_SIDE = 12        # levels that a node's vector has at most, if the table's other side allows
+MAX_STAGES = 400     # with a bound on paths: levels of the other side, one stage each
+MAX_ARCS = 50_000_000  # bound for callers that have another test: paths that one stage of one variable spreads to
 ARCS_PER_PART, MAX_PARTS = 200_000, 2000  # a stage's work is dealt out over tasks of about so many paths
-SPREAD = "aggregate(slice(v, 2, size(v)), 1D, (kq_a, kq_x) -> kq_a * (1D + least(kq_x, c)))"  # ways of a node, at most
 EXACT_BELOW = 50     # rank sums: the exact law holds for samples smaller than this
 
 
@@ -47,16 +54,18 @@ def _sides(rows: list[int], cols: list[int]) -> tuple[list[int], list[int]]:
     def cost(vector, stages):
         return sum(_ways(c, len(vector)) for c in sorted(stages)[:-1]), len(vector)
     vector, stages = min(((rows, cols), (cols, rows)), key=lambda o: (len(o[0]) > MAX_SIDE, cost(*o)))
-    return sorted(vector, reverse=True), sorted(stages)
+    return sorted(vector), sorted(stages)
 
 
-def fisher_rxc(cells: DataFrame, max_arcs: int = MAX_ARCS) -> DataFrame:
+def fisher_rxc(cells: DataFrame, max_arcs: int | None = None) -> DataFrame:
     """Exact test of every variable's table: ``variable, n, p_value``, from cells ``(variable, level, grp, o)``.
 
     p adds the probabilities of the tables that are at most as likely as the observed one, relative tolerance
-    1e-7.  A table with one row or column has p = 1.  p is NULL where the network grows too large: more than
-    12 levels on the smaller side, 400 on the other, or ``max_arcs`` paths in a stage (the work of an exact
-    test has no other bound).  No variables give no rows.
+    1e-7.  A table with one row or column has p = 1.  No variables give no rows.
+
+    Every table gets its p, whatever work that is.  For callers that have another test at hand, ``max_arcs``
+    bounds it: p is then NULL for more than 12 levels on the smaller side, 400 on the other, or a stage of more
+    paths than that.
     """
     spark = cells.sparkSession
     rows = cells.groupBy("variable", "level").agg(F.sum("o").alias("m"))
@@ -64,164 +73,335 @@ def fisher_rxc(cells: DataFrame, max_arcs: int = MAX_ARCS) -> DataFrame:
     # levels are counted before any list of them is made
     size = rows.groupBy("variable").agg(F.count("*").alias("nr"), F.sum("m").alias("n")).join(
         cols.groupBy("variable").agg(F.count("*").alias("nc")), "variable")
-    fits = materialize(size.withColumn("fits", (F.least("nr", "nc") <= MAX_SIDE) & (F.greatest("nr", "nc") <= MAX_STAGES)))
+    within = F.lit(True) if max_arcs is None else (F.least("nr", "nc") <= MAX_SIDE) & (F.greatest("nr", "nc") <= MAX_STAGES)
+    fits = materialize(size.withColumn("fits", within & (F.least("nr", "nc") > 1)))
     small = fits.filter("fits").select("variable")
     lists = [t.join(small, "variable").groupBy("variable").agg(F.collect_list("m").alias(c)) for t, c in ((rows, "r"), (cols, "c"))]
     seen = cells.join(small, "variable").groupBy("variable").agg(
         F.expr(f"-SUM({lgamma_sql('CAST(o AS DOUBLE) + 1D')})").alias("lobs"))
-    tables = lists[0].join(lists[1], "variable").join(seen, "variable").collect()  # one row a variable, 412 margins at most
+    tables = lists[0].join(lists[1], "variable").join(seen, "variable").collect()  # one row a variable, with its margins
 
-    start, steps = [], []
+    start, facts = [], []
     width = max([len(_sides(t.r, t.c)[0]) for t in tables], default=1)
     log_f = lambda values: sum(math.lgamma(v + 1) for v in values)
     for t in tables:
         vector, stages = _sides(t.r, t.c)
         k = len(vector)
         whole = math.lgamma(sum(vector) + 1) - log_f(vector) - log_f(stages)
-        start.append((t.variable, vector + [0] * (width - k), 0.0, 1.0))
+        start.append((t.variable, [0] * (width - k) + vector, 0.0, 1.0))
+        facts += [{} for _ in range(len(stages) - len(facts))]
         for i, c in enumerate(stages):
-            later = stages[i + 1:]
-            steps.append((t.variable, i, c, len(later), -float(k * sum(math.lgamma(x / k + 1) for x in later)), -float(log_f(later)),
-                          t.lobs + TOLERANCE, whole))
-    steps = spark.createDataFrame(steps, "variable string, k int, c bigint, m int, high double, low double, "
-                                         "bar double, whole double")
+            later = Counter(stages[i + 1:])
+            facts[i][t.variable] = (k, c, [*later], [*later.values()], t.lobs + TOLERANCE, whole)
     state = spark.createDataFrame(start, "variable string, v array<bigint>, past double, paths double")
-    settled = []
-    for k in range(max([len(_sides(t.r, t.c)[1]) for t in tables], default=0)):
-        state = state.join(F.broadcast(steps.filter(F.col("k") == k)), "variable")  # a row a variable
-        arcs = {r.variable: r.arcs for r in state.groupBy("variable").agg(F.sum(F.expr(SPREAD)).alias("arcs")).collect()}
-        if not arcs:
-            break
-        over = [v for v, a in arcs.items() if a > max_arcs]
-        if over:
-            settled.append(spark.createDataFrame([(v, None) for v in over], "variable string, p double"))
+    p = {}
+    for known in facts:
+        sums = spark.createDataFrame([(v, f[1], sum(f[3])) for v, f in known.items()], "variable string, c bigint, m int")
+        state = state.join(F.broadcast(sums), "variable")  # a row a variable
+        ways = F.expr(f"IF(m = 1, {_fewer(2)}, {_fewer(1)})")
+        load = state.groupBy("variable").agg(F.sum(F.expr(_spread(1))).alias("arcs"), F.sum(ways).alias("work"),
+                                             F.max(ways).alias("most")).collect()
+        over = [r.variable for r in load if max_arcs is not None and r.arcs > max_arcs]
+        if over:  # a variable that is given up keeps no part of its sum
+            p |= dict.fromkeys(over)
             state = state.filter(~F.col("variable").isin(over))
-        done = materialize(_stage(_pieces(state, width), width, min(MAX_PARTS, int(sum(arcs.values()) // ARCS_PER_PART) + 1)))
-        settled.append(done.filter("settled").select("variable", F.col("total").alias("p")))
+        if len(load) == len(over):
+            break
+        load = [r for r in load if r.variable not in over]
+        work = sum(r.work for r in load)
+        share = max(ARCS_PER_PART, int(work // MAX_PARTS))
+        if max(r.most for r in load) > share:
+            pieces = _pieces(state.filter("m > 1"), width, share).unionByName(_pieces(state.filter("m = 1"), width, share, 2))
+        else:
+            pieces = state.selectExpr("*", *_whole(width))
+        done = materialize(_stage(pieces, width, known, min(MAX_PARTS, int(work // ARCS_PER_PART) + 1)))
+        for r in done.filter("settled").collect():  # a row a variable
+            p[r.variable] = p.get(r.variable, 0.0) + r.total
         state = done.filter("not settled").select("variable", "v", "past", F.col("total").alias("paths"))
-    found = settled[0] if settled else spark.createDataFrame([], "variable string, p double")
-    for more in settled[1:]:
-        found = found.unionByName(more)
-    # a variable that was given up in a stage keeps no part of its sum
-    p = found.groupBy("variable").agg(F.when(F.count_if(F.col("p").isNull()) == 0, F.least(F.lit(1.0), F.sum("p"))).alias("p"))
-    return fits.join(p, "variable", "left").select("variable", F.col("n").cast("bigint").alias("n"), F.when(
+    found = spark.createDataFrame([(v, None if x is None else min(1.0, x)) for v, x in p.items()], "variable string, p double")
+    return fits.join(found, "variable", "left").select("variable", F.col("n").cast("bigint").alias("n"), F.when(
         F.least("nr", "nc") == 1, F.lit(1.0)).otherwise(F.col("p")).alias("p_value"))
 
 
-def _pieces(state: DataFrame, width: int) -> DataFrame:
-    """``state`` with ``lo`` and ``hi``, bounds of each cell of the column to fill: a node of more than
-    ``ARCS_PER_PART`` ways is cut into pieces of fewer, by ranges of the first cell, where need be by its single
-    values and ranges of the next, and so on.  Together the pieces have the node's ways, each once."""
-    bounds = [f"array_repeat(0L, {width}) AS lo", f"array_repeat(c, {width}) AS hi"]
-    whole = state.filter(f"{SPREAD} <= {ARCS_PER_PART}").selectExpr("*", *bounds)
-    out = state.filter(f"{SPREAD} > {ARCS_PER_PART}").selectExpr("*", *bounds, "c AS kq_left", "false AS kq_done")
-    for i in range(width - 1):
-        # ways to fill the cells behind this one; of those the largest, which is the first, is forced
-        behind = f"aggregate(slice(v, {i + 3}, {width}), 1D, (kq_a, kq_x) -> kq_a * (1D + least(kq_x, kq_left)))"
+def _spread(forced: int, behind: str = "v", left: str = "c") -> str:
+    """SQL: ways to fill the cells ``behind`` with ``left``, at most, where so many of the largest are not counted."""
+    cells = f"slice(sort_array({behind}), 1, greatest(0, size({behind}) - {forced}))"
+    return f"aggregate({cells}, 1D, (kq_a, kq_x) -> kq_a * (1D + least(kq_x, {left})))"
+
+
+def _fewer(forced: int) -> str:
+    """SQL: :func:`_spread`, or the ways to deal ``c`` out to as many cells without margins where these are fewer."""
+    cells = f"greatest(0, size(filter(v, kq_x -> kq_x > 0)) - {forced})"
+    return f"least({_spread(forced)}, aggregate(slice(sequence(1, {cells} + 1), 1, {cells}), 1D, (kq_a, kq_x) -> kq_a * (c + kq_x) / kq_x))"
+
+
+def _whole(width: int) -> list[str]:
+    return [f"array_repeat(0L, {width}) AS lo", f"array_repeat(c, {width}) AS hi"]
+
+
+def _pieces(state: DataFrame, width: int, share: int | None = None, forced: int = 1) -> DataFrame:
+    """``state`` with ``lo`` and ``hi``, bounds of each cell of the column to fill: a node of more than ``share``
+    ways (``ARCS_PER_PART``) is cut into pieces of fewer, by ranges of the first cell, where need be by its single
+    values and ranges of the next, and so on.  Together the pieces have the node's ways, each once.  The largest
+    cell is not counted, as it is forced; of the last column to choose, whose two largest cells are settled
+    together, two are not."""
+    share = share or ARCS_PER_PART
+    whole = state.filter(f"{_fewer(forced)} <= {share}").selectExpr("*", *_whole(width))
+    out = state.filter(f"{_fewer(forced)} > {share}").selectExpr("*", *_whole(width), "c AS kq_left", "false AS kq_done")
+    for i in range(width - forced):
+        behind = _spread(forced, f"slice(v, {i + 2}, {width})", "kq_left")
         out = out.selectExpr("*", f"{behind} AS kq_behind", f"least(v[{i}], kq_left) AS kq_to",
                              f"greatest(0L, kq_left - aggregate(slice(v, {i + 2}, {width}), 0L, (kq_a, kq_x) -> kq_a + kq_x)) AS kq_from")
-        out = out.selectExpr("*", f"CAST(greatest(1D, floor(least(kq_to + 1D, {ARCS_PER_PART} / kq_behind))) AS BIGINT) AS kq_step")
+        out = out.selectExpr("*", f"CAST(greatest(1D, floor(least(kq_to + 1D, {share} / kq_behind))) AS BIGINT) AS kq_step")
         out = out.selectExpr("*", "explode(IF(kq_done, array(0L), sequence(least(kq_from, kq_to), kq_to, kq_step))) AS kq_at")
         out = out.withColumns({
             "lo": F.expr(f"IF(kq_done, lo, transform(lo, (kq_x, kq_i) -> IF(kq_i = {i}, kq_at, kq_x)))"),
             "hi": F.expr(f"IF(kq_done, hi, transform(hi, (kq_x, kq_i) -> IF(kq_i = {i}, least(kq_at + kq_step - 1, kq_to), kq_x)))"),
             "kq_left": F.expr("IF(kq_done, kq_left, kq_left - kq_at)"),
-            "kq_done": F.expr(f"kq_done OR kq_behind <= {ARCS_PER_PART}")}).drop("kq_behind", "kq_to", "kq_from", "kq_step", "kq_at")
+            "kq_done": F.expr(f"kq_done OR kq_behind <= {share}")}).drop("kq_behind", "kq_to", "kq_from", "kq_step", "kq_at")
     return whole.unionByName(out.drop("kq_left", "kq_done"))
 
 
-def _spreader(width: int):
-    """Task code of a stage, as a closure that travels by value: nodes in, the nodes that they lead to out."""
+def _spreader(width: int, facts: dict):
+    """Task code of a stage, as a closure that travels by value: nodes in, the nodes that they lead to out.
+    ``facts`` has of each variable the number of its cells, the column's sum, the sums of the later columns and how
+    often each occurs, the observed table's bar and the logarithm of all tables' sum."""
+    import itertools
+    import math
+
     import numpy as np
 
+    part = 1 << 15
+    small = np.array([math.lgamma(x + 1) for x in range(256)])
+
     def lgamma(z):
         """log Gamma of positive numbers: Stirling's series behind a shift by 10."""
         w = z + 10.0
         series = 1 / (12 * w) - 1 / (360 * w**3) + 1 / (1260 * w**5) - 1 / (1680 * w**7) + 1 / (1188 * w**9)
         return (w - 0.5) * np.log(w) - w + 0.9189385332046728 + series - sum(np.log(z + k) for k in range(10))
 
-    small = lgamma(np.arange(1, 4098, dtype=float))
-    small[:2] = 0.0
-
     def log_factorial(x):
-        return np.where(x < 4097, small[np.minimum(x, 4096)], 0.0) if x.size == 0 or x.max() < 4097 else lgamma(x + 1.0)
+        w = np.maximum(x, 255).astype(float)
+        large = (w + 0.5) * np.log(w) - w + 0.9189385332046728 + 1 / (12 * w) - 1 / (360 * w**3) + 1 / (1260 * w**5)
+        return np.where(x < 256, small[np.minimum(x, 255)], large)
+
+    def held(f, lo, hi):
+        """``f`` of the integers from ``lo`` to ``hi``, looked up unless there are many."""
+        if hi - lo >= 1 << 18:
+            return f
+        values = f(np.arange(lo, hi + 1))
+        return lambda x: values[x - lo]
+
+    def conjugate(theta):
+        """The largest theta y - log y! of any count y."""
+        y = np.floor(np.exp(theta))
+        return y * theta - log_factorial(y.astype(np.int64))
+
+    def tails(w, x, stop, a, b, left):
+        """Sum of w over x, x - 1, .., stop, where w goes with 1 / (x! (left - x)! (a - x)! (b - left + x)!) and falls:
+        to 0 where that has no value, below stop otherwise by force."""
+        short = (stop > np.maximum(left - b, 0)).any()
+        room, least = (x - stop).astype(float), w * 1e-13
+        up, down = [t.astype(float) for t in (x, b - left + x)], [t + 1.0 for t in (left - x, a - x)]
+        total = w.sum()
+        for step in itertools.count(1):
+            w = w * ((up[0] * up[1]) / (down[0] * down[1]))
+            for t in up:
+                t -= 1
+            for t in down:
+                t += 1
+            if short:
+                w[room < step] = 0
+            total += w.sum()
+            if step % 8 == 0:
+                on = w > least
+                if not on.any():
+                    return total
+                if on.mean() < 0.8:
+                    w, room, least = w[on], room[on], least[on]
+                    up, down = [t[on] for t in up], [t[on] for t in down]
+
+    def turn(lo, hi, guess, holds):
+        """Where between ``lo`` and ``hi``, false and true, ``holds`` comes to be so; it looks from ``guess`` on in
+        doubled steps, then halves."""
+        way = np.where(hi < lo, -1, 1)
+        lo, hi = lo * way, hi * way
+        at, step = np.clip(guess * way, lo, hi), np.ones(len(lo), np.int64)
+        first = None  # did it hold at the guess?
+        while True:
+            open_ = hi - lo > 1
+            if not open_.any():
+                return hi * way
+            at = np.where(open_, np.clip(at, lo + 1, hi - 1), hi)
+            yes = holds(at * way)
+            if first is None:
+                first, far = yes, np.ones(len(lo), bool)
+            lo, hi = np.where(open_ & ~yes, at, lo), np.where(open_ & yes, at, hi)
+            far &= yes == first
+            at, step = np.where(far, np.where(first, at - step, at + step), (lo + hi) >> 1), step * 2
+
+    def fill(v, least, most, past, paths, k, c, later, many, bar, whole):
+        """Parts of the ways to fill a column with c under the margins v, a row a node, as (rest, product, paths); at the
+        end the probability of the ways that are settled.  Cells are filled one by one: the longest continuation
+        falls from some value on to either side, and what is below the observed table there is settled at once."""
+        later, many = np.array(later, float), np.array(many, float)
+        m, n = many.sum(), (later * many).sum()
+        tilt = np.log((later + k / 2) / (n + m * k / 2))  # multipliers of the later columns' sums
+        outside = (many * later * tilt).sum()
+        low = -(many * log_factorial(later.astype(np.int64))).sum()
+        high = -(many * k * lgamma(later / k + 1)).sum()
+
+        def bound(u):  # a row's part of the bound on continuations that leave it u, by duality
+            at = np.log(u + m / 2)
+            return sum((w * conjugate(at + t) for w, t in zip(many, tilt)), -u * at)
 
-    def ways(v, c, least, most):
-        """(rows, x): every way x to put c[k] into the cells below the margins v[k], all but the last from least[k] to
-        most[k], in parts of bounded size."""
         tail = np.cumsum(v[:, ::-1], axis=1)[:, ::-1]
-        todo = [(np.arange(len(v)), np.zeros((len(v), 0), np.int64), c)]
-        while todo:
-            rows, x, left = todo.pop()
-            i = x.shape[1]
-            if i == width - 1:
-                yield rows, np.concatenate([x, left[:, None]], axis=1)
-                continue
-            lo = np.maximum(least[rows, i], left - tail[rows, i + 1])
-            hi = np.minimum(np.minimum(v[rows, i], left), most[rows, i])
+        close = np.cumsum(log_factorial(v)[:, ::-1], axis=1)[:, ::-1]
+        # a way may be settled only behind the last cell that the piece has a part of
+        apart = np.where((least > 0) | (most < np.minimum(v, c)), np.arange(k), -1).max(axis=1)
+        near = lambda f, u: held(f, max(0, int(u.min()) - c), int(u.max()))
+        filled = held(log_factorial, 0, c)
+        rests, bounds = [near(log_factorial, v[:, i]) for i in range(k)], [near(bound, v[:, i]) for i in range(k)]
+        done = 0.0
+
+        def parts(rows, rest, left, was, top, each, lo, hi):
+            """The next cell gets each value from lo to hi: ways so far, in parts of bounded size."""
+            i = rest.shape[1]
             while (hi - lo).max(initial=0) >= part:  # a long range is cut in two
                 middle = (lo + hi) // 2
-                rows, x, left = np.tile(rows, 2), np.tile(x, (2, 1)), np.tile(left, 2)
+                rows, rest, left, was, top, each = (np.concatenate([t, t]) for t in (rows, rest, left, was, top, each))
                 lo, hi = np.concatenate([lo, middle + 1]), np.concatenate([middle, hi])
-            n = np.maximum(hi - lo + 1, 0)
-            ends = np.cumsum(n)
+            count = np.maximum(hi - lo + 1, 0)
+            ends = np.cumsum(count)
             at = 0
-            while at < len(n):
+            while at < len(count):
                 stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + part, "right")))
-                m = n[at:stop]
-                held = np.repeat(np.arange(at, stop), m)
-                new = np.arange(len(held)) - np.repeat(np.cumsum(m) - m, m) + lo[held]
-                todo.append((rows[held], np.concatenate([x[held], new[:, None]], axis=1), left[held] - new))
+                some = count[at:stop]
+                h = np.repeat(np.arange(at, stop), some)
+                x = np.arange(len(h)) - np.repeat(np.cumsum(some) - some, some) + lo[h]
+                u = v[rows[h], i] - x
+                if len(h):
+                    yield (rows[h], np.concatenate([rest[h], u[:, None]], axis=1), left[h] - x, was[h] - filled(x),
+                           top[h] + bounds[i](u), each[h] - rests[i](u))
                 at = stop
 
-    part = 1 << 17
+        zero = np.zeros(len(v))
+        todo = [iter([(np.arange(len(v)), np.zeros((len(v), 0), np.int64), np.full(len(v), c), past, zero, zero)])]
+        while todo:
+            rows, rest, left, was, top, each = next(todo[-1], (None,) * 6)
+            if rows is None:
+                todo.pop()
+                continue
+            i = rest.shape[1]
+            if i == k - 1:  # the last cell is forced
+                u = v[rows, i] - left
+                rest, was = np.concatenate([rest, u[:, None]], axis=1), was - filled(left)
+                each, top = each - rests[i](u), top + bounds[i](u) - outside
+                # longest: by duality, or the later columns or the rows' rests shared out evenly (log x! is convex);
+                # shortest: all in one cell, by columns or rows
+                top = np.minimum(np.minimum(top, high), -m * lgamma(rest / m + 1.0).sum(axis=1))
+                under, over = was + top <= bar, was + np.maximum(low, each) > bar
+                done += (paths[rows] * np.exp(was + math.lgamma(n + 1) + each + low - whole))[under].sum()
+                keep = ~under & ~over
+                if keep.any():
+                    yield np.sort(rest[keep], axis=1), was[keep], paths[rows[keep]]
+                continue
+            a, b = v[rows, i], tail[rows, i + 1]
+            lo, hi = np.maximum(np.maximum(least[rows, i], left - b), 0), np.minimum(np.minimum(a, left), most[rows, i])
+            some = lo <= hi
+            if not some.all():
+                rows, rest, left, was, top, each, a, b, lo, hi = (t[some] for t in (rows, rest, left, was, top, each, a, b, lo, hi))
+            if not len(rows):
+                continue
+
+            def longest(x):
+                """Bound on the longest continuation with x in this cell, and the factors that the bound's linear part
+                puts on the cell and the rest of the column: where they fall, so does the bound, from x on."""
+                u, l = a - x, left - x
+                if i == k - 2:
+                    out = was - filled(x) - filled(l)
+                    if m == 1:  # the last column is forced: no bound, but its value, which is concave
+                        return out + each - rests[i](u) - rests[i + 1](b - l), None, None
+                    return out + top + bounds[i](u) + bounds[i + 1](b - l) - outside, u + m / 2, b - l + m / 2
+                still, cells = (b - l) / np.maximum(b, 1), k - 1 - i
+                free = (l + cells / 2) / (b - l + cells * m / 2)
+                out = was - filled(x) + top + bounds[i](u) - outside - l * np.log(free)
+                for j in range(i + 1, k):
+                    w = v[rows, j]
+                    guess = np.rint(w * still).astype(np.int64)
+                    at = np.log(guess + m / 2)
+                    out = out + bounds[j](guess) - (w - guess) * at + conjugate(at + np.log(free))
+                return out, (u + m / 2) * free, None
+
+            def below(x):
+                """Is every way with x here, or less, under the observed table?"""
+                x = np.clip(x, lo, hi)
+                out, mine, other = longest(x)
+                falls = True if mine is None else x <= mine if other is None else x * other <= (left - x + 1) * mine
+                return (out <= bar) & falls
+
+            def above(x):
+                x = np.clip(x, lo, hi)
+                out, mine, other = longest(x)
+                falls = True if mine is None else mine <= x + 1 if other is None else (left - x) * mine <= (x + 1) * other
+                return (out <= bar) & falls
+
+            mode = np.clip((left + 1.0) * (a + 1) // (a + b + 2), lo - 1, hi).astype(np.int64)
+            may = apart[rows] <= i
+            # near the mode the logarithm falls with the square of the distance
+            reach = np.sqrt(2 * np.maximum(longest(np.clip(mode, lo, hi))[0] - bar, 0) / (
+                1 / (mode + 1.0) + 1 / (left - mode + 1.0) + 1 / (a - mode + 1.0) + 1 / (b - left + mode + 1.0)))
+            reach = np.minimum(reach, hi - lo + 1).astype(np.int64)
+            first = np.where(may, turn(mode + 1, lo - 1, mode - reach, below), lo - 1)
+            last = np.where(may, turn(np.maximum(mode, first), hi + 1, mode + reach, above), hi + 1)
+            # the closed sum of all continuations, in the values of this cell
+            base = was + each + log_factorial(b) - close[rows, i + 1] + math.lgamma(n + 1) + low - whole
+            other = rests[i + 1] if i == k - 2 else log_factorial
+            for up in (False, True):
+                on = np.flatnonzero(last <= hi if up else first >= lo)
+                x, l, one, two = (last if up else first)[on], left[on], a[on], b[on]
+                w = paths[rows[on]] * np.exp(base[on] - filled(x) - filled(l - x) - rests[i](one - x) - other(two - l + x))
+                if len(on):
+                    done += tails(w, l - x, l - hi[on], two, one, l) if up else tails(w, x, lo[on], one, two, l)
+            if m > 1 or i < k - 2:
+                todo.append(parts(rows, rest, left, was, top, each, first + 1, last - 1))
+        yield done
 
     def run(batches):
         import pyarrow as pa
+
+        def nodes(name, settled, v, past, total):
+            lists = np.concatenate([np.zeros((len(v), width - v.shape[1]), np.int64), v], axis=1).ravel()
+            vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(lists) + 1, width, dtype=np.int32)), pa.array(lists))
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(v), pa.string()), pa.array([settled] * len(v)), vectors,
+                                               pa.array(past), pa.array(total)], names=["variable", "settled", "v", "past", "total"])
         for batch in batches:
-            v, least, most = (batch.column(k).flatten().to_numpy().reshape(-1, width) for k in ("v", "lo", "hi"))
-            past, paths, c, m, high, low, bar, whole = (batch.column(k).to_numpy() for k in
-                                                        ("past", "paths", "c", "m", "high", "low", "bar", "whole"))
-            names = batch.column("variable")
-            for rows, x in ways(v, c, least, most):
-                was = past[rows] - log_factorial(x).sum(axis=1)
-                rest = -np.sort(x - v[rows], axis=1)  # what is left, the largest first
-                each, left = -log_factorial(rest).sum(axis=1), m[rows]
-                # longest: what is left shared out evenly (log x! is convex); shortest: all in one cell, by columns or rows
-                even = -left * lgamma(rest / np.maximum(left, 1)[:, None] + 1.0).sum(axis=1)
-                top = np.where(left > 0, np.minimum(high[rows], even), 0.0)
-                bottom = np.where(left > 0, np.maximum(low[rows], each), 0.0)
-                under, over = was + top <= bar[rows], was + bottom > bar[rows]
-                share = np.exp(was + log_factorial(rest.sum(axis=1)) + each + low[rows] - whole[rows])
-                keep = ~under & ~over
-                key = np.concatenate([names_at(names, rows[keep])[:, None], rest[keep],
-                                      np.round(was[keep] * 1e10)[:, None].astype(np.int64)], axis=1)
-                key, same = np.unique(key, axis=0, return_inverse=True) if len(key) else (key, np.zeros(0, int))
-                first = np.zeros(len(key), np.int64)
-                first[same] = np.flatnonzero(keep)
-                done = np.bincount(rows[under], weights=(paths[rows] * share)[under], minlength=len(v))
-                gone = np.flatnonzero(done)
-                index = np.concatenate([rows[first], gone])
-                lists = np.concatenate([rest[first].ravel(), np.zeros(width * len(gone), np.int64)])
-                nothing = np.concatenate([np.zeros(len(first), bool), np.ones(len(gone), bool)])
-                total = np.concatenate([np.bincount(same, weights=paths[rows][keep], minlength=len(key)), done[gone]])
-                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, len(lists) + 1, width, dtype=np.int32)), pa.array(lists))
-                yield pa.RecordBatch.from_arrays(
-                    [names.take(pa.array(index)), pa.array(nothing), vectors,
-                     pa.array(np.concatenate([was[first], np.zeros(len(gone))])), pa.array(total)],
-                    names=["variable", "settled", "v", "past", "total"])
-
-    def names_at(names, rows):
-        return names.dictionary_encode().indices.to_numpy()[rows].astype(np.int64)
+            names = batch.column("variable").dictionary_encode()
+            of = names.indices.to_numpy()
+            v, least, most = (batch.column(x).flatten().to_numpy().reshape(-1, width) for x in ("v", "lo", "hi"))
+            past, paths = (batch.column(x).to_numpy() for x in ("past", "paths"))
+            for code, name in enumerate(names.dictionary.to_pylist()):
+                mine, k = np.flatnonzero(of == code), facts[name][0]
+                for found in fill(v[mine, -k:], least[mine, -k:], most[mine, -k:], past[mine], paths[mine], *facts[name]):
+                    if isinstance(found, float):
+                        yield nodes(name, True, np.zeros((1, k), np.int64), np.zeros(1), np.array([found]))
+                        continue
+                    rest, was, ways = found
+                    key = np.concatenate([rest, (np.round(was, 10) + 0.0).view(np.int64)[:, None]], axis=1)
+                    _, at, same = np.unique(key, axis=0, return_index=True, return_inverse=True)
+                    yield nodes(name, False, rest[at], was[at], np.bincount(same.ravel(), weights=ways, minlength=len(at)))
     return run
 
 
-def _stage(state: DataFrame, width: int, parts: int) -> DataFrame:
+def _stage(state: DataFrame, width: int, facts: dict, parts: int) -> DataFrame:
     """(variable, settled, v, past, total): the nodes that a column's ways lead to, with the paths that meet in each;
     where ``settled``, the probability that the stage decided."""
-    rows = state.repartition(parts, "variable", "v", "past", "lo") if parts > 1 else state
-    out = rows.mapInArrow(_spreader(width), "variable string, settled boolean, v array<bigint>, past double, total double")
-    return out.groupBy("variable", "settled", "v", F.round("past", 10).alias("past")).agg(F.sum("total").alias("total"))
+    rows = state.select("variable", "v", "past", "paths", "lo", "hi")
+    rows = rows.repartition(parts, "variable", "v", "past", "lo") if parts > 1 else rows
+    out = rows.mapInArrow(_spreader(width, facts), "variable string, settled boolean, v array<bigint>, past double, total double")
+    # products are the same up to rounding; the one that goes on is not rounded, as its errors would add up
+    return out.groupBy("variable", "settled", "v", F.round("past", 10).alias("kq_past")).agg(
+        F.min("past").alias("past"), F.sum("total").alias("total"))
 
 
 def rank_sum_exact_sql(w: str, n1: str, n2: str) -> str:

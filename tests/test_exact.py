@@ -91,6 +91,63 @@ def test_a_node_with_many_ways_goes_out_in_pieces(spark, monkeypatch):
     assert sorted(found) == want
 
 
+def by_grid(rows):
+    """p of a 3 x 3 table whose last row is the rest: all fillings of the two others."""
+    import numpy as np
+    r, c = [sum(x) for x in rows], [sum(x) for x in zip(*rows)]
+    log_f = np.array([math.lgamma(x + 1) for x in range(max(c) + 1)])
+    grid = lambda n: [(a, b, n - a - b) for a in range(n + 1) for b in range(n + 1 - a)]
+    second = np.array(grid(r[1]))
+    whole = math.lgamma(sum(r) + 1) - sum(math.lgamma(x + 1) for x in r + c)
+    bar, p = -log_f[np.array(rows)].sum() + math.log1p(1e-7), 0.0
+    for first in grid(r[0]):
+        left = np.array(c) - first - second
+        w = -log_f[list(first)].sum() - log_f[second].sum(axis=1) - log_f[np.maximum(left, 0)].sum(axis=1)
+        p += np.exp(w[(w <= bar) & (left >= 0).all(axis=1)] - whole).sum()
+    return p
+
+
+def test_every_table_has_its_p_however_large(spark):
+    # more than 50,000,000 paths in a stage; their law by a grid over two cells
+    import numpy as np
+    wide = [[2700, 2600, 2800], [2650, 2750, 2600]]
+    log_f = np.array([math.lgamma(x + 1) for x in range(8101)])
+    r, c = [sum(x) for x in wide], [sum(x) for x in zip(*wide)]
+    bar, p = -log_f[np.array(wide)].sum() + math.log1p(1e-7), 0.0
+    for x in range(c[0] + 1):
+        y = np.arange(max(0, r[0] - x - c[2]), min(c[1], r[0] - x) + 1)
+        z = r[0] - x - y
+        w = -log_f[x] - log_f[c[0] - x] - log_f[y] - log_f[c[1] - y] - log_f[z] - log_f[c[2] - z]
+        p += np.exp(w[w <= bar] - (math.lgamma(sum(r) + 1) - sum(math.lgamma(v + 1) for v in r + c))).sum()
+    # 13 levels on either side, one row a cell: all tables are alike; with two rows in a cell, it is one of 14 * 13 / 2 pairs
+    ones = [[int(i == j) for j in range(13)] for i in range(13)]
+    pair = [[2 if i == j == 0 else x for j, x in enumerate(row)] for i, row in enumerate(ones)]
+    got = {x.variable: x.p_value for x in fisher_rxc(cells(spark, [wide, ones, pair])).collect()}
+    assert got["v0"] == pytest.approx(p, rel=1e-6)
+    assert got["v1"] == pytest.approx(1.0) and got["v2"] == pytest.approx(2 / (14 * 13), rel=1e-9)
+
+
+def test_uneven_margins_and_small_p(spark, monkeypatch):
+    from kohort.operators import exact
+    tables = [[[23, 19, 42], [18, 17, 47], [3007, 2895, 8932]], [[1, 2, 30], [25, 3, 2], [300, 310, 290]], [[9, 0, 8], [0, 12, 9], [0, 1, 150]],
+              [[0, 30, 2], [20, 1, 1], [40, 30, 20]], [[8, 8, 8], [7, 7, 7], [70, 70, 70]]]
+    want = [by_grid(t) for t in tables]
+    assert min(want) < 1e-9 and max(want) > 0.99
+    for share in (exact.ARCS_PER_PART, 20):
+        monkeypatch.setattr(exact, "ARCS_PER_PART", share)
+        got = {x.variable: x.p_value for x in fisher_rxc(cells(spark, tables)).collect()}
+        assert [got[f"v{k}"] for k in range(len(tables))] == pytest.approx(want, rel=1e-8, abs=0)
+
+
+def test_association_table_keeps_its_other_test(spark, monkeypatch):
+    r = random.Random(4)
+    rows = [(f"g{k % 3}", r.choice("abcd") if k > 8 else "e") for k in range(90)]
+    df = spark.createDataFrame(rows, "g string, v string")
+    assert A.association_table(df, ["v"], [], "g").first().test == "fisher"
+    monkeypatch.setattr(A, "MAX_ARCS", 100)
+    assert A.association_table(df, ["v"], [], "g").first().test == "chisq_low_expected"
+
+
 def exact_rank_sum(a, b):
     """Two-sided p by all ways to choose the first sample's ranks."""
     pool = sorted(a + b)
